@@ -11,7 +11,8 @@ such documents, at least one of those partitions agrees.
 
 Exact copies carry the same set key and so count once. Buckets of up to PAIR_LIMIT sets give all their pairs; of larger
 ones, first the pairs with the smallest set are verified, and then, in blocks, all pairs that these links leave in
-different components: those whose parity sketches allow the similarity are verified too. No bucket is capped.
+different components: those whose parity sketches allow the similarity are verified too, in the block's task, which
+gives only the links that join components. No bucket is capped.
 
 Defined results: null or empty text and text of white space: n_shingles 0, linked with nothing. Fewer than five words:
 one shingle, the whole sequence. Repeated rows: each stays a row and has the same class. A null doc_id stays a row whose
@@ -218,9 +219,9 @@ def _sketches(texts: DataFrame) -> DataFrame:
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
                 sets = list(shingle_sets(_unpacked(some["z"])))
-                yield pd.DataFrame({"doc_id": some["doc_id"], "key": [set_key(s)[0] for s in sets], "sets": [_sketch(s, 1 << max(8, int(2 * len(s)).bit_length())) for s in sets]})
+                yield pd.DataFrame({"doc_id": some["doc_id"], "key": [set_key(s)[0] for s in sets], "z": some["z"], "sets": [_sketch(s, 1 << max(8, int(2 * len(s)).bit_length())) for s in sets]})
 
-    return texts.mapInPandas(run, "doc_id long, key long, sets binary")
+    return texts.mapInPandas(run, "doc_id long, key long, z binary, sets binary")
 
 
 def _fold(x: np.ndarray, width: int) -> np.ndarray:
@@ -228,17 +229,28 @@ def _fold(x: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
 
 
-def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, the pairs in different components whose sizes and sketches allow a link."""
-    out = []
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks of a bucket, links (a, b) that join different components: pairs whose sizes and sketches allow a link are checked by their whole sets, unless links found here already join them."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    out, parent, sets = [], {}, {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    def set_of(d: int, z: bytes) -> np.ndarray:
+        if d not in sets:
+            sets[d] = next(shingle_sets([zstandard.ZstdDecompressor().decompress(z)]))
+        return sets[d]
+
     if len(right) and len(left):
         packed = [np.frombuffer(z, np.uint8) for z in right["sets"]]
         rn, rc, rw = right["n"].to_numpy(), right["c"].to_numpy(), np.array([len(p) for p in packed])
         folded = {}
-        rd, rk = right["doc_id"].to_numpy(), right["key"].to_numpy()
-        for d, k, n, c, z in zip(left["doc_id"], left["key"], left["n"], left["c"], left["sets"]):
-            x = np.frombuffer(z, np.uint8)
+        rd, rz = right["doc_id"].tolist(), list(right["z"])
+        for d, n, c, z, sk in zip(left["doc_id"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"]):
+            x = np.frombuffer(sk, np.uint8)
             for w in np.unique(rw):
                 width = min(int(w), len(x))
                 here = np.flatnonzero((rw == w) & (rc != c) & (DEN * np.minimum(rn, n) >= NUM * np.maximum(rn, n)))
@@ -248,10 +260,16 @@ def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
                     folded[w, width] = {"at": np.cumsum(rw == w) - 1, "bits": np.stack([_fold(p, width) for p in packed if len(p) == w])}
                 f = folded[w, width]
                 apart = np.bitwise_count(f["bits"][f["at"][here]] ^ _fold(x, width)).sum(axis=1, dtype=np.int64)
-                here = here[apart * (DEN + NUM) <= (rn[here] + n) * (DEN - NUM)]
-                out.append(np.stack([np.full(len(here), d), rd[here], np.full(len(here), k), rk[here]], 1))
-    got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    return pd.DataFrame(got, columns=["a", "b", "ka", "kb"])
+                for i in here[apart * (DEN + NUM) <= (rn[here] + n) * (DEN - NUM)].tolist():
+                    p, q = root(c), root(int(rc[i]))
+                    if p == q:
+                        continue
+                    s, t = set_of(d, z), set_of(rd[i], rz[i])
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if DEN * both >= NUM * (len(s) + len(t) - both):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((min(d, rd[i]), max(d, rd[i])))
+    return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -284,10 +302,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         sketched = _sketches(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
         dealt = members.withColumn("blocks", blocks).withColumn("i", F.expr("pmod(xxhash64(key, 7), blocks)")).join(sketched, ["doc_id", "key"])
         rows = F.explode(F.expr("concat(transform(sequence(i, blocks - 1), j -> struct(i as i, j as j, 0 as side)), transform(sequence(cast(0 as bigint), i), j -> struct(j as i, i as j, 1 as side)))"))
-        dealt = dealt.select("bucket", "doc_id", "key", "n", "c", "sets", rows.alias("x")).select("bucket", "x.i", "x.j", "x.side", "doc_id", "key", "n", "c", "sets")
-        more = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long, ka long, kb long")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ka")).otherwise(F.col("kb")).alias("ka"), F.when(F.col("a") < F.col("b"), F.col("kb")).otherwise(F.col("ka")).alias("kb")).distinct()
-        extra = stored(_verified(more, texts), "extra")
+        dealt = dealt.select("bucket", "doc_id", "n", "c", "z", "sets", rows.alias("x")).select("bucket", "x.i", "x.j", "x.side", "doc_id", "n", "c", "z", "sets")
+        extra = stored(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "extra")
         if not extra.isEmpty():
             comp = components(links.union(extra))
     named = classes.join(comp, classes.rep == comp.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
