@@ -12,6 +12,7 @@ source's size, and no task sees more than a leaf.
 Draws are hashes of a seed and the two documents: reruns agree. Defined results: null text counts 0 words; null sources
 are one source, last in the order. Documents without words are never taken. Repeated rows (same id, source and size)
 get the same number of copies. An empty table gives no rows.
+The mix keeps other columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -146,7 +147,8 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix repeats them, with all their columns; those without copies are left out."""
+    words, doc, source, size, times, copy = fresh(docs, "words", "of_doc", "of_source", "of_size", "times", "copy")
     n = copies(sizes(docs)).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    n = n.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    held = docs.withColumn("_n", n_words()).join(n, F.expr("doc_id <=> _i and source <=> _s and _n = _z"))
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    n = n.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").cast("int").alias(times))
+    held = docs.withColumn(words, n_words()).join(n, F.expr(f"doc_id <=> {doc} and source <=> {source} and {words} = {size}"))
+    return held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(words, doc, source, size, times, copy)

@@ -11,8 +11,8 @@ that bounded size. Scores cover every row and whole texts.
 
 Defined results: null or empty text, or white space only, has no features: its score is 0, its tails are 0, its expected
 grade is 0, and it is rejected. Labels with a null quality are ignored; a null toxic counts as 0; of several labels of
-one document the lowest grade counts. Repeated rows are scored alike. Without labels of two grades nothing is rejected:
-tails are 1.
+one document the lowest grade counts. Repeated rows are scored alike; the fit takes the smallest text of each doc_id.
+Without labels of two grades nothing is rejected: tails are 1. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, word_hashes, word_spans
+from .common import chunks, fresh, mix, word_hashes, word_spans
 
 SAMPLE = 8_000
 DIM = 1 << 18
 GRADES = 3
 TAIL = 0.4
+RESULTS = ("score", "expected_grade", "p_tail", "keep")
 STEPS, RATE, RIDGE = 400, 0.05, 1e-4
 #: A feature is kept if it is in so many documents of the sample, and its share of a lower grade's documents is so many standard errors off that of the best grade's.
 LEAST_DOCS, LEAST_Z = 5, 5.0
@@ -144,28 +146,31 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "cuts": [cuts.tolist()], "grades": [pdf["grade"].nunique()]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0")
-    sample = rows.join(F.broadcast(marks), "doc_id").mapInPandas(vectors, "doc_id long, grade int, idx binary, val binary")
+    rows = rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    sample = rows.select("doc_id", "grade", "text").mapInPandas(vectors, "doc_id long, grade int, idx binary, val binary")
     got = sample.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "w binary, cuts array<double>, grades int").first()
     return (np.frombuffer(got.w, np.float32).astype(float), np.array(got.cuts)) if got and got.grades > 1 else None
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """The documents' columns with score, expected_grade, p_tail (of the best grade) and keep."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """The documents' columns with score, expected_grade, p_tail (of the best grade) and keep, under the given names."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score, tails = np.zeros(len(pdf)), np.zeros((len(pdf), GRADES - 1))
-            for i, rows in enumerate(features([t or b"" for t in pdf["_bytes"]])):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.columns[-1].to_pylist()]
+            score, tails = np.zeros(len(texts)), np.zeros((len(texts), GRADES - 1))
+            for i, rows in enumerate(features(texts)):
                 if model is None:
                     tails[i] = 1
                 elif rows.size:
                     idx, val = _scaled(rows)
                     score[i] = (model[0][idx] * val).sum()
                     tails[i] = 1 / (1 + np.exp(-np.clip(score[i] - model[1], -40, 40)))
-            yield pdf.drop(columns="_bytes").assign(score=score, expected_grade=tails.sum(1), p_tail=tails[:, -1], keep=tails[:, -1] >= TAIL)
+            own = [pa.array(x) for x in (score, tails.sum(1), tails[:, -1], tails[:, -1] >= TAIL)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double, expected_grade double, p_tail double, keep boolean"
-    return docs.withColumn("_bytes", F.col("text").cast("binary")).mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"`{c}` {t}" for c, t in zip(names, ("double", "double", "double", "boolean")))])
+    return docs.withColumn(*fresh(docs, "bytes"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,4 +181,5 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    return scored(docs, train(docs, labels)).where("keep").select(*docs.columns)
+    own = fresh(docs, *RESULTS)
+    return scored(docs, train(docs, labels), tuple(own)).where(F.col(own[-1])).drop(*own)

@@ -217,3 +217,30 @@ def test_pipeline_keeps_clean_documents(spark, sf):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert d.count() > 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_empty_tables(spark):
+    """No operator fails on an empty table; each gives no rows."""
+    none, labels = empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    vec = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    found = [ngram_join.similarity_classes(none), ngram_join.deduplicated(none), token_count.count_tokens(none, queries.tokenizer_path("byte_bpe_50k.json")), quality.grades(none, labels),
+             quality.selected(none, labels), secret_scan.findings(none), secret_scan.redacted(none), mixing.mixed(none), warc.round_trip(pages), chat.digests(turns), embed_dedup.near_duplicates(vec)]
+    assert [f.count() for f in found] == [0] * len(found)
+
+
+def test_stages_keep_other_columns(spark):
+    """Extra columns with the operators' own names, nulls everywhere, and ids beyond a double's precision beside a null id."""
+    big = (1 << 60) + 1
+    rows = [(big, "password = 'hunter22hunter22' in the old mill by the river", "en", "a", 9, 1.5, "mine", [1], 7), (None, "a text without any id by the river", None, None, None, None, None, None, None), (3, None, None, None, None, None, None, None, None), (4, "", "en", "a", 0, None, "x", [], 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, keep string, spans array<int>, copies int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    same = quality.selected(d, labels)
+    assert same.columns == d.columns and sorted(map(str, same.collect())) == sorted(map(str, d.collect()))
+    clean = {r.doc_id: r for r in secret_scan.redacted(d).collect()}
+    assert clean[big].text == "[secret]' in the old mill by the river" and clean[big].spans == [1] and clean[3].text is None and clean[None].keep is None
+    kept = ngram_join.deduplicated(d)
+    assert kept.columns == d.columns and kept.count() == 4
+    mix = mixing.mixed(d)
+    assert mix.columns == d.columns and {r.doc_id for r in mix.collect()} <= {big, None}
