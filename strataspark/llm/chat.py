@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 OPEN, CLOSE = "<turn>", "</turn>"
 LOSS_ROLE = "assistant"
 
@@ -90,9 +92,9 @@ def formatted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "formatted": [render([(t["role"], t["text"]) for t in turns]) for turns in pdf["turns"]]})
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "formatted": [render([(t["role"], t["text"]) for t in turns]) for turns in pdf["turns"]]})
 
-    return _conversations(rows).mapInPandas(run, "conv_id long, formatted string")
+    return mapped(_conversations(rows), run, "conv_id long, formatted string", "conv_id")
 
 
 def read_back(texts: DataFrame) -> DataFrame:
@@ -102,12 +104,12 @@ def read_back(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             parsed = [parse(t) or [] for t in pdf["formatted"]]
             yield pd.DataFrame({
-                "conv_id": pdf["conv_id"].astype("Int64"), "formatted": pdf["formatted"],
+                "conv_id": pdf["conv_id"], "formatted": pdf["formatted"],
                 "turns": [[{"role": r, "text": t} for r, t, _, _ in p] for p in parsed],
                 "loss": [[{"start": a, "stop": b} for r, _, a, b in p if r == LOSS_ROLE] for p in parsed],
             })
 
-    return texts.mapInPandas(run, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss array<struct<start:int,stop:int>>")
+    return mapped(texts, run, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss array<struct<start:int,stop:int>>", "conv_id")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -116,10 +118,10 @@ def digests(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for conv, text, turns, loss in zip(pdf["conv_id"].astype("Int64"), pdf["formatted"], pdf["turns"], pdf["loss"]):
+            for conv, text, turns, loss in zip(pdf["conv_id"], pdf["formatted"], pdf["turns"], pdf["loss"]):
                 said = "".join(f"{t['role']}\n{t['text']}\n" for t in turns)
                 learnt = "".join(unescaped(text[s["start"] : s["stop"]]) for s in loss)
                 out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return read_back(formatted(rows)).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(read_back(formatted(rows)), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", "conv_id")

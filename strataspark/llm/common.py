@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mapped(df: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
+    """mapInPandas with the named long columns carried as text on both sides, for pandas turns longs beside nulls into doubles."""
+    held = df.select(*(F.col(c).cast("string").alias(c) if c in ids else F.col(c) for c in df.columns))
+    out = held.mapInPandas(run, re.sub(rf"\b({'|'.join(ids)}) long\b", r"\1 string", schema))
+    return out.select(*(F.col(c).cast("long").alias(c) if c in ids else F.col(c) for c in out.columns))
+
+
 # --- hashing -------------------------------------------------------------------------------------------------------
 
 

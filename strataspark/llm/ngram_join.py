@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix, stored, word_hashes, word_spans
+from .common import chunks, components, mapped, mix, stored, word_hashes, word_spans
 
 WORDS = 5
 #: Links: NUM * union <= DEN * intersection.
@@ -117,7 +117,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": np.array(n, np.int64), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, n_shingles long, k1 long, k2 long", "doc_id")
 
 
 def _signature_blobs(docs: DataFrame, parts: int) -> DataFrame:

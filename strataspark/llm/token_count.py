@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import mapped
+
 LIMIT = 512
 #: The public pre-token pattern of byte-level BPE: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,5 +102,6 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> Da
                     counts.append(len(tok.encode(t, add_special_tokens=False).ids) if ws is None else sum(map(get, ws)) + len(p) - 1)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": counts})
 
-    counted = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = mapped(rows, run, "doc_id long, n_bytes long, n_tokens long", "doc_id")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import mapped, shared_dir, stored
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -40,11 +40,11 @@ RECORD = "archive string, page_id long, url string, record_type string, refers_t
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _urn(page_id: int | None) -> str:
+def _urn(page_id: str | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def _record(page_id: str | None, url: str, payload: bytes, digest: str, kind: str, refers_to: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", "WARC-Date: 2024-01-01T00:00:00Z",
@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             out = None
             store.move(f"{top}/{name}.{attempt}", f"{top}/{name}")
-            return pd.DataFrame(rows, columns=["archive", "offset", "length", "url", "digest", "page_id", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            return pd.DataFrame(rows, columns=["archive", "offset", "length", "url", "digest", "page_id", "record_type", "refers_to"])
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     store.create_dir(top, recursive=True)
                     name, at, rows = f"part-{task:06d}-{n:04d}.warc.gz", 0, []
                     out, n = store.open_output_stream(f"{top}/{name}.{attempt}", compression=None), n + 1
-                page, refers = (None if pd.isna(r.page_id) else int(r.page_id)), (None if pd.isna(r.refers_to) else int(r.refers_to))
+                page, refers = (None if pd.isna(r.page_id) else r.page_id), (None if pd.isna(r.refers_to) else r.refers_to)
                 member = _gzip(_record(page, r.url, r.payload, r.digest, r.record_type, refers))
                 out.write(member)
                 rows.append((name, at, len(member), r.url, r.digest, page, r.record_type, refers))
@@ -100,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
-    return stored(classified(pages).mapInPandas(run, INDEX), "warc-index")
+    return stored(mapped(classified(pages), run, INDEX, "page_id", "refers_to"), "warc-index")
 
 
 def _parsed(name: str, raw: bytes) -> tuple:
@@ -108,7 +108,7 @@ def _parsed(name: str, raw: bytes) -> tuple:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
-    page = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
+    page = lambda urn: urn[10:-1] or None if urn else None
     kind = fields["WARC-Type"]
     return name, page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, page(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].removeprefix("sha256:"), payload if kind == "response" else None
 
@@ -124,7 +124,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             with store.open_input_file(f"{top}/{name}") as f:
                 data = f.read_at(high - low, low)
             rows = [_parsed(name, zlib.decompress(data[o - low : o - low + n], 31)) for o, n in run_]
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
         name, ranges = None, []
         for pdf in batches:
@@ -138,7 +138,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             yield read(name, ranges)
 
     wanted = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return wanted.mapInPandas(run, RECORD)
+    return mapped(wanted, run, RECORD, "page_id", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
             yield pdf[["page_id", "record_type", "refers_to", "payload_digest"]].assign(
                 n=pd.array([None if p is None else len(p) for p in payloads], "Int64"), d=[None if p is None else hashlib.sha256(p).hexdigest() for p in payloads])
 
-    read = stored(read_records(index, folder).mapInPandas(digests, "page_id long, record_type string, refers_to long, payload_digest string, n long, d string"), "warc-read")
+    read = stored(mapped(read_records(index, folder), digests, "page_id long, record_type string, refers_to long, payload_digest string, n long, d string", "page_id", "refers_to"), "warc-read")
     whole = read.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("p"), F.col("d").alias("pd")).agg(F.max("n").alias("pn"))
     held = read.join(whole, F.expr("refers_to = p and payload_digest = pd"), "left")
     return held.select("page_id", F.coalesce("n", "pn").alias("payload_bytes"), F.coalesce("d", "pd").alias("payload_digest"), "record_type", "refers_to")

@@ -244,3 +244,15 @@ def test_stages_keep_other_columns(spark):
     assert kept.columns == d.columns and kept.count() == 4
     mix = mixing.mixed(d)
     assert mix.columns == d.columns and {r.doc_id for r in mix.collect()} <= {big, None}
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids beyond a double's precision come back exactly though a null id shares their batch."""
+    big = (1 << 60) + 1
+    d = spark.createDataFrame([(big, "a b c d e f"), (None, "a b"), (3, None)], "doc_id long, text string").coalesce(1)
+    c = spark.createDataFrame([(big, 1, "user", "x"), (None, 1, "user", "y"), (3, 1, None, None)], "conv_id long, turn long, role string, text string").coalesce(1)
+    p = spark.createDataFrame([(big, "u", "x" * 200), (big + 2, None, "x" * 200), (None, "u", "z"), (3, "u", None)], "page_id long, url string, html string").coalesce(1)
+    model = queries.tokenizer_path("piece_bpe_32k.model")
+    for got in (ngram_join.similarity_classes(d), token_count.count_tokens(d, queries.tokenizer_path("byte_bpe_50k.json")), secret_scan.findings(d), pieces.summary(d, model), chat.digests(c)):
+        assert {r[0] for r in got.collect()} == {big, None, 3}
+    assert {(r.page_id, r.refers_to) for r in warc.round_trip(p).collect()} == {(big, None), (big + 2, big), (None, None), (3, None)}
