@@ -1,45 +1,47 @@
 """SentencePiece encoding and decoding of a BPE model over a lattice of pieces.
 
 Texts are cut into units that no merge can cross, which is proved offline: every piece of the model must itself be one
-unit. Each different unit of the corpus is encoded once. Its lattice is relational: substrings of at most the longest
+unit. Each different unit that a task keeps is encoded once. Its lattice is relational: substrings of at most the longest
 piece's length are exploded and equi-joined to the piece table, which gives edges (start, end, score, piece), grouped by
 unit. For a BPE model the fold isn't the best-sum (Viterbi) path, which the library doesn't take either, but the
 library's own order of merges over the same lattice: each step joins, in every unit, the two neighbours whose edge has
 the highest score, the leftmost on ties. Characters without a piece fall back to bytes. Decoding looks ids up in the
 piece table and joins them.
 
-Explode, join, group and fold run on column arrays in Arrow batches of units that Spark deals out; the same with Spark's
-own explode, join, collect_list and aggregate() took several times the limits (see the README). Different units are
-found by a grouped count. Documents meet their units' ids in two ways: the most frequent units, at most HOT of them,
-are broadcast; occurrences of the others, none of which is frequent, are joined by unit.
+Explode, join, group and fold run on column arrays in Arrow batches; the same with Spark's own explode, join,
+collect_list and aggregate() took several times the limits (see the README). A task keeps the ids of the units that it
+has met, at most KEPT of them and KEPT_CHARS characters, and then starts anew, so that nothing is shuffled or broadcast
+but the piece table, and a row's ids, all of them, come out beside the row. They are decoded again and held against the
+text.
 
-Defined results: null or empty text has no pieces. Rows of one doc_id (repeated rows, copies in a mix) are counted
-together; rows without one too. The model must neither change characters nor drop or collapse spaces, or the call fails.
+Defined results: null or empty text has no pieces. Every row is encoded for itself, whatever its doc_id (repeated rows,
+copies in a mix, rows without one); only summary() counts rows of one doc_id together. The model must neither change characters nor drop or collapse spaces, or the call fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, stored
+from .common import chunks, mapped, mix
 
 SPACE = "\u2581"
 #: A unit: a run of letters and their marks, or of other characters, with the spaces before it; or spaces alone.
 UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}]+|{SPACE}+"
 #: Longer units are folded one by one with a heap.
 STEPWISE_CHARS = 128
-HOT = 200_000
-COUNTED = 200_000
+KEPT, KEPT_CHARS = 200_000, 4_000_000
 _R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _NONE = 0x110000
 
@@ -162,10 +164,8 @@ def _heap_merged(n: int, cost: dict[tuple[int, int], float]) -> list[bool]:
     return alive
 
 
-def encode_words(words: list[str], pieces: Pieces) -> list[list[int]]:
-    """The ids of each word."""
-    if not words:
-        return []
+def encode_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words, one word's after another's, and how many each word has."""
     first, n, edges = lattice(words, pieces)
     bound = _merged(first, n, edges)
     bound[first + n] = False
@@ -178,75 +178,78 @@ def encode_words(words: list[str], pieces: Pieces) -> list[list[int]]:
     want = s * (pieces.longest + 1) + np.minimum(e - s, pieces.longest + 0)
     at = np.minimum(np.searchsorted(code[order], want), max(len(code) - 1, 0))
     ids = np.where(code[order][at] == want, edges["id"][order][at], -1) if len(code) else np.full(len(s), -1)
-    cuts = np.searchsorted(word, np.arange(1, len(words)))
-    out = [x.tolist() for x in np.split(ids, cuts)]
-    for w in np.unique(word[ids < 0]):
-        places = s[slice(*np.searchsorted(word, [w, w + 1]))] - first[w]
-        out[w] = [i for p, d in zip(places, out[w]) for i in ([d] if d >= 0 else [pieces.byte_ids[b] for b in words[w][p].encode()])]
-    return out
+    lost = np.flatnonzero(ids < 0)
+    raw = [words[w][p].encode() for w, p in zip(word[lost].tolist(), (s - first[word])[lost].tolist())]
+    room = np.ones(len(ids), dtype=np.int64)
+    room[lost] = [len(b) for b in raw]
+    ids = np.repeat(ids, room)
+    ids[ids < 0] = [pieces.byte_ids[b] for b in b"".join(raw)]
+    return ids.astype(np.int32), np.bincount(np.repeat(word, room), minlength=len(words))
+
+
+class Encoder:
+    """Encodes texts, and keeps the ids of units between calls."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.cut = pieces, regex.compile(UNIT).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.chars = defaultdict(count().__next__), 0
+        self.ids, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the texts, one text's after another's; how many ids and how many units each text has."""
+        if len(self.number) > KEPT or self.chars > KEPT_CHARS:
+            self.forget()
+        units = [self.cut(normal(t)) for t in texts]
+        n_units = np.array([len(u) for u in units], dtype=np.int64)
+        before = len(self.number)
+        met = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64, int(n_units.sum()))
+        new = list(islice(self.number, before, None))
+        if new:
+            got = [encode_words(new[lo : lo + 8192], self.pieces) for lo in range(0, len(new), 8192)]
+            self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
+            self.n = np.concatenate([self.n, *(x for _, x in got)])
+            self.chars += sum(map(len, new))
+        n = self.n[met]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat((np.cumsum(self.n) - self.n)[met] - (ends - n), n) + np.arange(n.sum())]
+        n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_units)])])
+        return ids, n_ids, n_units
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
     """The text of whole texts' ids, without the dummy prefix."""
-    return b"".join(pieces.raw[i] for i in ids).decode(errors="replace").removeprefix(" ")
+    return b"".join(map(pieces.raw.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
 
-def dictionary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, n (its occurrences), ids, lossless (whether the ids decode to the unit): a stored table of the corpus's different units."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, seen = regex.compile(UNIT).findall, Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(cut(normal(text)))
-                if len(seen) > COUNTED:
-                    yield pd.DataFrame({"unit": list(seen.keys()), "n": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"unit": list(seen.keys()), "n": list(seen.values())})
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pieces  # Spark broadcasts the function with it; its size is the vocabulary's
-        for pdf in batches:
-            for lo in range(0, len(pdf), 8192):
-                some = pdf.iloc[lo : lo + 8192]
-                ids = encode_words(list(some["unit"]), table)
-                back = [b"".join(map(table.raw.__getitem__, x)).decode(errors="replace") for x in ids]
-                yield some.assign(ids=ids, lossless=[b == u.replace(SPACE, " ") for b, u in zip(back, some["unit"])])
-
-    words = docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return stored(words.mapInPandas(encode, "unit string, n long, ids array<int>, lossless boolean"), "dictionary")
-
-
-def _hot(words: DataFrame, most: int) -> DataFrame:
-    """Units of at least the least count that at most `most` units reach, to an eighth of a power of two."""
-    seen, least = 0, 1 << 62
-    for r in words.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("low")).orderBy(F.desc("b")).collect():
-        seen += r.units
-        if seen > most:
-            break
-        least = r.low
-    return words.where(F.col("n") >= least)
-
-
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, pos, ids: each text's pieces, unit by unit; the ids of a text are those of its units in order of pos."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = regex.compile(UNIT).findall
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                if got := cut(normal(text)):
-                    yield pd.DataFrame({"doc_id": [i] * len(got), "pos": np.arange(len(got), dtype=np.int32), "unit": got})
+def coded(docs: DataFrame, model_file: str) -> DataFrame:
+    """A row for each row: doc_id, n_units, n_pieces, ids, ids_sha256 (of the ids as little-endian 32-bit numbers), lossless (whether the ids decode to the text)."""
+    pieces = Pieces(model_file)
 
-    rows = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, pos int, unit string", "doc_id")
-    return rows.join(dictionary(docs, Pieces(model_file)), "unit").select("doc_id", "pos", "ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces)  # Spark broadcasts the function with the piece table; its size is the vocabulary's
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo, hi in chunks(texts):
+                ids, n_ids, n_units = encoder.encode(texts[lo:hi])
+                ends = np.cumsum(n_ids)
+                own = [ids[b - n : b] for b, n in zip(ends.tolist(), n_ids.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(lo, hi - lo), pa.array(n_units), pa.array(n_ids),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)),
+                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in own], pa.string()),
+                    pa.array([decode_ids(x.tolist(), pieces) == t for x, t in zip(own, texts[lo:hi])], pa.bool_()),
+                ], names=["doc_id", "n_units", "n_pieces", "ids", "ids_sha256", "lossless"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_units long, n_pieces long, ids array<int>, ids_sha256 string, lossless boolean")
 
 
 def encoded_texts(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids: whole texts' ids in one array each; doc_ids must differ. Texts without pieces have no row."""
-    got = encode(docs, model_file).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    return got.select("doc_id", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
+    """doc_id, ids: whole texts' ids in one array each. Texts without pieces have no row."""
+    return coded(docs, model_file).where("n_pieces > 0").select("doc_id", "ids")
 
 
 def decode_texts(coded: DataFrame, model_file: str) -> DataFrame:
@@ -260,40 +263,7 @@ def decode_texts(coded: DataFrame, model_file: str) -> DataFrame:
     return mapped(coded.select("doc_id", "ids"), run, "doc_id long, text string", "doc_id")
 
 
-def _hash(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, dtype="<i4").tobytes()) & 0xFFFF
-
-
 def summary(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, copies (rows of this id), n_units, n_pieces, checksum (sum over units of position times a 16-bit hash of the ids), lossless (whether all ids decode to the texts)."""
-    words = dictionary(docs, Pieces(model_file))
-    # One number for each: pieces, hash, and whether it is lossless.
-    often = {r.unit: len(r.ids) << 17 | _hash(r.ids) << 1 | r.lossless for r in _hot(words, HOT).select("unit", "ids", "lossless").toLocalIterator()}
-    known = docs.sparkSession.sparkContext.broadcast(often)
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, get = regex.compile(UNIT).findall, known.value.get
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                got = cut(normal(text))
-                met = np.array([get(w, -1) for w in got], dtype=np.int64)
-                rest = np.flatnonzero(met < 0)
-                met[rest] = 1
-                place = np.arange(1, len(met) + 1)
-                rows.append((len(got), int((met >> 17).sum()), int(((met >> 1 & 0xFFFF) * place).sum()), bool((met & 1).all()), place[rest], [got[i] for i in rest.tolist()]))
-            n, k, h, ok, pos, unit = zip(*rows) if rows else ((),) * 6
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "copies": 1, "n_units": n, "n_pieces": k, "checksum": h, "lossless": ok, "pos": pos, "unit": unit})
-
-    met = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), meet, "doc_id long, copies long, n_units long, n_pieces long, checksum long, lossless boolean, pos array<long>, unit array<string>", "doc_id")
-    met = stored(met, "met")
-
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"unit": pdf["unit"], "k": [len(x) for x in pdf["ids"]], "h": [_hash(x) for x in pdf["ids"]], "ok": pdf["lossless"]})
-
-    coded = words.select("unit", "ids", "lossless").mapInPandas(hashes, "unit string, k long, h long, ok boolean")
-    rest = met.select("doc_id", F.explode(F.arrays_zip("pos", "unit")).alias("x")).select("doc_id", "x.pos", "x.unit").join(coded, "unit")
-    zero = F.lit(0).cast("long")
-    both = met.drop("pos", "unit").unionByName(rest.select("doc_id", zero.alias("copies"), zero.alias("n_units"), F.col("k").alias("n_pieces"), (F.col("pos") * F.col("h")).alias("checksum"), F.col("ok").alias("lossless")))
-    return both.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("copies", "n_units", "n_pieces", "checksum")), F.bool_and("lossless").alias("lossless"))
+    """doc_id, copies (rows of this id), n_units, n_pieces, lossless (whether all ids decode to the texts)."""
+    rows = coded(docs, model_file).groupBy("doc_id")
+    return rows.agg(F.count(F.lit(1)).alias("copies"), F.sum("n_units").alias("n_units"), F.sum("n_pieces").alias("n_pieces"), F.bool_and("lossless").alias("lossless"))

@@ -28,7 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.summary(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return pieces.coded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,36 @@ def test_pieces(spark):
     assert pieces.summary(empty(spark), path).count() == 0
 
 
+def test_piece_query_and_stage_write_ids(spark, sf):
+    """Every row's ids come out, those of repeated ids and copies apart, and decode to the text."""
+    import corpus_pipeline
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = queries.queries()["op3_piece_lattice"](spark, sf)
+    assert sorted((r.doc_id, list(r.ids)) for r in got.collect()) == sorted((r.doc_id, sp.encode(r.text or "")) for r in texts)
+    assert {(r.doc_id, r.text) for r in pieces.decode_texts(got, path).collect()} == {(r.doc_id, r.text or "") for r in texts}
+    twice = docs(spark).union(docs(spark).where("doc_id < 2").withColumn("text", F.concat("text", F.lit(" more"))))
+    rows = corpus_pipeline.STAGES[-1][1](spark, twice, sf).collect()
+    want = [(i, sp.encode(t or "")) for i, t in enumerate(TEXTS)] + [(i, sp.encode(TEXTS[i] + " more")) for i in range(2)]
+    assert sorted((r.doc_id, list(r.ids)) for r in rows) == sorted(want) and all(r.lossless and r.n_pieces == len(r.ids) for r in rows)
+    assert {r.ids_sha256 for r in rows} == {hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for _, x in want}
+
+
+def test_piece_encoder_starts_anew(monkeypatch):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "KEPT", 5)
+    encoder = pieces.Encoder(pieces.Pieces(path))
+    for t in [t or "" for t in TEXTS] * 2:
+        ids, n, _ = encoder.encode([t, "", t])
+        assert ids.tolist() == sp.encode(t) * 2 and n.tolist() == [len(sp.encode(t)), 0, len(sp.encode(t))]
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     texts = [None if i % 50 == 0 else " ".join(["w"] * int(rng.pareto(1.2) * 20 + 1)) for i in range(900)]
