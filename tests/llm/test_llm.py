@@ -196,6 +196,36 @@ def test_secret_spans(spark):
     assert "0123abcd" not in next(r.text for r in secret_scan.redacted(docs(spark, texts)).collect() if r.doc_id == 7)
 
 
+def planted(n_labelled, n_bare, n_words, seed=6):
+    """Texts with keys of one format, labelled and bare, and ordinary long tokens; the bare keys; the ordinary tokens."""
+    rng = np.random.default_rng(seed)
+    key = lambda: "sk-" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 32))
+    bare, words = [key() for _ in range(n_bare)], []
+    for i in range(n_words):
+        word = "".join(rng.choice(list("etaoinshrdlucmfwyp"), rng.integers(16, 26)))
+        words.append([word, word.capitalize(), f"www.{word}.org", "".join(rng.choice(list("0123456789"), 17)), f"{word[:9]}-{word[9:]}"][i % 5])
+    return [f"api_key = {key()} then" for _ in range(n_labelled)] + [f"see {k} there" for k in bare] + [f"a {w} b" for w in words], bare, words
+
+
+def format_values(spark, texts):
+    got = secret_scan.findings(docs(spark, texts)).collect()
+    return {texts[r.doc_id][int(a) : int(b)] for r in got for x in r.spans.split(",") if x for k, a, b in [x.split(":")] if k == "format"}
+
+
+@pytest.mark.parametrize("bare", [30, 200])
+def test_secret_formats_find_unlabelled_keys(spark, bare):
+    texts, keys, words = planted(40, bare, 400)
+    got = format_values(spark, texts)
+    assert set(keys) <= got and len(got & set(words)) <= 4
+
+
+def test_secret_formats_look_beside_base_spans(spark):
+    texts, keys, _ = planted(40, 1, 100)
+    hexa = "0123abcd" * 5
+    assert keys[0] in format_values(spark, [*texts, f"x {keys[0]}/{hexa} y"][40 + 1 :] + texts[:40])
+    assert secret_scan._finder()[0](f"x {keys[0]}/{hexa}") == ([(38, 2, 78)], [(2, 38)])
+
+
 def test_automaton_knows_its_format():
     rng = np.random.default_rng(4)
     keys = ["AK" + "".join(rng.choice(list("0123456789"), 12)) for _ in range(100)]
