@@ -219,6 +219,21 @@ def test_secret_formats_find_unlabelled_keys(spark, bare):
     assert set(keys) <= got and len(got & set(words)) <= 4
 
 
+@pytest.mark.parametrize("labelled,words", [(1, 3), (4, 3), (4, 400), (19, 400)])
+def test_secret_formats_of_few_values(spark, labelled, words):
+    texts, keys, words = planted(labelled, 5, words)
+    got = format_values(spark, texts)
+    assert set(keys) <= got and len(got & set(words)) <= 4
+
+
+def test_labelled_values_of_rare_kinds_are_all_read(spark, monkeypatch):
+    """A bound on documents would lose a kind's values; the bound is on values."""
+    monkeypatch.setattr(secret_scan, "SAMPLE_DOCS", 100, raising=False)
+    texts = [f"AKIA{i:016d}" if i % 100 == 0 else f"password = {'w' * 8}{i % 7}" if i % 2 else f"plain{'text' * 4}{i}" for i in range(1500)]
+    values = secret_scan._labelled(docs(spark, texts))
+    assert len(values["access"]) == 15 and len(values["assign"]) == 7 and len(values[""]) == 735
+
+
 def test_secret_formats_look_beside_base_spans(spark):
     texts, keys, _ = planted(40, 1, 100)
     hexa = "0123abcd" * 5
