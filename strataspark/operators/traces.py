@@ -1,4 +1,7 @@
-"""Row picks, traces and path operators: image_id, curve, row_idx, x, conf; probability tables are image_id, y, x, p."""
+"""Row picks, traces and path operators: image_id, curve, row_idx, x, conf; probability tables are image_id, y, x, p.
+
+A path is one ordered pass over all rows of its image, so a path job holds one image; images are independent.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import PHYSICAL, depth_at, scaled_value
 from .curves import interpolated, rolling_median
 
-#: Rows that one path job takes: a task's memory is bounded by it.
-CHUNK_ROWS = 2500
-
 
 def row_picks(mask: DataFrame, rows: DataFrame, min_run: int = 2) -> DataFrame:
     """image_id, row_idx, x: the median on-pixel of each row of rows(image_id, row_idx), null under min_run pixels."""
@@ -123,10 +123,6 @@ def _grid(pdf: pd.DataFrame, value: str, fill: float) -> tuple[np.ndarray, int]:
     return g, y0
 
 
-def _jobs(df: DataFrame) -> DataFrame:
-    return df.withColumn("window_id", F.floor(F.col("y") / CHUNK_ROWS).cast("int"))
-
-
 TRACE = "image_id string, row_idx int, x double, conf double"
 
 
@@ -150,7 +146,7 @@ def seam(prob: DataFrame) -> DataFrame:
             x[y - 1] = x[y] + back[y, x[y]]
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.arange(len(x), dtype=np.int32) + y0, "x": x.astype(float), "conf": p[np.arange(len(x)), x]})
 
-    return _jobs(prob).groupBy("image_id", "window_id").applyInPandas(run, TRACE)
+    return prob.groupBy("image_id").applyInPandas(run, TRACE)
 
 
 def viterbi(cost: DataFrame, step: int = 3, weight: float = 0.1, bend: float = 0.0, upward: bool = False) -> DataFrame:
@@ -168,7 +164,7 @@ def viterbi(cost: DataFrame, step: int = 3, weight: float = 0.1, bend: float = 0
         n, w = c.shape
         moves = np.arange(-step, step + 1)
         total, back, slope, at = c[0].copy(), np.zeros((n, w), np.int16), np.zeros(w), np.arange(w)
-        totals = [total]
+        least = [(total.min(), total.argmin())]
         for y in range(1, n):
             ways = np.full((len(moves), w), np.inf)
             for i, d in enumerate(moves):
@@ -178,11 +174,11 @@ def viterbi(cost: DataFrame, step: int = 3, weight: float = 0.1, bend: float = 0
             back[y] = moves[pick]
             slope = moves[pick].astype(float)
             total = c[y] + ways[pick, at]
-            totals.append(total)
+            least.append((total.min(), total.argmin()))
         ends = range(min(int(n * 0.8), n - 1), n)
-        end = min(ends, key=lambda y: totals[y].min() / (y + 1))
+        end = min(ends, key=lambda y: least[y][0] / (y + 1))
         x = np.empty(n, dtype=np.int64)
-        x[end] = totals[end].argmin()
+        x[end] = least[end][1]
         for y in range(end, 0, -1):
             x[y - 1] = x[y] - back[y, x[y]]
         for y in range(end + 1, n):
@@ -197,7 +193,7 @@ def viterbi(cost: DataFrame, step: int = 3, weight: float = 0.1, bend: float = 0
         out = pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": ((n - 1 - rows if upward else rows) + y0).astype(np.int32), "x": np.where(own < 0.01, np.nan, x.astype(float)), "conf": own - other})
         return out.astype(object).where(out.notna(), None).astype({"row_idx": "int32", "conf": float}) if out["x"].isna().any() else out
 
-    got = _jobs(cost).groupBy("image_id", "window_id").applyInPandas(run, TRACE)
+    got = cost.groupBy("image_id").applyInPandas(run, TRACE)
     return got.withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
 
 
@@ -221,7 +217,7 @@ def followed(prob: DataFrame, reach: int = 80, pull: float = 0.02, least: float
         rows = sorted(out)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.array(rows, np.int32), "x": [out[y][0] for y in rows], "conf": [out[y][1] for y in rows]})
 
-    return _jobs(peaks(prob, least)).groupBy("image_id", "window_id").applyInPandas(run, TRACE)
+    return peaks(prob, least).groupBy("image_id").applyInPandas(run, TRACE)
 
 
 def dp_tracer(prob: DataFrame, **kw) -> DataFrame:

@@ -26,6 +26,36 @@ def test_seam_is_no_dearer_than_any_path(spark):
     assert cost == pytest.approx(best)
 
 
+def test_paths_cross_whole_images(spark):
+    """Least-cost paths of 2600 rows, held against sums over all rows; one end rule an image."""
+    p = np.random.default_rng(9).random((2600, 6)) / 2
+    p[:2500, 0], p[2500:, 5] = 0.9, 1.0
+    x = {r.row_idx: int(r.x) for r in traces.seam(image(spark, p)).collect()}
+    total = 1 - p[0]
+    for row in p[1:]:
+        side = np.pad(total, 1, constant_values=np.inf)
+        total = 1 - row + np.minimum(np.minimum(side[1:-1], side[:-2]), side[2:])
+    assert all(abs(x[y] - x[y - 1]) <= 1 for y in range(1, 2600))
+    assert sum(1 - p[y, x[y]] for y in range(2600)) == pytest.approx(total.min())
+
+    df = traces.live_score(image(spark, p).withColumn("centre", F.lit(1.0)))
+    cost = -np.log(np.maximum(p**0.7, 1e-3))
+    got = {r.row_idx: r.x for r in traces.viterbi(df, step=1).collect()}
+    assert all(abs(got[y] - got[y - 1]) <= 1 for y in range(1, 2600) if got[y] is not None and got[y - 1] is not None)
+    total, least = cost[0], [cost[0].min()]
+    for row in cost[1:]:
+        side = np.pad(total, 1, constant_values=np.inf)
+        total = row + np.minimum(np.minimum(side[1:-1], side[:-2] + 0.1), side[2:] + 0.1)
+        least.append(total.min())
+    end = min(range(2080, 2600), key=lambda y: least[y] / (y + 1))
+    path = [int(got[y]) if got[y] is not None else int(p[y].argmin()) for y in range(end + 1)]
+    assert sum(cost[y, path[y]] for y in range(end + 1)) + sum(0.1 * (b - a) ** 2 for a, b in zip(path, path[1:])) == pytest.approx(least[end])
+
+    q = np.zeros((2600, 300))
+    q[:, 50], q[100, 50], q[2500:, 250] = 0.5, 0.9, 0.6
+    assert {r.x for r in traces.followed(image(spark, q)).collect()} == {50.0}
+
+
 def test_viterbi_is_the_same_upside_down(spark):
     p = np.random.default_rng(2).random((8, 6))
     df = image(spark, p).withColumn("cost", -F.log("p"))
