@@ -456,7 +456,7 @@ def pair_panels(spark, sf):
 @query("pair_windows")
 def pair_windows(spark, sf):
     p = t(spark, sf, "part")
-    return p.select("p_partkey", F.array_join(pairing.window_starts(F.col("p_size") * 90 + 100, 256, 128, 6).cast("array<string>"), ",").alias("starts"))
+    return p.select("p_partkey", F.array_join(pairing.window_starts(F.col("p_size") * 90 + 100, 256, 128, 18).cast("array<string>"), ",").alias("starts"))
 
 
 @query("pair_hints", r"""WITH x AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_size % 5 WHEN 0 THEN 'DGC' WHEN 1 THEN 'ngc' WHEN 2 THEN 'ILZ' WHEN 3 THEN 't 5' ELSE '' END) AS n, p_size FROM part) SELECT p_partkey, CASE WHEN contains(n, 'dgc') THEN 'GR,DT' WHEN contains(n, 'ngc') THEN 'GR,NPHI' WHEN contains(n, 'ilz') OR regexp_matches(n, '\bi\b') THEN 'RES' WHEN regexp_matches(n, '\bt\b') THEN 'DT' ELSE '' END AS curves,
@@ -510,7 +510,7 @@ def _jobs(spark, sf):
     p = t(spark, sf, "part")
     curve = F.struct(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("las_mnemonic"), F.when(F.col("p_size") % 2 == 0, " Red ").alias("mode"), (F.col("p_size") % 9).alias("left_px"), F.col("p_size").alias("right_px"))
     cfg = p.select(F.col("p_partkey").alias("ord"), F.struct(F.array(curve).alias("curves")).alias("config"))
-    res = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("ord"), F.struct((F.col("p_size") % 5 != 0).alias("success"), F.create_map("p_name", F.array("p_retailprice")).alias("curve_traces")).alias("result"))
+    res = p.select(F.col("p_partkey").alias("ord"), F.struct(F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") % 5 != 0).alias("success"), F.create_map("p_name", F.array("p_retailprice")).alias("curve_traces")).alias("result"))
     return training.curve_items(training.zipped(cfg, res))
 
 

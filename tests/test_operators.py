@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import columns as C
 from strataspark.operators import accounts, curves, pixels, traces
+from strataspark.plans.queries import QUERIES
 from strataspark.sources import las, records
 from strataspark.streaming import feeds
 
@@ -64,6 +65,17 @@ def test_viterbi_is_the_same_upside_down(spark):
     assert down == {7 - r.row_idx: r.x for r in traces.viterbi(up, upward=True).collect()}
 
 
+def test_pair_windows_are_thinned_to_eighteen(spark, sf):
+    """The reference's default of windows a panel, as it picks them."""
+    got = {r.p_partkey: r.starts for r in QUERIES["pair_windows"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        last = max(0, r.p_size * 90 + 100 - 256)
+        starts = sorted({*range(0, last + 1, 128), last})
+        if len(starts) > 18:
+            starts = sorted({starts[i] for i in np.linspace(0, len(starts) - 1, 18, dtype=int)})
+        assert got[r.p_partkey] == ",".join(map(str, starts))
+
+
 def test_largest_component(spark):
     a = np.random.default_rng(3).random((12, 12)) < 0.45
     seen, best = set(), set()
