@@ -9,9 +9,13 @@ the k-th exact score so far is reranked too. The codes are fit on nothing, and e
 A stated query set meets all rows in blocks: both sides are dealt by hash of the id to blocks of bounded size, and a
 task holds one pair of blocks, so neither side is ever whole in a task, broadcast or on the driver.
 
-Defined results: vectors that are null, zero, of another length than `dim` (by default the longest), or hold null or
-non-finite components take no part. Repeated rows of one id count once (the smallest vector, if they differ). Equal
-scores go to the smaller id. An empty table gives no rows. Other columns are ignored.
+The vectors go with their codes: with 64 dimensions the bounds leave about a sixth of the rows open until exact scores
+of the block close them, and one row for each of those would outweigh the vectors.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part. Vectors of different
+lengths have no inner product: each length is a table of its own, and a vector meets only those of its length. Repeated
+rows of one id count once (the smallest vector, if they differ). Equal scores go to the smaller id. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,22 +27,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a data block and of a query block.
-DATA_BLOCK, QUERY_BLOCK = 4096, 4096
+from .common import bounded, stored
+
+#: Rows of a data block and of a query block, and the values that a block of long vectors holds.
+DATA_BLOCK, QUERY_BLOCK, BLOCK_VALUES = 4096, 4096, 1 << 20
+#: So many different lengths at most are broadcast, a row each.
+LENGTHS = 10_000
 #: Standard errors that an estimate may be off before a candidate is passed over.
 EPSILON = 2.5
 PLANES = 4
 SEED = 20
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
-    """(id, vec) of the rows that take part, and the dimension."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id, vec, dim (the vector's length) of the rows that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    finite = "id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
-    v = v.where(finite)
-    if dim is None:
-        dim = v.agg(F.max(F.size("vec"))).first()[0] or 0
-    return v.where(F.size("vec") == dim), dim
+    finite = "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
+    return v.where(f"id is not null and vec is not null and {finite}").withColumn("dim", F.size("vec"))
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -52,20 +57,21 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([bits, np.zeros((*bits.shape[:-1], pad), bool)], -1), axis=-1).view(np.uint64)
 
 
-def index(vectors: DataFrame, dim: int) -> DataFrame:
-    """id, vec, code (packed sign bits of the rotated vector), norm, align (unit vector times code)."""
+def index(vectors: DataFrame) -> DataFrame:
+    """id, vec, dim, ask, code (packed sign bits of the rotated vector), norm, align (unit vector times code)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotation(dim)
-        for pdf in batches:
-            if len(pdf):
+        turns = {}
+        for batch in batches:
+            for dim, pdf in batch.groupby("dim"):
+                turns[dim] = turns[dim] if dim in turns else rotation(dim)
                 x = np.stack(pdf["vec"]).astype(np.float64)
                 norm = np.sqrt((x * x).sum(1))
-                y = (x / norm[:, None]) @ turn
+                y = (x / norm[:, None]) @ turns[dim]
                 yield pdf.assign(code=[c.tobytes() for c in _pack(y > 0)], norm=norm, align=np.abs(y).sum(1) / np.sqrt(dim))
 
     kind = dict(vectors.dtypes)["vec"]
-    return vectors.mapInPandas(run, f"id long, vec {kind}, code binary, norm double, align double")
+    return bounded(vectors).mapInPandas(run, f"id long, vec {kind}, dim int, ask boolean, code binary, norm double, align double")
 
 
 def _once(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,23 +116,25 @@ def _scan(data: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd.Dat
     return pd.concat(found)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row where is_query (over the id column) holds, its k rows of largest inner product among all others."""
-    v, dim = usable(vectors, id_col, vec_col, dim)
-    asked = F.col("id").isNotNull() & is_query
-    counts = v.select("id", F.col("id").alias(id_col)).agg(F.count(F.lit(1)), F.sum(F.when(asked, 1).otherwise(0))).first()
-    data_blocks, query_blocks = max(1, -(-counts[0] // DATA_BLOCK)), max(1, -(-(counts[1] or 0) // QUERY_BLOCK))
-    coded = index(v, dim)
-    data = coded.select("*", F.expr(f"pmod(xxhash64(id), {data_blocks})").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), F.lit(False).alias("asks"))
-    asks = coded.withColumn(id_col, F.col("id")).where(is_query).drop(*({id_col} - {"id"}))
-    asks = asks.select("*", F.explode(F.expr(f"sequence(0L, {data_blocks - 1}L)")).alias("b"), F.expr(f"cast(pmod(xxhash64(id, 1), {query_blocks}) as int)").alias("q"), F.lit(True).alias("asks"))
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row where is_query (over the id column) holds, its k rows of largest inner product among all others of its length."""
+    v = usable(vectors, id_col, vec_col).withColumn(id_col, F.col("id")).withColumn("ask", F.coalesce(is_query, F.lit(False))).select("id", "vec", "dim", "ask")
+    counts = v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("ask").alias("m")).where("m > 0")
+    rows_of = lambda most: F.least(F.lit(most), F.greatest(F.lit(256), F.floor(BLOCK_VALUES / F.col("dim"))))
+    blocks = stored(counts.select("dim", F.ceil(F.col("n") / rows_of(DATA_BLOCK)).alias("nb"), F.ceil(F.col("m") / rows_of(QUERY_BLOCK)).alias("nq")), "blocks")
+    # One row a length: a shuffle by length would put most rows in one task, so few lengths are sent to the rows.
+    blocks = F.broadcast(blocks) if blocks.count() <= LENGTHS else blocks
+    held = index(v).join(blocks, "dim")
+    data = held.select("*", F.expr("pmod(xxhash64(id), nb)").alias("b"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("q"), F.lit(False).alias("asks"))
+    asked = held.where("ask").select("*", F.explode(F.expr("sequence(0L, nb - 1)")).alias("b"), F.expr("pmod(xxhash64(id, 1), nq)").alias("q"), F.lit(True).alias("asks"))
+    columns = ("id", "vec", "dim", "code", "norm", "align", "b", "q", "asks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         queries, rows = _once(pdf[pdf["asks"]]), _once(pdf[~pdf["asks"]])
         if queries.empty or rows.empty:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return _scan(rows, queries, dim, k)
+        return _scan(rows, queries, int(pdf["dim"].iloc[0]), k)
 
-    found = data.unionByName(asks).groupBy("q", "b").applyInPandas(run, "query_id long, vec_id long, score double")
+    found = data.select(*columns).union(asked.select(*columns)).groupBy("dim", "q", "b").applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -68,6 +68,13 @@ def parse(text: str) -> list[tuple[str, str, int, int]] | None:
     return turns
 
 
+def _parsed(text: str) -> list[tuple[str, str, int, int]]:
+    turns = parse(text)
+    if turns is None:
+        raise ValueError("a formatted text does not hold to the grammar")
+    return turns
+
+
 def _turn(role: str, text: str) -> str:
     for r, t in ((role, text), (role, _escaped(text, False)), (_escaped(role, True), _escaped(text, False))):
         written = f"{OPEN}{r}\n{t}{CLOSE}\n"
@@ -102,7 +109,7 @@ def read_back(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parsed = [parse(t) or [] for t in pdf["formatted"]]
+            parsed = [_parsed(t) for t in pdf["formatted"]]
             yield pd.DataFrame({
                 "conv_id": pdf["conv_id"], "formatted": pdf["formatted"],
                 "turns": [[{"role": r, "text": t} for r, t, _, _ in p] for p in parsed],

@@ -1,51 +1,31 @@
-"""Shared helpers of the training-data operators: table access, lineage cuts, hashing of words and connected components."""
+"""Shared helpers of the training-data operators: table access, stages in Python, and hashing of words."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, discard, shared_dir, stored
+
+__all__ = ["components", "discard", "shared_dir", "stored"]
 #: Words are maximal runs of anything but these bytes (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 #: Texts are hashed in chunks of about this many bytes, so that a worker's arrays stay small; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: A batch that Spark hands to a Python stage holds about so many bytes: texts differ too much in length to count rows.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); only where it is unset, as in tests, one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strataspark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed and kept in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read back: smaller on disk than a checkpoint."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where the frame has a column of that name in any case."""
     held, out = {c.lower() for c in df.columns}, []
@@ -57,10 +37,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, with its session's Arrow batches bounded by bytes, unless they are already smaller."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_BATCH))) == 64 << 20:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: tuple[str, ...], share: str) -> DataFrame:
+    """rows joined with a table of one row a key, inner; `share` tells which keys hold over a thousandth of all rows.
+
+    There are under a thousand of those, so they are broadcast and their rows don't move; no other key is a hot one.
+    """
+    hot, few = table.where(share), table.where(f"not ({share})")
+    same = " and ".join(f"r.{k} <=> t.{k}" for k in keys)
+    more = [c for c in table.columns if c not in keys]
+    pick = [F.col(f"r.{c}") for c in rows.columns] + [F.col(f"t.{c}") for c in more]
+    return rows.alias("r").join(F.broadcast(hot.alias("t")), F.expr(same)).select(*pick).union(rows.alias("r").join(few.alias("t"), F.expr(same)).select(*pick))
+
+
 def mapped(df: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
     """mapInPandas with the named long columns carried as text on both sides, for pandas turns longs beside nulls into doubles."""
     held = df.select(*(F.col(c).cast("string").alias(c) if c in ids else F.col(c) for c in df.columns))
-    out = held.mapInPandas(run, re.sub(rf"\b({'|'.join(ids)}) long\b", r"\1 string", schema))
+    out = bounded(held).mapInPandas(run, re.sub(rf"\b({'|'.join(ids)}) long\b", r"\1 string", schema))
     return out.select(*(F.col(c).cast("long").alias(c) if c in ids else F.col(c) for c in out.columns))
 
 
@@ -126,29 +126,3 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[raw] * _power(_R, len(raw)), dtype=np.uint64)])
     h = (sums[ends] - sums[starts]) * _power(_R_INV, len(raw))[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-# --- graph ---------------------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of the edges: component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds of joins and grouped minima; each round is cut to the shared folder.
-    No group is gathered: a hub's neighbours meet only a one-row minimum. Null ends and loops are ignored.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e, before = cut(e), None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
-            break
-        before = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
-        e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("node"), F.col("v").alias("component")))

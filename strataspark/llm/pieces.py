@@ -34,14 +34,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, mix
+from .common import bounded, chunks, mapped, mix
 
 SPACE = "\u2581"
 #: A unit: a run of letters and their marks, or of other characters, with the spaces before it; or spaces alone.
 UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}]+|{SPACE}+"
 #: Longer units are folded one by one with a heap.
 STEPWISE_CHARS = 128
-KEPT, KEPT_CHARS = 200_000, 4_000_000
+KEPT, KEPT_CHARS = 100_000, 2_000_000
 _R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _NONE = 0x110000
 
@@ -244,7 +244,7 @@ def coded(docs: DataFrame, model_file: str) -> DataFrame:
                 ], names=["doc_id", "n_units", "n_pieces", "ids", "ids_sha256", "lossless"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_units long, n_pieces long, ids array<int>, ids_sha256 string, lossless boolean")
+    return bounded(rows).mapInArrow(run, "doc_id long, n_units long, n_pieces long, ids array<int>, ids_sha256 string, lossless boolean")
 
 
 def encoded_texts(docs: DataFrame, model_file: str) -> DataFrame:

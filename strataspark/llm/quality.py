@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, mix, word_hashes, word_spans
+from .common import bounded, chunks, fresh, mix, word_hashes, word_spans
 
 SAMPLE = 8_000
 DIM = 1 << 18
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0")
     rows = rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    sample = rows.select("doc_id", "grade", "text").mapInPandas(vectors, "doc_id long, grade int, idx binary, val binary")
+    sample = bounded(rows.select("doc_id", "grade", "text")).mapInPandas(vectors, "doc_id long, grade int, idx binary, val binary")
     got = sample.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "w binary, cuts array<double>, grades int").first()
     return (np.frombuffer(got.w, np.float32).astype(float), np.array(got.cuts)) if got and got.grades > 1 else None
 
@@ -157,7 +157,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, names:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.columns[-1].to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             score, tails = np.zeros(len(texts)), np.zeros((len(texts), GRADES - 1))
             for i, rows in enumerate(features(texts)):
                 if model is None:
@@ -167,10 +167,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, names:
                     score[i] = (model[0][idx] * val).sum()
                     tails[i] = 1 / (1 + np.exp(-np.clip(score[i] - model[1], -40, 40)))
             own = [pa.array(x) for x in (score, tails.sum(1), tails[:, -1], tails[:, -1] >= TAIL)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *names])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"`{c}` {t}" for c, t in zip(names, ("double", "double", "double", "boolean")))])
-    return docs.withColumn(*fresh(docs, "bytes"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:

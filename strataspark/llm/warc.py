@@ -1,13 +1,14 @@
 """WARC archives, index first.
 
-Writing: payload digests are grouped to find each payload's first page, joined back to the pages (one shuffle of the
-payloads), and every task writes its pages as gzip-per-record archives of bounded size into a folder that all executors
+Writing: payload digests, without the payloads, are grouped to find each payload's first page. Digests of over a
+thousandth of all pages are broadcast to them (there are under a thousand of those); the other pages meet their digest's
+row in one shuffle of the payloads, and every task writes its pages as gzip-per-record archives of bounded size into a folder that all executors
 share, giving an index row (archive, offset, length, url, digest) for each record. Archive names hold the task's number
 and not its attempt; an attempt writes under a name of its own and renames at the end, so a task that runs again leaves
 the same archives. The index is written as a table before anything is read.
 
-Reading: index rows of the selected records are dealt by archive, sorted by offset, and near ones are read by one
-ranged read; each record's member is then unpacked and parsed. An archive, and so a task's share, is bounded.
+Reading: index rows of the selected records are dealt by ranges of archive and offset to as many tasks as their bytes
+ask for, and near ones are read by one ranged read; each record's member is then unpacked and parsed.
 
 Defined results: null html is an empty payload. Null url is an empty target. Repeated rows of the page that others revisit
 are response records like it. A page without id is written too, and revisits like others if its payload is another page's. An empty table
@@ -28,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_dir, stored
+from .common import joined, mapped, shared_dir, stored
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 #: One ranged read spans records this near to each other, up to this many bytes.
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Packed bytes of records that one reading task takes: at least and at most, about; between them, three tasks a core.
+LEAST_TASK, MOST_TASK = 1 << 20, 64 << 20
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
 RECORD = "archive string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,8 +66,11 @@ def classified(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to."""
     p = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    first = p.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    held = p.join(first.where("n > 1").select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
+    slim = p.select("page_id", "digest", (F.octet_length("payload") >= LEAST_REVISIT).alias("long"))
+    first = slim.groupBy("digest").agg(F.min(F.when(F.col("long"), F.col("page_id"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.select("digest", F.when(F.col("n") > 1, F.col("first")).alias("first"), "n"), "digests")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    held = joined(p, first, ("digest",), f"n * 1000 > {total}")
     revisit = F.col("first").isNotNull() & ((F.col("page_id") != F.col("first")) | F.col("page_id").isNull())
     return held.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -137,7 +143,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if ranges:
             yield read(name, ranges)
 
-    wanted = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // MOST_TASK), min(-(-total // LEAST_TASK), 3 * cores))
+    wanted = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return mapped(wanted, run, RECORD, "page_id", "refers_to")
 
 

@@ -246,6 +246,7 @@ def test_automaton_knows_its_format():
     keys = ["AK" + "".join(rng.choice(list("0123456789"), 12)) for _ in range(100)]
     a = secret_scan.infer([secret_scan.symbols(k) for k in keys])
     assert a.bits(secret_scan.symbols("AK000011112222")) > a.bits(secret_scan.symbols("thequickbrownf"))
+    assert len(a.moves) == 15 and a.accepts(secret_scan.symbols("AK000011112222")) and not a.accepts(secret_scan.symbols("AK00001111222"))
 
 
 def test_quality(spark):
