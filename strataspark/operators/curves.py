@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALIASES, valid_or_null
+from ..functions.columns import ALIASES, curve_labels, curve_type, quality_flags, valid_or_null
 
 
 def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve")) -> DataFrame:
@@ -34,19 +34,21 @@ def well_info(samples: DataFrame) -> DataFrame:
 
 
 def label_mapping(labels: DataFrame, curves: DataFrame) -> DataFrame:
-    """For each label of labels(well, label) the mnemonic of curves(well, pos, mnemonic): equal in upper case, else the first that holds the label, else null."""
+    """For each label of labels(well, label) the mnemonic of curves(well, pos, mnemonic): the last that is equal in upper case, else the first that holds the label, else null."""
     up = F.upper(F.col("c.mnemonic"))
-    hit = labels.alias("l").join(curves.alias("c"), (F.col("l.well") == F.col("c.well")) & up.contains(F.col("l.label")), "left")
-    rank = F.struct((up != F.col("l.label")).alias("loose"), F.col("c.pos").alias("pos"))
+    hit = labels.alias("l").join(curves.alias("c"), (F.col("l.well") == F.col("c.well")) & up.contains(F.upper("l.label")), "left")
+    loose = up != F.upper("l.label")
+    rank = F.struct(loose.alias("loose"), F.when(loose, F.col("c.pos")).otherwise(-F.col("c.pos")).alias("pos"))
     return hit.groupBy(F.col("l.well").alias("well"), F.col("l.label").alias("label")).agg(F.min_by(F.col("c.mnemonic"), F.when(F.col("c.mnemonic").isNotNull(), rank)).alias("mnemonic"))
 
 
-def aliases(curves: DataFrame) -> DataFrame:
-    """well, target, mnemonic: the first alias of each target among the well's curves."""
-    rows = [(t, i, a) for t, names in ALIASES.items() for i, a in enumerate(names)]
+def aliases(curves: DataFrame, targets: tuple[str, ...] = tuple(ALIASES)) -> DataFrame:
+    """well, target, mnemonic: the first alias of each target among the well's curves; a target without a list stands for itself. Of equal names the last curve counts."""
+    wanted = [t.strip().upper() for t in targets]
+    rows = [(t, i, a) for t in wanted for i, a in enumerate(ALIASES.get(t, (t,)))]
     table = curves.sparkSession.createDataFrame(rows, "target string, place int, alias string")
-    hit = curves.join(F.broadcast(table), F.upper("mnemonic") == F.col("alias"))
-    return hit.groupBy("well", "target").agg(F.min_by("mnemonic", F.struct("place", "pos")).alias("mnemonic"))
+    hit = curves.join(F.broadcast(table), F.upper(F.trim("mnemonic")) == F.col("alias"))
+    return hit.groupBy("well", "target").agg(F.min_by("mnemonic", F.struct("place", -F.col("pos"))).alias("mnemonic"))
 
 
 def resampled(samples: DataFrame, grid: DataFrame, keys: tuple[str, ...], least_valid: int = 10) -> DataFrame:
@@ -94,8 +96,43 @@ def rolling_median(trace: DataFrame, keys: tuple[str, ...], window: int, order:
     return trace.withColumn(value, F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-k, k)))
 
 
-def payload(features_: DataFrame, labels: Column) -> DataFrame:
-    """well, payload: the features of a well's curves and its labels as one JSON text."""
-    cols = [c for c in features_.columns if c not in ("well", "labels")]
-    held = features_.withColumn("labels", labels).groupBy("well").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("features"), F.first("labels").alias("labels"))
-    return held.select("well", F.to_json(F.struct("labels", "features")).alias("payload"))
+def user_curves(configs: DataFrame) -> DataFrame:
+    """well, user_curves, user_curve_type_by_mnemonic from configs (well, curves: array of type, las_mnemonic, name, las_unit, unit, display_name, display_unit)."""
+    name = lambda c: F.upper(F.coalesce(F.when(c["las_mnemonic"] != "", c["las_mnemonic"]), c["name"], F.lit("")))
+    unit = lambda c: F.coalesce(F.when(c["las_unit"] != "", c["las_unit"]), c["unit"], F.lit(""))
+    entry = lambda c, i: F.struct(
+        (i + 1).alias("index"), c["type"].alias("selected_type"), name(c).alias("las_mnemonic"), unit(c).alias("las_unit"), c["display_name"].alias("display_name"), c["display_unit"].alias("display_unit"))
+    held = configs.select("well", F.transform("curves", entry).alias("user_curves"))
+    # A later curve of the same mnemonic takes its place.
+    named = F.filter("user_curves", lambda e: e["las_mnemonic"] != "")
+    last = F.filter(named, lambda e: ~F.exists(named, lambda o: (o["las_mnemonic"] == e["las_mnemonic"]) & (o["index"] > e["index"])))
+    types = F.map_from_entries(F.transform(last, lambda e: F.struct(e["las_mnemonic"], e["selected_type"])))
+    return held.select("well", "user_curves", types.alias("user_curve_type_by_mnemonic"))
+
+
+def payload(features_: DataFrame, wells: DataFrame, texts: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """well, payload: recognised text, its labels, their mnemonics, well info, curve features with flags, and the user's curves, as one JSON text.
+
+    features_ has a row a curve (well, curve, pos, unit, description and features()), wells the depths of well_info(),
+    texts the recognised text (well, text), configs the user's curves. A well's payload is one value.
+    """
+    f = features_.withColumn("mnemonic", F.col("curve")).withColumn("rule_type_guess", curve_type(F.col("curve"), F.col("unit"), F.col("description")))
+    f = f.withColumn("flags", quality_flags(F.col("pct_missing"), F.col("pct_spikes")))
+    cols = [c for c in f.columns if c not in ("well", "pos")]
+    per = f.groupBy("well").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*cols).alias("f")))).alias("c"))
+    found = texts.select("well", "text", curve_labels(F.coalesce("text", F.lit(""))).alias("labels"))
+    asked = found.select("well", F.explode("labels").alias("label"))
+    pairs = label_mapping(asked, f.select("well", "pos", F.col("curve").alias("mnemonic")))
+    maps = pairs.groupBy("well").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "mnemonic")))).alias("mapping"))
+    info = wells.select("well", F.struct(F.col("first_depth").alias("start_depth"), F.col("last_depth").alias("end_depth"), "num_samples").alias("well_info"))
+    held = found.join(per, "well").join(info, "well").join(maps, "well", "left")
+    out = [
+        F.coalesce("text", F.lit("")).alias("ocr_text"),
+        F.col("labels").alias("vision_curve_labels"),
+        F.coalesce("mapping", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).alias("vision_to_las_mapping"),
+        F.struct("well_info", F.transform("c", lambda x: x["f"]).alias("curve_features")).alias("las_summary"),
+    ]
+    if configs is not None:
+        held = held.join(user_curves(configs), "well", "left")
+        out += [F.col("user_curves"), F.col("user_curve_type_by_mnemonic")]
+    return held.select("well", F.to_json(F.struct(*out), {"ignoreNullFields": "false"}).alias("payload"))

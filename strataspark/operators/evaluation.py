@@ -1,39 +1,90 @@
-"""Evaluation of traces on a stable holdout, and label rows for training."""
+"""Evaluation of traces on a stable holdout: its samples, metrics, losses and report."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import NULL_MARKER
+from ..functions.columns import NULL_MARKER, holdout_share
+
+#: Tracer settings of the evaluation, for GR and for other curves.
+GR_SETTINGS, OTHER_SETTINGS = {"step": 30, "smooth": 0.001, "bend": 0.001}, {"step": 50, "smooth": 0.02, "bend": 0.005}
+
+
+def holdout_samples(jobs: DataFrame, percent: float = 20.0, window: int = 2500, limit: int = 0) -> DataFrame:
+    """The black curves of held-out images, cut to windows of rows: ord, pos, image_key, curve_name, curve_type, left_value, right_value, hot_side, row0, row1, trace.
+
+    jobs is what training.zipped() gives. An image is known by its path, else by the well's API number, and is held out
+    by the key's digest. The hot side is the given one, else the side of the greater value. A limit takes the first
+    windows in the order of the files.
+    """
+    key = F.coalesce(F.when(F.trim("job.image_path") != "", F.trim("job.image_path")), F.when(F.element_at("job.header_metadata", F.lit("api")) != "", F.element_at("job.header_metadata", F.lit("api"))))
+    depth = F.col("job.config.depth")
+    j = jobs.select("ord", key.alias("image_key"), (F.coalesce(depth["bottom_px"], F.lit(0)) - F.coalesce(depth["top_px"], F.lit(0))).alias("rows"), F.posexplode("job.config.curves").alias("pos", "c"), F.col("result.curve_traces").alias("traces"))
+    j = j.where("image_key is not null and rows > 0").where(holdout_share(F.col("image_key")) < percent).where(F.lower(F.trim("c.mode")) == "black")
+    name = F.coalesce(F.when(F.col("c.las_mnemonic") != "", F.col("c.las_mnemonic")), F.when(F.col("c.name") != "", F.col("c.name")))
+    left, right = (F.coalesce(F.col(f"c.{s}_value"), F.lit(0.0)) for s in ("left", "right"))
+    j = j.withColumn("curve_name", name).withColumn("trace", F.element_at("traces", name))
+    j = j.where("curve_name is not null and trace is not null and coalesce(c.right_px, 0) > coalesce(c.left_px, 0)")
+    j = j.select("ord", "pos", "image_key", "curve_name", F.coalesce(F.when(F.col("c.type") != "", F.col("c.type")), "curve_name").alias("curve_type"), left.alias("left_value"), right.alias("right_value"),
+                 F.coalesce(F.when(F.col("c.hot_side") != "", F.col("c.hot_side")), F.when(right >= left, "right").otherwise("left")).alias("hot_side"), "rows", "trace")
+    step = F.lit(window) if window > 0 else F.col("rows")
+    w = j.withColumn("row0", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, step))).withColumn("row1", F.least("rows", F.col("row0") + step))
+    w = w.withColumn("trace", F.slice("trace", F.col("row0") + 1, F.col("row1") - F.col("row0"))).where(F.size("trace") > 0).drop("rows")
+    return w.orderBy("ord", "pos", "row0").limit(limit) if limit > 0 else w
+
+
+def sample_counts(samples: DataFrame) -> DataFrame:
+    return samples.agg(F.count(F.lit(1)).alias("processed_samples"), F.count_distinct("image_key").alias("unique_images"))
+
+
+def evaluation_setting(curve: Column, name: str) -> Column:
+    return F.when(F.upper(curve) == "GR", GR_SETTINGS[name]).otherwise(OTHER_SETTINGS[name])
 
 
 def trace_metrics(pred: DataFrame, target: DataFrame, width: int, keys: tuple[str, ...] = ("image_id", "row_idx")) -> DataFrame:
-    """method, samples, target_rows, coverage, mae_px, hit_1, hit_3, hit_5, mean_conf over rows of keys, method, x, conf and targets of keys, t. A row without a pick has a null x."""
-    good = target.where(F.col("t").isNotNull() & (F.col("t") != NULL_MARKER) & F.col("t").between(0, width - 1))
-    j = good.join(pred, list(keys))
+    """method, samples, target_rows, coverage, mae_px, hit_1, hit_3, hit_5, mean_conf over rows of keys, method, x, conf and targets of keys, t.
+
+    Every valid target counts for every method, whether it has a row there or not; a row without a place has a null x.
+    Errors, hits and confidence are over targets with a place; where there is none they are null.
+    """
+    good = target.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.col("t") != NULL_MARKER) & F.col("t").between(0, width - 1))
+    whole = good.agg(F.count_distinct(keys[0]).alias("samples"), F.count(F.lit(1)).alias("target_rows"))
     err = F.abs(F.col("x") - F.col("t"))
-    n, m = F.count(F.lit(1)), F.count("x")
+    m = F.count("x")
     hit = lambda d: (F.sum(F.when(err <= d, 1.0).otherwise(0.0)) / m)
-    return j.groupBy("method").agg(F.count_distinct(keys[0]).alias("samples"), n.alias("target_rows"), (m / n).alias("coverage"), F.avg(err).alias("mae_px"), hit(1).alias("hit_1"), hit(3).alias("hit_3"), hit(5).alias("hit_5"), F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "conf"))).alias("mean_conf"))
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("conf", F.lit(0.0))))
+    held = pred.join(good, list(keys)).where("x is not null and not isnan(x)").groupBy("method").agg(
+        m.alias("n"), F.avg(err).alias("mae_px"), hit(1).alias("hit_1"), hit(3).alias("hit_3"), hit(5).alias("hit_5"), F.avg(conf).alias("mean_conf"))
+    # Two small tables: a row a method, and one row.
+    j = pred.select("method").distinct().join(held, "method", "left").join(F.broadcast(whole))
+    share = F.when(F.col("target_rows") > 0, F.coalesce("n", F.lit(0)) / F.col("target_rows"))
+    return j.select("method", "samples", "target_rows", share.alias("coverage"), "mae_px", "hit_1", "hit_3", "hit_5", "mean_conf")
+
+
+def report(metrics: DataFrame, counts: DataFrame, percent: float) -> DataFrame:
+    """One row: processed_samples, unique_images, holdout_pct, methods (array, by name)."""
+    cols = metrics.columns
+    m = metrics.agg(F.array_sort(F.collect_list(F.struct("method", *(c for c in cols if c != "method")))).alias("methods"))
+    return counts.select("processed_samples", "unique_images", F.lit(percent).alias("holdout_pct")).join(F.broadcast(m))
+
+
+def write_report(metrics: DataFrame, counts: DataFrame, percent: float, path: str) -> None:
+    """The report as one JSON document; it is one row."""
+    report(metrics, counts, percent).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def segmentation_losses(rows: DataFrame) -> DataFrame:
-    """bce, dice, centre, total over rows of row, x, logit, target, mask."""
+    """bce, dice, centre, total over rows of row, x, logit, target, mask and the row's centre (0 to 1): masked means, smoothed by 1e-6, the centre by the softmax's expectation."""
     p = 1 / (1 + F.exp(-F.col("logit")))
     bce = F.greatest(F.col("logit"), F.lit(0.0)) - F.col("logit") * F.col("target") + F.log1p(F.exp(-F.abs("logit")))
-    w = Window.partitionBy("row")
-    r = rows.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
-    per = r.where("mask = 1").groupBy("row").agg(F.sum(bce).alias("bce"), F.count(F.lit(1)).alias("n"), F.sum(p * F.col("target")).alias("pt"), F.sum(p).alias("p"), F.sum("target").alias("t"),
-                                                (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("at"), (F.sum(F.col("target") * F.col("x")) / F.greatest(F.sum("target"), F.lit(1e-6))).alias("want"), F.max("x").alias("w"))
-    d = (F.col("at") - F.col("want")) / F.greatest(F.lit(1), "w")
-    out = per.agg((F.sum("bce") / F.sum("n")).alias("bce"), (1 - (2 * F.sum("pt") + 1) / (F.sum("p") + F.sum("t") + 1)).alias("dice"), F.avg(d * d).alias("centre"))
+    r = rows.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(Window.partitionBy("row"))))
+    per = r.where("mask = 1").groupBy("row").agg(
+        F.sum(bce).alias("bce"), F.count(F.lit(1)).alias("n"), F.sum(p * F.col("target")).alias("pt"), F.sum(p + F.col("target")).alias("u"), (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("at"), F.first("centre").alias("want"))
+    d = F.col("at") / F.greatest(F.lit(1), F.col("n") - 1) - F.col("want")
+    mean = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) / F.greatest(F.lit(1), F.count(F.lit(1)))
+    cells = F.greatest(F.lit(1), F.sum("n"))
+    out = per.agg((F.coalesce(F.sum("bce"), F.lit(0.0)) / cells).alias("bce"), (1 - (2 * F.coalesce(F.sum("pt"), F.lit(0.0)) + 1e-6) / (F.coalesce(F.sum("u"), F.lit(0.0)) + 1e-6)).alias("dice"), mean(d * d).alias("centre"))
     return out.withColumn("total", 0.55 * F.col("bce") + 0.25 * F.col("dice") + 0.20 * F.col("centre"))
 
 
-def label_rows(traces: DataFrame, width: int, out_w: int, sigma: float = 2.0) -> DataFrame:
-    """key, row, valid, centre, target: the place scaled to out_w and a Gaussian over its columns."""
-    ok = F.col("x").isNotNull() & (F.col("x") != NULL_MARKER) & F.col("x").between(0, width - 1)
-    c = F.when(ok, F.col("x") * (out_w - 1) / max(1, width - 1))
-    target = F.transform(F.sequence(F.lit(0), F.lit(out_w - 1)), lambda i: F.coalesce(F.exp(-0.5 * F.pow((i - c) / sigma, F.lit(2.0))), F.lit(0.0)))
-    return traces.select("key", "row", ok.alias("valid"), (c / max(1, out_w - 1)).alias("centre"), target.alias("target"))

@@ -5,56 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default tracer parameters by curve type, and the weights of their corrections.
-DEFAULTS = {"GR": {"lambda": 0.5, "kappa": 0.2, "step": 3.0}, "RHOB": {"lambda": 0.08, "kappa": 0.1, "step": 2.0}, "DT": {"lambda": 1.0, "kappa": 0.4, "step": 4.0}}
-WEIGHTS = {"lambda": 1.0, "kappa": 0.8, "step": 0.5}
+# The tracer parameters that are learned, with the weights of their corrections, and their defaults, which are those of every curve type.
+WEIGHTS = {
+    "left_px": 1.0,
+    "right_px": 1.0,
+    "rail_threshold": 2.0,
+    "rail_penalty": 1.5,
+    "smooth_lambda": 1.5,
+    "max_step": 1.0,
+    "search_window": 1.0,
+    "jump_gate": 2.0,
+}
+DEFAULTS = {
+    "left_px": 0.0,
+    "right_px": 100.0,
+    "rail_threshold": 0.02,
+    "rail_penalty": 10000.0,
+    "smooth_lambda": 0.00001,
+    "max_step": 100.0,
+    "search_window": 100.0,
+    "jump_gate": 0.06,
+}
+#: Curve types whose proposals are enriched.
+ENRICHED = ("GR", "RHOB", "NPHI", "DT", "CALI", "SP")
 LEAST, RECENT_DAYS, HALF = 3, 30, 0.3
 
 
-def _table(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+def _parameters(df: DataFrame) -> DataFrame:
+    rows = [(p, w, DEFAULTS[p]) for p, w in WEIGHTS.items()]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "param string, weight double, default double"))
+
+
+def defaults(types: DataFrame) -> DataFrame:
+    """curve_type, param, default of each type of types(curve_type): eight rows a type."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, DEFAULTS)), F.array(*map(F.lit, DEFAULTS.values())))
+    return types.select("curve_type", F.explode(pairs).alias("param", "default"))
 
 
 def latest(adjustments: DataFrame, n: int) -> DataFrame:
     """Each type's latest n, with place (1 = oldest of them)."""
     new = Window.partitionBy("curve_type").orderBy(F.desc("timestamp"), F.desc("id"))
+    kept = adjustments.withColumn("_n", F.row_number().over(new)).where(F.col("_n") <= n)
     old = Window.partitionBy("curve_type").orderBy("timestamp", "id")
-    return adjustments.withColumn("_n", F.row_number().over(new)).where(F.col("_n") <= n).withColumn("place", F.row_number().over(old)).drop("_n")
+    return kept.withColumn("place", F.row_number().over(old)).drop("_n")
+
+
+def by_type(adjustments: DataFrame, n: int) -> DataFrame:
+    """curve_type, adjustments: each type's latest n in order of time, as one value."""
+    cols = [c for c in adjustments.columns if c != "curve_type"]
+    held = latest(adjustments, n).groupBy("curve_type").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*cols).alias("a")))).alias("r"))
+    return held.select("curve_type", F.transform("r", lambda x: x["a"]).alias("adjustments"))
 
 
 def stats(adjustments: DataFrame) -> DataFrame:
     return adjustments.groupBy("curve_type").agg(F.count(F.lit(1)).alias("count"), F.avg("quality_score").alias("mean_quality"), F.max("timestamp").alias("last_timestamp"))
 
 
-def recent(adjustments: DataFrame, as_of: Column) -> DataFrame:
-    """The last 30 days' adjustments where a type has enough of them, else all of it; with days and n."""
-    by = Window.partitionBy("curve_type")
-    days = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp("timestamp")) / 86400)
-    a = adjustments.withColumn("days", days).withColumn("_r", F.sum(F.when(F.col("days") <= RECENT_DAYS, 1).otherwise(0)).over(by))
-    return a.where((F.col("_r") < LEAST) | (F.col("days") <= RECENT_DAYS)).withColumn("n", F.count(F.lit(1)).over(by)).drop("_r")
+def used(adjustments: DataFrame, as_of: Column) -> DataFrame:
+    """Adjustments of types that have three, with days and sample_size: those under 30 days old where a type has three of them, else all of it.
+
+    Types are few, so their counts are one row each, which goes to the rows; no type is gathered.
+    """
+    age = F.unix_micros(as_of) - F.unix_micros(F.col("timestamp").cast("timestamp"))
+    a = adjustments.withColumn("fresh", age < RECENT_DAYS * 86_400_000_000).withColumn("days", F.floor(age / 86_400_000_000))
+    n = a.groupBy("curve_type").agg(F.count(F.lit(1)).alias("sample_size"), F.count_if("fresh").alias("_f"))
+    return a.join(n, "curve_type").where((F.col("sample_size") >= LEAST) & (F.col("fresh") | (F.col("_f") < LEAST))).drop("_f", "fresh")
 
 
-def deltas(used: DataFrame) -> DataFrame:
-    """curve_type, param, delta, quality_score, days, n for the parameters of both sides."""
-    e = used.select("curve_type", "quality_score", "days", "n", "user_params", F.explode("original_params").alias("param", "was"))
+def deltas(adjustments: DataFrame) -> DataFrame:
+    """curve_type, param, delta, quality_score, days for the learned parameters that both sides have."""
+    e = adjustments.select("curve_type", "quality_score", "days", "user_params", F.explode("original_params").alias("param", "was"))
     now = F.element_at("user_params", F.col("param"))
-    return e.where(F.col("was").isNotNull() & now.isNotNull()).select("curve_type", "param", (now - F.col("was")).alias("delta"), "quality_score", "days", "n")
+    e = e.where(F.col("was").isNotNull() & now.isNotNull() & F.col("param").isin(*WEIGHTS))
+    return e.select("curve_type", "param", (now - F.col("was")).alias("delta"), "quality_score", "days")
+
+
+def learned_rows(adjustments: DataFrame, as_of: Column) -> DataFrame:
+    """curve_type, param, value, default of every parameter that corrections moved: the default and the weighted mean of the moves, at least 0.1."""
+    d = deltas(used(adjustments, as_of))
+    moved = F.avg(F.col("delta") * F.col("quality_score") * F.greatest(F.lit(0.1), 1 - F.col("days") / float(RECENT_DAYS)) * F.col("weight"))
+    per = d.join(_parameters(d), "param").groupBy("curve_type", "param", "default").agg(moved.alias("moved"))
+    return per.select("curve_type", "param", F.greatest(F.lit(0.1), F.col("default") + F.col("moved")).alias("value"), "default")
+
+
+def confidences(adjustments: DataFrame, as_of: Column) -> DataFrame:
+    """curve_type, confidence, sample_size (all of the type's adjustments): min(1, n/10 times mean quality times mean consistency); the consistency is 0.5 where no parameter was moved; types under three have confidence 0."""
+    held = used(adjustments, as_of)
+    steady = deltas(held).groupBy("curve_type", "param").agg((1 / (1 + F.stddev_pop("delta"))).alias("s")).groupBy("curve_type").agg(F.avg("s").alias("steady"))
+    size = held.groupBy("curve_type").agg(F.count(F.lit(1)).alias("n"), F.avg("quality_score").alias("q"))
+    total = adjustments.groupBy("curve_type").agg(F.count(F.lit(1)).alias("sample_size"))
+    j = total.join(size, "curve_type", "left").join(steady, "curve_type", "left")
+    c = F.least(F.lit(1.0), F.col("n") / 10.0 * F.col("q") * F.coalesce("steady", F.lit(0.5)))
+    return j.select("curve_type", F.coalesce(c, F.lit(0.0)).alias("confidence"), "sample_size")
 
 
 def learned(adjustments: DataFrame, as_of: Column) -> DataFrame:
-    """curve_type, param, value, default, confidence, sample_size; types under three adjustments are left out."""
-    used = recent(adjustments, as_of)
-    d = deltas(used.where(F.col("n") >= LEAST))
-    w = _table(d, list(WEIGHTS.items()), "param string, weight double")
-    g = _table(d, [(k, v) for k, v in DEFAULTS["GR"].items()], "param string, base double")
-    own = _table(d, [(t, k, v) for t, p in DEFAULTS.items() for k, v in p.items()], "curve_type string, param string, own double")
-    moved = F.avg(F.col("delta") * F.col("quality_score") * F.greatest(F.lit(0.1), 1 - F.col("days") / RECENT_DAYS) * F.col("weight"))
-    per = d.join(w, "param").join(g, "param").groupBy("curve_type", "param", "base").agg(moved.alias("moved"), (1 / (1 + F.stddev_pop("delta"))).alias("steady"))
-    per = per.join(own, ["curve_type", "param"], "left")
-    size = used.where(F.col("n") >= LEAST).groupBy("curve_type").agg(F.count(F.lit(1)).alias("sample_size"), F.avg("quality_score").alias("q"))
-    steady = per.groupBy("curve_type").agg(F.avg("steady").alias("steady"))
-    conf = size.join(steady, "curve_type", "left").select("curve_type", "sample_size", F.coalesce(F.least(F.lit(1.0), F.col("sample_size") / 10 * F.col("q") * F.col("steady")), F.lit(0.5)).alias("confidence"))
-    return per.join(conf, "curve_type").select("curve_type", "param", F.greatest(F.lit(0.1), F.col("base") + F.col("moved")).alias("value"), F.coalesce("own", "base").alias("default"), "confidence", "sample_size")
+    """curve_type, param, value, default, confidence, sample_size: a row a learned parameter; a type without any has one row with null param, value and default."""
+    return confidences(adjustments, as_of).join(learned_rows(adjustments, as_of), "curve_type", "left").select("curve_type", "param", "value", "default", "confidence", "sample_size")
 
 
 def suggestions(learnt: DataFrame) -> DataFrame:
@@ -63,9 +110,11 @@ def suggestions(learnt: DataFrame) -> DataFrame:
 
 
 def enriched(proposals: DataFrame, learnt: DataFrame) -> DataFrame:
-    """Proposals with their type's learned parameters where the confidence exceeds 0.3."""
-    m = learnt.where(F.col("confidence") > HALF).groupBy("curve_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", "value")))).alias("learned"))
-    return proposals.join(m, "curve_type", "left")
+    """Proposals (curve_type) with the learned parameters and confidence of a known type where that exceeds 0.3."""
+    few = learnt.where((F.col("confidence") > HALF) & F.upper("curve_type").isin(*ENRICHED))
+    pairs = F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("param").isNotNull(), F.struct("param", "value"))))))
+    m = few.groupBy(F.upper("curve_type").alias("_t")).agg(pairs.alias("learned"), F.first("confidence").alias("confidence"))
+    return proposals.join(m, F.upper("curve_type") == F.col("_t"), "left").drop("_t")
 
 
 def recent_quality(adjustments: DataFrame) -> DataFrame:

@@ -1,22 +1,54 @@
-"""Pairing of scans with measured curves: hints, panels, windows, match scores and skip reasons."""
+"""Pairing of scans with measured curves: hints, panels, windows, match scores, window examples and skip reasons."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import NULL_MARKER
+
+# What a file name hints at, and the schema name of an example.
+HINTS = (("dgc", ("BD", "CAL", "GR")), ("ngc", ("CAL", "DPHI", "GR")), ("ilz", ("RILD",)))
+LONE = (("i", ("RILD",)), ("t", ("TEMP",)))
+EXAMPLE_SCHEMA = "log_pair_bootstrap_v1"
+#: The least rows and columns of an example, and the widest scan that isn't taken as several logs side by side.
+LEAST_ROWS, LEAST_COLUMNS, WIDEST = 128, 32, 2600
+
 
 def hinted_curves(name: Column) -> Column:
-    """Curves that a file name hints at; all where none is hinted."""
+    """Sorted curves that a file name hints at; null where it hints at none, so that any is possible. A lone letter has no letter beside it."""
+    n = F.lower(name)
+    lone = lambda c: n.rlike(rf"(^|[^a-z]){c}([^a-z]|$)")
+    curves = dict(HINTS)
+    words = lambda cs: F.array(*map(F.lit, cs))
+    return (
+        F.when(n.contains("dgc"), words(curves["dgc"]))
+        .when(n.contains("ngc"), words(curves["ngc"]))
+        .when(n.contains("ilz") | lone(LONE[0][0]), words(LONE[0][1]))
+        .when(lone(LONE[1][0]), words(LONE[1][1]))
+    )
+
+
+def hinted(name: Column, curve: Column) -> Column:
+    """Whether a file name allows a curve."""
+    return F.coalesce(F.array_contains(hinted_curves(name), F.upper(F.trim(curve))), F.lit(True))
+
+
+def panel_count(name: Column) -> Column:
     n = F.lower(name)
-    return F.when(n.contains("dgc"), F.array(F.lit("GR"), F.lit("DT"))).when(n.contains("ngc"), F.array(F.lit("GR"), F.lit("NPHI"))).when(n.contains("ilz") | n.rlike(r"\bi\b"), F.array(F.lit("RES"))).when(n.rlike(r"\bt\b"), F.array(F.lit("DT"))).otherwise(F.array())
+    return F.when(n.contains("dgc") | n.contains("ngc"), 3).otherwise(1)
 
 
-def panels(scans: DataFrame, least: int = 32) -> DataFrame:
-    """scan, panel, left_px, right_px: the width (scans: scan, width, panels) cut evenly, half-even; narrow panels are left out."""
-    p = scans.select("scan", "width", "panels", F.explode(F.expr("sequence(0, panels - 1)")).alias("panel"))
-    p = p.select("scan", "panel", F.bround(F.col("width") * F.col("panel") / F.col("panels")).cast("int").alias("left_px"), F.bround(F.col("width") * (F.col("panel") + 1) / F.col("panels")).cast("int").alias("right_px"))
-    return p.where(F.col("right_px") - F.col("left_px") >= least)
+def panels(scans: DataFrame, least: int = LEAST_COLUMNS) -> DataFrame:
+    """scan, panel, left_px, right_px: the width (scans: scan, width, panels) cut evenly, half-even; narrow panels are left out; where none is left, the whole width is one."""
+    p = scans.select("scan", "width", "panels", F.explode(F.expr("sequence(0, greatest(panels, 1) - 1)")).alias("panel"))
+    bound = lambda i: F.bround(F.col("width") * i / F.greatest(F.lit(1), "panels")).cast("int")
+    p = p.select("scan", "width", "panels", "panel", bound(F.col("panel")).alias("left_px"), bound(F.col("panel") + 1).alias("right_px"))
+    wide = (F.col("panels") <= 1) | (F.col("right_px") - F.col("left_px") >= least)
+    rows = F.filter(F.array_sort(F.collect_list(F.when(wide, F.struct("panel", "left_px", "right_px")))), lambda x: x.isNotNull())
+    whole = F.array(F.struct(F.lit(0).alias("panel"), F.lit(0).alias("left_px"), F.col("width").cast("int").alias("right_px")))
+    g = p.groupBy("scan", "width").agg(rows.alias("r"))
+    return g.select("scan", F.explode(F.when(F.size("r") > 0, F.col("r")).otherwise(whole)).alias("p")).select("scan", "p.*")
 
 
 def window_starts(height: Column, size: int, stride: int, most: int) -> Column:
@@ -29,24 +61,104 @@ def window_starts(height: Column, size: int, stride: int, most: int) -> Column:
 
 
 def match_scores(rows: DataFrame, keys: tuple[str, ...], width: str = "width", least: int = 100) -> DataFrame:
-    """keys, score from rows of keys, x, value, width: the better Pearson correlation of both signs, weighed by valid share and span; null under `least` common rows."""
+    """keys, valid, score from rows of keys, x, value, width: the better correlation of both signs, of places and values each clipped to their 2nd and 98th percentile, weighed by valid share and span.
+
+    valid is the share of rows with a place. The score is null under `least` common rows, for a span under 8 columns or
+    5 % of the width, and where places or values don't vary.
+    """
     ok = F.col("x").isNotNull() & F.col("value").isNotNull()
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("n"), F.corr(F.when(ok, F.col("x")), F.when(ok, F.col("value"))).alias("r"), F.percentile(F.when(ok, F.col("x")), F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.first(width).alias("w"))
-    span = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
-    good = (F.col("n") >= least) & (span >= F.greatest(F.lit(8.0), 0.05 * F.col("w")))
-    score = F.abs("r") * F.greatest(F.lit(0.25), F.col("n") / F.col("rows")) * F.greatest(F.lit(0.25), F.least(F.lit(1.0), span / F.col("w") / 0.25))
-    return g.select(*keys, (F.col("n") / F.col("rows")).alias("valid"), F.when(good & ~F.isnan("r"), score).alias("score"))
+    edge = F.array(F.lit(0.02), F.lit(0.98))
+    g = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("x").alias("placed"), F.count_if(ok).alias("n"), F.first(width).alias("w"),
+        F.percentile(F.when(ok, F.col("x")), edge).alias("qx"), F.percentile(F.when(ok, F.col("value")), edge).alias("qv"))
+    low, high = (lambda q: F.get(q, F.lit(0))), (lambda q: F.get(q, F.lit(1)))
+    clipped = lambda c, q: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - low(q)) / F.greatest(F.lit(1e-6), high(q) - low(q))))
+    j = rows.alias("r").join(g.select(*(F.col(k).alias(f"_{k}") for k in keys), "qx", "qv"), F.expr(" and ".join(f"{k} <=> _{k}" for k in keys))).where(ok)
+    j = j.select(*keys, clipped("x", "qx").alias("u"), clipped("value", "qv").alias("v"))
+    r = j.groupBy(*keys).agg(F.corr("u", "v").alias("r"), F.stddev_pop("u").alias("su"), F.stddev_pop("v").alias("sv"))
+    out = g.alias("g").join(r.alias("c"), F.expr(" and ".join(f"g.{k} <=> c.{k}" for k in keys)), "left")
+    span = high("qx") - low("qx")
+    good = (F.col("n") >= least) & (span >= F.greatest(F.lit(8.0), 0.05 * F.col("w"))) & (F.col("su") >= 1e-4) & (F.col("sv") >= 1e-4) & (high("qv") - low("qv") >= 1e-6)
+    valid = F.col("placed") / F.col("rows")
+    score = F.abs("r") * F.greatest(F.lit(0.25), valid) * F.greatest(F.lit(0.25), F.least(F.lit(1.0), span / F.greatest(F.lit(1.0), F.col("w") - 1.0) / 0.25))
+    return out.select(*(F.col(f"g.{k}").alias(k) for k in keys), valid.alias("valid"), F.when(good & ~F.isnan("r"), score).alias("score"))
 
 
 def best_panel(scores: DataFrame, valid: float = 0.7, least: float = 0.1) -> DataFrame:
+    """Each scan's panel of highest score, the first on ties, of those that reach the valid share; scans whose best is under the least score have none."""
     w = Window.partitionBy("scan").orderBy(F.desc("score"), "panel")
-    return scores.where((F.col("valid") >= valid) & (F.col("score") >= least)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def skip_reason(has_las: Column, has_scan: Column, curve: Column, n: Column, hinted: Column, height: Column, width: Column, matched: Column) -> Column:
-    return (F.when(~has_las, "missing las").when(~has_scan, "missing scan").when(curve.isNull(), "curve not found").when(n < 50, "too few samples").when(~hinted, "hint excludes curve")
-            .when((height < 128) | (width < 32), "too small").when(width > 2600, "full scan").when(~matched, "no match"))
+    return scores.where((F.col("valid") >= valid) & F.col("score").isNotNull()).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & (F.col("score") >= least)).drop("_n")
+
+
+def window_rows(panel: DataFrame, traces: DataFrame, height: int = 1400, stride: int = 1000, most: int = 18) -> DataFrame:
+    """The rows of each window of the chosen panels: panel columns, start_row, end_row, row, x.
+
+    panel: pair_id, scan, panel, left_px, right_px, rows (height of the content), depth_first, depth_last; traces: pair_id,
+    scan, start_row, row, x, the trace of each window by itself (row from 0). Windows under 128 rows or 32 columns are out.
+    """
+    w = panel.withColumn("start_row", F.explode(window_starts(F.col("rows"), height, stride, most)))
+    w = w.withColumn("end_row", F.least("rows", F.col("start_row") + height))
+    w = w.where((F.col("end_row") - F.col("start_row") >= LEAST_ROWS) & (F.col("right_px") - F.col("left_px") >= LEAST_COLUMNS))
+    at = lambda r: F.col("depth_first") + r / F.greatest(F.lit(1), F.col("rows") - 1) * (F.col("depth_last") - F.col("depth_first"))
+    w = w.withColumn("depth_start", at(F.col("start_row"))).withColumn("depth_end", at(F.col("end_row") - 1))
+    return w.join(traces.select("pair_id", "scan", "start_row", "row", "x"), ["pair_id", "scan", "start_row"]).where("row < end_row - start_row")
+
+
+def window_examples(rows: DataFrame, measured: DataFrame, curve: str, saved_at: Column, valid: float = 0.70, least: float = 0.08) -> DataFrame:
+    """The example record of every window whose trace has the valid share and matches the measured curve: rows of window_rows() with source, las_name, mnemonic and panel_score, measured (pair_id, at, value).
+
+    The measured curve is read linearly between the window's depths. A record is one value of its window's rows.
+    """
+    from .curves import resampled
+
+    keys = ("pair_id", "scan", "panel", "start_row")
+    n = F.col("end_row") - F.col("start_row")
+    r = rows.withColumn("at", F.col("depth_start") + F.col("row") / F.greatest(F.lit(1), n - 1) * (F.col("depth_end") - F.col("depth_start")))
+    asked = r.select(*keys, "at")
+    # Every window of a pair reads the pair's curve; the samples go once to each pair's windows.
+    windows = r.select(*keys).distinct()
+    curves = resampled(windows.join(measured, "pair_id").select(*keys, "at", "value"), asked, keys)
+    j = r.join(curves, [*keys, "at"], "left").withColumn("width", F.col("right_px") - F.col("left_px"))
+    s = match_scores(j, keys).where((F.col("valid") >= valid) & (F.col("score") >= least)).withColumnRenamed("score", "window_score")
+    trace = F.transform(F.array_sort(F.collect_list(F.struct("row", "x"))), lambda p: F.coalesce(p["x"], F.lit(NULL_MARKER)))
+    one = ("source", "las_name", "mnemonic", "left_px", "right_px", "panel_score", "depth_start", "depth_end")
+    e = j.groupBy(*keys).agg(trace.alias("trace"), *(F.first(c).alias(c) for c in one)).join(s, list(keys))
+    stem = F.regexp_replace("scan", r"\.[^.]*$", "")
+    return e.select(
+        F.lit(EXAMPLE_SCHEMA).alias("schema"), "source", "pair_id", F.col("scan").alias("scan_name"), "las_name", F.lit(curve.strip().upper()).alias("curve_name"), F.col("mnemonic").alias("curve_mnemonic"),
+        F.lit("black").alias("mode"), F.concat(image_id(F.col("pair_id"), stem, F.col("panel"), F.col("start_row")), F.lit(".png")).alias("roi_image_path"), "trace", F.lit(NULL_MARKER).alias("null_value"),
+        F.col("panel").alias("panel_index"), F.col("left_px").alias("panel_left_px"), F.col("right_px").alias("panel_right_px"), F.col("panel_score").alias("panel_match_score"),
+        F.col("window_score").alias("window_match_score"), F.col("valid").alias("trace_valid_fraction"), "depth_start", "depth_end", saved_at.alias("saved_at_utc"))
+
+
+def pair_reason(has_las: Column, has_scan: Column, mnemonic: Column, curve: Column, samples: Column) -> Column:
+    """Why a pair is left out before any scan is read, else null."""
+    missing = F.when(~has_las | ~has_scan, "missing_las_or_tif").when(mnemonic.isNull(), F.concat(F.lit("curve_not_found:"), curve))
+    return missing.when(samples < 50, "invalid_las_curve")
+
+
+def scan_reason(allowed: Column, width: Column, rows: Column, panels_: Column, matched: Column, window: int = 1400, full_scans: bool = False) -> Column:
+    """Why a scan is left out, else null: hint, unreadable image (null width), too little content, a wide scan of one panel, or no panel that matches."""
+    return (
+        F.when(~allowed, "curve_hint_excludes_target")
+        .when(width.isNull(), "image_read_failed")
+        .when(rows < max(256, window // 2), "content_too_small")
+        .when((panels_ == 1) & (width > WIDEST) & F.lit(not full_scans), "full_scan_requires_allow_full_scans")
+        .when(~matched, "no_panel_match")
+    )
+
+
+def pair_summary(pairs: DataFrame, scans: DataFrame, examples: DataFrame) -> DataFrame:
+    """source, pair_id, status, reason, example_count, skipped_scans of every pair: pairs (source, pair_id, reason), scans (source, pair_id, scan, reason), examples (source, pair_id)."""
+    keys = ["source", "pair_id"]
+    n = examples.groupBy(*keys).agg(F.count(F.lit(1)).alias("example_count"))
+    s = scans.where("reason is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("scan", "reason"))).alias("skipped_scans"))
+    j = pairs.join(n, keys, "left").join(s, keys, "left").withColumn("example_count", F.coalesce("example_count", F.lit(0)).cast("long"))
+    status = F.when(F.col("example_count") > 0, "ok").otherwise("skipped")
+    none = F.array().cast("array<struct<scan:string,reason:string>>")
+    why = F.when(F.col("example_count") == 0, F.coalesce("reason", F.lit("no_examples")))
+    return j.select(*keys, status.alias("status"), why.alias("reason"), "example_count", F.coalesce("skipped_scans", none).alias("skipped_scans"))
 
 
 def image_id(pair: Column, scan: Column, panel: Column, row: Column) -> Column:
-    return F.format_string("%s_%s_panel%d_r%05d", pair, scan, panel, row)
+    return F.format_string("%s_%s_panel%d_r%05d", pair, scan, panel.cast("int"), row.cast("int"))

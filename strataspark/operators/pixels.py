@@ -1,13 +1,20 @@
-"""Pixel tables: image_id, y, x, and either b, g, r or a value. Neighbourhoods are windows over rows or columns; line openings are run lengths."""
+"""Pixel tables: image_id, y, x, and either b, g, r or a value. Neighbourhoods are windows over rows or columns; line openings are run lengths.
+
+Images differ in size, so operators that need it take sizes(image_id, width, height) or find it by sizes_of().
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .graph import components, cut
 
 BLUR = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625)}
+#: Tangents of 22.5 and 67.5 degrees, between which a gradient counts as diagonal.
+TAN_LOW, TAN_HIGH = math.tan(math.pi / 8), math.tan(3 * math.pi / 8)
 
 
 def along_row() -> WindowSpec:
@@ -18,42 +25,57 @@ def along_col() -> WindowSpec:
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
+def sizes_of(pixels: DataFrame) -> DataFrame:
+    """image_id, width, height of a dense table."""
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
 def crop(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels inside their image's region (left_px, right_px, top_px, bottom_px; clamped, half open), rebased to it; empty regions give none."""
-    inside = (F.col("x") >= F.greatest(F.lit(0), "left_px")) & (F.col("x") < F.col("right_px")) & (F.col("y") >= F.greatest(F.lit(0), "top_px")) & (F.col("y") < F.col("bottom_px"))
-    held = pixels.join(regions.select("image_id", "left_px", "right_px", "top_px", "bottom_px"), "image_id").where(inside)
-    return held.withColumn("x", F.col("x") - F.greatest(F.lit(0), "left_px")).withColumn("y", F.col("y") - F.greatest(F.lit(0), "top_px")).drop("left_px", "right_px", "top_px", "bottom_px")
+    """Pixels inside their image's region (left_px, right_px, top_px, bottom_px; clamped, half open), rebased to it; empty regions give none.
+
+    A region may carry further columns (a curve's name, say), and an image may have several regions.
+    """
+    low = lambda c: F.greatest(F.lit(0), c)
+    held = pixels.join(regions, "image_id")
+    held = held.where((F.col("x") >= low("left_px")) & (F.col("x") < F.col("right_px")) & (F.col("y") >= low("top_px")) & (F.col("y") < F.col("bottom_px")))
+    held = held.withColumn("x", F.col("x") - low("left_px")).withColumn("y", F.col("y") - low("top_px"))
+    return held.drop("left_px", "right_px", "top_px", "bottom_px")
 
 
-def _weighted(value: str, weights: tuple[float, ...], w: WindowSpec) -> Column:
-    """Weighted sum of neighbours; beyond an edge the mirrored neighbour counts."""
+def _weighted(value: str, weights: tuple[float, ...], w: WindowSpec, replicate: bool = False) -> Column:
+    """Weighted sum of neighbours; beyond an edge the mirrored neighbour counts, or the edge itself."""
     half, total = len(weights) // 2, F.lit(0.0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for i, weight in enumerate(weights):
         d = i - half
-        there, mirrored = (F.lag, F.lead) if d < 0 else (F.lead, F.lag)
-        v = F.col(value) if d == 0 else F.coalesce(there(value, abs(d)).over(w), mirrored(value, abs(d)).over(w), F.col(value))
+        there, mirrored, edge = (F.lag, F.lead, F.first) if d < 0 else (F.lead, F.lag, F.last)
+        if d == 0:
+            v = F.col(value)
+        elif replicate:
+            v = F.coalesce(there(value, abs(d)).over(w), edge(value).over(whole))
+        else:
+            v = F.coalesce(there(value, abs(d)).over(w), mirrored(value, abs(d)).over(w), F.col(value))
         total = total + v * weight
     return total
 
 
-def blur(pixels: DataFrame, value: str = "value", size: int = 3) -> DataFrame:
-    """Separable Gaussian blur; an even size is widened by one."""
+def blur(pixels: DataFrame, value: str = "value", size: int = 3, whole: bool = True) -> DataFrame:
+    """Separable Gaussian blur; an even size is widened by one; grey levels are rounded, probabilities (whole=False) aren't."""
     weights = BLUR[size + (size + 1) % 2]
-    return pixels.withColumn(value, _weighted(value, weights, along_row())).withColumn(value, F.round(_weighted(value, weights, along_col())))
+    out = pixels.withColumn(value, _weighted(value, weights, along_row())).withColumn(value, _weighted(value, weights, along_col()))
+    return out.withColumn(value, F.round(value)) if whole else out
 
 
 def adaptive_mask(pixels: DataFrame, value: str = "value", size: int = 51, offset: float = 10.0) -> DataFrame:
-    """on where a value is under the Gaussian-weighted mean round it by more than the offset; the weights are of the frame that the image has there."""
+    """on where a value is the offset or more under the Gaussian-weighted mean round it, itself rounded; edges are repeated outwards."""
     half, sigma = size // 2, 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
+    weights = tuple(w / sum(weights) for w in weights)
+    held = pixels.withColumn("_m", _weighted(value, weights, along_row(), True)).withColumn("_m", F.round(_weighted("_m", weights, along_col(), True)))
+    return held.withColumn("on", F.col(value) - F.col("_m") <= -math.floor(offset)).drop("_m")
 
-    def mean(v: str, at: str, w: WindowSpec) -> Column:
-        near = F.collect_list(F.struct(F.col(at).alias("p"), F.col(v).alias("v"))).over(w.rowsBetween(-half, half))
-        weight = lambda e: F.exp(-(e["p"] - F.col(at)) * (e["p"] - F.col(at)) / (2 * sigma * sigma))
-        return F.aggregate(near, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, e: F.struct((a["s"] + weight(e) * e["v"]).alias("s"), (a["w"] + weight(e)).alias("w")), lambda a: a["s"] / a["w"])
 
-    held = pixels.withColumn("_m", mean(value, "x", along_row()))
-    held = held.withColumn("_m", mean("_m", "y", along_col()))
-    return held.withColumn("on", F.col(value) < F.col("_m") - offset).drop("_m")
+# --- runs, lines and rails -----------------------------------------------------------------------------------------
 
 
 def runs(mask: DataFrame, along: str) -> DataFrame:
@@ -64,21 +86,36 @@ def runs(mask: DataFrame, along: str) -> DataFrame:
     return on.withColumn("run", F.min(along).over(by)).withColumn("length", F.count(F.lit(1)).over(by)).drop("_g")
 
 
-def without_lines(mask: DataFrame, along: str, length: int, size: int) -> DataFrame:
+def _survives(length: Column, size: Column) -> Column:
+    """Whether a run outlives an opening by `length`; beyond a border nothing is taken away."""
+    need = F.when(F.col("run") == 0, length - F.floor(length / 2)).when(F.col("run") + F.col("length") == size, F.floor(length / 2) + 1).otherwise(length)
+    return F.col("length") >= need
+
+
+def without_lines(mask: DataFrame, along: str, length: int | Column, size: int | Column) -> DataFrame:
     """On-pixels left when lines of at least `length` along an axis are taken away; a run at a border counts as an opening's border rule has it."""
-    r = runs(mask, along)
-    need = F.when(F.col("run") == 0, length - length // 2).when(F.col("run") + F.col("length") == size, length // 2 + 1).otherwise(length)
-    return r.where(F.col("length") < need).drop("run", "length")
+    length, size = (c if isinstance(c, Column) else F.lit(c) for c in (length, size))
+    return runs(mask, along).where(~_survives(length, size)).drop("run", "length")
+
+
+def without_gridlines(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """On-pixels left without vertical lines of at least min(15, h/3), then without horizontal ones of min(15, w/3); images of up to 15 rows or columns keep theirs."""
+    m = mask.where("on").select("image_id", "y", "x", "on").join(sizes, "image_id")
+    third = lambda c: F.least(F.lit(15), F.floor(F.col(c) / 3))
+    r = runs(m, "y").where(~(_survives(third("height"), F.col("height")) & (F.col("height") > 15))).drop("run", "length")
+    r = runs(r, "x").where(~(_survives(third("width"), F.col("width")) & (F.col("width") > 15)))
+    return r.select("image_id", "y", "x", "on")
 
 
-def without_spines(mask: DataFrame, height: int, share: float = 0.9) -> DataFrame:
-    """On-pixels without the columns that are on in over the share of rows."""
-    full = mask.where("on").groupBy("image_id", "x").agg((F.count(F.lit(1)) / height).alias("f")).where(F.col("f") > share)
-    return mask.where("on").join(full, ["image_id", "x"], "left_anti")
+def without_spines(mask: DataFrame, sizes: DataFrame, share: float = 0.9, least: tuple[int, int] = (40, 4)) -> DataFrame:
+    """On-pixels without the columns that are on in over the share of rows; images under 40 rows or 4 columns keep theirs."""
+    full = mask.where("on").groupBy("image_id", "x").agg(F.count(F.lit(1)).alias("n")).join(sizes, "image_id")
+    full = full.where((F.col("n") / F.col("height") > share) & (F.col("height") >= least[0]) & (F.col("width") >= least[1]))
+    return mask.where("on").join(full.select("image_id", "x"), ["image_id", "x"], "left_anti")
 
 
 def otsu(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """image_id, threshold: the level of greatest between-class variance, the lowest on ties."""
+    """image_id, threshold: the level of greatest between-class variance, the lowest on ties; none for an image of one level."""
     hist = pixels.groupBy("image_id", F.col(value).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     up, all_ = Window.partitionBy("image_id").orderBy("level"), Window.partitionBy("image_id")
     h = hist.withColumn("w0", F.sum("n").over(up)).withColumn("s0", F.sum(F.col("n") * F.col("level")).over(up))
@@ -89,40 +126,139 @@ def otsu(pixels: DataFrame, value: str = "value") -> DataFrame:
     return h.groupBy("image_id").agg(F.min_by("level", F.struct(-F.col("between"), F.col("level"))).alias("threshold"))
 
 
+def gap_filled(mask: DataFrame) -> DataFrame:
+    """A dense mask (image_id, y, x, on), blurred 3 x 3 and cut again at its Otsu threshold: image_id, y, x, value, on."""
+    b = blur(mask.withColumn("value", F.when(F.col("on"), 255.0).otherwise(0.0)))
+    cuts = otsu(b)
+    return b.join(cuts, "image_id", "left").withColumn("on", F.col("value") > F.coalesce("threshold", F.lit(0))).drop("threshold")
+
+
+def curve_mask(pixels: DataFrame, on: Column) -> DataFrame:
+    """The cleaned mask of a curve track from a dense table: the colour test `on`, without gridlines, gaps filled, without spines: image_id, y, x, on (dense)."""
+    dense = pixels.select("image_id", "y", "x", on.alias("on"))
+    sizes = cut(sizes_of(dense))
+    left = without_gridlines(dense, sizes).withColumn("kept", F.lit(True)).drop("on")
+    full = dense.join(left, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(False)).alias("on"))
+    filled = gap_filled(full).select("image_id", "y", "x", "on")
+    spared = without_spines(filled, sizes).select("image_id", "y", "x", F.lit(True).alias("kept"))
+    return dense.select("image_id", "y", "x").join(spared, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(False)).alias("on"))
+
+
+def without_rails(mask: DataFrame, sizes: DataFrame, value: str = "value", strong: int = 25, dark: int = 40) -> DataFrame:
+    """on, dense: values over 25 that no vertical or horizontal run of values under 40 of max(12, h/24 or w/24) covers."""
+    m = mask.join(sizes, "image_id")
+    low = m.withColumn("on", F.col(value) < dark)
+    least = lambda c: F.greatest(F.lit(12), F.floor(F.col(c) / 24))
+    rails = [runs(low, a).where(_survives(least(c), F.col(c))).select("image_id", "y", "x") for a, c in (("y", "height"), ("x", "width"))]
+    rail = rails[0].union(rails[1]).distinct().withColumn("rail", F.lit(True))
+    held = m.join(rail, ["image_id", "y", "x"], "left")
+    return held.select("image_id", "y", "x", ((F.col(value) > strong) & F.col("rail").isNull()).alias("on"))
+
+
+def fallback_mask(pixels: DataFrame) -> DataFrame:
+    """image_id, y, x, on from grey values: 5 x 5 blur, values up to 205, 3 x 3 opening."""
+    b = blur(pixels.select("image_id", "y", "x", F.col("value").cast("double").alias("value")), size=5)
+    return opened(b.select("image_id", "y", "x", (F.col("value") <= 205).alias("on")))
+
+
+# --- hues ----------------------------------------------------------------------------------------------------------
+
+
 def dominant_hue(hues: DataFrame, least: int = 50, share: float = 0.3) -> DataFrame:
-    """image_id, colour from rows of image_id, x, width, h, s, v: the strongest of 18 hue bins of saturated pixels in the middle 30 % of columns."""
-    mid = (F.col("x") >= F.floor(F.col("width") * 0.35)) & (F.col("x") < F.floor(F.col("width") * 0.65)) & (F.col("s") > 60) & (F.col("v") > 50) & (F.col("v") < 230)
-    bins = hues.where(mid).groupBy("image_id", F.floor(F.col("h") / 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    top = bins.groupBy("image_id").agg(F.sum("n").alias("total"), F.max("n").alias("peak"), F.min_by("bin", F.struct(-F.col("n"), F.col("bin"))).alias("bin")).where((F.col("total") >= least) & (F.col("peak") >= share * F.col("total")))
+    """image_id, colour from rows of image_id, y, x, h, s, v: the strongest of 18 hue bins of saturated pixels in the middle 30 % of columns; null under 10 rows or columns."""
+    size = sizes_of(hues).where("width >= 10 and height >= 10")
+    mid = (F.col("x") >= F.floor(F.col("width") * 0.35)) & (F.col("x") < F.floor(F.col("width") * 0.65))
+    ink = hues.join(size, "image_id").where(mid & (F.col("s") > 60) & (F.col("v") > 50) & (F.col("v") < 230))
+    bins = ink.groupBy("image_id", F.floor(F.col("h") / 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    top = bins.groupBy("image_id").agg(F.sum("n").alias("total"), F.max("n").alias("peak"), F.min_by("bin", F.struct(-F.col("n"), F.col("bin"))).alias("bin"))
+    top = top.where((F.col("total") >= least) & (F.col("peak") >= share * F.col("total")))
     h = F.col("bin") * 10 + 5
-    return hues.select("image_id").distinct().join(top, "image_id", "left").select("image_id", F.when((h >= 40) & (h <= 90), "green").when((h >= 90) & (h <= 140), "blue").when((h <= 10) | (h >= 160), "red").alias("colour"))
+    colour = F.when((h < 15) | (h > 165), "red").when((h > 35) & (h < 95), "green").when((h > 85) & (h < 145), "blue")
+    return hues.select("image_id").distinct().join(top, "image_id", "left").select("image_id", colour.alias("colour"))
+
+
+def hue_weight(hues: DataFrame, sigma: float = 12.0, least: int = 20) -> DataFrame:
+    """image_id, y, x, weight from image_id, y, x, h, ink: nearness to the mean hue of ink over its 70th percentile, 0.15 to 1; 1 where over 20 pixels aren't that strong.
+
+    The mean is an angle of 0 to 360 while hues end at 179; the distance is taken as the published tracer takes it.
+    """
+    cuts = hues.groupBy("image_id").agg(F.percentile("ink", F.lit(0.7)).alias("cut"))
+    turn = F.radians(F.col("h") * 2.0)
+    strong = hues.join(cuts, "image_id").where("ink > cut").groupBy("image_id")
+    mean = strong.agg(F.degrees(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn)))).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    m = F.when(F.col("m") < 0, F.col("m") + 360).otherwise(F.col("m"))
+    off = F.abs(F.pmod(F.col("h") - m + 90, F.lit(180.0)) - 90)
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.15), F.exp(-off * off / (2 * sigma * sigma))))
+    return hues.join(mean, "image_id", "left").select("image_id", "y", "x", F.coalesce(weight, F.lit(1.0)).alias("weight"))
+
+
+# --- edges, tracks, bounds -----------------------------------------------------------------------------------------
 
 
-def gradient(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """gx, gy and their absolute sum, by 3 x 3 differences with mirrored borders."""
+def gradient(pixels: DataFrame, value: str = "value", replicate: bool = True) -> DataFrame:
+    """gx, gy and their absolute sum, by 3 x 3 differences; edges are repeated outwards, or mirrored."""
     smooth, diff = (1.0, 2.0, 1.0), (-1.0, 0.0, 1.0)
-    p = pixels.withColumn("_dx", _weighted(value, diff, along_row())).withColumn("_sx", _weighted(value, smooth, along_row()))
-    p = p.withColumn("gx", _weighted("_dx", smooth, along_col())).withColumn("gy", _weighted("_sx", diff, along_col()))
+    across = lambda c, weights, w: _weighted(c, weights, w, replicate)
+    p = pixels.withColumn("_dx", across(value, diff, along_row())).withColumn("_sx", across(value, smooth, along_row()))
+    p = p.withColumn("gx", across("_dx", smooth, along_col())).withColumn("gy", across("_sx", diff, along_col()))
     return p.withColumn("mag", F.abs("gx") + F.abs("gy")).drop("_dx", "_sx")
 
 
-def tracks(pixels: DataFrame, width: int, mag: str = "mag") -> DataFrame:
-    """image_id, left_px, right_px: between neighbouring peaks of the columns' edge sums, over 0.3 of the highest and 5 % of the width apart; thirds where fewer than two peaks stand out."""
-    sums = pixels.groupBy("image_id", "x").agg(F.sum(mag).alias("e"))
+def edges(pixels: DataFrame, low: float, high: float, value: str = "value") -> DataFrame:
+    """image_id, y, x of edge pixels: gradients over `low` that no neighbour across the edge exceeds, in an 8-connected group with one over `high`."""
+    row, col = along_row(), along_col()
+    g = gradient(pixels, value)
+    near = lambda f, c, w: F.coalesce(f(c).over(w), F.lit(0.0))
+    g = g.withColumn("l", near(F.lag, "mag", row)).withColumn("r", near(F.lead, "mag", row))
+    g = g.withColumn("u", near(F.lag, "mag", col)).withColumn("d", near(F.lead, "mag", col))
+    for name, side, across in (("ul", "l", F.lag), ("ur", "r", F.lag), ("dl", "l", F.lead), ("dr", "r", F.lead)):
+        g = g.withColumn(name, near(across, side, col))
+    ax, ay = F.abs("gx"), F.abs("gy")
+    falling = (F.col("gx") < 0) != (F.col("gy") < 0)
+    m = F.col("mag")
+    peak = (
+        F.when(ay < ax * TAN_LOW, (m > F.col("l")) & (m >= F.col("r")))
+        .when(ay > ax * TAN_HIGH, (m > F.col("u")) & (m >= F.col("d")))
+        .when(falling, (m > F.col("ur")) & (m > F.col("dl")))
+        .otherwise((m > F.col("ul")) & (m > F.col("dr")))
+    )
+    weak = cut(g.where((m > low) & peak).select("image_id", "y", "x", F.lit(True).alias("on"), (m > high).alias("strong")))
+    named = component_labels(weak)
+    sure = named.where("strong").select("image_id", "label").distinct()
+    return named.join(sure, ["image_id", "label"], "left_semi").select("image_id", "y", "x")
+
+
+def tracks(edge: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, left_px, right_px: between neighbouring peaks of the columns' numbers of edge pixels, over 0.3 of the highest and 5 % of the width apart; equal thirds where fewer than two peaks stand out.
+
+    An image's peaks are at most its columns, which is what the fold over them holds.
+    """
+    columns = sizes.select("image_id", "width", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    sums = columns.join(edge.groupBy("image_id", "x").agg(F.count(F.lit(1)).alias("e")), ["image_id", "x"], "left").withColumn("e", F.coalesce("e", F.lit(0)))
     w = Window.partitionBy("image_id").orderBy("x")
-    peak = sums.withColumn("a", F.lag("e").over(w)).withColumn("b", F.lead("e").over(w)).withColumn("top", F.max("e").over(Window.partitionBy("image_id"))).where("e > a and e > b and e > 0.3 * top")
-    gap = max(1, int(width * 0.05))
-    spaced = f"aggregate(array_sort(collect_list(x)), cast(array() as array<int>), (k, p) -> if(size(k) = 0 or p - element_at(k, -1) >= {gap}, concat(k, array(p)), k))"
-    found = sums.select("image_id").distinct().join(peak.groupBy("image_id").agg(F.expr(spaced).alias("at")), "image_id", "left")
-    edges = F.when(F.coalesce(F.size("at"), F.lit(0)) >= 2, F.col("at")).otherwise(F.array(*(F.lit(width * i // 3) for i in range(4))))
-    return found.select("image_id", F.explode(F.arrays_zip(F.slice(edges, 1, F.size(edges) - 1).alias("l"), F.slice(edges, 2, F.size(edges) - 1).alias("r"))).alias("t")).select("image_id", F.col("t.l").alias("left_px"), F.col("t.r").alias("right_px"))
+    top = sums.groupBy("image_id").agg(F.max("e").alias("top"))
+    peak = sums.withColumn("a", F.lag("e").over(w)).withColumn("b", F.lead("e").over(w)).join(top, "image_id").where("e > a and e > b and e > 0.3 * top")
+    start = F.array().cast("array<int>")
+    step = lambda k, p: F.when((F.size(k) == 0) | (p - F.element_at(k, -1) >= F.col("width") * 0.05), F.concat(k, F.array(p))).otherwise(k)
+    spaced = peak.groupBy("image_id", "width").agg(F.array_sort(F.collect_list(F.col("x").cast("int"))).alias("at"))
+    spaced = spaced.select("image_id", F.aggregate("at", start, step).alias("at"))
+    third = F.floor(F.col("width") / 3).cast("int")
+    found = sizes.join(spaced, "image_id", "left")
+    bounds = F.when(F.coalesce(F.size("at"), F.lit(0)) >= 2, F.col("at")).otherwise(F.array(*(third * i for i in range(4))))
+    pair = F.explode(F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("l"), F.slice(bounds, 2, F.size(bounds) - 1).alias("r")))
+    return found.select("image_id", pair.alias("t")).select("image_id", F.col("t.l").alias("left_px"), F.col("t.r").alias("right_px"))
+
+
+def content_bounds(pixels: DataFrame, value: str = "value") -> DataFrame:
+    """image_id, top_px, bottom_px of the rows whose dark share exceeds max(0.03, a fifth of the highest), with a margin of 8; the whole image where there is none."""
+    share = pixels.groupBy("image_id", "y").agg(F.avg(F.when(F.col(value) < 210, 1.0).otherwise(0.0)).alias("f"))
+    top = share.groupBy("image_id").agg(F.greatest(F.lit(0.03), 0.2 * F.max("f")).alias("cut"), (F.max("y") + 1).alias("height"))
+    kept = F.when(F.col("f") > F.col("cut"), F.col("y"))
+    out = share.join(top, "image_id").groupBy("image_id", "height").agg(F.min(kept).alias("a"), F.max(kept).alias("b"))
+    return out.select("image_id", F.greatest(F.lit(0), F.coalesce(F.col("a") - 8, F.lit(0))).alias("top_px"), F.least("height", F.coalesce(F.col("b") + 9, "height")).alias("bottom_px"))
 
 
-def content_bounds(pixels: DataFrame, height: int, value: str = "value") -> DataFrame:
-    """image_id, top_px, bottom_px of the rows whose dark share reaches max(0.03, a fifth of the highest), with a margin of 8."""
-    share = pixels.groupBy("image_id", "y").agg(F.avg(F.when(F.col(value) < 210, 1.0).otherwise(0.0)).alias("f"))
-    share = share.withColumn("cut", F.greatest(F.lit(0.03), 0.2 * F.max("f").over(Window.partitionBy("image_id")))).where("f >= cut")
-    return share.groupBy("image_id").agg(F.greatest(F.lit(0), F.min("y") - 8).alias("top_px"), F.least(F.lit(height), F.max("y") + 9).alias("bottom_px"))
+# --- morphology ----------------------------------------------------------------------------------------------------
 
 
 def opened(mask: DataFrame) -> DataFrame:
@@ -133,45 +269,111 @@ def opened(mask: DataFrame) -> DataFrame:
     return mask
 
 
-def largest_component(mask: DataFrame) -> DataFrame:
-    """On-pixels of each image's largest 8-connected component, the first on ties.
+def closed(pixels: DataFrame, value: str, width: int, height: int) -> DataFrame:
+    """Dilation, then erosion of a dense value by a rectangle; an even side reaches one further back, then one further on, so that nothing shifts."""
+    for f, turn in ((F.max, False), (F.min, True)):
+        for w, n in ((along_row(), width), (along_col(), height)):
+            back, on = n // 2, n - 1 - n // 2
+            back, on = (on, back) if turn else (back, on)
+            pixels = pixels.withColumn(value, f(value).over(w.rowsBetween(-back, on)))
+    return pixels
+
+
+def component_labels(mask: DataFrame) -> DataFrame:
+    """On-pixels with label, the first run of their 8-connected component.
 
     Horizontal runs are nodes; runs of neighbouring rows that touch are joined by an equi-join on row with a range test.
     """
-    r = runs(mask, "x").groupBy("image_id", "y", "run").agg(F.max("x").alias("stop"), F.count(F.lit(1)).alias("n"))
+    on = cut(runs(mask, "x"))
+    r = on.groupBy("image_id", "y", "run").agg(F.max("x").alias("stop"))
     r = cut(r.withColumn("node", F.struct("image_id", "y", "run")))
     touch = r.alias("a").join(r.alias("b"), F.expr("a.image_id = b.image_id and a.y + 1 = b.y and a.run <= b.stop + 1 and b.run <= a.stop + 1"))
     comp = components(touch.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    state = r.join(comp, "node", "left").select("image_id", "y", "run", "n", F.coalesce("component", "node").alias("label"))
-    best = state.groupBy("image_id", "label").agg(F.sum("n").alias("area")).groupBy("image_id").agg(F.min_by("label", F.struct(-F.col("area"), F.col("label"))).alias("label"))
-    return runs(mask, "x").join(state.join(best, ["image_id", "label"]).select("image_id", "y", "run"), ["image_id", "y", "run"]).select("image_id", "y", "x")
+    state = r.join(comp, "node", "left").select("image_id", "y", "run", F.coalesce("component", "node").alias("label"))
+    return on.join(state, ["image_id", "y", "run"])
+
+
+def largest_component(mask: DataFrame) -> DataFrame:
+    """On-pixels of each image's largest 8-connected component, the first on ties."""
+    named = cut(component_labels(mask))
+    best = named.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area"))
+    best = best.groupBy("image_id").agg(F.min_by("label", F.struct(-F.col("area"), F.col("label"))).alias("label"))
+    return named.join(best, ["image_id", "label"], "left_semi").select("image_id", "y", "x")
+
+
+# --- resampling ----------------------------------------------------------------------------------------------------
+
+
+_CELLS = "array<struct<c:int,w:double>>"
 
 
-def area_resampled(pixels: DataFrame, width: int, height: int, out_w: int, out_h: int, value: str = "value") -> DataFrame:
-    """Down-scaling by area: each source pixel gives its overlap to the cells it meets."""
-    sx, sy = out_w / width, out_h / height
+def _area_cells(at: Column, size: Column, out: Column) -> Column:
+    """(cell, overlap) of a source place when `size` places shrink to `out`."""
+    a, b = at * out / size, (at + 1) * out / size
+    cell = lambda c: F.struct(c.alias("c"), (F.least(b, c + 1.0) - F.greatest(a, c.cast("double"))).alias("w"))
+    last = F.least(out.cast("int") - 1, F.floor(b - 1e-9).cast("int"))
+    return F.filter(F.transform(F.sequence(F.floor(a).cast("int"), last), cell).cast(_CELLS), lambda e: e["w"] > 1e-9)
 
-    def cells(p: str, scale: float, n: int) -> str:
-        a, b = f"{p} * {scale!r}D", f"({p} + 1) * {scale!r}D"
-        return f"filter(transform(sequence(cast(floor({a}) as int), least({n - 1}, cast(floor({b} - 1e-9D) as int))), c -> struct(c as c, least({b}, c + 1D) - greatest({a}, cast(c as double)) as w)), e -> e.w > 1e-9D)"
 
-    held = pixels.select("image_id", F.col(value).alias("v"), F.explode(F.expr(cells("x", sx, out_w))).alias("cx"), "y").select("image_id", "v", "cx", F.explode(F.expr(cells("y", sy, out_h))).alias("cy"))
+def _linear_cells(at: Column, size: Column, out: Column) -> Column:
+    """(cell, weight) of a source place for the cells that lie between it and its neighbours; edges are repeated outwards."""
+    ratio = size / out
+    place = lambda c: F.least(size - 1.0, F.greatest(F.lit(0.0), (c + 0.5) * ratio - 0.5))
+    cell = lambda c: F.struct(c.alias("c"), (1.0 - F.abs(place(c) - at)).alias("w"))
+    first = F.greatest(F.lit(0), F.when(at == 0, 0).otherwise(F.floor((at - 0.5) / ratio - 0.5).cast("int")))
+    last = F.least(out.cast("int") - 1, F.when(at == size - 1, out.cast("int") - 1).otherwise(F.ceil((at + 1.5) / ratio - 0.5).cast("int")))
+    return F.filter(F.transform(F.sequence(first, F.greatest(first, last)), cell).cast(_CELLS), lambda e: e["w"] > 1e-9)
+
+
+def _resampled(pixels: DataFrame, cells, width, height, out_w, out_h, value: str) -> DataFrame:
+    col = lambda c: c if isinstance(c, Column) else F.lit(c)
+    width, height, out_w, out_h = map(col, (width, height, out_w, out_h))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    held = pixels.select("image_id", F.col(value).alias("v"), F.explode(cells(x, width, out_w)).alias("cx"), cells(y, height, out_h).alias("cys"))
+    held = held.select("image_id", "v", "cx", F.explode("cys").alias("cy"))
     w = F.col("cx.w") * F.col("cy.w")
     return held.groupBy("image_id", F.col("cy.c").alias("y"), F.col("cx.c").alias("x")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
 
 
+def area_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str = "value") -> DataFrame:
+    """Down-scaling by area: each source pixel gives its overlap to the cells it meets. Sizes are numbers or columns."""
+    return _resampled(pixels, _area_cells, width, height, out_w, out_h, value)
+
+
+def bilinear_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str = "value") -> DataFrame:
+    """Each cell's value is read linearly between the four pixels round its middle."""
+    return _resampled(pixels, _linear_cells, width, height, out_w, out_h, value)
+
+
+def box_mean_down(pixels: DataFrame, value: str, rows: int) -> DataFrame:
+    """The mean of so many rows round each pixel; beyond an edge the mirrored row counts."""
+    return pixels.withColumn(value, _weighted(value, (1 / rows,) * rows, along_col()))
+
+
+def ocr_scaled(pixels: DataFrame, sizes: DataFrame, most: int = 2000) -> DataFrame:
+    """Grey images of over 2000 rows, brought to 2000 by area, the width in proportion; others as they are."""
+    held = pixels.join(sizes, "image_id")
+    tall = held.where(F.col("height") > most)
+    out_w = F.greatest(F.lit(1), F.floor(F.col("width") * most / F.col("height")))
+    cells = area_resampled(tall, F.col("width"), F.col("height"), out_w, F.lit(most))
+    return held.where(F.col("height") <= most).select("image_id", "y", "x", "value").unionByName(cells.select("image_id", "y", "x", F.round("value").alias("value")))
+
+
+# --- scores --------------------------------------------------------------------------------------------------------
+
+
 def centre_score(mask: DataFrame) -> DataFrame:
-    """On-pixels with p: distance to the nearer end of their row or column run, over the image's greatest, to the power 0.9."""
-    r = runs(mask, "x").withColumn("dx", F.least(F.col("x") - F.col("run"), F.col("run") + F.col("length") - 1 - F.col("x")) + 1).select("image_id", "y", "x", "dx", "on")
+    """On-pixels with d (distance to the nearer end of their row or column run, over the image's greatest), p (d to the power 0.9) and mid (whether it is the middle of its row run)."""
+    r = runs(mask, "x").withColumn("dx", F.least(F.col("x") - F.col("run"), F.col("run") + F.col("length") - 1 - F.col("x")) + 1)
+    r = r.withColumn("mid", F.col("x") == F.col("run") + F.floor((F.col("length") - 1) / 2)).select("image_id", "y", "x", "dx", "mid", "on")
     c = runs(r, "y").withColumn("d", F.least("dx", F.least(F.col("y") - F.col("run"), F.col("run") + F.col("length") - 1 - F.col("y")) + 1))
-    return c.select("image_id", "y", "x", F.pow(F.col("d") / F.max("d").over(Window.partitionBy("image_id")), 0.9).alias("p"))
+    top = c.groupBy("image_id").agg(F.max("d").alias("top"))
+    c = c.join(top, "image_id").withColumn("d", F.col("d") / F.col("top"))
+    return c.select("image_id", "y", "x", "d", F.pow("d", F.lit(0.9)).alias("p"), "mid")
 
 
-def hue_weight(hues: DataFrame, sigma: float = 12.0) -> DataFrame:
-    """image_id, y, x, weight from image_id, y, x, h, ink: nearness to the circular mean hue of the strongest 30 % of ink, 0.15 to 1."""
-    cut = hues.groupBy("image_id").agg(F.percentile("ink", F.lit(0.7)).alias("cut"))
-    turn = F.col("h") * F.lit(3.141592653589793 / 90)
-    mean = hues.join(cut, "image_id").where("ink >= cut").groupBy("image_id").agg(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))).alias("m"))
-    off = F.abs(F.col("h") - F.pmod(F.col("m") * F.lit(90 / 3.141592653589793), F.lit(180.0)))
-    off = F.least(off, 180 - off)
-    return hues.join(mean, "image_id").select("image_id", "y", "x", F.least(F.lit(1.0), F.greatest(F.lit(0.15), F.exp(-off * off / (2 * sigma * sigma)))).alias("weight"))
+def ridge_score(dense: DataFrame) -> DataFrame:
+    """ridge, 0 to 1: the middles of row runs (mid), feathered 3 x 3, over the image's highest."""
+    f = blur(dense.withColumn("ridge", F.when(F.col("mid"), 1.0).otherwise(0.0)), "ridge", whole=False)
+    top = f.groupBy("image_id").agg(F.max("ridge").alias("top"))
+    return f.join(top, "image_id").withColumn("ridge", F.when(F.col("top") > 0, F.col("ridge") / F.col("top")).otherwise(0.0)).drop("top")

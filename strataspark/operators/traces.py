@@ -1,18 +1,37 @@
-"""Row picks, traces and path operators: image_id, curve, row_idx, x, conf; probability tables are image_id, y, x, p.
+"""Row picks, traces and path operators: image_id, row_idx, x, conf; probability tables are dense: image_id, y, x, p.
 
-A path is one ordered pass over all rows of its image, so a path job holds one image; images are independent.
+A path is one ordered pass over all rows of its image, so a path job holds one image; images are independent. What
+differs by image (curve type, scale, hot side, steps and weights) comes as a settings table, one row an image.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import PHYSICAL, depth_at, scaled_value
+from . import pixels as P
 from .curves import interpolated, rolling_median
 
+TRACE = "image_id string, row_idx int, x double, conf double"
+#: A settings row: what a tracer may know of its image.
+SETTINGS = {"curve_type": "GR", "scale_min": 0.0, "scale_max": 150.0, "hot_side": None, "step": 3, "smooth": 0.5, "bend": 0.0}
+# Fixed values of the cost table: least score, rail weight, grid rows' probability, and the scales by kind of image.
+LEAST_SCORE, RAIL_COST, GRID_P = 1e-6, 15.0, 1e-3
+JAGGED, BALANCED, SMOOTH = (1.0, 0.8, 0.6, 0.4, 0.2), (1.0, 0.75, 0.5, 0.33, 0.25), (1.0, 0.67, 0.33, 0.17)
+
+
+def settings(images: DataFrame, **known) -> DataFrame:
+    """A settings row for each image_id, with the defaults where nothing is given."""
+    held = {**SETTINGS, **known}
+    col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    kinds = {"hot_side": "string", "step": "int", "smooth": "double", "bend": "double"}
+    return images.select("image_id", *(col(v).cast(kinds[k]).alias(k) if k in kinds else col(v).alias(k) for k, v in held.items()))
+
 
 def row_picks(mask: DataFrame, rows: DataFrame, min_run: int = 2) -> DataFrame:
     """image_id, row_idx, x: the median on-pixel of each row of rows(image_id, row_idx), null under min_run pixels."""
@@ -24,11 +43,12 @@ def smoothed(trace: DataFrame, keys: tuple[str, ...] = ("image_id",), window: in
     return interpolated(rolling_median(trace, keys, window), keys, limit)
 
 
-def digitized(trace: DataFrame, width: int, left: float, right: float, top: float, bottom: float, null: float = -999.25) -> DataFrame:
-    """image_id, row_idx, depth, value: the trace scaled to its curve's values and the rows to depths."""
+def digitized(trace: DataFrame, width: Column | int, left, right, top, bottom, null: float = -999.25) -> DataFrame:
+    """image_id, row_idx, depth, value: the trace scaled to its curve's values and the rows to depths. Bounds are numbers or columns."""
+    col = lambda v: v if isinstance(v, Column) else F.lit(v)
     n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-    value = F.coalesce(scaled_value(F.col("x"), F.lit(width), F.lit(left), F.lit(right)), F.lit(null))
-    return trace.select("image_id", "row_idx", depth_at(F.col("row_idx"), n, F.lit(top), F.lit(bottom)).alias("depth"), value.alias("value"))
+    value = F.coalesce(scaled_value(F.col("x"), col(width), col(left), col(right)), F.lit(null))
+    return trace.select("image_id", "row_idx", depth_at(F.col("row_idx"), n, col(top), col(bottom)).alias("depth"), value.alias("value"))
 
 
 def overlay(trace: DataFrame, left_px: int = 0, top_px: int = 0) -> DataFrame:
@@ -72,65 +92,136 @@ def subpixel(prob: DataFrame, at: DataFrame) -> DataFrame:
     return p.join(at.select("image_id", "y", "x"), ["image_id", "y", "x"]).select("image_id", "y", (F.col("x") + F.coalesce(F.when(F.abs(d) > 1e-12, 0.5 * (F.col("a") - F.col("c")) / d), F.lit(0.0))).alias("x"))
 
 
-def to_probability(trace: DataFrame, width: int, sigma: float = 2.0) -> DataFrame:
-    """image_id, y, x, p: a Gaussian round each row's place."""
+def stretched(trace: DataFrame, heights: DataFrame) -> DataFrame:
+    """A trace of n rows read linearly at each row of heights(image_id, height): image_id, row_idx, x."""
+    n = trace.groupBy("image_id").agg((F.max("row_idx") + 1).alias("n"))
+    rows = heights.join(n, "image_id").select("image_id", "n", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row_idx"))
+    rows = rows.withColumn("at", F.col("row_idx") * (F.col("n") - 1) / F.greatest(F.lit(1), F.col("height") - 1))
+    rows = rows.withColumn("a", F.floor("at").cast("int")).withColumn("b", F.least(F.col("n") - 1, F.floor("at").cast("int") + 1))
+    side = lambda i, v: trace.select("image_id", F.col("row_idx").alias(i), F.col("x").alias(v))
+    both = rows.join(side("a", "xa"), ["image_id", "a"], "left").join(side("b", "xb"), ["image_id", "b"], "left")
+    return both.select("image_id", "row_idx", (F.col("xa") + (F.col("at") - F.col("a")) * (F.col("xb") - F.col("xa"))).alias("x"))
+
+
+def to_probability(trace: DataFrame, width: int, sigma: float = 2.0, heights: DataFrame | None = None) -> DataFrame:
+    """image_id, y, x, p: a Gaussian round each row's place, after the trace is stretched to its image's height if that is given."""
     s = min(6.0, max(1.25, sigma))
-    held = trace.where("x is not null").select("image_id", F.col("row_idx").alias("y"), F.col("x").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    t = trace if heights is None else stretched(trace, heights)
+    held = t.where("x is not null").select("image_id", F.col("row_idx").alias("y"), F.col("x").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     return held.select("image_id", "y", "x", F.exp(-(F.col("x") - F.col("c")) * (F.col("x") - F.col("c")) / (2 * s * s)).alias("p"))
 
 
-def fused(direct: DataFrame, followed: DataFrame, gain: float = 1.1, near: float | None = 50.0) -> DataFrame:
-    """The followed trace, but the direct one where it is stronger by the gain and (if given) near."""
+def gated_fusion(direct: DataFrame, followed: DataFrame, gain: float = 1.1, near: float = 50.0) -> DataFrame:
+    """The followed trace, but the direct one where it is stronger by the gain and near."""
     j = followed.alias("f").join(direct.alias("d"), ["image_id", "row_idx"], "full")
-    take = F.col("d.x").isNotNull() & (F.col("f.x").isNull() | ((F.col("d.conf") > gain * F.col("f.conf")) & (F.lit(True) if near is None else F.abs(F.col("d.x") - F.col("f.x")) < near)))
-    return j.select("image_id", "row_idx", F.when(take, F.col("d.x")).otherwise(F.col("f.x")).alias("x"), F.when(take, F.col("d.conf")).otherwise(F.col("f.conf")).alias("conf"))
+    better = (F.col("d.conf") > gain * F.col("f.conf")) & (F.abs(F.col("d.x") - F.col("f.x")) < near)
+    take = F.col("d.x").isNotNull() & (F.col("f.x").isNull() | better)
+    return j.select("image_id", "row_idx", *(F.when(take, F.col(f"d.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("x", "conf")))
 
 
-def merged(down: DataFrame, up: DataFrame, apart: float = 5.0) -> DataFrame:
-    """Both directions of a path: the surer one where they are apart, else their mean."""
-    j = down.alias("a").join(up.alias("b"), ["image_id", "row_idx"], "full")
-    both, far = F.col("a.x").isNotNull() & F.col("b.x").isNotNull(), F.abs(F.col("a.x") - F.col("b.x")) > apart
-    x = F.when(both & far, F.when(F.col("a.conf") >= F.col("b.conf"), F.col("a.x")).otherwise(F.col("b.x"))).when(both, (F.col("a.x") + F.col("b.x")) / 2).otherwise(F.coalesce("a.x", "b.x"))
-    return j.select("image_id", "row_idx", x.alias("x"), F.when(both, (F.col("a.conf") + F.col("b.conf")) / 2).otherwise(F.coalesce("a.conf", "b.conf")).alias("conf"))
+def fused(trace: DataFrame, other: DataFrame, prob: DataFrame) -> DataFrame:
+    """The trace's rows, but the other's place where the probability at its rounded column is greater; conf stays the trace's.
 
+    Only the places asked for meet the probability table, in one join.
+    """
+    size = P.sizes_of(prob).select("image_id", "width")
+    both = trace.select("image_id", "row_idx", "x", "conf").join(other.select("image_id", "row_idx", F.col("x").alias("ox")), ["image_id", "row_idx"], "left")
+    spot = lambda c: F.bround(F.least(F.col("width") - 1.0, F.greatest(F.lit(0.0), F.col(c)))).cast("int")
+    both = both.join(size, "image_id").withColumn("at", F.array(spot("x"), spot("ox"))).drop("width")
+    asked = both.select("image_id", F.col("row_idx").alias("y"), F.posexplode("at").alias("side", "x")).where("x is not null")
+    found = prob.select("image_id", "y", "x", "p").join(asked, ["image_id", "y", "x"])
+    found = found.groupBy("image_id", F.col("y").alias("row_idx")).agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pa"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("pb"))
+    held = both.join(found, ["image_id", "row_idx"], "left")
+    return held.select("image_id", "row_idx", F.when(F.col("pb") > F.coalesce("pa", F.lit(-1.0)), F.col("ox")).otherwise(F.col("x")).alias("x"), "conf")
+
+
+# --- the cost table of the path tracers ------------------------------------------------------------------------------
+
+
+def live_scores(prob: DataFrame) -> DataFrame:
+    """image_id, y, x, on (p over 0.10), p: the score that probability, centre of the stroke and ridge give, 1e-6 to 1."""
+    d = prob.select("image_id", "y", "x", "p", (F.col("p") > 0.10).alias("on"))
+    centre = P.centre_score(d).select("image_id", "y", "x", "d", F.col("p").alias("centre"), "mid")
+    held = d.join(centre, ["image_id", "y", "x"], "left").fillna(0.0, ["d", "centre"]).fillna(False, ["mid"])
+    held = P.ridge_score(held)
+    some = d.groupBy("image_id").agg(F.bool_or("on").alias("some"))
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(LEAST_SCORE), c))
+    live = clip(F.greatest(F.pow("p", F.lit(0.7)) * (0.15 + 0.85 * F.col("centre")), 0.55 * F.col("ridge") + 0.05 * F.col("on").cast("double")))
+    held = held.withColumn("live", live).join(some, "image_id")
+    held = held.withColumn("live", F.when(F.col("some"), clip(F.col("live") * (0.7 + 0.3 * F.col("d")))).otherwise(F.col("live")))
+    return held.select("image_id", "y", "x", "on", F.col("live").alias("p"))
+
+
+def rail_columns(scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, x of columns that, like both neighbours, are on in over 60 % of rows; edge columns never."""
+    share = scores.where("on").groupBy("image_id", "x").agg(F.count(F.lit(1)).alias("n")).join(sizes, "image_id")
+    share = share.where("height >= 4 and width >= 2 and n / height > 0.6")
+    w = Window.partitionBy("image_id").orderBy("x").rangeBetween(-1, 1)
+    return share.withColumn("k", F.count(F.lit(1)).over(w)).where("k = 3").select("image_id", "x")
 
-def live_score(prob: DataFrame) -> DataFrame:
-    """image_id, y, x, p, cost: -log of the score that ridge centre and probability give."""
-    score = F.pow("p", F.lit(0.7)) * (0.15 + 0.85 * F.coalesce("centre", F.lit(0.0)))
-    return prob.withColumn("cost", -F.log(F.greatest(score, F.lit(1e-3))))
 
+def grid_rows(scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, y of rows of which over 30 % outlives an opening by max(5, w/4)."""
+    r = P.runs(scores.where("on").select("image_id", "y", "x", "on").join(sizes, "image_id"), "x")
+    r = r.where(P._survives(F.greatest(F.lit(5), F.floor(F.col("width") / 4)), F.col("width")))
+    n = r.groupBy("image_id", "y", "width", "height").agg(F.count(F.lit(1)).alias("n"))
+    return n.where("height >= 4 and width >= 8 and n / width > 0.30").select("image_id", "y")
 
-def rail_penalty(cost: DataFrame, mask: DataFrame, height: int, extra: float = 15.0) -> DataFrame:
-    """Adds to columns that, like both neighbours, are on in over 60 % of rows; edge columns never."""
-    share = mask.where("on").groupBy("image_id", "x").agg((F.count(F.lit(1)) / height).alias("f"))
-    w = Window.partitionBy("image_id").orderBy("x").rangeBetween(-1, 1)
-    rail = share.where("f > 0.6").withColumn("n", F.count(F.lit(1)).over(w)).where("n = 3").select("image_id", "x", F.lit(extra).alias("more"))
-    return cost.join(rail, ["image_id", "x"], "left").withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+def implausible(kind: Column, value: Column, low: Column, high: Column) -> Column:
+    """1 for values outside the type's physical range where the scale (low to high) meets that range, else 0."""
+    out = F.lit(0.0)
+    for name, (a, b) in PHYSICAL.items():
+        outside = (F.upper(kind) == name) & (low <= b) & (high >= a) & ((value < a) | (value > b))
+        out = F.when(outside, 1.0).otherwise(out)
+    return out
 
 
-def plausibility(curve: Column, value: Column) -> Column:
-    """1 for values outside the curve type's physical range, else 0."""
-    out = F.lit(0)
-    for name, (lo, hi) in PHYSICAL.items():
-        out = F.when((curve == name) & ((value < lo) | (value > hi)), 1).otherwise(out)
+def trace_costs(prob: DataFrame, setting: DataFrame) -> DataFrame:
+    """image_id, y, x, p (the live score), cost, step, smooth, bend: -log of the score, with rails, the side off the hot one, implausible values and grid rows made dear."""
+    live = live_scores(prob)
+    sizes = P.sizes_of(prob)
+    held = live.join(setting.join(sizes, "image_id"), "image_id")
+    held = held.join(rail_columns(live, sizes).withColumn("rail", F.lit(RAIL_COST)), ["image_id", "x"], "left")
+    held = held.join(grid_rows(live, sizes).withColumn("grid", F.lit(True)), ["image_id", "y"], "left")
+    ramp = F.col("x") / F.greatest(F.lit(1), F.col("width") - 1)
+    side = F.when(F.col("width") < 2, 0.0).when(F.col("hot_side") == "left", ramp).when(F.col("hot_side") == "right", 1 - ramp).otherwise(0.0)
+    lo, hi = F.least("scale_min", "scale_max"), F.greatest("scale_min", "scale_max")
+    value = scaled_value(F.col("x"), F.col("width"), F.col("scale_min"), F.col("scale_max"))
+    cost = -F.log("p") + F.coalesce("rail", F.lit(0.0)) + side + implausible(F.col("curve_type"), value, lo, hi)
+    flat = F.col("grid").isNotNull()
+    return held.select("image_id", "y", "x", F.when(flat, GRID_P).otherwise(F.col("p")).alias("p"), F.when(flat, -F.log(F.lit(GRID_P))).otherwise(cost).alias("cost"), "step", "smooth", "bend")
+
+
+# --- path jobs -------------------------------------------------------------------------------------------------------
+
+
+def _grid(pdf: pd.DataFrame, *values: str) -> list[np.ndarray]:
+    shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+    out = []
+    for v in values:
+        g = np.zeros(shape)
+        g[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[v].to_numpy()
+        out.append(g)
     return out
 
 
-def _grid(pdf: pd.DataFrame, value: str, fill: float) -> tuple[np.ndarray, int]:
-    y0 = int(pdf["y"].min())
-    g = np.full((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) + 1), fill)
-    g[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy()] = pdf[value].to_numpy()
-    return g, y0
+def _job(table: DataFrame, trace: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """One image a task: x and conf of each row; NaN is null."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, conf = trace(pdf)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.arange(len(x), dtype=np.int32), "x": x, "conf": conf})
 
-TRACE = "image_id string, row_idx int, x double, conf double"
+    got = table.groupBy("image_id").applyInPandas(run, TRACE)
+    return got.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
 def seam(prob: DataFrame) -> DataFrame:
     """The path of least 1 - p with steps of at most one column; ties keep the column, then go left."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, y0 = _grid(pdf, "p", 0.0)
+    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        (p,) = _grid(pdf, "p")
         cost = 1 - p
         back = np.zeros(cost.shape, dtype=np.int8)
         total = cost[0]
@@ -144,97 +235,277 @@ def seam(prob: DataFrame) -> DataFrame:
         x[-1] = total.argmin()
         for y in range(len(cost) - 1, 0, -1):
             x[y - 1] = x[y] + back[y, x[y]]
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.arange(len(x), dtype=np.int32) + y0, "x": x.astype(float), "conf": p[np.arange(len(x)), x]})
+        return x.astype(float), p[np.arange(len(x)), x]
 
-    return prob.groupBy("image_id").applyInPandas(run, TRACE)
+    return _job(prob, trace)
 
 
-def viterbi(cost: DataFrame, step: int = 3, weight: float = 0.1, bend: float = 0.0, upward: bool = False) -> DataFrame:
-    """The path of least cost + weight dx^2 + bend (second difference)^2, steps within `step`; rows as columns at a time.
+def _path(cost: np.ndarray, p: np.ndarray, step: int, smooth: float, bend: float) -> tuple[np.ndarray, np.ndarray]:
+    """The path of least cost + smooth dx^2 + bend (second difference)^2, all columns of a row and all moves at a time.
 
-    The end is the best within the last fifth of rows; below it the row's strongest place is followed. Confidence is p
-    less the strongest other place within the step. cost has image_id, y, x, cost, p.
+    It ends at the cheapest place of the last fifth of rows; below that the strongest place within the step is followed.
+    Ties come from the left. conf is p less the second highest p within the step; rows under 0.01 have no place.
+    """
+    n, w = cost.shape
+    at, moves = np.arange(w), np.arange(step, -step - 1, -1)[:, None]
+    came = at - moves
+    inside = (came >= 0) & (came < w)
+    came = np.where(inside, came, 0)
+    base = np.where(inside, smooth * moves.astype(float) ** 2, np.inf)
+    back = np.zeros((n, w), dtype=np.int32)
+    total, least = cost[0], [(cost[0].min(), cost[0].argmin())]
+    for y in range(1, n):
+        ways = total[came] + base
+        if bend > 0 and y >= 2:
+            ways = ways + bend * (at - 2 * came + back[y - 1][came]).astype(float) ** 2
+        pick = ways.argmin(0)
+        back[y] = came[pick, at]
+        total = cost[y] + ways[pick, at]
+        least.append((total.min(), total.argmin()))
+    end = min(range(int(n * 0.8), n), key=lambda y: least[y][0])
+    x = np.empty(n, dtype=np.int64)
+    x[end] = least[end][1]
+    for y in range(end, 0, -1):
+        x[y - 1] = back[y, x[y]]
+    for y in range(end + 1, n):
+        low = max(0, x[y - 1] - step)
+        x[y] = low + p[y, low : x[y - 1] + step + 1].argmax()
+    rows = np.arange(n)
+    spots = x[:, None] + np.arange(-step, step + 1)
+    near = np.where((spots >= 0) & (spots < w), p[rows[:, None], np.clip(spots, 0, w - 1)], -1.0)
+    second = np.sort(near, axis=1)[:, -2] if near.shape[1] > 1 else np.full(n, -1.0)
+    own = p[rows, x]
+    return np.where(own < 0.01, np.nan, x.astype(float)), own - np.maximum(second, 0.0)
+
+
+def _both_ways(cost: np.ndarray, p: np.ndarray, step: int, smooth: float, bend: float) -> tuple[np.ndarray, np.ndarray]:
+    """Paths down and up: their mean, or the likelier one where they are over 5 columns apart; the one that has a place."""
+    if min(cost.shape) < 2:
+        return np.full(len(cost), np.nan), np.zeros(len(cost))
+    a, ca = _path(cost, p, step, smooth, bend)
+    b, cb = (v[::-1] for v in _path(cost[::-1], p[::-1], step, smooth, bend))
+    rows = np.arange(len(a))
+    spot = lambda v: p[rows, np.nan_to_num(v).astype(int)]
+    has, had = np.isfinite(a), np.isfinite(b)
+    apart = np.where(spot(a) > spot(b), a, b)
+    x = np.where(has & had, np.where(np.abs(a - b) > 5, apart, (a + b) / 2), np.where(has, a, b))
+    return x, np.where(has & had, (ca + cb) / 2, np.where(has, ca, np.where(had, cb, 0.0)))
+
+
+def viterbi(costs: DataFrame) -> DataFrame:
+    """The path of each image of a cost table with its step, smooth and bend, downwards."""
+
+    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        cost, p = _grid(pdf, "cost", "p")
+        return _path(cost, p, int(pdf["step"].iloc[0]), float(pdf["smooth"].iloc[0]), float(pdf["bend"].iloc[0]))
+
+    return _job(costs, trace)
+
+
+def dp_tracer(prob: DataFrame, setting: DataFrame) -> DataFrame:
+    """Cost table, then both directions and their merge in one task an image."""
+
+    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        cost, p = _grid(pdf, "cost", "p")
+        return _both_ways(cost, p, int(pdf["step"].iloc[0]), float(pdf["smooth"].iloc[0]), float(pdf["bend"].iloc[0]))
+
+    return _job(trace_costs(prob, setting), trace)
+
+
+def _run_round(row: np.ndarray, i: int, least: float) -> tuple[int, int]:
+    """The run round place i whose values reach the least: first place, and one past the last."""
+    low = np.flatnonzero(row < least)
+    k = np.searchsorted(low, i)
+    return (low[k - 1] + 1 if k else 0), (low[k] if k < len(low) else len(row))
+
+
+def _next_place(ridge: np.ndarray, raw: np.ndarray, before: float, crest: bool, reach: int) -> tuple[float, float]:
+    """Place and strength of the best peak of a row within the reach of the place before: its strength less what its distance costs; without a peak, the strongest place."""
+    first = max(0, round(before) - reach)
+    row = ridge[first : round(before) + reach + 1]
+    least = 0.005 if crest else 0.012
+    if not len(row) or row.max() < least:
+        return np.nan, 0.0
+    start = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+    v = row[start]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= least)) + 1
+    if len(top):
+        at = (start[top] + start[top + 1] - 1) // 2
+        off, strength = np.abs(first + at - before) / reach, row[at]
+        dear = 0.15 * off**2 * (1 - 0.5 * strength) if crest else 0.020 * off * (1 - strength)
+        i = int(at[(strength - dear).argmax()])
+    else:
+        i = int(row.argmax())
+    peak, held = row[i], row
+    if crest and raw[first + i] > 0.001:
+        held = raw[first : first + len(row)]
+        peak = held[i]
+    a, b = _run_round(held, i, max(0.70 * peak, 0.0025) if crest else max(0.40 * peak, 0.003))
+    weight = held[a:b]
+    if not weight.sum() > 1e-6:
+        return float(first + i), float(peak)
+    return float((np.arange(first + a, first + b) * weight).sum() / weight.sum()), float(peak)
+
+
+def followed(prob: DataFrame, crest: bool = False, reach: int = 80) -> DataFrame:
+    """Follows peaks down and up from the strongest place of the row of most ink; rows without a peak in reach have no place.
+
+    Crest mode follows the column `ridge` of the table, reaches further where a row is strong, and looks three times as
+    far where nothing was found.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, y0 = _grid(pdf, "cost", 30.0)
-        p, _ = _grid(pdf, "p", 0.0)
-        if upward:
-            c, p = c[::-1], p[::-1]
-        n, w = c.shape
-        moves = np.arange(-step, step + 1)
-        total, back, slope, at = c[0].copy(), np.zeros((n, w), np.int16), np.zeros(w), np.arange(w)
-        least = [(total.min(), total.argmin())]
-        for y in range(1, n):
-            ways = np.full((len(moves), w), np.inf)
-            for i, d in enumerate(moves):
-                ok = (at - d >= 0) & (at - d < w)
-                ways[i, ok] = total[at[ok] - d] + weight * d * d + bend * (d - slope[at[ok] - d]) ** 2
-            pick = ways.argmin(0)
-            back[y] = moves[pick]
-            slope = moves[pick].astype(float)
-            total = c[y] + ways[pick, at]
-            least.append((total.min(), total.argmin()))
-        ends = range(min(int(n * 0.8), n - 1), n)
-        end = min(ends, key=lambda y: least[y][0] / (y + 1))
-        x = np.empty(n, dtype=np.int64)
-        x[end] = least[end][1]
-        for y in range(end, 0, -1):
-            x[y - 1] = x[y] - back[y, x[y]]
-        for y in range(end + 1, n):
-            lo = max(0, x[y - 1] - step)
-            x[y] = lo + p[y, lo : x[y - 1] + step + 1].argmax()
-        rows = np.arange(n)
-        own = p[rows, x]
-        other = np.zeros(n)
-        for d in moves[moves != 0]:
-            ok = (x + d >= 0) & (x + d < w)
-            other[ok] = np.maximum(other[ok], p[rows[ok], x[ok] + d])
-        out = pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": ((n - 1 - rows if upward else rows) + y0).astype(np.int32), "x": np.where(own < 0.01, np.nan, x.astype(float)), "conf": own - other})
-        return out.astype(object).where(out.notna(), None).astype({"row_idx": "int32", "conf": float}) if out["x"].isna().any() else out
-
-    got = cost.groupBy("image_id").applyInPandas(run, TRACE)
-    return got.withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
-
-
-def followed(prob: DataFrame, reach: int = 80, pull: float = 0.02, least: float = 0.012) -> DataFrame:
-    """Follows peaks down and up from the strongest: of the next row's peaks in reach, the one of highest p less pull times distance."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {y: (g["x"].to_numpy(float), g["p"].to_numpy()) for y, g in pdf.sort_values(["y", "x"]).groupby("y")}
-        top = pdf.sort_values(["p", "y", "x"], ascending=[False, True, True]).iloc[0]
-        out = {int(top["y"]): (float(top["x"]), float(top["p"]))}
-        for rows in (sorted(y for y in by if y > top["y"]), sorted((y for y in by if y < top["y"]), reverse=True)):
-            x = float(top["x"])
+    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        p, *more = _grid(pdf, "p", "ridge") if crest else _grid(pdf, "p")
+        ridge = more[0] if more else p
+        n = len(p)
+        x, conf = np.full(n, np.nan), np.zeros(n)
+        start = int(ridge.sum(1).argmax())
+        x[start] = ridge[start].argmax()
+        conf[start] = ridge[start].max()
+        for rows in (range(start + 1, n), range(start - 1, -1, -1)):
+            before = x[start]
             for y in rows:
-                xs, ps = by[y]
-                near = np.abs(xs - x) <= reach
-                if near.any():
-                    score = np.where(near, ps - pull * np.abs(xs - x), -np.inf)
-                    i = int(score.argmax())
-                    x = float(xs[i])
-                    out[int(y)] = (x, float(ps[i]))
-        rows = sorted(out)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.array(rows, np.int32), "x": [out[y][0] for y in rows], "conf": [out[y][1] for y in rows]})
-
-    return peaks(prob, least).groupBy("image_id").applyInPandas(run, TRACE)
-
-
-def dp_tracer(prob: DataFrame, **kw) -> DataFrame:
-    """Costs, both directions, merged; prob has image_id, y, x, p and centre."""
-    cost = live_score(prob)
-    return merged(viterbi(cost, **kw), viterbi(cost, upward=True, **kw))
-
-
-def dot_print_tracer(prob: DataFrame) -> DataFrame:
-    """Peak following, with the row's own maximum and then the seam taken where stronger."""
-    return fused(seam(prob), fused(max_centroid(prob), followed(prob), 1.0, None), 1.0, None)
-
-
-def multiscale_tracer(prob: DataFrame, scales: tuple[int, ...] = (1, 2), step: int = 3) -> DataFrame:
-    """Traces at several column scales, averaged by confidence."""
-    held = prob.withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
-    down = held.groupBy(F.concat_ws("|", "scale", "image_id").alias("image_id"), "y", F.floor(F.col("x") / F.col("scale")).cast("int").alias("x")).agg(F.max("p").alias("p"), F.max("centre").alias("centre"))
-    t = dp_tracer(down, step=step).withColumn("scale", F.split("image_id", r"\|", 2)[0].cast("int")).withColumn("image_id", F.split("image_id", r"\|", 2)[1])
-    x, c = F.col("x") * F.col("scale") + (F.col("scale") - 1) / 2, F.greatest(F.col("conf"), F.lit(1e-6))
-    return t.where("x is not null").groupBy("image_id", "row_idx").agg((F.sum(x * c) / F.sum(c)).alias("x"), F.max("conf").alias("conf"))
+                far = reach + int(6 * ridge[y].max()) if crest else reach
+                x[y], conf[y] = _next_place(ridge[y], p[y], before, crest, far)
+                if crest and np.isnan(x[y]):
+                    x[y], conf[y] = _next_place(ridge[y], p[y], before, crest, 3 * far)
+                if np.isfinite(x[y]):
+                    before = x[y]
+        return x, conf
+
+    return _job(prob, trace)
+
+
+# --- tracers ---------------------------------------------------------------------------------------------------------
+
+
+def dot_print_prob(mask: DataFrame, hues: DataFrame | None = None, crest: bool = False) -> DataFrame:
+    """image_id, y, x, p, and in crest mode ridge, from a mask's grey values: ink of the curve's hue, dots joined by a closing, blurred unless in crest mode, times 1.25."""
+    p = mask.select("image_id", "y", "x", (F.col("value") / 255.0).alias("p"))
+    if hues is not None:
+        p = p.join(P.hue_weight(hues), ["image_id", "y", "x"]).select("image_id", "y", "x", (F.col("p") * F.col("weight")).alias("p"))
+    p = P.closed(p.withColumn("own", F.col("p")), "p", *((3, 11) if crest else (4, 6)))
+    p = p.select("image_id", "y", "x", F.greatest("own", "p").alias("p"))
+    if not crest:
+        p = P.blur(p, "p", whole=False)
+    p = p.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") * 1.25)))
+    if not crest:
+        return p
+    r = P.box_mean_down(p.withColumn("ridge", F.col("p")), "ridge", 15).withColumn("ridge", F.greatest("p", "ridge"))
+    r = P.gradient(r, "p", replicate=False).withColumn("steep", F.abs("gy"))
+    top = r.groupBy("image_id").agg(F.max("steep").alias("top"))
+    steep = F.when(F.col("top") > 1e-6, F.col("steep") / (F.col("top") + 1e-6)).otherwise(0.0)
+    r = r.join(top, "image_id").withColumn("ridge", F.col("ridge") * (1.0 + 0.6 * steep))
+    return r.select("image_id", "y", "x", "p", F.max("ridge").over(P.along_col().rowsBetween(-1, 1)).alias("ridge"))
+
+
+def dot_print_tracer(mask: DataFrame, hues: DataFrame | None = None, crest: bool = False, limit: int = 25) -> DataFrame:
+    """Peak following with gaps of up to 25 rows filled, the row's own maximum where stronger, then (not in crest mode) the seam where stronger."""
+    p = dot_print_prob(mask, hues, crest)
+    trace = interpolated(followed(p, crest), ("image_id",), limit)
+    trace = fused(trace, max_centroid(p), p.withColumn("p", F.col("ridge")) if crest else p)
+    return trace if crest else fused(trace, seam(p), p)
+
+
+def ridge_tracer(mask: DataFrame) -> DataFrame:
+    """The cheapest seam along the largest component of the ridge of what is left of a mask without rails; conf 1. Images without any have no places and conf 0."""
+    left = P.without_rails(mask, P.sizes_of(mask))
+    ridge = P.centre_score(left).where("mid").select("image_id", "y", "x", F.lit(True).alias("on"))
+    kept = P.largest_component(ridge).withColumn("p", F.lit(1.0))
+    some = kept.select("image_id").distinct().withColumn("some", F.lit(True))
+    prob = mask.select("image_id", "y", "x").join(kept, ["image_id", "y", "x"], "left").fillna(0.0, ["p"])
+    got = seam(prob).join(some, "image_id", "left")
+    return got.select("image_id", "row_idx", F.when(F.col("some"), F.col("x")).alias("x"), F.coalesce(F.col("some").cast("double"), F.lit(0.0)).alias("conf"))
+
+
+def scale_sets(mask: DataFrame, setting: DataFrame) -> DataFrame:
+    """image_id, width, height, jagged (0.5 to 2), scales: for GR by the density of edges and the variance of the mask, else fixed; images under 4 rows or columns have one."""
+    size = P.sizes_of(mask)
+    edge = P.edges(mask.select("image_id", "y", "x", F.col("value").cast("double").alias("value")), 30.0, 100.0).groupBy("image_id").agg(F.count(F.lit(1)).alias("edge"))
+    spread = mask.groupBy("image_id").agg(F.var_pop(F.col("value") / 255.0).alias("spread"))
+    held = setting.select("image_id", "curve_type").join(size, "image_id").join(spread, "image_id").join(edge, "image_id", "left")
+    density = F.coalesce("edge", F.lit(0)) / (F.col("width") * F.col("height"))
+    fixed = lambda scales: F.array(*map(F.lit, scales))
+    gr = F.when((density > 0.15) | (F.col("spread") > 0.1), fixed(JAGGED)).when((density > 0.08) | (F.col("spread") > 0.05), fixed(BALANCED)).otherwise(fixed(SMOOTH))
+    scales = F.when((F.col("width") < 4) | (F.col("height") < 4), fixed((1.0,))).when(F.upper("curve_type") == "GR", gr).otherwise(fixed(SMOOTH))
+    return held.select("image_id", "width", "height", F.least(F.lit(2.0), F.greatest(F.lit(0.5), 1.0 + 5 * density)).alias("jagged"), scales.alias("scales"))
+
+
+def multiscale_tracer(mask: DataFrame, setting: DataFrame) -> DataFrame:
+    """Traces of the mask (grey values) at several scales of both axes, read back at every row and averaged by confidence; conf is their highest.
+
+    A scale over 0.5 is read linearly, a smaller one by area. Each scale has its own step and weights.
+    """
+    sets = P.cut(scale_sets(mask, setting)).select("*", F.explode("scales").alias("scale")).drop("scales")
+    key = F.format_string("%s|%s", F.col("scale").cast("string"), F.col("image_id"))
+    side = lambda c: F.greatest(F.lit(4), F.floor(F.col(c) * F.col("scale"))).cast("int")
+    sets = sets.select("image_id", "width", "height", "jagged", "scale", key.alias("key"), side("width").alias("out_w"), side("height").alias("out_h"))
+    held = mask.select("image_id", "y", "x", F.col("value").cast("double").alias("value")).join(sets, "image_id")
+    held = held.withColumn("image_id", F.col("key"))
+    args = F.col("width"), F.col("height"), F.col("out_w"), F.col("out_h")
+    scaled = held.where("scale = 1").select("image_id", "y", "x", "value")
+    scaled = scaled.union(P.bilinear_resampled(held.where("scale < 1 and scale > 0.5"), *args).select("image_id", "y", "x", "value"))
+    scaled = scaled.union(P.area_resampled(held.where("scale <= 0.5"), *args).select("image_id", "y", "x", "value"))
+    prob = scaled.select("image_id", "y", "x", (F.round("value") / 255.0).alias("p"))
+
+    gr = F.upper("curve_type") == "GR"
+    smooth = F.when(gr & (F.col("smooth") > 0.01), 0.001).otherwise(F.col("smooth"))
+    least = lambda c: F.when(gr, F.greatest(F.lit(1e-6), c * F.col("jagged"))).otherwise(c)
+    own = setting.join(sets, "image_id").withColumn("image_id", F.col("key"))
+    own = own.withColumn("smooth", least(smooth * F.col("scale"))).withColumn("bend", least(F.col("bend") * F.col("scale")))
+    own = own.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("step") * F.col("scale") * F.when(gr, 1.2).otherwise(1.0))).cast("int"))
+    got = dp_tracer(prob, own.select("image_id", *SETTINGS)).select(F.col("image_id").alias("key"), "row_idx", "x", "conf")
+
+    rows = sets.select("image_id", "key", "scale", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+    rows = rows.withColumn("at", F.col("row") * F.col("scale")).withColumn("a", F.floor("at").cast("int")).withColumn("b", F.floor("at").cast("int") + 1)
+    part = lambda i, n: got.select("key", F.col("row_idx").alias(i), F.col("x").alias(f"x{n}"), F.col("conf").alias(f"c{n}"))
+    j = rows.join(part("a", 0), ["key", "a"]).where("x0 is not null").join(part("b", 1), ["key", "b"], "left")
+    f = F.when(F.col("x1").isNotNull(), F.col("at") - F.col("a")).otherwise(0.0)
+    lerp = lambda u, v: u * (1 - f) + F.coalesce(v, F.lit(0.0)) * f
+    j = j.select("image_id", "row", "scale", (lerp(F.col("x0"), F.col("x1")) / F.col("scale")).alias("x"), lerp(F.col("c0"), F.col("c1")).alias("c"))
+    total = F.sum("c")
+    mean = F.when(total > 0, F.sum(F.col("x") * F.col("c")) / total).otherwise(F.max_by("x", "scale"))
+    done = j.groupBy("image_id", F.col("row").alias("row_idx")).agg(mean.alias("x"), F.when(total > 0, F.max("c")).otherwise(0.0).alias("conf"))
+    every = sets.select("image_id", "height").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row_idx"))
+    return every.join(done, ["image_id", "row_idx"], "left").select("image_id", "row_idx", "x", F.coalesce("conf", F.lit(0.0)).alias("conf"))
+
+
+# --- the digitize job ------------------------------------------------------------------------------------------------
+
+
+def digitize(pixels: DataFrame, jobs: DataFrame, blur: int = 3, min_run: int = 2, window: int = 5, null: float = -999.25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From pixels (image_id, y, x, b, g, r) and one job row a curve to curve values, traces and LAS text.
+
+    Jobs: image_id, pos, name, unit, mode, left_px, right_px, top_px, bottom_px, left_value, right_value, top_depth,
+    bottom_depth, depth_unit, metadata (map). Gives values (file, idx, depth, mnemonic, value, null marker in place),
+    points of the traces (image_id, name, points) and texts (file, text, name).
+    """
+    from ..functions.columns import first_metadata, las_file_name, mode_mask
+    from ..sources.las import las_text
+
+    key = F.format_string("%s|%s", F.col("image_id"), F.col("pos").cast("string"))
+    size = P.sizes_of(pixels)
+    held = jobs.join(size, "image_id").withColumn("key", key)
+    held = held.withColumn("top_px", F.greatest(F.lit(0), "top_px")).withColumn("bottom_px", F.least("bottom_px", "height")).withColumn("right_px", F.least("right_px", "width"))
+    held = P.cut(held.drop("width", "height"))
+    roi = P.crop(pixels, held.select("image_id", "key", "mode", "left_px", "right_px", "top_px", "bottom_px"))
+    roi = roi.select(F.col("key").alias("image_id"), "mode", "y", "x", *(F.col(c).cast("double").alias(c) for c in "bgr"))
+    if blur > 0:
+        for c in "bgr":
+            roi = P.blur(roi, c, blur)
+    roi = P.cut(roi)
+    mask = P.curve_mask(roi, mode_mask(F.col("mode"), F.col("b"), F.col("g"), F.col("r")))
+    trace = P.cut(smoothed(row_picks(mask, mask.select("image_id", F.col("y").alias("row_idx")).distinct(), min_run), window=window))
+
+    named = trace.withColumnRenamed("image_id", "key").join(held, "key")
+    n = F.col("bottom_px") - F.col("top_px")
+    value = F.coalesce(scaled_value(F.col("x"), F.col("right_px") - F.greatest(F.lit(0), "left_px"), F.col("left_value"), F.col("right_value")), F.lit(null))
+    values = named.select(F.col("image_id").alias("file"), F.col("row_idx").alias("idx"), depth_at(F.col("row_idx"), n, F.col("top_depth"), F.col("bottom_depth")).alias("depth"), F.col("name").alias("mnemonic"), value.alias("value"))
+    point = F.struct((F.col("row_idx") + F.col("top_px")).alias("y"), (F.col("x") + F.col("left_px")).alias("x"))
+    points = named.where("x is not null").groupBy("image_id", "name").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    wells = held.groupBy(F.col("image_id").alias("file")).agg(
+        F.first("depth_unit").alias("unit"), F.first("metadata").alias("metadata"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "unit"))), lambda c: F.struct(c["name"].alias("name"), c["unit"].alias("unit"))).alias("curves"))
+    texts = las_text(values, wells).join(wells, "file")
+    md = F.col("metadata")
+    name = las_file_name(first_metadata(md, "COMP"), first_metadata(md, "WELL"))
+    return values, points, texts.select("file", "text", name.alias("name"))

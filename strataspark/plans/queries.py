@@ -1,585 +1,8 @@
-"""One query for each operator or small group of operators, over the given tables, with the SQL that checks it."""
+"""All queries over the given tables: importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import account_queries, curve_queries, document_queries, learning_queries, pairing_queries, pixel_queries, source_queries, trace_queries, training_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from ..functions import columns as C
-from ..operators import accounts, curves, documented, evaluation, learning, pairing, pixels, traces, training
-from ..sources import las, records
-from .standins import ADJUSTMENTS, AS_OF, RASTER, SAMPLES, USERS, adjustments, raster, samples, t, users
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-W64 = 64
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
-def r6(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
-def whole(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
-
-
-_V = "CASE WHEN isnan(value) OR value IN (-999.25, -999, -9999, 999.25) THEN NULL ELSE value END"
-
-
-@query("trc_digitize", f"""WITH {RASTER},
-pick AS (SELECT image_id, y AS row_idx, CASE WHEN count(*) FILTER ("on") >= 2 THEN quantile_cont(x, 0.5) FILTER ("on") END AS x0 FROM pix GROUP BY 1, 2),
-med AS (SELECT *, quantile_cont(x0, 0.5) OVER (PARTITION BY image_id ORDER BY row_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM pick),
-near AS (SELECT *, max(CASE WHEN m IS NOT NULL THEN row_idx END) OVER (PARTITION BY image_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS lo,
-  min(CASE WHEN m IS NOT NULL THEN row_idx END) OVER (PARTITION BY image_id ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi, count(*) OVER (PARTITION BY image_id) AS n FROM med),
-fill AS (SELECT n.*, a.m AS av, b.m AS bv FROM near n LEFT JOIN med a ON a.image_id = n.image_id AND a.row_idx = n.lo LEFT JOIN med b ON b.image_id = n.image_id AND b.row_idx = n.hi),
-tr AS (SELECT image_id, row_idx, n, CASE WHEN m IS NOT NULL THEN m WHEN NOT coalesce(least(row_idx - lo, hi - row_idx) <= 50, false) THEN NULL WHEN av IS NULL THEN bv WHEN bv IS NULL THEN av ELSE av + (row_idx - lo) / (hi - lo) * (bv - av) END AS x FROM fill)
-SELECT image_id, CAST(row_idx AS BIGINT) AS row_idx, round(1000 + row_idx / greatest(1, n - 1) * 500, 6) AS depth, round(coalesce(0 + x / 63 * 150, -999.25), 6) AS value FROM tr""")
-def trc_digitize(spark, sf):
-    p = raster(spark, sf)
-    trace = traces.smoothed(traces.row_picks(p.select("image_id", "y", "x", "on"), p.select("image_id", F.col("y").alias("row_idx")).distinct()))
-    return whole(r6(traces.digitized(trace, W64, 0.0, 150.0, 1000.0, 1500.0), "depth", "value"), "row_idx")
-
-
-@query("crv_features", f"""WITH {SAMPLES}, v AS (SELECT *, {_V} AS v FROM samples),
-ok AS (SELECT well, curve, idx, v, abs(v - lag(v) OVER (PARTITION BY well, curve ORDER BY idx)) AS step FROM v WHERE v IS NOT NULL),
-sd AS (SELECT *, stddev_pop(step) OVER (PARTITION BY well, curve) AS sd FROM ok),
-sp AS (SELECT well, curve, count(*) FILTER (sd > 1e-6 AND step > 5 * sd) AS k FROM sd GROUP BY 1, 2),
-f AS (SELECT well, curve, count(*) AS num_samples, count(v) AS num_valid, min(v) AS "min", max(v) AS "max", avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM v GROUP BY 1, 2),
-g AS (SELECT f.*, (1 - num_valid / num_samples) * 100 AS pct_missing, CASE WHEN num_valid > 10 THEN coalesce(k, 0) / num_valid * 100 ELSE 0 END AS pct_spikes FROM f LEFT JOIN sp USING (well, curve))
-SELECT well, curve, num_samples, num_valid, round("min", 6) AS "min", round("max", 6) AS "max", round(mean, 6) AS mean, round(std, 6) AS std, round(p05, 6) AS p05, round(p50, 6) AS p50, round(p95, 6) AS p95, round(pct_missing, 6) AS pct_missing, round(pct_spikes, 6) AS pct_spikes,
- concat_ws(',', CASE WHEN pct_missing > 30 THEN 'high_missing' END, CASE WHEN pct_spikes > 5 THEN 'spiky' END) AS flags FROM g""")
-def crv_features(spark, sf):
-    f = curves.features(samples(spark, sf))
-    f = f.withColumn("flags", F.array_join(C.quality_flags(F.col("pct_missing"), F.col("pct_spikes")), ","))
-    return r6(f, "min", "max", "mean", "std", "p05", "p50", "p95", "pct_missing", "pct_spikes")
-
-
-@query("crv_well_info", f"""WITH {SAMPLES} SELECT well, round(arg_min(depth, idx), 6) AS first_depth, round(arg_max(depth, idx), 6) AS last_depth, count(*) AS num_samples FROM samples GROUP BY 1""")
-def crv_well_info(spark, sf):
-    return r6(curves.well_info(samples(spark, sf)), "first_depth", "last_depth")
-
-
-_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(s, '{w}')''' for w in ws)} THEN '{k}'" for k, ws in C.TYPE_WORDS) + " ELSE 'OTHER' END"
-
-
-@query("crv_type_guess", f"WITH x AS (SELECT p_partkey, upper(p_name || ' ' || p_type) AS s FROM part), y AS (SELECT p_partkey, {_TYPE} AS type FROM x) SELECT p_partkey, type, CASE type WHEN 'DT' THEN 'DTC' WHEN 'RES' THEN 'OTHER' ELSE type END AS mnemonic FROM y")
-def crv_type_guess(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", C.curve_type(F.col("p_name"), F.col("p_type")).alias("type"))
-    d = spark.createDataFrame([(k, m) for k, (m, _) in C.TYPE_DEFAULTS.items()], "type string, mnemonic string")
-    return p.join(F.broadcast(d), "type", "left").select("p_partkey", "type", F.coalesce("mnemonic", F.lit("OTHER")).alias("mnemonic"))
-
-
-@query("crv_labels", "WITH x AS (SELECT p_partkey, upper(p_name || ' ' || p_brand || ' ' || p_type) AS s FROM part) SELECT p_partkey, concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(s, '{w}')''' for w in ws)} THEN '{k}' END" for k, ws in sorted(C.LABEL_WORDS.items())) + ") AS labels FROM x")
-def crv_labels(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", F.array_join(C.curve_labels(F.concat_ws(" ", "p_name", "p_brand", "p_type")), ",").alias("labels"))
-
-
-@query("crv_label_mapping", """WITH c AS (SELECT p_brand AS well, p_partkey AS pos, p_name AS mnemonic FROM part), l AS (SELECT DISTINCT p_brand AS well, upper(split_part(p_name, ' ', 2)) AS label FROM part)
-SELECT well, label, mnemonic FROM (SELECT l.well, l.label, c.mnemonic, row_number() OVER (PARTITION BY l.well, l.label ORDER BY upper(c.mnemonic) <> l.label, c.pos) AS n FROM l LEFT JOIN c ON c.well = l.well AND contains(upper(c.mnemonic), l.label)) WHERE n = 1""")
-def crv_label_mapping(spark, sf):
-    p = t(spark, sf, "part")
-    return curves.label_mapping(p.select(F.col("p_brand").alias("well"), F.upper(F.split("p_name", " ")[1]).alias("label")).distinct(), p.select(F.col("p_brand").alias("well"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("mnemonic")))
-
-
-@query("pair_aliases", """WITH c AS (SELECT p_brand AS well, p_partkey AS pos, CASE p_size % 6 WHEN 0 THEN 'gr' WHEN 1 THEN 'SGR' WHEN 2 THEN 'DEN' WHEN 3 THEN 'RHOZ' WHEN 4 THEN 'DTCO' ELSE 'X' END AS mnemonic FROM part),
-a(target, place, alias) AS (VALUES """ + ", ".join(f"('{k}', {i}, '{a}')" for k, ns in C.ALIASES.items() for i, a in enumerate(ns)) + """)
-SELECT well, target, arg_min(mnemonic, place * 1000000000 + pos) AS mnemonic FROM c JOIN a ON upper(mnemonic) = alias GROUP BY 1, 2""")
-def pair_aliases(spark, sf):
-    m = F.element_at(F.array(*map(F.lit, ("gr", "SGR", "DEN", "RHOZ", "DTCO", "X"))), F.col("p_size") % 6 + 1)
-    return curves.aliases(t(spark, sf, "part").select(F.col("p_brand").alias("well"), F.col("p_partkey").alias("pos"), m.alias("mnemonic")))
-
-
-@query("crv_numeric_tokens", r"""SELECT event_id, array_to_string(regexp_extract_all(props || ' x-3.5y .25 7', '(-?\d*\.?\d+)'), ' ') AS tokens FROM events""")
-def crv_numeric_tokens(spark, sf):
-    return t(spark, sf, "events").select("event_id", F.array_join(C.numeric_tokens(F.concat("props", F.lit(" x-3.5y .25 7"))), " ").alias("tokens"))
-
-
-@query("crv_first_json", """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(props->>'k' AS BIGINT) END AS k FROM events""")
-def crv_first_json(spark, sf):
-    e = t(spark, sf, "events")
-    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("so: "), "props", F.lit(" end"))).otherwise("no {json")
-    return e.select("event_id", F.get_json_object(C.first_json(text), "$.k").cast("long").alias("k"))
-
-
-@query("crv_ocr_text", """SELECT conv_id AS image_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1""")
-def crv_ocr_text(spark, sf):
-    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("a"))
-    return c.select(F.col("conv_id").alias("image_id"), F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text"))
-
-
-@query("crv_payload")
-def crv_payload(spark, sf):
-    return curves.payload(curves.features(samples(spark, sf)), C.curve_labels(F.lit("GR RHOB NEUTRON")))
-
-
-@query("doc_regular_depth", f"""WITH {SAMPLES}, v AS (SELECT well, curve, depth AS dp, {_V} AS v, 0 AS asks FROM samples),
-b AS (SELECT well, curve, min(dp) AS lo, max(dp) AS hi FROM v GROUP BY 1, 2), g AS (SELECT well, curve, lo + i * 0.5::DOUBLE AS dp FROM b, LATERAL (SELECT unnest(range(0, CAST(floor((hi - lo) / 0.5) AS BIGINT) + 1)) AS i)),
-u AS (SELECT well, curve, dp, v, 0 AS asks FROM v WHERE v IS NOT NULL UNION ALL SELECT well, curve, dp, NULL, 1 FROM g),
-n AS (SELECT *, max(CASE WHEN asks = 0 THEN dp END) OVER (PARTITION BY well, curve ORDER BY dp, asks ROWS UNBOUNDED PRECEDING) AS la, min(CASE WHEN asks = 0 THEN dp END) OVER (PARTITION BY well, curve ORDER BY dp, asks ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ha, count(v) OVER (PARTITION BY well, curve) AS k FROM u)
-SELECT n.well, n.curve, round(n.dp, 6) AS depth, round(CASE WHEN k < 1 THEN NULL WHEN a.v IS NULL THEN b.v WHEN b.v IS NULL OR la = n.dp THEN a.v ELSE a.v + (n.dp - la) / (ha - la) * (b.v - a.v) END, 6) AS value
-FROM n LEFT JOIN v a ON a.well = n.well AND a.curve = n.curve AND a.dp = la LEFT JOIN v b ON b.well = n.well AND b.curve = n.curve AND b.dp = ha WHERE n.asks = 1""")
-def doc_regular_depth(spark, sf):
-    return r6(curves.regular_depth(samples(spark, sf), ("well", "curve")), "depth", "value")
-
-
-@query("pix_colours", f"""WITH {RASTER}, h AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM pix)
-SELECT image_id, sum(CAST(round(0.299 * r::DOUBLE + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS BIGINT))::BIGINT AS gray, count(*) FILTER (r > 120 AND r > g + 20 AND r > b + 20) AS red, count(*) FILTER (v <= 80) AS black, sum(v)::BIGINT AS value FROM h GROUP BY 1""")
-def pix_colours(spark, sf):
-    p = raster(spark, sf)
-    b, g, r = F.col("b"), F.col("g"), F.col("r")
-    return p.groupBy("image_id").agg(F.sum(C.gray(b, g, r)).alias("gray"), F.count_if(C.mode_mask(F.lit("red"), b, g, r)).alias("red"), F.count_if(C.mode_mask(F.lit("black"), b, g, r)).alias("black"), F.sum(C.hsv(b, g, r)["v"]).alias("value"))
-
-
-@query("pix_dominant_hue")
-def pix_dominant_hue(spark, sf):
-    return pixels.dominant_hue(raster(spark, sf).withColumn("c", C.hsv(F.col("b"), F.col("g"), F.col("r"))).select("image_id", "x", F.lit(W64).alias("width"), "c.*"))
-
-
-@query("pix_crop", f"""WITH {RASTER} SELECT image_id, y - 3 AS y, x - 8 AS x, value FROM pix WHERE x >= 8 AND x < 40 AND y >= 3 AND y < 30""")
-def pix_crop(spark, sf):
-    p = raster(spark, sf).select("image_id", "y", "x", "value")
-    return whole(pixels.crop(p, p.select("image_id").distinct().select("image_id", F.lit(8).alias("left_px"), F.lit(40).alias("right_px"), F.lit(3).alias("top_px"), F.lit(30).alias("bottom_px"))), "x", "y")
-
-
-@query("pix_blur", f"""WITH {RASTER},
-h AS (SELECT *, 0.25 * coalesce(lag(value) OVER w, lead(value) OVER w, value) + 0.5 * value + 0.25 * coalesce(lead(value) OVER w, lag(value) OVER w, value) AS s FROM pix WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
-SELECT image_id, y, x, CAST(round(0.25 * coalesce(lag(s) OVER w, lead(s) OVER w, s) + 0.5 * s + 0.25 * coalesce(lead(s) OVER w, lag(s) OVER w, s)) AS BIGINT) AS value FROM h WINDOW w AS (PARTITION BY image_id, x ORDER BY y)""")
-def pix_blur(spark, sf):
-    p = raster(spark, sf).select("image_id", "y", "x", F.col("value").cast("double").alias("value"))
-    return whole(pixels.blur(p), "y", "x", "value")
-
-
-@query("pix_adaptive")
-def pix_adaptive(spark, sf):
-    p = pixels.adaptive_mask(raster(spark, sf).select("image_id", "y", "x", "value"))
-    return p.groupBy("image_id").agg(F.count_if("on").alias("on"))
-
-
-_RUNS = """g0 AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pix WHERE "on"),
-runs AS (SELECT *, min(x) OVER (PARTITION BY image_id, y, g) AS run, count(*) OVER (PARTITION BY image_id, y, g) AS length FROM g0)"""
-
-
-@query("pix_gridlines", f"""WITH {RASTER}, {_RUNS} SELECT image_id, y, x FROM runs WHERE length < CASE WHEN run = 0 THEN 4 - 2 WHEN run + length = 64 THEN 3 ELSE 4 END""")
-def pix_gridlines(spark, sf):
-    return whole(pixels.without_lines(raster(spark, sf).select("image_id", "y", "x", "on"), "x", 4, W64).select("image_id", "y", "x"), "y", "x")
-
-
-@query("pix_spines", f"""WITH {RASTER}, f AS (SELECT image_id, x, count(*) FILTER ("on") / count(*) AS f FROM pix GROUP BY 1, 2) SELECT image_id, y, pix.x FROM pix JOIN f USING (image_id, x) WHERE "on" AND f <= 0.34""")
-def pix_spines(spark, sf):
-    p = raster(spark, sf)
-    h = p.groupBy("image_id").agg(F.count_distinct("y").alias("h"))
-    # Images differ in height here, so the share is weighed by each image's own.
-    full = p.where("on").groupBy("image_id", "x").count().join(h, "image_id").where(F.col("count") / F.col("h") > 0.34)
-    return whole(p.where("on").join(full, ["image_id", "x"], "left_anti").select("image_id", "y", "x"), "y", "x")
-
-
-@query("pix_otsu", f"""WITH {RASTER}, h AS (SELECT image_id, value AS level, count(*) AS n FROM pix GROUP BY 1, 2),
-c AS (SELECT *, sum(n) OVER u AS w0, sum(n * level) OVER u AS s0, sum(n) OVER a AS w, sum(n * level) OVER a AS s FROM h WINDOW u AS (PARTITION BY image_id ORDER BY level), a AS (PARTITION BY image_id)),
-v AS (SELECT image_id, level, round(w0::DOUBLE * (w - w0)::DOUBLE * power(s0::DOUBLE / w0::DOUBLE - (s - s0)::DOUBLE / (w - w0)::DOUBLE, 2), 0) AS bv FROM c WHERE w > w0)
-SELECT image_id, CAST(min(level) AS BIGINT) AS threshold FROM (SELECT *, max(bv) OVER (PARTITION BY image_id) AS m FROM v) WHERE bv = m GROUP BY 1""")
-def pix_otsu(spark, sf):
-    return whole(pixels.otsu(raster(spark, sf)), "threshold")
-
-
-@query("pix_tracks")
-def pix_tracks(spark, sf):
-    return whole(pixels.tracks(pixels.gradient(raster(spark, sf).select("image_id", "y", "x", F.col("value").cast("double").alias("value"))), W64), "left_px", "right_px")
-
-
-@query("pix_bounds", f"""WITH {RASTER}, s AS (SELECT image_id, y, avg(CASE WHEN value < 40 THEN 1.0 ELSE 0.0 END) AS f FROM pix GROUP BY 1, 2), c AS (SELECT *, greatest(0.03, 0.2 * max(f) OVER (PARTITION BY image_id)) AS cut FROM s)
-SELECT image_id, greatest(0, min(y) - 8) AS top_px, least(100000, max(y) + 9) AS bottom_px FROM c WHERE f >= cut GROUP BY 1""")
-def pix_bounds(spark, sf):
-    return whole(pixels.content_bounds(raster(spark, sf).withColumn("value", F.when(F.col("value") < 40, 0).otherwise(255)), 100_000), "top_px", "bottom_px")
-
-
-@query("pix_component")
-def pix_component(spark, sf):
-    return pixels.largest_component(raster(spark, sf).select("image_id", "y", "x", "on")).groupBy("image_id").agg(F.count(F.lit(1)).alias("area"))
-
-
-@query("pix_opening", f"""WITH {RASTER}, a AS (SELECT image_id, y, x, value > 20 AS o FROM pix), b AS (SELECT *, bool_and(o) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS o1 FROM a),
-c AS (SELECT *, bool_and(o1) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS o2 FROM b), d AS (SELECT *, bool_or(o2) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS o3 FROM c),
-e AS (SELECT *, bool_or(o3) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS o4 FROM d) SELECT image_id, count(*) FILTER (o4) AS area FROM e GROUP BY 1""")
-def pix_opening(spark, sf):
-    p = pixels.opened(raster(spark, sf).select("image_id", "y", "x", (F.col("value") > 20).alias("on")))
-    return p.groupBy("image_id").agg(F.count_if("on").alias("area"))
-
-
-@query("pix_area_resample", f"""WITH {RASTER} SELECT image_id, y, x // 4 AS x, round(avg(value), 6) AS value FROM pix GROUP BY 1, 2, 3""")
-def pix_area_resample(spark, sf):
-    p = raster(spark, sf)
-    # Rows of each image are kept: 64 x n becomes 16 x n.
-    return whole(r6(pixels.area_resampled(p.select("image_id", "y", "x", "value"), 64, 1 << 20, 16, 1 << 20), "value"), "y", "x")
-
-
-@query("pix_centre_score", f"""WITH {RASTER}, {_RUNS}, c0 AS (SELECT *, least(x - run, run + length - 1 - x) + 1 AS dx, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS h FROM runs),
-c AS (SELECT *, least(y - min(y) OVER v, max(y) OVER v - y) + 1 AS dy FROM c0 WINDOW v AS (PARTITION BY image_id, x, h)), d AS (SELECT image_id, y, x, least(dx, dy) AS d FROM c)
-SELECT image_id, y, x, round(power(d / max(d) OVER (PARTITION BY image_id), 0.9), 6) AS p FROM d""")
-def pix_centre_score(spark, sf):
-    return whole(r6(pixels.centre_score(raster(spark, sf).select("image_id", "y", "x", "on")), "p"), "y", "x")
-
-
-@query("pix_hue_weight")
-def pix_hue_weight(spark, sf):
-    return pixels.hue_weight(raster(spark, sf).withColumn("c", C.hsv(F.col("b"), F.col("g"), F.col("r"))).select("image_id", "y", "x", F.col("c.h").alias("h"), F.col("value").alias("ink"))).groupBy("image_id").agg(F.round(F.avg("weight"), 6).alias("weight"))
-
-
-@query("trc_span_centroid", f"""WITH {RASTER}, m AS (SELECT *, max(p) OVER (PARTITION BY image_id, y) AS m FROM pix), s AS (SELECT *, min(CASE WHEN p >= greatest(0.12, 0.55 * m) THEN x END) OVER w AS lo, max(CASE WHEN p >= greatest(0.12, 0.55 * m) THEN x END) OVER w AS hi FROM m WHERE m >= 1e-4 WINDOW w AS (PARTITION BY image_id, y))
-SELECT image_id, y AS row_idx, round(sum(x * p) / sum(p), 6) AS x, round(max(m), 6) AS conf FROM s WHERE x BETWEEN lo AND hi GROUP BY 1, 2""")
-def trc_span_centroid(spark, sf):
-    return whole(r6(traces.span_centroid(raster(spark, sf)), "x", "conf"), "row_idx")
-
-
-@query("trc_max_centroid", f"""WITH {RASTER}, m AS (SELECT *, max(p) OVER (PARTITION BY image_id, y) AS m FROM pix), k AS (SELECT *, min(CASE WHEN p = m THEN x END) OVER (PARTITION BY image_id, y) AS spot FROM m),
-g AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS grp FROM k WHERE p >= greatest(0.6 * m, 0.01)), h AS (SELECT *, bool_or(x = spot) OVER (PARTITION BY image_id, y, grp) AS has FROM g)
-SELECT image_id, y AS row_idx, round(sum(x * p) / sum(p), 6) AS x, round(max(m), 6) AS conf FROM h WHERE has GROUP BY 1, 2""")
-def trc_max_centroid(spark, sf):
-    return whole(r6(traces.max_centroid(raster(spark, sf)), "x", "conf"), "row_idx")
-
-
-@query("trc_peaks", f"""WITH {RASTER}, s AS (SELECT *, CASE WHEN lag(p) OVER w = p THEN 0 ELSE 1 END AS st FROM pix WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), g AS (SELECT *, sum(st) OVER (PARTITION BY image_id, y ORDER BY x) AS grp FROM s),
-i AS (SELECT image_id, y, grp, min(x) AS a, max(x) AS b, min(p) AS p FROM g GROUP BY 1, 2, 3), n AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM i WINDOW w AS (PARTITION BY image_id, y ORDER BY grp))
-SELECT image_id, y, (a + b) // 2 AS x, round(p, 6) AS p FROM n WHERE p > before AND p > after AND p >= 0.012""")
-def trc_peaks(spark, sf):
-    return whole(r6(traces.peaks(raster(spark, sf).select("image_id", "y", "x", "p")), "p"), "y", "x")
-
-
-@query("doc_subpixel", f"""WITH {RASTER}, n AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS c FROM pix WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) SELECT image_id, y, round(x + CASE WHEN abs(a - 2 * p + c) > 1e-12 THEN 0.5 * (a - c) / (a - 2 * p + c) ELSE 0 END, 6) AS x FROM n WHERE p > a AND p > c AND p >= 0.5""")
-def doc_subpixel(spark, sf):
-    p = raster(spark, sf).select("image_id", "y", "x", "p")
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    at = p.withColumn("a", F.lag("p").over(w)).withColumn("c", F.lead("p").over(w)).where("p > a and p > c and p >= 0.5")
-    return whole(r6(traces.subpixel(p, at), "x"), "y")
-
-
-@query("trc_to_probability", f"""WITH {RASTER}, m AS (SELECT image_id, y, avg(x) FILTER ("on") AS c FROM pix GROUP BY 1, 2) SELECT image_id, round(sum(exp(-(i - c) * (i - c) / 8.0)), 4) AS total FROM m, range(0, 64) t(i) WHERE c IS NOT NULL GROUP BY 1""")
-def trc_to_probability(spark, sf):
-    m = raster(spark, sf).groupBy("image_id", F.col("y").alias("row_idx")).agg(F.avg(F.when(F.col("on"), F.col("x"))).alias("x"))
-    return traces.to_probability(m, W64).groupBy("image_id").agg(F.round(F.sum("p"), 4).alias("total"))
-
-
-def _prob(spark, sf):
-    p = raster(spark, sf)
-    c = pixels.centre_score(p.select("image_id", "y", "x", "on")).withColumnRenamed("p", "centre")
-    return p.select("image_id", "y", "x", "p").join(c, ["image_id", "y", "x"], "left").withColumn("centre", F.coalesce("centre", F.lit(0.0)))
-
-
-def _trace(df):
-    return whole(r6(df, "x", "conf"), "row_idx")
-
-
-@query("trc_seam")
-def trc_seam(spark, sf):
-    return _trace(traces.seam(raster(spark, sf).select("image_id", "y", "x", "p")))
-
-
-@query("trc_followed")
-def trc_followed(spark, sf):
-    return _trace(traces.followed(raster(spark, sf).select("image_id", "y", "x", "p")))
-
-
-@query("trc_dp")
-def trc_dp(spark, sf):
-    return _trace(traces.dp_tracer(_prob(spark, sf)))
-
-
-@query("trc_dot_print")
-def trc_dot_print(spark, sf):
-    return _trace(traces.dot_print_tracer(raster(spark, sf).select("image_id", "y", "x", "p")))
-
-
-@query("trc_multiscale")
-def trc_multiscale(spark, sf):
-    return _trace(traces.multiscale_tracer(_prob(spark, sf)))
-
-
-@query("trc_overlay")
-def trc_overlay(spark, sf):
-    return traces.overlay(traces.max_centroid(raster(spark, sf)), 10, 5).select("image_id", F.size("points").alias("n"), F.to_json("points").alias("points"))
-
-
-@query("lrn_latest", f"""WITH {ADJUSTMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY curve_type ORDER BY timestamp DESC, id DESC) AS rn FROM adj) SELECT id, curve_type, row_number() OVER (PARTITION BY curve_type ORDER BY timestamp, id) AS place FROM n WHERE rn <= 100""")
-def lrn_latest(spark, sf):
-    return whole(learning.latest(adjustments(spark, sf), 100).select("id", "curve_type", "place"), "place")
-
-
-@query("lrn_stats", f"""WITH {ADJUSTMENTS} SELECT curve_type, count(*) AS count, round(avg(quality_score), 6) AS mean_quality, max(timestamp) AS last_timestamp FROM adj GROUP BY 1""")
-def lrn_stats(spark, sf):
-    return r6(learning.stats(adjustments(spark, sf)), "mean_quality")
-
-
-_LEARNED = f"""{ADJUSTMENTS}, d AS (SELECT *, floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(timestamp))) / 86400) AS days FROM adj), r AS (SELECT *, count(*) FILTER (days <= 30) OVER (PARTITION BY curve_type) AS r FROM d),
-u AS (SELECT *, count(*) OVER (PARTITION BY curve_type) AS n FROM r WHERE r < 3 OR days <= 30),
-p AS (SELECT curve_type, 'lambda' AS param, (k + value) / 100 - k / 100 AS delta, quality_score, days, 1.0 AS w, 0.5 AS base FROM u WHERE n >= 3 UNION ALL SELECT curve_type, 'step', value / 10 - k / 10, quality_score, days, 0.5, 3.0 FROM u WHERE n >= 3),
-a AS (SELECT curve_type, param, base, avg(delta * quality_score * greatest(0.1, 1 - days / 30) * w) AS moved, 1 / (1 + stddev_pop(delta)) AS steady FROM p GROUP BY 1, 2, 3),
-c AS (SELECT u.curve_type, count(*) AS sample_size, avg(quality_score) AS q FROM u WHERE n >= 3 GROUP BY 1), s AS (SELECT curve_type, avg(steady) AS steady FROM a GROUP BY 1),
-own(curve_type, param, own) AS (VALUES """ + ", ".join(f"('{k}', '{p}', {v})" for k, ps in learning.DEFAULTS.items() for p, v in ps.items()) + """),
-l AS (SELECT a.curve_type, a.param, greatest(0.1, base + moved) AS value, coalesce(own, base) AS "default", least(1, sample_size / 10 * q * s.steady) AS confidence, sample_size FROM a JOIN c USING (curve_type) JOIN s USING (curve_type) LEFT JOIN own ON own.curve_type = a.curve_type AND own.param = a.param)"""
-
-
-@query("lrn_learned", f"""WITH {_LEARNED} SELECT curve_type, param, round(value, 6) AS value, round("default"::DOUBLE, 6) AS "default", round(confidence, 6) AS confidence, sample_size FROM l""")
-def lrn_learned(spark, sf):
-    return r6(learning.learned(adjustments(spark, sf), F.to_timestamp(F.lit(AS_OF))), "value", "default", "confidence")
-
-
-@query("lrn_suggestions", f"""WITH {_LEARNED} SELECT curve_type, param, round(value, 6) AS value, CASE WHEN value > "default" THEN 'increase' ELSE 'decrease' END AS direction, CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS band FROM l WHERE confidence >= 0.3 AND abs(value - "default") > 0.1 * abs("default")""")
-def lrn_suggestions(spark, sf):
-    s = learning.suggestions(learning.learned(adjustments(spark, sf), F.to_timestamp(F.lit(AS_OF))))
-    return s.select("curve_type", "param", F.round("value", 6).alias("value"), "direction", C.confidence_band(F.col("confidence")).alias("band"))
-
-
-@query("lrn_enriched", f"""WITH {_LEARNED} SELECT p.event_id AS proposal, p.curve_type, round(x.value, 6) AS lambda FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'GR' ELSE 'CALI' END AS curve_type FROM events) p LEFT JOIN (SELECT * FROM l WHERE confidence > 0.3 AND param = 'lambda') x ON x.curve_type = p.curve_type""")
-def lrn_enriched(spark, sf):
-    p = t(spark, sf, "events").select(F.col("event_id").alias("proposal"), F.when(F.col("event_type") == "click", "GR").otherwise("CALI").alias("curve_type"))
-    e = learning.enriched(p, learning.learned(adjustments(spark, sf), F.to_timestamp(F.lit(AS_OF))))
-    return e.select("proposal", "curve_type", F.round(F.element_at("learned", F.lit("lambda")), 6).alias("lambda"))
-
-
-@query("lrn_recent_quality", f"""WITH {ADJUSTMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY curve_type ORDER BY timestamp DESC, id DESC) AS rn FROM adj) SELECT curve_type, round(avg(quality_score), 6) AS quality, avg(quality_score) > 0.8 AS high_confidence FROM n WHERE rn <= 10 GROUP BY 1 HAVING count(*) >= 3""")
-def lrn_recent_quality(spark, sf):
-    return r6(learning.recent_quality(adjustments(spark, sf)), "quality")
-
-
-@query("lrn_edit_quality", """SELECT event_id, round(least(1.0, greatest(0.1, CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 1.0 END * CASE WHEN event_id % 3 = 0 THEN 0.9 ELSE 1.0 END * CASE WHEN event_id % 5 = 0 THEN 1.2 ELSE 1.0 END))::DOUBLE, 6) AS quality FROM events""")
-def lrn_edit_quality(spark, sf):
-    e = F.col("event_id")
-    return t(spark, sf, "events").select("event_id", F.round(C.edit_quality(e % 2 == 0, e % 3 == 0, e % 5 == 0), 6).alias("quality"))
-
-
-@query("acc_trial", f"""WITH {USERS}, k AS (SELECT id, trial_used, 1 AS kind, email AS key FROM users UNION ALL SELECT id, trial_used, 2, domain FROM users UNION ALL SELECT id, trial_used, 3, company_key FROM users),
-h AS (SELECT a.id, min(a.kind) AS kind FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND b.trial_used = 1 AND a.id <> b.id GROUP BY 1)
-SELECT u.id, trial_used = 0 AND h.id IS NULL AS eligible, CASE WHEN trial_used = 1 THEN 'trial already used' WHEN h.id IS NOT NULL THEN 'trial used by same ' || CASE h.kind WHEN 1 THEN 'email' WHEN 2 THEN 'domain' ELSE 'company' END ELSE 'ok' END AS reason FROM users u LEFT JOIN h ON h.id = u.id""")
-def acc_trial(spark, sf):
-    return accounts.trial_eligibility(accounts.normalised(users(spark, sf)))
-
-
-@query("acc_users", f"""WITH {USERS} SELECT id, email, domain, company_key FROM users""")
-def acc_users(spark, sf):
-    return accounts.normalised(users(spark, sf)).select("id", "email", "domain", "company_key")
-
-
-@query("acc_stats", f"""WITH {USERS} SELECT count(*) AS total, count(*) FILTER (status IN ('trialing', 'active')) AS active, count(customer) AS with_customer FROM users""")
-def acc_stats(spark, sf):
-    return accounts.account_stats(accounts.normalised(users(spark, sf)))
-
-
-@query("acc_countdown", """SELECT o_orderkey, CAST(floor(greatest(0, epoch(o_orderdate) - epoch(TIMESTAMP '1999-01-01 12:30:00')) / 86400) AS BIGINT) AS days, CAST(floor(greatest(0, epoch(o_orderdate) - epoch(TIMESTAMP '1999-01-01 12:30:00')) % 86400 / 3600) AS BIGINT) AS hours, epoch(o_orderdate) <= epoch(TIMESTAMP '1999-01-01 12:30:00') AS expired FROM orders""")
-def acc_countdown(spark, sf):
-    return t(spark, sf, "orders").select("o_orderkey", accounts.countdown(F.col("o_orderdate"), F.to_timestamp(F.lit("1999-01-01 12:30:00"))).alias("c")).select("o_orderkey", "c.*")
-
-
-@query("acc_invoices", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END AS number, round(CAST(round(o_totalprice * 100) AS BIGINT) / 100, 2) AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders""")
-def acc_invoices(spark, sf):
-    o = t(spark, sf, "orders")
-    raw = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("number"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_paid"), F.when(F.col("o_orderkey") % 3 == 0, "eur").alias("currency"), F.unix_timestamp("o_orderdate").alias("created"))
-    i = accounts.invoices(raw.withColumn("number", F.coalesce("number", F.col("id").cast("string"))))
-    return i.select("id", "number", F.round("amount", 2).alias("amount"), "currency", F.date_format("date", "yyyy-MM-dd").alias("date"))
-
-
-@query("acc_subscriptions", """WITH e AS (SELECT o_custkey AS user_id, o_orderdate AS created, o_orderkey AS seq, o_orderstatus = 'F' AS gone, CASE o_orderstatus WHEN 'O' THEN 'trialing' ELSE 'active' END AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'pro' WHEN '2-HIGH' THEN 'team' ELSE 'none' END AS plan FROM orders),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created DESC, seq DESC) AS k, max(CASE WHEN status = 'trialing' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS trial_used FROM e)
-SELECT user_id, CASE WHEN gone THEN 'canceled' ELSE status END AS status, CASE WHEN gone THEN 'none' ELSE plan END AS plan, CAST(trial_used AS BIGINT) AS trial_used FROM n WHERE k = 1""")
-def acc_subscriptions(spark, sf):
-    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "deleted").otherwise("updated").alias("event_type"), F.when(F.col("o_orderstatus") == "O", "trialing").otherwise("active").alias("status"), F.col("o_orderpriority").alias("price_id"))
-    return whole(accounts.subscription_fold(accounts.plan_of(o, {"1-URGENT": "pro", "2-HIGH": "team"})), "trial_used")
-
-
-@query("evl_holdout", """SELECT doc_id, round(CAST(('0x' || substr(sha1(source || '/' || doc_id), 1, 8))::UBIGINT % 10000 AS DOUBLE) / 100, 6) AS share, ('0x' || substr(sha1(source || '/' || doc_id), 1, 8))::UBIGINT % 10000 < 2000 AS held FROM documents""")
-def evl_holdout(spark, sf):
-    s = C.holdout_share(F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    return t(spark, sf, "documents").select("doc_id", F.round(s, 6).alias("share"), (s < 20).alias("held"))
-
-
-@query("evl_metrics", f"""WITH {RASTER}, t AS (SELECT image_id, y, avg(x) AS t FROM pix WHERE "on" GROUP BY 1, 2), m AS (SELECT image_id, y, max(p) AS conf, arg_min(x, (1 - p) * 1000 + x / 1000.0) AS x FROM pix GROUP BY 1, 2), j AS (SELECT m.*, t, abs(x - t) AS e FROM t JOIN m USING (image_id, y))
-SELECT 'row_max' AS method, count(DISTINCT image_id) AS samples, count(*) AS target_rows, round(count(x) / count(*), 6) AS coverage, round(avg(e), 6) AS mae_px, round(avg(CASE WHEN e <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN e <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_3, round(avg(CASE WHEN e <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(conf), 6) AS mean_conf FROM j""")
-def evl_metrics(spark, sf):
-    p = raster(spark, sf)
-    target = p.where("on").groupBy("image_id", F.col("y").alias("row_idx")).agg(F.avg("x").alias("t"))
-    pred = p.groupBy("image_id", F.col("y").alias("row_idx")).agg(F.min_by("x", F.struct(-F.col("p"), F.col("x"))).alias("x"), F.max("p").alias("conf")).withColumn("method", F.lit("row_max"))
-    return r6(evaluation.trace_metrics(pred, target, W64), "coverage", "mae_px", "hit_1", "hit_3", "hit_5", "mean_conf")
-
-
-@query("evl_methods")
-def evl_methods(spark, sf):
-    p = raster(spark, sf)
-    target = p.where("on").groupBy("image_id", F.col("y").alias("row_idx")).agg(F.avg("x").alias("t"))
-    prob = p.select("image_id", "y", "x", "p")
-    runs = {"row_pick": traces.max_centroid(p), "seam": traces.seam(prob), "dot_print": traces.dot_print_tracer(prob), "dp": traces.dp_tracer(_prob(spark, sf))}
-    pred = None
-    for name, d in runs.items():
-        d = d.select("image_id", "row_idx", "x", "conf", F.lit(name).alias("method"))
-        pred = d if pred is None else pred.union(d)
-    return r6(evaluation.trace_metrics(pred, target, W64), "coverage", "mae_px", "hit_1", "hit_3", "hit_5", "mean_conf")
-
-
-@query("evl_losses", f"""WITH {RASTER}, r AS (SELECT image_id || '/' || y AS row, x, value / 32.0 - 4 AS z, CASE WHEN "on" THEN 1.0 ELSE 0.0 END AS t FROM pix),
-e AS (SELECT *, 1 / (1 + exp(-z)) AS p, exp(z - max(z) OVER (PARTITION BY row)) AS s FROM r), q AS (SELECT row, sum(greatest(z, 0) - z * t + ln(1 + exp(-abs(z)))) AS bce, count(*) AS n, sum(p * t) AS pt, sum(p) AS p, sum(t) AS t, sum(s * x) / sum(s) AS spot, sum(t * x) / greatest(sum(t), 1e-6) AS want, max(x) AS w FROM e GROUP BY 1),
-f AS (SELECT sum(bce) / sum(n) AS bce, 1 - (2 * sum(pt) + 1) / (sum(p) + sum(t) + 1) AS dice, avg(power((spot - want) / w, 2)) AS centre FROM q) SELECT round(bce, 6) AS bce, round(dice, 6) AS dice, round(centre, 6) AS centre, round(0.55 * bce + 0.25 * dice + 0.2 * centre, 6) AS total FROM f""")
-def evl_losses(spark, sf):
-    r = raster(spark, sf).select(F.concat_ws("/", "image_id", "y").alias("row"), "x", (F.col("value") / 32.0 - 4).alias("logit"), F.when(F.col("on"), 1.0).otherwise(0.0).alias("target"), F.lit(1).alias("mask"))
-    return r6(evaluation.segmentation_losses(r), "bce", "dice", "centre", "total")
-
-
-@query("pair_scores", """WITH r AS (SELECT l_suppkey AS scan, l_linenumber AS panel, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_quantity END AS x, l_extendedprice AS value FROM lineitem),
-g AS (SELECT scan, panel, count(*) AS rows, count(x) AS n, corr(x, value) AS r, quantile_cont(x, 0.02) AS a, quantile_cont(x, 0.98) AS b FROM r GROUP BY 1, 2)
-SELECT scan, panel, round(n / rows, 6) AS valid, round(CASE WHEN n >= 20 AND b - a >= greatest(8, 2.5) THEN abs(r) * greatest(0.25, n / rows) * greatest(0.25, least(1, (b - a) / 50 / 0.25)) END, 6) AS score FROM g""")
-def pair_scores(spark, sf):
-    l = t(spark, sf, "lineitem")
-    rows = l.select(F.col("l_suppkey").alias("scan"), F.col("l_linenumber").alias("panel"), F.when(F.col("l_partkey") % 10 != 0, F.col("l_quantity")).alias("x"), F.col("l_extendedprice").alias("value"), F.lit(50.0).alias("width"))
-    return r6(pairing.match_scores(rows, ("scan", "panel"), least=20), "valid", "score")
-
-
-@query("pair_best_panel")
-def pair_best_panel(spark, sf):
-    return pairing.best_panel(pair_scores(spark, sf), 0.5, 0.01)
-
-
-@query("pair_panels", """WITH s AS (SELECT p_partkey AS scan, p_size * 7 + 60 AS width, p_size % 3 + 1 AS n FROM part), p AS (SELECT scan, panel, round_even(width * panel / n, 0) AS l, round_even(width * (panel + 1) / n, 0) AS r FROM s, range(0, 3) t(panel) WHERE panel < n)
-SELECT scan, panel, CAST(l AS BIGINT) AS left_px, CAST(r AS BIGINT) AS right_px FROM p WHERE r - l >= 32""")
-def pair_panels(spark, sf):
-    s = t(spark, sf, "part").select(F.col("p_partkey").alias("scan"), (F.col("p_size") * 7 + 60).alias("width"), (F.col("p_size") % 3 + 1).alias("panels"))
-    return whole(pairing.panels(s), "panel", "left_px", "right_px")
-
-
-@query("pair_windows")
-def pair_windows(spark, sf):
-    p = t(spark, sf, "part")
-    return p.select("p_partkey", F.array_join(pairing.window_starts(F.col("p_size") * 90 + 100, 256, 128, 18).cast("array<string>"), ",").alias("starts"))
-
-
-@query("pair_hints", r"""WITH x AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_size % 5 WHEN 0 THEN 'DGC' WHEN 1 THEN 'ngc' WHEN 2 THEN 'ILZ' WHEN 3 THEN 't 5' ELSE '' END) AS n, p_size FROM part) SELECT p_partkey, CASE WHEN contains(n, 'dgc') THEN 'GR,DT' WHEN contains(n, 'ngc') THEN 'GR,NPHI' WHEN contains(n, 'ilz') OR regexp_matches(n, '\bi\b') THEN 'RES' WHEN regexp_matches(n, '\bt\b') THEN 'DT' ELSE '' END AS curves,
-format('{}_{}_panel{:d}_r{:05d}', p_partkey, p_size, p_size % 3, p_size * 10) AS image_id FROM x""")
-def pair_hints(spark, sf):
-    p = t(spark, sf, "part")
-    n = F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, ("DGC", "ngc", "ILZ", "t 5", ""))), F.col("p_size") % 5 + 1))
-    return p.select("p_partkey", F.array_join(pairing.hinted_curves(n), ",").alias("curves"), pairing.image_id(F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_size") % 3, F.col("p_size") * 10).alias("image_id"))
-
-
-@query("pair_skips", """SELECT p_partkey, CASE WHEN p_size % 13 = 0 THEN 'missing las' WHEN p_size % 11 = 0 THEN 'missing scan' WHEN p_size % 7 = 0 THEN 'curve not found' WHEN p_partkey % 200 < 50 THEN 'too few samples' WHEN p_size % 5 = 0 THEN 'hint excludes curve' WHEN p_size * 10 < 128 THEN 'too small' WHEN p_partkey % 3000 > 2600 THEN 'full scan' WHEN p_size % 2 = 0 THEN 'no match' END AS reason FROM part""")
-def pair_skips(spark, sf):
-    s, k = F.col("p_size"), F.col("p_partkey")
-    return t(spark, sf, "part").select("p_partkey", pairing.skip_reason(s % 13 != 0, s % 11 != 0, F.when(s % 7 != 0, "GR"), k % 200, s % 5 != 0, s * 10, F.greatest(F.lit(32), k % 3000), s % 2 != 0).alias("reason"))
-
-
-@query("src_names", r"""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment || ' & Co. ' WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS comp, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '/7' END AS well FROM customer),
-s AS (SELECT c_custkey, trim(comp) AS comp, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(comp), '\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g'), '^[_-]+', ''), '[_-]+$', ''), 1, 80) AS c, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(well), '\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g'), '^[_-]+', ''), '[_-]+$', ''), 1, 80) AS w FROM x)
-SELECT c_custkey, comp, CASE WHEN c <> '' AND w <> '' THEN c || '__' || w || '.las' WHEN w <> '' THEN w || '.las' ELSE 'digitized_log.las' END AS name FROM s""")
-def src_names(spark, sf):
-    c, k = t(spark, sf, "customer"), F.col("c_custkey")
-    m = F.create_map(F.lit("comp"), F.when(k % 2 == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" & Co. "))).otherwise(""), F.lit("company"), F.when(k % 3 == 0, F.col("c_mktsegment")).otherwise(""), F.lit("well"), F.when(k % 5 == 0, "").otherwise(F.concat("c_name", F.lit("/7"))))
-    comp = C.first_metadata(F.col("m"), "COMP")
-    return c.select("c_custkey", m.alias("m")).select("c_custkey", comp.alias("comp"), C.las_file_name(comp, F.element_at("m", F.lit("well"))).alias("name"))
-
-
-@query("src_las_text")
-def src_las_text(spark, sf):
-    s = samples(spark, sf).select(F.col("well").cast("string").alias("file"), "idx", "depth", F.col("curve").alias("mnemonic"), C.valid_or_null(F.col("value")).alias("value"))
-    wells = s.select("file").distinct().select("file", F.lit("ft").alias("unit"), F.create_map(F.lit("company"), F.lit("Acme"), F.lit("well"), F.concat(F.lit("W"), "file")).alias("metadata"))
-    return las.las_text(s, wells)
-
-
-@query("src_pair_files", """WITH x AS (SELECT p_partkey, lower(p_type) AS source, p_brand AS pair_id, p_partkey || CASE WHEN p_size % 3 = 0 THEN '.las' WHEN p_size % 3 = 1 THEN '.tif' ELSE '.TIFF' END AS name FROM part),
-s AS (SELECT *, row_number() OVER (PARTITION BY source, pair_id ORDER BY name) AS n FROM x WHERE name NOT LIKE '%.las')
-SELECT p.source, p.pair_id, l.las, s.name AS scan FROM (SELECT DISTINCT source, pair_id FROM x) p LEFT JOIN (SELECT source, pair_id, min(name) AS las FROM x WHERE name LIKE '%.las' GROUP BY 1, 2) l USING (source, pair_id) LEFT JOIN (SELECT * FROM s WHERE n <= 3) s USING (source, pair_id)""")
-def src_pair_files(spark, sf):
-    name = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, ".las").when(F.col("p_size") % 3 == 1, ".tif").otherwise(".TIFF"))
-    return records.pair_files(t(spark, sf, "part").select(F.concat(F.lit("/root/"), "p_type", F.lit("/pairs/"), "p_brand", F.lit("/"), name).alias("path")), max_scans=3)
-
-
-@query("trn_labels", """WITH x AS (SELECT event_id AS key, value AS x FROM events), y AS (SELECT key, x <> -999.25 AND x BETWEEN 0 AND 63 AS valid, CASE WHEN x BETWEEN 0 AND 63 THEN x * 31 / 63 END AS c FROM x)
-SELECT key, valid, round(c / 31, 6) AS centre, round(CASE WHEN valid THEN list_sum([exp(-0.5 * power((i - c) / 2, 2)) for i in range(0, 32)]) ELSE 0 END, 4) AS mass FROM y""")
-def trn_labels(spark, sf):
-    e = t(spark, sf, "events").select(F.col("event_id").alias("key"), F.lit(0).alias("row"), F.col("value").alias("x"))
-    l = evaluation.label_rows(e, 64, 32)
-    return l.select("key", "valid", F.round("centre", 6).alias("centre"), F.round(F.aggregate("target", F.lit(0.0), lambda a, x: a + x), 4).alias("mass"))
-
-
-def _jobs(spark, sf):
-    p = t(spark, sf, "part")
-    curve = F.struct(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("las_mnemonic"), F.when(F.col("p_size") % 2 == 0, " Red ").alias("mode"), (F.col("p_size") % 9).alias("left_px"), F.col("p_size").alias("right_px"))
-    cfg = p.select(F.col("p_partkey").alias("ord"), F.struct(F.array(curve).alias("curves")).alias("config"))
-    res = p.select(F.col("p_partkey").alias("ord"), F.struct(F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") % 5 != 0).alias("success"), F.create_map("p_name", F.array("p_retailprice")).alias("curve_traces")).alias("result"))
-    return training.curve_items(training.zipped(cfg, res))
-
-
-@query("trn_items", """SELECT p_partkey AS ord, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'red' ELSE 'black' END AS mode, CAST(p_size % 9 AS BIGINT) AS left_px, CAST(p_size AS BIGINT) AS right_px FROM part WHERE p_partkey % 7 <> 0 AND p_size % 5 <> 0 AND p_size > p_size % 9""")
-def trn_items(spark, sf):
-    return whole(_jobs(spark, sf).drop("trace"), "left_px", "right_px")
-
-
-@query("trn_modes", """SELECT 'black,red' AS modes, count(*) AS items FROM part WHERE p_partkey % 7 <> 0 AND p_size % 5 <> 0 AND p_size > p_size % 9""")
-def trn_modes(spark, sf):
-    return training.modes(_jobs(spark, sf)).withColumn("modes", F.array_join("modes", ","))
-
-
-@query("trn_captures", """SELECT count(*) AS total, count(*) FILTER (event_type IN ('click', 'view')) AS valid, count(*) FILTER (event_type IN ('click', 'view') AND (user_id % 2 = 0 OR user_id % 3 = 0)) AS ready, count(*) FILTER (event_type IN ('click', 'view') AND NOT (user_id % 2 = 0 OR user_id % 3 = 0)) AS review FROM events""")
-def trn_captures(spark, sf):
-    e, u = t(spark, sf, "events"), F.col("user_id")
-    r = e.select(F.when(F.col("event_type") == "click", "bad_black_segment_v1").when(F.col("event_type") == "view", "bad_black_segment_v2").otherwise("x").alias("schema"), F.when(u % 2 == 0, F.lit(True)).alias("training_ready"), F.when(u % 3 == 0, "Corrected").alias("status"))
-    return training.captures(r)[1]
-
-
-@query("trn_places", """SELECT event_id, round((least(greatest(value, 1), 6) - 1) / 5 * 127, 6) AS x, CAST(round_even(least(value * 10, 80), 0) AS BIGINT) AS row FROM events WHERE user_id % 4 <> 0""")
-def trn_places(spark, sf):
-    e = t(spark, sf, "events").select(F.col("event_id"), F.struct(F.lit(1.0).alias("leftX"), F.when(F.col("user_id") % 4 == 0, 0.5).otherwise(6.0).alias("rightX")).alias("track"), F.struct(F.col("value").alias("x"), (F.col("value") * 10).alias("y")).alias("after"), F.lit(None).cast("string").alias("mode"))
-    return whole(r6(training.local_places(training.corrections(e), 128), "x"), "row")
-
-
-@query("trn_inputs")
-def trn_inputs(spark, sf):
-    p = raster(spark, sf)
-    return training.input_rows(p, W64, 1 << 20, 16, 1 << 20).select("image_id", "y", F.round(F.aggregate("row", F.lit(0.0), lambda a, x: a + x), 4).alias("sum"))
-
-
-@query("doc_warnings", """SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice <= 1000 THEN 'bottom_not_below_top' END, CASE WHEN abs(p_retailprice - 1000) / greatest(1, p_size - 5) > 10 THEN 'extreme_depth_per_pixel' END, CASE WHEN p_size - 10 < 0 OR p_size + 20 > 50 THEN 'outside_image' END) AS warnings FROM part""")
-def doc_warnings(spark, sf):
-    s = F.col("p_size")
-    w = documented.depth_warnings(s * 0 + 5, s, F.lit(1000.0), F.col("p_retailprice"), F.lit(1 << 20))
-    o = F.when((s - 10 < 0) | (s + 20 > 50), F.lit("outside_image"))
-    return t(spark, sf, "part").select("p_partkey", F.array_join(F.array_compact(F.concat(w, F.array(o))), ",").alias("warnings"))
-
-
-@query("doc_curve_warnings", f"""WITH {SAMPLES}, v AS (SELECT well, curve, {_V} AS v FROM samples), f AS (SELECT well, curve, min(v) AS lo, max(v) AS hi, stddev_pop(v) AS s, (1 - count(v) / count(*)) * 100 AS m FROM v GROUP BY 1, 2)
-SELECT well, curve, concat_ws(',', CASE WHEN lo < 4 OR hi > 20 THEN 'out_of_range' END, CASE WHEN s < 1e-3 THEN 'flat' END, CASE WHEN m > 30 THEN 'many_nulls' END) AS warnings FROM f""")
-def doc_curve_warnings(spark, sf):
-    f = documented.curve_warnings(curves.features(samples(spark, sf)).withColumn("type", F.lit("CALI")))
-    return f.select("well", "curve", F.array_join("warnings", ",").alias("warnings"))
-
-
-@query("doc_snap", """WITH c AS (SELECT o_custkey AS image_id, o_orderkey AS click, CAST(o_totalprice / 100 AS BIGINT) AS y FROM orders), l AS (SELECT o_custkey AS image_id, o_orderkey AS label, CAST(o_totalprice / 100 AS BIGINT) + o_orderkey % 40 AS y FROM orders),
-j AS (SELECT c.image_id, click, label, row_number() OVER (PARTITION BY c.image_id, click ORDER BY abs(c.y - l.y), l.y, label) AS n FROM c JOIN l ON c.image_id = l.image_id AND abs(c.y - l.y) <= 30) SELECT image_id, click, label FROM j WHERE n = 1""")
-def doc_snap(spark, sf):
-    o = t(spark, sf, "orders")
-    y = F.round(F.col("o_totalprice") / 100).cast("long")
-    return documented.snapped(o.select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("click"), y.alias("y")), o.select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("label"), (y + F.col("o_orderkey") % 40).alias("y")), 30)
-
-
-@query("doc_depth_lines", """SELECT p_partkey AS image_id, i * 50.0::DOUBLE AS depth, round(10 + (i * 50.0 - p_retailprice) / 500.0 * 990, 6) AS y FROM part, LATERAL (SELECT unnest(range(CAST(ceil(p_retailprice / 50) AS BIGINT), CAST(floor((p_retailprice + 500) / 50) AS BIGINT) + 1)) AS i)""")
-def doc_depth_lines(spark, sf):
-    j = t(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), F.lit(10).alias("top_px"), F.lit(1000).alias("bottom_px"), F.col("p_retailprice").alias("top"), (F.col("p_retailprice") + 500).alias("bottom"))
-    return r6(documented.depth_lines(j, 50.0), "y")
-
-
-@query("doc_damped")
-def doc_damped(spark, sf):
-    p = raster(spark, sf)
-    r = pixels.runs(p.select("image_id", "y", "x", "on", "p"), "y")
-    return documented.vertical_damped(r, 3).groupBy("image_id").agg(F.round(F.sum("p"), 4).alias("p"))
-
-
-@query("doc_fused")
-def doc_fused(spark, sf):
-    p = raster(spark, sf)
-    return _trace(traces.fused(traces.max_centroid(p), traces.seam(p.select("image_id", "y", "x", "p"))))
+__all__ = ["ORACLE", "QUERIES"]

@@ -38,21 +38,26 @@ pix AS (SELECT image_id, y, x, value, value AS b, (value * 7 + x * 3) % 256 AS g
 
 def adjustments(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k, v = F.get_json_object("props", "$.k").cast("double"), F.col("value")
     kind = F.when(F.col("event_type") == "click", "GR").when(F.col("event_type") == "view", "RHOB").when(F.col("event_type") == "error", "DT").otherwise(F.upper("event_type"))
-    return e.select(F.col("event_id").alias("id"), kind.alias("curve_type"), F.col("ts").alias("timestamp"), F.create_map(F.lit("lambda"), k / 100, F.lit("step"), k / 10).alias("original_params"),
-                    F.create_map(F.lit("lambda"), (k + F.col("value")) / 100, F.lit("kappa"), k / 10, F.lit("step"), F.col("value") / 10).alias("user_params"), (F.col("value") % 1.0).alias("quality_score"))
+    # The last types have few adjustments, or none that moves a parameter.
+    few = (F.col("event_type") != "signup") | (F.col("event_id") % 1000 == 0)
+    was = F.create_map(F.lit("left_px"), k, F.lit("max_step"), k, F.lit("smooth_lambda"), k / 100000, F.lit("mode"), k)
+    now = F.create_map(F.lit("left_px"), k + v, F.lit("max_step"), k + v * 7, F.lit("smooth_lambda"), (k + v) / 100000, F.lit("jump_gate"), v)
+    other = F.create_map(F.lit("mode"), k)
+    plain = F.col("event_type") == "purchase"
+    return e.where(few).select(F.col("event_id").alias("id"), kind.alias("curve_type"), F.col("ts").alias("timestamp"), F.when(plain, other).otherwise(was).alias("original_params"), F.when(plain, other).otherwise(now).alias("user_params"), (v % 1.0).alias("quality_score"))
 
 
 ADJUSTMENTS = """adj AS (SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'GR' WHEN 'view' THEN 'RHOB' WHEN 'error' THEN 'DT' ELSE upper(event_type) END AS curve_type, ts AS timestamp,
-  CAST(props->>'k' AS DOUBLE) AS k, value, value % 1.0 AS quality_score FROM events)"""
+  CAST(props->>'k' AS DOUBLE) AS k, value, value % 1.0 AS quality_score FROM events WHERE event_type <> 'signup' OR event_id % 1000 = 0)"""
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
     c = t(spark, sf, "customer")
     k = F.col("c_custkey")
     return c.select(k.alias("id"), F.concat(F.lit(" User"), (k % 700).cast("string"), F.lit("@Firm"), (k % 97).cast("string"), F.lit(".COM ")).alias("email"), F.concat(F.col("c_mktsegment"), F.lit("  Co "), (k % 211).cast("string")).alias("company_name"),
-                    F.when(k % 50 == 0, 1).otherwise(0).alias("trial_used"), F.when(k % 3 == 0, "trialing").when(k % 3 == 1, "active").otherwise("canceled").alias("status"), F.when(k % 4 == 0, F.col("c_name")).alias("customer"))
+                    F.when(k % 50 == 0, 1).otherwise(0).alias("trial_used"), F.when(k % 3 == 0, "trialing").when(k % 3 == 1, "active").otherwise("canceled").alias("status"), F.when(k % 4 == 0, F.col("c_name")).alias("customer"), F.when(k % 5 == 0, F.concat(F.lit("sub_"), k.cast("string"))).alias("subscription_id"))
 
 
 USERS = """u0 AS (SELECT c_custkey AS id, lower(trim(' User' || (c_custkey % 700) || '@Firm' || (c_custkey % 97) || '.COM ')) AS email,

@@ -1,4 +1,4 @@
-"""LAS text: scan to header, curve and sample tables, and sink from samples."""
+"""LAS text: scan to header, curve and sample tables, and sink from samples in the LAS 1.2 layout."""
 
 from __future__ import annotations
 
@@ -7,19 +7,59 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NULL_MARKER, first_metadata
 
+#: mnemonic, unit, value and description of a header line; the description follows the last colon.
+_HEADER = r"^\s*([^.\s]+)\s*\.(\S*)(?:\s+(.*?))?\s*(?::\s*([^:]*))?$"
+# The lines of the LAS 1.2 layout, and the fields that are written only where they are known.
+_VERSION = (
+    "~VERSION INFORMATION",
+    " VERS.                 1.20:   CWLS LOG ASCII STANDARD -VERSION 1.20",
+    " WRAP.                   NO:   ONE LINE PER DEPTH STEP",
+    "~WELL INFORMATION BLOCK",
+    "#MNEM.UNIT       DATA TYPE    INFORMATION",
+    "#---------     -----------    ---------------------------",
+)
+_PARAMETERS = (
+    "~PARAMETER INFORMATION BLOCK",
+    "#MNEM.UNIT       VALUE        DESCRIPTION",
+    "#---------     -----------    ---------------------------",
+    " EKB .               0.0000:  ELEVATION OF KELLY BUSHING",
+    "~CURVE INFORMATION BLOCK",
+    "#MNEM.UNIT                 API CODE     CURVE DESCRIPTION",
+    "#---------               -----------    ---------------------------",
+)
+_DEPTH_LINE = ".{unit}                 00 000 000 000:  DEPTH"
+_FIELDS = ("COMP", "WELL", "FLD", "LOC", "CNTY", "STAT", "PROV", "SRVC", "DATE", "API", "UWI")
+_DEFAULT_WELL = "DIGITIZED_LOG"
+#: Well fields whose value stands before the colon in LAS 1.2, whatever follows it.
+_NUMBERS = ("STRT", "STOP", "STEP", "NULL")
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line, section (first letter of the last ~ line)."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    text = spark.read.text(path, wholetext=True)
+    return split_lines(text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+
+
+def split_lines(files: DataFrame) -> DataFrame:
+    """The same from rows of file and text."""
+    t = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
     w = Window.partitionBy("file").orderBy("line_no")
     mark = F.when(F.col("line").startswith("~"), F.upper(F.substring("line", 2, 1)))
-    return t.withColumn("section", F.last(mark, ignorenulls=True).over(w)).where("not startswith(line, '~') and not startswith(line, '#') and trim(line) <> ''")
+    t = t.withColumn("section", F.last(mark, ignorenulls=True).over(w))
+    return t.where("not startswith(line, '~') and not startswith(line, '#') and trim(line) <> ''")
 
 
 def header(text: DataFrame) -> DataFrame:
-    """file, section, mnemonic, unit, value, descr of every header line."""
-    part = lambda i: F.trim(F.regexp_extract("line", r"^\s*([^.\s]+)\s*\.(\S*)\s*(.*?)\s*(?::\s*(.*))?$", i))
-    return text.where("section <> 'A'").select("file", "line_no", "section", part(1).alias("mnemonic"), part(2).alias("unit"), part(3).alias("value"), part(4).alias("descr")).where("mnemonic <> ''")
+    """file, line_no, section, mnemonic, unit, value, descr of every header line.
+
+    A well field other than start, stop, step and null has its value behind the colon where something stands there, as
+    LAS 1.2 has it, else before it.
+    """
+    part = lambda i: F.trim(F.regexp_extract("line", _HEADER, i))
+    h = text.where("section <> 'A'").select("file", "line_no", "section", part(1).alias("mnemonic"), part(2).alias("unit"), part(3).alias("a"), part(4).alias("b"))
+    turned = (F.col("section") == "W") & ~F.upper("mnemonic").isin(*_NUMBERS) & (F.col("b") != "")
+    value, descr = (F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b")))
+    return h.where("mnemonic <> ''").select("file", "line_no", "section", "mnemonic", "unit", value.alias("value"), descr.alias("descr"))
 
 
 def curves(text: DataFrame) -> DataFrame:
@@ -31,36 +71,65 @@ def samples(text: DataFrame) -> DataFrame:
     """file, idx, depth, mnemonic, value; the depth curve is the first DEPT or DEPTH; files without one give none. The header's NULL is null."""
     c = curves(text)
     depth = c.where("upper(mnemonic) in ('DEPT', 'DEPTH')").groupBy("file").agg(F.min("pos").alias("at"))
-    null = header(text).where("section = 'W' and upper(mnemonic) = 'NULL'").groupBy("file").agg(F.first(F.col("value").cast("double")).alias("null"))
+    null = header(text).where("section = 'W' and upper(mnemonic) = 'NULL'").groupBy("file").agg(F.first(F.expr("try_cast(value as double)")).alias("null"))
     w = Window.partitionBy("file").orderBy("line_no")
-    rows = text.where("section = 'A'").select("file", (F.row_number().over(w) - 1).alias("idx"), F.split(F.trim("line"), r"\s+").alias("v")).join(depth, "file").join(null, "file", "left")
-    rows = rows.select("file", "idx", "null", "at", F.get("v", "at").cast("double").alias("depth"), F.posexplode("v").alias("pos", "v")).where("pos <> at")
+    rows = text.where("section = 'A'").select("file", (F.row_number().over(w) - 1).alias("idx"), F.split(F.trim("line"), r"\s+").alias("v"))
+    rows = rows.join(depth, "file").join(null, "file", "left")
+    rows = rows.select("file", "idx", "null", "at", F.expr("try_cast(get(v, at) as double)").alias("depth"), F.posexplode("v").alias("pos", "v")).where("pos <> at")
     value = F.expr("try_cast(v as double)")
-    return rows.join(c.select("file", "pos", "mnemonic"), ["file", "pos"]).select("file", "idx", "depth", "mnemonic", F.when(value != F.coalesce("null", F.lit(NULL_MARKER)), value).alias("value"))
+    held = rows.join(c.select("file", "pos", "mnemonic"), ["file", "pos"])
+    return held.select("file", "idx", "depth", "mnemonic", F.when(value != F.coalesce("null", F.lit(NULL_MARKER)), value).alias("value"))
 
 
-def _line(mnemonic: str, unit: str, value: Column, descr: str) -> Column:
-    return F.concat(F.lit(f"{mnemonic:<4}.{unit} "), value, F.lit(f" : {descr}"))
+def unit_token(unit: Column) -> Column:
+    return F.when(F.upper(unit).startswith("F"), "F").otherwise(F.upper(unit))
 
 
 def las_text(samples_: DataFrame, wells: DataFrame) -> DataFrame:
-    """file, text from samples (file, idx, depth, mnemonic, value) and wells (file, unit, metadata map): CRLF lines, missing values as the marker."""
-    order = samples_.groupBy("file").agg(F.array_sort(F.collect_set("mnemonic")).alias("names"))
-    row = samples_.groupBy("file", "idx", "depth").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", F.coalesce("value", F.lit(NULL_MARKER)).alias("v")))).alias("m")).join(order, "file")
-    text = F.concat(F.format_string("%10.4f", "depth"), F.array_join(F.transform("names", lambda k: F.concat(F.lit(" "), F.format_string("%10.4f", F.coalesce(F.element_at("m", k), F.lit(NULL_MARKER))))), ""))
-    body = row.groupBy("file", "names").agg(F.array_sort(F.collect_list(F.struct("idx", "depth", text.alias("t")))).alias("r"))
-    j = body.join(wells, "file")
-    d = lambda i: F.get("r", F.lit(i))["depth"]
-    unit = F.when(F.upper("unit").startswith("F"), "F").otherwise(F.upper("unit"))
-    num = lambda c: F.trim(F.format_string("%10.4f", c))
-    last = F.element_at("r", -1)["depth"]
-    named = [F.when(first_metadata(F.col("metadata"), k) != "", _line(k, "", first_metadata(F.col("metadata"), k), k)) for k in ("COMP", "FLD", "LOC", "PROV", "SRVC")]
-    well = F.coalesce(F.when(F.trim(F.element_at("metadata", F.lit("well"))) != "", F.trim(F.element_at("metadata", F.lit("well")))), F.lit("DIGITIZED_LOG"))
-    dep = lambda m, v: F.concat(F.lit(f"{m}."), unit, F.lit(" "), num(v), F.lit(" :"))
-    head = F.concat_ws("\r\n", F.lit("~VERSION INFORMATION"), _line("VERS", "", F.lit("1.2"), "CWLS LAS"), _line("WRAP", "", F.lit("NO"), "one line a step"), F.lit("~WELL INFORMATION"), dep("STRT", d(0)), dep("STOP", last), dep("STEP", F.coalesce(d(1) - d(0), F.lit(0.0))),
-                       _line("NULL", "", F.lit(f"{NULL_MARKER}"), "missing"), _line("WELL", "", well, "WELL"), *named, F.lit("~CURVE INFORMATION"), F.concat(F.lit("DEPT."), unit, F.lit("  : depth")), F.array_join(F.transform("names", lambda k: F.concat(k, F.lit(".  : curve"))), "\r\n"), F.lit("~A"))
-    return j.select("file", F.concat(head, F.lit("\r\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\r\n"), F.lit("\r\n")).alias("text"))
+    """file, text from samples (file, idx, depth, mnemonic, value) and wells (file, unit, metadata map, curves array of name and unit, in the order of the columns).
+
+    Lines end by CRLF; missing values are written as -999.25, whatever marker a job has. A well's text is one value, so a
+    well's rows are gathered; wells are independent.
+    """
+    cells = samples_.groupBy("file", "idx", "depth").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "value"))).alias("m"))
+    row = cells.join(wells.select("file", "curves"), "file")
+    number = lambda v: F.format_string("%10.4f", v)
+    values = F.transform("curves", lambda c: number(F.coalesce(F.element_at("m", c["name"]), F.lit(NULL_MARKER))))
+    line = F.concat_ws(" ", number("depth"), F.array_join(values, " "))
+    body = row.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "depth", line.alias("t")))).alias("r")).join(wells, "file")
+
+    unit, md = unit_token(F.col("unit")), F.col("metadata")
+    short = lambda c: F.format_string("%.4f", c)
+    depth = lambda i: F.get("r", F.lit(i))["depth"]
+    place = lambda name, v: F.concat(F.lit(f" {name}."), unit, F.lit("               "), short(v), F.lit(":"))
+    named = []
+    for field in _FIELDS:
+        value = first_metadata(md, field)
+        if field == "WELL":
+            value = F.when(value == "", _DEFAULT_WELL).otherwise(value)
+        named.append(F.when(value != "", F.concat(F.lit(f" {field:<4}.       "), value, F.lit(":"))))
+    up = F.transform("curves", lambda c: F.upper(c["name"]))
+    curve_lines = F.transform("curves", lambda c: F.concat(F.lit(" "), F.upper(c["name"]), F.lit("."), F.coalesce(c["unit"], F.lit("")), F.lit(" :  "), F.upper(c["name"])))
+    titles = F.array_join(F.transform(F.concat(F.array(F.lit("DEPTH")), up), lambda n: F.format_string("%10s", n)), " ")
+    before, after = _DEPTH_LINE.split("{unit}")
+    parts = [
+        *map(F.lit, _VERSION),
+        place("STRT", depth(0)),
+        place("STOP", F.element_at("r", -1)["depth"]),
+        place("STEP", F.coalesce(depth(1) - depth(0), F.lit(0.0))),
+        F.lit(f" NULL.               {NULL_MARKER:.4f}:"),
+        *named,
+        *map(F.lit, _PARAMETERS),
+        F.concat(F.lit(f" DEPT{before}"), unit, F.lit(after)),
+        F.when(F.size("curves") > 0, F.array_join(curve_lines, "\r\n")),
+        F.concat(F.lit("~A "), titles),
+        F.array_join(F.transform("r", lambda x: x["t"]), "\r\n"),
+        F.lit(""),
+    ]
+    return body.select("file", F.concat_ws("\r\n", *parts).alias("text"))
 
 
 def write_las(samples_: DataFrame, wells: DataFrame, path: str) -> None:
-    las_text(samples_, wells).select("file", F.expr("rtrim('\r\n', text)").alias("text")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+    """One folder a well with its text; the last line end is the writer's own."""
+    held = las_text(samples_, wells).select("file", F.expr("rtrim('\r\n', text)").alias("text"))
+    held.write.partitionBy("file").option("lineSep", "\r\n").text(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 CORRECTION = """event_id STRING, ts_utc TIMESTAMP, type STRING, curve_id STRING, curve_index INT, mode STRING,
   track STRUCT<leftX: DOUBLE, rightX: DOUBLE, leftValue: DOUBLE, rightValue: DOUBLE>, depth_index INT, depth DOUBLE,
-  before STRUCT<x: DOUBLE, y: DOUBLE>, after STRUCT<x: DOUBLE, y: DOUBLE>, notes STRING, image_path STRING"""
+  before STRUCT<x: DOUBLE, y: DOUBLE>, after STRUCT<x: DOUBLE, y: DOUBLE>, refine STRING, fallback STRUCT<reason: STRING>, notes STRING, image_path STRING"""
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,14 +20,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of whole JSON documents: an array, or the first of items, data and results that is one, else the document itself; else its lines."""
-    t = spark.read.text(path, wholetext=True)
+    return _documents(spark.read.text(path, wholetext=True), schema)
+
+
+def _documents(t: DataFrame, schema: str) -> DataFrame:
     arr = F.from_json("value", f"array<struct<{schema}>>")
     wrap = F.from_json("value", f"struct<items: array<struct<{schema}>>, data: array<struct<{schema}>>, results: array<struct<{schema}>>>")
     one = F.from_json("value", f"struct<{schema}>")
-    by_line = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.from_json(x, f"struct<{schema}>")), lambda x: x.isNotNull())
-    first = F.substring(F.trim("value"), 1, 1)
-    objects = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x).startswith("{") & F.try_parse_json(x).isNotNull())
-    rows = F.when(first == "[", arr).when(F.size(objects) > 1, by_line).otherwise(F.coalesce(wrap["items"], wrap["data"], wrap["results"], F.when(F.try_parse_json("value").isNotNull(), F.array(one)), by_line))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x).startswith("{") & F.try_parse_json(x).isNotNull())
+    by_line = F.transform(lines, lambda x: F.from_json(x, f"struct<{schema}>"))
+    whole = F.when(F.try_parse_json("value").isNotNull(), F.array(one))
+    rows = F.when(F.substring(F.trim("value"), 1, 1) == "[", arr).when(F.size(lines) > 1, by_line).otherwise(F.coalesce(wrap["items"], wrap["data"], wrap["results"], whole, by_line))
     return t.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -41,10 +44,10 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All captures.jsonl below the root; only where there is none, every JSON document."""
+    """All captures.jsonl below the root; only where there is none, every JSON document, read as json_documents() reads one."""
     if not _files(spark, root, "captures.jsonl").isEmpty():
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "captures.jsonl").json(root)
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    return _documents(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True), schema)
 
 
 def pair_files(paths: DataFrame, sources: list[str] | None = None, max_pairs: int | None = None, max_scans: int | None = None) -> DataFrame:
@@ -82,32 +85,39 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     return img.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "image_id string, y int, x int, b int, g int, r int")
 
 
-def append_adjustments(rows: DataFrame, path: str, known: tuple[str, ...]) -> None:
-    """Appends rows that have their required fields; unknown curve types become OTHER."""
-    good = rows.where("original_params is not null and user_params is not null and session_id is not null")
-    good.withColumn("curve_type", F.when(F.upper("curve_type").isin(*known), F.upper("curve_type")).otherwise("OTHER")).write.mode("append").partitionBy("curve_type").parquet(path)
+#: Curve types that adjustments are kept by; others are OTHER.
+KNOWN_TYPES = ("GR", "RHOB", "NPHI", "DT", "CALI", "SP", "OTHER")
+
+
+def append_adjustments(rows: DataFrame, path: str, known: tuple[str, ...] = KNOWN_TYPES) -> None:
+    """Appends rows that have their required fields; unknown curve types become OTHER, a missing quality 1."""
+    good = rows.where("curve_type is not null and original_params is not null and user_params is not null")
+    if "quality_score" in rows.columns:
+        good = good.withColumn("quality_score", F.coalesce("quality_score", F.lit(1.0)))
+    kind = F.when(F.col("curve_type").isin(*known), F.col("curve_type")).otherwise("OTHER")
+    good.withColumn("curve_type", kind).write.mode("append").partitionBy("curve_type").parquet(path)
 
 
 def clear_adjustments(spark: SparkSession, path: str, curve_type: str | None = None) -> int:
-    """Writes the table anew beside itself without a type (or any rows), then swaps the folders by the file system; gives the rows left."""
-    kept = spark.read.parquet(path)
-    kept = kept.where(F.lit(False) if curve_type is None else F.col("curve_type") != curve_type)
-    new = path.rstrip("/") + ".new"
-    kept.write.mode("overwrite").partitionBy("curve_type").parquet(new)
-    jvm = spark.sparkContext._jvm
-    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = kept.count()
-    fs.delete(old, True)
-    fs.rename(fresh, old)
-    return n
+    """Overwrites the partitions of one type, or all, by empty ones; gives the rows left.
+
+    A partition is replaced by the commit of one write; nothing else of the table is touched, so a stop leaves the
+    partition as it was or empty.
+    """
+    held = spark.read.parquet(path)
+    kinds = [r[0] for r in held.select("curve_type").distinct().collect() if curve_type in (None, r[0])]  # at most one row a known type
+    for kind in kinds:
+        empty = held.drop("curve_type").limit(0)
+        empty.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/curve_type={kind}")
+    return spark.read.schema(held.schema).parquet(path).count()
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    examples.write.mode("overwrite").json(path)
+    examples.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def pair_summary(skips: DataFrame) -> DataFrame:
-    """source, pair_id, status, reason, example_count, skipped from rows of source, pair_id, scan, reason, examples."""
-    g = skips.groupBy("source", "pair_id").agg(F.coalesce(F.sum("examples"), F.lit(0)).alias("example_count"), F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("scan", "reason")))).alias("skipped"), F.min("reason").alias("reason"))
-    return g.select("source", "pair_id", F.when(F.col("example_count") > 0, "ok").otherwise("skipped").alias("status"), F.when(F.col("example_count") == 0, F.col("reason")).alias("reason"), "example_count", "skipped")
+def write_summary(pairs: DataFrame, path: str, curve: str, sources: tuple[str, ...] = ()) -> None:
+    """The export's summary: totals beside a row a pair (pairing.pair_summary()), as one JSON document; it has a row a pair."""
+    rows = F.array_sort(F.collect_list(F.struct(*pairs.columns)))
+    one = pairs.agg(F.lit(curve.strip().upper()).alias("curve"), F.lit(",".join(sorted(sources))).alias("sources"), F.count(F.lit(1)).alias("pair_count"), F.coalesce(F.sum("example_count"), F.lit(0)).alias("example_count"), rows.alias("processed"))
+    one.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.accounts import subscription_fold
+from ..operators.learning import learned
 from ..operators.training import corrections as selected
 from ..sources.records import CORRECTION
 
@@ -22,22 +23,40 @@ def stats_stream(adjustments: DataFrame) -> DataFrame:
     return adjustments.groupBy("curve_type").agg(F.count(F.lit(1)).alias("count"), F.avg("quality_score").alias("mean_quality"), F.max("timestamp").alias("last_timestamp"))
 
 
+def learning_stream(adjustments: DataFrame, table: str, state_dir: str, checkpoint: str, as_of: Column) -> StreamingQuery:
+    """Keeps what is learned current: every batch is appended to the adjustments table, and the learned parameters are computed anew from it, as version of the batch.
+
+    Learned values are means over all adjustments of a type with weights that fade by day, so a batch reads the table;
+    a batch that runs again writes its own folder and version again.
+    """
+
+    def learn(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        held = batch.sparkSession.read.parquet(table).where(F.col("batch") <= number).drop("batch")
+        learned(held, as_of).write.mode("overwrite").parquet(f"{state_dir}/v{number}")
+
+    return adjustments.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def subscription_stream(events: DataFrame, state_dir: str, checkpoint: str) -> StreamingQuery:
     """Keeps the latest subscription event of each user: every batch is folded with the state's last version and written as the next one.
 
     A version is named by its batch, so a batch that runs again writes the same version; the latest by event time wins.
     """
-    columns = ["user_id", "created", "seq", "event_type", "status", "plan"]
+    columns = ["user_id", "created", "seq", "event_type", "status", "plan", "trial_end"]
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         held = batch.select(*columns)
         if number:
             held = held.unionByName(spark.read.parquet(f"{state_dir}/v{number - 1}"))
-        # The trial flag needs a user's trialing events too, so one of those is kept beside the latest event.
-        e = held.where("user_id is not null").withColumn("s", F.struct("created", "seq", "event_type", "status", "plan"))
-        g = e.groupBy("user_id").agg(F.max_by("s", F.struct("created", "seq")).alias("a"), F.max_by("s", F.when(F.col("status") == "trialing", F.struct("created", "seq"))).alias("b"))
-        g.select("user_id", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("s")).select("user_id", "s.*").write.mode("overwrite").parquet(f"{state_dir}/v{number}")
+        # The trial flag and the trial's end need more than the latest event: the latest that trials, and the latest that doesn't end.
+        e = held.where("user_id is not null").withColumn("s", F.struct(*columns[1:]))
+        when, open_ = F.struct("created", "seq"), F.col("event_type") != "deleted"
+        trial = open_ & (F.lower("status") == "trialing")
+        g = e.groupBy("user_id").agg(F.max_by("s", when).alias("a"), F.max_by("s", F.when(trial, when)).alias("b"), F.max_by("s", F.when(open_, when)).alias("c"))
+        state = g.select("user_id", F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("s")).select("user_id", "s.*")
+        state.write.mode("overwrite").parquet(f"{state_dir}/v{number}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
