@@ -3,24 +3,29 @@
 A document's set holds its distinct five-word shingles. Two sets A, B with Jaccard >= 0.8 differ in at most
 (|A|+|B|)/9 elements. The pair's level is fixed by |A|+|B|; a level deals the feature domain to m partitions. A document
 emits, at each level that a partner of 0.8 to 1.25 times its size can have with it, one signature for each of its first
-k+1 partitions that hold two or more of its shingles, k being the most differing elements of any such partner. At most k
-of A's first k+1 such partitions differ in B, so some partition agrees; the first one that agrees has at most k such
-partitions before it in B too (any of those differs, else it would agree earlier), so B emits it as well: no linked pair
-is lost. A document with fewer than k+1 such partitions also signs its first k+1 partitions whatever they hold; of two
-such documents, at least one of those partitions agrees.
+k+1 strong partitions, k being the most differing elements of any such partner. At most k of A's first k+1 strong
+partitions differ in B, so some partition agrees; the first one that agrees has at most k strong partitions before it in
+B too (any of those differs, else it would agree earlier), so B emits it as well: no linked pair is lost. A strong
+partition holds two or more of the shingles, or at levels of small sets one or more. Levels grow by an eighth, and each
+has the fewest partitions with which sets of its sizes have SAFE standard deviations more strong ones than they need, if
+any number does. A document with fewer than k+1 strong partitions also signs its first k+1 partitions whatever they
+hold, apart from the others' signatures; of two such documents, at least one of those partitions agrees. They are rare,
+so what all of them share (partitions that hold nothing) stays small.
 
 Exact copies carry the same set key and so count once. Buckets of up to PAIR_LIMIT sets give all their pairs; of larger
-ones, first the pairs with the smallest set are verified, and then, in blocks, all pairs that these links leave in
-different components: those whose parity sketches allow the similarity are verified too, in the block's task, which
-gives only the links that join components. No bucket is capped.
+ones, first the pairs with the smallest set are verified, and then, in blocks, those that these links leave in different
+components: pairs whose parity sketches allow the similarity are verified too, in the block's task, which gives only the
+links that join components. No bucket is capped.
 
 Defined results: null or empty text and text of white space: n_shingles 0, linked with nothing. Fewer than five words:
-one shingle, the whole sequence. Repeated rows: each stays a row and has the same class. A null doc_id stays a row whose
-component_id is null. Other columns are ignored.
+one shingle, the whole sequence. Repeated rows: each stays a row and has the same class. Rows of one id with different
+texts are classes of their own, with that id. A null doc_id stays a row whose component_id is null, linked with nothing.
+A text of any length is one row's work. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +34,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mapped, mix, stored, word_hashes, word_spans
+from .common import bounded, chunks, components, discard, fresh, joined, mapped, mix, stored, word_hashes, word_spans
 
 WORDS = 5
 #: Links: NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 PAIR_LIMIT = 24
 BLOCK = 512
-#: Signatures that one bucket task sorts, about.
-PER_PART = 1_500_000
+#: Signatures that one bucket task sorts, about, and the most such tasks.
+PER_PART, MOST_TASKS = 1_500_000, 20_000
+#: A signature of so many sets of a batch is large at once.
+HEAVY = 64
+#: Standard deviations by which a level's sets have more strong partitions than they need.
+SAFE = 3.0
 _COEF = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -67,41 +76,83 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _levels() -> list[tuple[int, int]]:
-    """(largest |A|+|B|, partitions) by level: sums grow by half; partitions hold 2 to 4 shingles of a set on average, and outnumber the differing elements."""
-    out, top = [], 8
+def _strong_share(mean: float, least: int) -> float:
+    """How many of partitions with so many shingles on average hold the least, if they fall at random."""
+    return 1 - math.exp(-mean) * (1 + mean if least == 2 else 1)
+
+
+def _partitions(prev: int, top: int, least: int) -> tuple[float, int]:
+    """For sets of a level: how many standard deviations the strong partitions exceed the needed ones, at the worst size, and the fewest partitions that reach SAFE, else those that come nearest."""
+    best = (-math.inf, 1)
+    sizes = [max(1, round((prev + 1) / (1 + DEN / NUM) + f * (top / (1 + NUM / DEN) - (prev + 1) / (1 + DEN / NUM)))) for f in (0, 0.25, 0.5, 0.75, 1)]
+    for mean in np.arange(4.0, 1.0, -0.1):
+        m = max(1, round(top / 2 / mean))
+        gap = math.inf
+        for n in sizes:
+            p = _strong_share(n / m, least)
+            need = _need(n, top)
+            gap = min(gap, (m * p - need) / math.sqrt(max(1e-9, m * p * (1 - p)))) if m >= need else -math.inf
+        if gap >= SAFE:
+            return gap, m
+        best = max(best, (gap, m))
+    return best
+
+
+def _need(n, top):
+    """One more than the most differing elements of a set of n shingles and a partner at a level."""
+    return np.minimum(top, n + n * DEN // NUM) * (DEN - NUM) // (DEN + NUM) + 1
+
+
+def _levels() -> list[tuple[int, int, int]]:
+    """(largest |A|+|B|, partitions, shingles that make one strong) by level. Sets of the first level are equal or not linked: one partition."""
+    out, prev, top = [(8, 1, 1)], 8, 9
     while top < 1 << 40:
-        out.append((top, max(int(top / 7.2), top // 9 + 1)))
-        top = top + top // 2 + 1
+        ways = [(*_partitions(prev, top, least), least) for least in (2, 1)]
+        gap, m, least = next((w for w in ways if w[0] >= SAFE), max(ways))
+        out.append((top, m, least))
+        prev, top = top, top + top // 8 + 1
     return out
 
 
 LEVELS = _levels()
-_TOPS = np.array([t for t, _ in LEVELS])
+_TOPS, _PARTS, _STRONG = (np.array(x, dtype=np.int64) for x in zip(*LEVELS))
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    n = len(s)
-    if not n:
-        return s
-    least, most = n + -(-n * NUM // DEN), n + n * DEN // NUM
-    out = []
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets, and for each the number of its set; all sets of a batch at a time."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    if not n.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    s, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     salted = mix(s ^ np.uint64(0x2545F4914F6CDD1D))
-    for lv in range(int(np.searchsorted(_TOPS, least)), int(np.searchsorted(_TOPS, most)) + 1):
-        top, m = LEVELS[lv]
-        need = min(top, most) * (DEN - NUM) // (DEN + NUM) + 1
-        part = (s % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        at = np.searchsorted(part[order], np.arange(m + 1))
-        run = np.concatenate([[np.uint64(0)], np.cumsum(salted[order], dtype=np.uint64)])
-        sums, held = run[at[1:]] - run[at[:-1]], np.diff(at)
-        strong = np.flatnonzero(held >= 2)[:need]
-        tag = np.uint64(2 * lv)
-        out.append(mix(mix(sums[strong] + tag) + strong.astype(np.uint64)))
-        if len(strong) < need:
-            plain = np.arange(min(need, m))
-            out.append(mix(mix(sums[plain] + tag + np.uint64(1)) + plain.astype(np.uint64)))
-    return np.concatenate(out)
+    halves = (salted & np.uint64(0xFFFFFFFF)).astype(float), (salted >> np.uint64(32)).astype(float)
+    low, high = np.searchsorted(_TOPS, n + -(-n * NUM // DEN)), np.searchsorted(_TOPS, n + n * DEN // NUM)
+    out, owner = [], []
+    for step in range(int((high - low)[n > 0].max()) + 1):
+        level = low + step
+        here = (n > 0) & (level <= high)
+        level = np.where(here, level, 0)
+        parts = np.where(here, _PARTS[level], 0)
+        base = np.cumsum(parts) - parts
+        some = here[of]
+        unit = (base[of] + (s % np.maximum(parts, 1).astype(np.uint64)[of]).astype(np.int64))[some]
+        held = np.bincount(unit, minlength=int(parts.sum()))
+        # The sum of a partition's hashes, by halves, which stay whole numbers in a double.
+        a, b = (np.bincount(unit, weights=h[some], minlength=len(held)).astype(np.uint64) for h in halves)
+        sums = mix(a) + b
+        owns = np.repeat(np.arange(len(sets)), parts)
+        place = np.arange(len(held)) - base[owns]
+        need = np.where(here, _need(n, _TOPS[level]), 0)
+        strong = held >= _STRONG[level][owns]
+        rank = np.cumsum(strong)
+        rank = rank - np.concatenate([[0], rank])[base][owns]
+        total = np.bincount(owns[strong], minlength=len(sets))
+        tag = (2 * level).astype(np.uint64)[owns]
+        for keep, odd in ((strong & (rank <= need[owns]), 0), ((total < need)[owns] & (place < need[owns]), 1)):
+            at = np.flatnonzero(keep)
+            out.append(mix(mix(sums[at] + tag[at] + np.uint64(odd)) + place[at].astype(np.uint64)))
+            owner.append(owns[at])
+    return np.concatenate(out), np.concatenate(owner)
 
 
 def _texts(pdf: pd.DataFrame) -> list[bytes]:
@@ -109,81 +160,105 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and the two hashes of the set."""
+    """doc_id, th (a hash of the text), n_shingles, and the two hashes of the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(len(s), *set_key(s)) for s in shingle_sets(_texts(pdf))]
             n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": np.array(n, np.int64), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "n_shingles": np.array(n, np.int64), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), F.col("text").cast("binary").alias("text"))
+    return mapped(rows, run, "doc_id long, th long, n_shingles long, k1 long, k2 long", "doc_id")
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
-    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, n_shingles long, k1 long, k2 long", "doc_id")
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal values, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
 def _signature_blobs(docs: DataFrame, parts: int) -> DataFrame:
-    """Signatures with set keys, packed by bucket part: a row for each part and batch."""
+    """Signatures with set keys, packed by bucket part: a row for each part and batch. keys holds each set once, times how many signatures follow for it; heavy the signatures that are large already.
+
+    A signature of over HEAVY sets of a batch leaves one of them in its part; all of them go, as pairs with that one and
+    as members, to a part of the batch's own (a negative number), so a signature that a third of all sets holds isn't
+    gathered.
+    """
     shift = np.uint64(64 - int(parts).bit_length() + 1)
 
+    def packed(part: int, sig: np.ndarray, key: np.ndarray, heavy: np.ndarray) -> tuple:
+        at = _runs(key)
+        return part, sig.tobytes(), key[at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), heavy.tobytes()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sigs, keys, seen = [], [], set()
+            sets, keys, seen = [], [], set()
             for s in shingle_sets(_texts(pdf)):
                 key = set_key(s)[0]
                 if len(s) and key not in seen:
                     seen.add(key)
-                    sigs.append(signatures(s))
-                    keys.append(np.full(len(sigs[-1]), key, dtype=np.int64))
-            if not sigs:
+                    sets.append(s)
+                    keys.append(key)
+            if not sets:
                 continue
-            sig, key = np.concatenate(sigs), np.concatenate(keys)
+            sig, of = signatures(sets)
+            key = np.array(keys, dtype=np.int64)[of]
+            order = np.lexsort((key, sig))
+            at = _runs(sig[order])
+            many = np.flatnonzero(np.diff(at) > HEAVY)
+            drop, rows = np.zeros(len(sig), dtype=bool), []
+            heavy = sig[order[at[many]]]
+            if len(many):
+                own = np.concatenate([order[at[i] : at[i + 1]] for i in many])
+                rows.append(packed(-1 - int(mix(sig[own[:1]])[0] % np.uint64(4 * parts)), sig[own], key[own], heavy[:0]))
+                drop[np.concatenate([order[at[i] + 1 : at[i + 1]] for i in many])] = True
+            sig, key = sig[~drop], key[~drop]
             part = (sig >> shift).astype(np.int64) if parts > 1 else np.zeros(len(sig), np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((key, part))
             sig, key, part = sig[order], key[order], part[order]
-            ids, at = np.unique(part, return_index=True)
-            at = [*at, len(part)]
-            yield pd.DataFrame({"part": ids, "sigs": [sig[a:b].tobytes() for a, b in zip(at, at[1:])], "keys": [key[a:b].tobytes() for a, b in zip(at, at[1:])]})
+            at = _runs(part)
+            where = (heavy >> shift).astype(np.int64) if parts > 1 else np.zeros(len(heavy), np.int64)
+            rows += [packed(int(part[a]), sig[a:b], key[a:b], heavy[where == part[a]]) for a, b in zip(at[:-1], at[1:])]
+            yield pd.DataFrame(rows, columns=["part", "sigs", "keys", "times", "heavy"])
+
+    texts = bounded(docs.select(F.col("text").cast("binary").alias("text")))
+    return texts.mapInPandas(run, "part long, sigs binary, keys binary, times binary, heavy binary")
+
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(run, "part long, sigs binary, keys binary")
+def _joined(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind)
 
 
 def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs (kind 0: a, b) of small buckets and with the first set of large ones; members of large ones (kind 1: signature, key)."""
-    sig = np.frombuffer(b"".join(pdf["sigs"]), dtype=np.int64)
-    key = np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64)
+    sig, heavy = _joined(pdf["sigs"], np.int64), _joined(pdf["heavy"], np.int64)
+    key = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["times"], np.int32))
+    own = pdf["part"].iloc[0] < 0  # signatures that batches found to be large
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
     keep = np.ones(len(sig), dtype=bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
     sig, key = sig[keep], key[keep]
-    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    length = np.diff([*at, len(sig)])
-    a, b, big = [], [], []
-    for n in np.unique(length[length > 1]):
-        rows = key[at[length == n][:, None] + np.arange(n)]
-        if n <= PAIR_LIMIT:
-            i, j = np.triu_indices(n, 1)
-            a.append(rows[:, i].ravel())
-            b.append(rows[:, j].ravel())
-        else:
-            a.append(np.repeat(rows[:, 0], n - 1))
-            b.append(rows[:, 1:].ravel())
-            big.append((np.repeat(sig[at[length == n]], n), rows.ravel()))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    members = np.stack([np.concatenate([x for x, _ in big]), np.concatenate([x for _, x in big])], 1) if big else np.zeros((0, 2), np.int64)
-    out = np.concatenate([pairs, members])
-    return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), len(members)]).astype(np.int32), "a": out[:, 0], "b": out[:, 1]})
-
-
-def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the named documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": [pack.compress(t) for t in _texts(pdf)]})
-
-    packed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, z binary")
-    return packed.join(ids, "doc_id", "left_semi")
+    at = _runs(sig)
+    length, first = np.diff(at), at[:-1]
+    large = own | (length > PAIR_LIMIT) | np.isin(sig[first], heavy)
+    a, b = [], []
+    for n in np.unique(length[~large & (length > 1)]):
+        rows = key[first[~large & (length == n)][:, None] + np.arange(n)]
+        i, j = np.triu_indices(n, 1)
+        a.append(rows[:, i].ravel())
+        b.append(rows[:, j].ravel())
+    inside = np.repeat(large, length)
+    lead = np.repeat(key[first], length)
+    star = inside & (key != lead)
+    a, b = np.concatenate([*a, lead[star]]).astype(np.int64), np.concatenate([*b, key[star]]).astype(np.int64)
+    pairs = np.unique(np.stack([a, b], 1), axis=0)
+    out = np.concatenate([pairs, np.stack([sig[inside], key[inside]], 1)])
+    return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), int(inside.sum())]).astype(np.int32), "a": out[:, 0], "b": out[:, 1]})
 
 
 def _unpacked(column: pd.Series) -> list[bytes]:
@@ -191,21 +266,43 @@ def _unpacked(column: pd.Series) -> list[bytes]:
     return [un.decompress(z) for z in column]
 
 
+def _class_texts(docs: DataFrame, needed: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid, z (compressed text), n of the classes that the named documents (doc_id) hold; their keys are taken from the texts, as an id may stand on several."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": [packer.compress(t) for t in _texts(pdf)]})
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                z = pdf["z"].iloc[lo : lo + 256]
+                rows = [(len(s), *set_key(s)) for s in shingle_sets(_unpacked(z))]
+                n, k1, k2 = zip(*rows, strict=True)
+                yield pd.DataFrame({"k1": k1, "k2": k2, "n_shingles": n, "z": list(z)})
+
+    texts = bounded(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")))
+    packed = texts.mapInPandas(pack, "doc_id long, z binary").join(needed, "doc_id", "left_semi")
+    found = packed.mapInPandas(keyed, "k1 long, k2 long, n_shingles long, z binary").join(classes.select("k1", "k2", "n_shingles", "cid"), ["k1", "k2", "n_shingles"])
+    return found.groupBy("cid").agg(F.any_value("z").alias("z"), F.any_value("n_shingles").alias("n"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b, ka, kb) of doc_ids and set keys, those that link, by their whole sets."""
+    """Of pairs (a, b) of classes, those that link, by their whole sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
-                for ka, kb, x, y in zip(some["ka"], some["kb"], shingle_sets(_unpacked(some["za"])), shingle_sets(_unpacked(some["zb"]))):
+                for x, y in zip(shingle_sets(_unpacked(some["za"])), shingle_sets(_unpacked(some["zb"]))):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(set_key(x)[0] == ka and set_key(y)[0] == kb and DEN * both >= NUM * (len(x) + len(y) - both))
+                    keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    held = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-    return held.select("a", "b", "ka", "kb", "za", "zb").mapInPandas(run, "a long, b long")
+    held = pairs.join(texts.select(F.col("cid").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("cid").alias("b"), F.col("z").alias("zb")), "b")
+    return bounded(held.select("a", "b", "za", "zb")).mapInPandas(run, "a long, b long")
 
 
 def _sketch(s: np.ndarray, bits: int) -> bytes:
@@ -214,14 +311,15 @@ def _sketch(s: np.ndarray, bits: int) -> bytes:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
+    """The texts with their sets' sketches."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
-                sets = list(shingle_sets(_unpacked(some["z"])))
-                yield pd.DataFrame({"doc_id": some["doc_id"], "key": [set_key(s)[0] for s in sets], "z": some["z"], "sets": [_sketch(s, 1 << max(8, int(2 * len(s)).bit_length())) for s in sets]})
+                yield some.assign(sets=[_sketch(s, 1 << max(8, int(2 * len(s)).bit_length())) for s in shingle_sets(_unpacked(some["z"]))])
 
-    return texts.mapInPandas(run, "doc_id long, key long, z binary, sets binary")
+    return bounded(texts).mapInPandas(run, "cid long, z binary, n long, sets binary")
 
 
 def _fold(x: np.ndarray, width: int) -> np.ndarray:
@@ -248,8 +346,8 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         packed = [np.frombuffer(z, np.uint8) for z in right["sets"]]
         rn, rc, rw = right["n"].to_numpy(), right["c"].to_numpy(), np.array([len(p) for p in packed])
         folded = {}
-        rd, rz = right["doc_id"].tolist(), list(right["z"])
-        for d, n, c, z, sk in zip(left["doc_id"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"]):
+        rd, rz = right["cid"].tolist(), list(right["z"])
+        for d, n, c, z, sk in zip(left["cid"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"]):
             x = np.frombuffer(sk, np.uint8)
             for w in np.unique(rw):
                 width = min(int(w), len(x))
@@ -272,46 +370,77 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= 0.8, itself included)."""
-    spark = docs.sparkSession
+def _remaining_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join what members (bucket, cid, c) of one bucket have in different components c.
+
+    Sets of a bucket's largest component meet only those of other components: the others are dealt to blocks, all are
+    dealt to blocks, and a task compares one of each.
+    """
+    total = members.count()
+    parts = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("size"))
+    parts = stored(parts.where("most < size"), "open")
+    held = joined(members, parts, ("bucket",), f"size * 1000 > {total}")
+    block = lambda rows, salt: F.expr(f"pmod(xxhash64(cid, {salt}), {rows})")
+    held = held.withColumn("few", F.ceil((F.col("size") - F.col("most")) / BLOCK)).withColumn("all", F.ceil(F.col("size") / BLOCK))
+    slim = held.select("bucket", "cid", "c", "major", "few", "all")
+    side = lambda rows, s, i, j: rows.select("bucket", i.alias("i"), j.alias("j"), F.lit(s).alias("side"), "cid", "c")
+    minor = side(slim.where("c <> major").withColumn("i", block("few", 7)), 0, F.col("i"), F.explode(F.expr("sequence(0L, all - 1)")))
+    every = side(slim.withColumn("j", block("all", 8)), 1, F.explode(F.expr("sequence(0L, few - 1)")), F.col("j"))
+    sketched = stored(_sketches(texts.join(slim.select("cid").distinct(), "cid", "left_semi")), "sketches")
+    dealt = minor.union(every).join(sketched, "cid").select("bucket", "i", "j", "side", "cid", "n", "c", "z", "sets")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, node (the component, null for rows without id or shingles), component_id of every row."""
     sets = stored(document_sets(docs), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = 1 << max(5, int(0.4 * total / PER_PART).bit_length())
-    found = stored(_signature_blobs(docs, parts).groupBy("part").applyInPandas(_buckets, "kind int, a long, b long"), "buckets")
-
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    by = lambda s: classes.select(F.col("k1").alias(f"k{s}"), F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"))
+    parts = 1 << max(5, int(0.8 * total / PER_PART).bit_length())
+    blobs = _signature_blobs(docs, parts).repartition(min(parts, MOST_TASKS), "part")
+    found = stored(blobs.groupBy("part").applyInPandas(_buckets, "kind int, a long, b long"), "buckets")
+
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    n, rows = classes.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    by = lambda s: classes.select(F.col("k1").alias(f"k{s}"), F.col("cid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("rep").alias(f"r{s}"))
     pairs = found.where("kind = 0").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct().join(by("a"), "ka").join(by("b"), "kb")
-    pairs = stored(pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "ka", "kb"), "pairs")
-    large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key"))
+    pairs = stored(pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "ra", "rb"), "pairs")
+    large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("k1"))
+    members = stored(large.distinct().join(classes.select("k1", "cid", "rep"), "k1").select("bucket", "cid", "rep"), "members")
+    discard(found)
 
-    members = large.join(classes.select(F.col("k1").alias("key"), F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "key")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("doc_id")).distinct()
-    texts = stored(_packed_texts(docs, needed), "texts")
+    needed = pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).union(members.select("rep")).distinct()
+    texts = stored(_class_texts(docs, needed, classes), "texts")
     links = stored(_verified(pairs, texts), "links")
+    discard(pairs)
     comp = components(links)
-
-    # What large buckets leave: members of one bucket in different components.
-    members = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    open_ = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), (F.min("c") < F.max("c")).alias("open")).where("open")
-    members = stored(members.join(open_.select("bucket", "size"), "bucket"), "members")
     if not members.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK)
-        sketched = _sketches(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-        dealt = members.withColumn("blocks", blocks).withColumn("i", F.expr("pmod(xxhash64(key, 7), blocks)")).join(sketched, ["doc_id", "key"])
-        rows = F.explode(F.expr("concat(transform(sequence(i, blocks - 1), j -> struct(i as i, j as j, 0 as side)), transform(sequence(cast(0 as bigint), i), j -> struct(j as i, i as j, 1 as side)))"))
-        dealt = dealt.select("bucket", "doc_id", "n", "c", "z", "sets", rows.alias("x")).select("bucket", "x.i", "x.j", "x.side", "doc_id", "n", "c", "z", "sets")
-        extra = stored(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "extra")
+        open_ = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("c"))
+        extra = stored(_remaining_links(stored(open_, "members"), texts), "extra")
         if not extra.isEmpty():
             comp = components(links.union(extra))
-    named = classes.join(comp, classes.rep == comp.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    done = sets.join(named, ["k1", "k2", "n_shingles"], "left")
-    return done.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    discard(members, texts)
+    named = classes.join(comp, classes.cid == comp.node, "left").select("k1", "k2", "n_shingles", "rows", "rep", F.coalesce("component", "cid").alias("node"))
+    named = stored(named, "named")
+    labels = stored(named.groupBy("node").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k")), "labels")
+    named = stored(joined(named, labels, ("node",), f"k * 1000 > {n}").select("k1", "k2", "n_shingles", "rows", "node", "component_id"), "classes")
+    known = sets.where("n_shingles > 0 and doc_id is not null")
+    done = joined(known, named, ("k1", "k2", "n_shingles"), f"rows * 1000 > {rows or 0}").select("doc_id", "th", "n_shingles", "node", "component_id")
+    rest = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"))
+    return done.union(rest)
+
+
+def similarity_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= 0.8, itself included)."""
+    return _classified(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their class, with all their columns; those without a doc_id stay. Repeated rows of one doc_id become one."""
-    kept = similarity_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each class, that of the smallest doc_id (of equal ids, the text of smallest hash), and all documents without shingles, with all their columns; those without a doc_id stay. Repeated rows become one."""
+    th, doc = fresh(docs, "th", "of_doc")
+    rows = _classified(docs).where("doc_id is not null")
+    first = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    kept = first.union(rows.where("node is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias(doc), F.col("th").alias(th))
+    held = docs.where("doc_id is not null").withColumn(th, _text_hash())
+    held = held.join(kept.withColumnRenamed(th, th + "_"), (F.col("doc_id") == F.col(doc)) & (F.col(th) == F.col(th + "_")), "left_semi")
+    return held.dropDuplicates(["doc_id", th]).drop(th).unionByName(docs.where("doc_id is null"))
