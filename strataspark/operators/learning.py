@@ -96,7 +96,7 @@ def confidences(adjustments: DataFrame, as_of: Column) -> DataFrame:
     total = adjustments.groupBy("curve_type").agg(F.count(F.lit(1)).alias("sample_size"))
     j = total.join(size, "curve_type", "left").join(steady, "curve_type", "left")
     c = F.least(F.lit(1.0), F.col("n") / 10.0 * F.col("q") * F.coalesce("steady", F.lit(0.5)))
-    return j.select("curve_type", F.coalesce(c, F.lit(0.0)).alias("confidence"), "sample_size")
+    return j.select("curve_type", F.when(F.col("n") > 0, c).otherwise(0.0).alias("confidence"), "sample_size")
 
 
 def learned(adjustments: DataFrame, as_of: Column) -> DataFrame:

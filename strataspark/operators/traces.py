@@ -408,10 +408,13 @@ def dot_print_tracer(mask: DataFrame, hues: DataFrame | None = None, crest: bool
 
 
 def ridge_tracer(mask: DataFrame) -> DataFrame:
-    """The cheapest seam along the largest component of the ridge of what is left of a mask without rails; conf 1. Images without any have no places and conf 0."""
+    """The cheapest seam along the ridge of the largest component of what is left of a mask without rails; conf 1. Images without any have no places and conf 0.
+
+    The component is the stroke's, for the middles of its rows may lie apart where it is steep.
+    """
     left = P.without_rails(mask, P.sizes_of(mask))
-    ridge = P.centre_score(left).where("mid").select("image_id", "y", "x", F.lit(True).alias("on"))
-    kept = P.largest_component(ridge).withColumn("p", F.lit(1.0))
+    stroke = P.largest_component(left).withColumn("on", F.lit(True))
+    kept = P.cut(P.centre_score(stroke).where("mid").select("image_id", "y", "x").withColumn("p", F.lit(1.0)))
     some = kept.select("image_id").distinct().withColumn("some", F.lit(True))
     prob = mask.select("image_id", "y", "x").join(kept, ["image_id", "y", "x"], "left").fillna(0.0, ["p"])
     got = seam(prob).join(some, "image_id", "left")
