@@ -40,7 +40,7 @@ WORDS = 5
 #: Links: NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 PAIR_LIMIT = 24
-BLOCK = 512
+BLOCK = 1024
 #: Signatures that one bucket task sorts, about, and the most such tasks.
 PER_PART, MOST_TASKS = 1_500_000, 20_000
 #: A signature of so many sets of a batch is large at once.
@@ -181,10 +181,10 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _signature_blobs(docs: DataFrame, parts: int) -> DataFrame:
+def _signature_blobs(docs: DataFrame, parts: int, most: int) -> DataFrame:
     """Signatures with set keys, packed by bucket part: a row for each part and batch. keys holds each set once, times how many signatures follow for it; heavy the signatures that are large already.
 
-    A signature of over HEAVY sets of a batch leaves one of them in its part; all of them go, as pairs with that one and
+    A signature of over `most` sets of a batch leaves one of them in its part; all of them go, as pairs with that one and
     as members, to a part of the batch's own (a negative number), so a signature that a third of all sets holds isn't
     gathered.
     """
@@ -209,7 +209,7 @@ def _signature_blobs(docs: DataFrame, parts: int) -> DataFrame:
             key = np.array(keys, dtype=np.int64)[of]
             order = np.lexsort((key, sig))
             at = _runs(sig[order])
-            many = np.flatnonzero(np.diff(at) > HEAVY)
+            many = np.flatnonzero(np.diff(at) > most)
             drop, rows = np.zeros(len(sig), dtype=bool), []
             heavy = sig[order[at[many]]]
             if len(many):
@@ -233,32 +233,36 @@ def _joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind)
 
 
-def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs (kind 0: a, b) of small buckets and with the first set of large ones; members of large ones (kind 1: signature, key)."""
-    sig, heavy = _joined(pdf["sigs"], np.int64), _joined(pdf["heavy"], np.int64)
-    key = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["times"], np.int32))
-    own = pdf["part"].iloc[0] < 0  # signatures that batches found to be large
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    keep = np.ones(len(sig), dtype=bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[keep], key[keep]
-    at = _runs(sig)
-    length, first = np.diff(at), at[:-1]
-    large = own | (length > PAIR_LIMIT) | np.isin(sig[first], heavy)
-    a, b = [], []
-    for n in np.unique(length[~large & (length > 1)]):
-        rows = key[first[~large & (length == n)][:, None] + np.arange(n)]
-        i, j = np.triu_indices(n, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    inside = np.repeat(large, length)
-    lead = np.repeat(key[first], length)
-    star = inside & (key != lead)
-    a, b = np.concatenate([*a, lead[star]]).astype(np.int64), np.concatenate([*b, key[star]]).astype(np.int64)
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    out = np.concatenate([pairs, np.stack([sig[inside], key[inside]], 1)])
-    return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), int(inside.sum())]).astype(np.int32), "a": out[:, 0], "b": out[:, 1]})
+def _buckets(limit: int):
+    """The job of a part: candidate pairs (kind 0: a, b) of buckets of up to the limit and with the first set of larger ones; members of larger ones (kind 1: signature, key)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, heavy = _joined(pdf["sigs"], np.int64), _joined(pdf["heavy"], np.int64)
+        key = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["times"], np.int32))
+        own = pdf["part"].iloc[0] < 0  # signatures that batches found to be large
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
+        keep = np.ones(len(sig), dtype=bool)
+        keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key = sig[keep], key[keep]
+        at = _runs(sig)
+        length, first = np.diff(at), at[:-1]
+        large = own | (length > limit) | np.isin(sig[first], heavy)
+        a, b = [], []
+        for n in np.unique(length[~large & (length > 1)]):
+            rows = key[first[~large & (length == n)][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            a.append(rows[:, i].ravel())
+            b.append(rows[:, j].ravel())
+        inside = np.repeat(large, length)
+        lead = np.repeat(key[first], length)
+        star = inside & (key != lead)
+        a, b = np.concatenate([*a, lead[star]]).astype(np.int64), np.concatenate([*b, key[star]]).astype(np.int64)
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        out = np.concatenate([pairs, np.stack([sig[inside], key[inside]], 1)])
+        return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), int(inside.sum())]).astype(np.int32), "a": out[:, 0], "b": out[:, 1]})
+
+    return run
 
 
 def _unpacked(column: pd.Series) -> list[bytes]:
@@ -329,7 +333,8 @@ def _fold(x: np.ndarray, width: int) -> np.ndarray:
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of two blocks of a bucket, links (a, b) that join different components: pairs whose sizes and sketches allow a link are checked by their whole sets, unless links found here already join them."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    own = pdf[pdf["side"] == 2]  # a block with itself: each pair once
+    left, right = (own, own) if len(own) else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
     out, parent, sets = [], {}, {}
 
     def root(c: int) -> int:
@@ -347,11 +352,12 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         rn, rc, rw = right["n"].to_numpy(), right["c"].to_numpy(), np.array([len(p) for p in packed])
         folded = {}
         rd, rz = right["cid"].tolist(), list(right["z"])
-        for d, n, c, z, sk in zip(left["cid"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"]):
+        for k, (d, n, c, z, sk) in enumerate(zip(left["cid"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"])):
             x = np.frombuffer(sk, np.uint8)
+            fresh_ = np.arange(len(right)) > k if len(own) else np.ones(len(right), dtype=bool)
             for w in np.unique(rw):
                 width = min(int(w), len(x))
-                here = np.flatnonzero((rw == w) & (rc != c) & (DEN * np.minimum(rn, n) >= NUM * np.maximum(rn, n)))
+                here = np.flatnonzero(fresh_ & (rw == w) & (rc != c) & (DEN * np.minimum(rn, n) >= NUM * np.maximum(rn, n)))
                 if not len(here):
                     continue
                 if (w, width) not in folded:
@@ -373,21 +379,24 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def _remaining_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join what members (bucket, cid, c) of one bucket have in different components c.
 
-    Sets of a bucket's largest component meet only those of other components: the others are dealt to blocks, all are
-    dealt to blocks, and a task compares one of each.
+    A bucket's sets are dealt to blocks, and a task compares two of them, or one with itself: each set goes to as many
+    tasks as there are blocks. Where a large bucket has one component of most sets, which need not meet each other, the
+    others are dealt to blocks of their own, and those meet the blocks of all.
     """
     total = members.count()
     parts = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("size"))
     parts = stored(parts.where("most < size"), "open")
-    held = joined(members, parts, ("bucket",), f"size * 1000 > {total}")
-    block = lambda rows, salt: F.expr(f"pmod(xxhash64(cid, {salt}), {rows})")
-    held = held.withColumn("few", F.ceil((F.col("size") - F.col("most")) / BLOCK)).withColumn("all", F.ceil(F.col("size") / BLOCK))
-    slim = held.select("bucket", "cid", "c", "major", "few", "all")
-    side = lambda rows, s, i, j: rows.select("bucket", i.alias("i"), j.alias("j"), F.lit(s).alias("side"), "cid", "c")
-    minor = side(slim.where("c <> major").withColumn("i", block("few", 7)), 0, F.col("i"), F.explode(F.expr("sequence(0L, all - 1)")))
-    every = side(slim.withColumn("j", block("all", 8)), 1, F.explode(F.expr("sequence(0L, few - 1)")), F.col("j"))
-    sketched = stored(_sketches(texts.join(slim.select("cid").distinct(), "cid", "left_semi")), "sketches")
-    dealt = minor.union(every).join(sketched, "cid").select("bucket", "i", "j", "side", "cid", "n", "c", "z", "sets")
+    held = joined(members, parts, ("bucket",), f"size * 1000 > {total}").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    held = held.withColumn("at", F.expr("pmod(xxhash64(cid, 7), blocks)")).withColumn("few", F.ceil((F.col("size") - F.col("most")) / BLOCK))
+    split = "blocks > 1 and 4 * (size - most) <= size"
+    way = lambda i, j, side: f"struct({i} as i, {j} as j, {side} as side)"
+    alike = F.expr(f"concat(array({way('at', 'at', 2)}), transform(filter(sequence(0L, blocks - 1), b -> b > at), b -> {way('at', 'b', 0)}), transform(filter(sequence(0L, blocks - 1), b -> b < at), b -> {way('b', 'at', 1)}))")
+    every = F.expr(f"transform(sequence(0L, few - 1), b -> {way('b', 'at', 1)})")
+    minor = F.expr(f"transform(sequence(0L, blocks - 1), b -> {way('pmod(xxhash64(cid, 8), few)', 'b', 0)})")
+    ways = F.when(F.expr(f"not ({split})"), alike).otherwise(F.concat(every, F.when(F.expr("c <> major"), minor).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,side:int>>"))))
+    dealt = held.select("bucket", "cid", "c", F.explode(ways).alias("w"))
+    sketched = stored(_sketches(texts.join(dealt.select("cid").distinct(), "cid", "left_semi")), "sketches")
+    dealt = dealt.select("bucket", "w.i", "w.j", "w.side", "cid", "c").join(sketched, "cid").select("bucket", "i", "j", "side", "cid", "n", "c", "z", "sets")
     return dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
 
 
@@ -396,8 +405,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     sets = stored(document_sets(docs), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts = 1 << max(5, int(0.8 * total / PER_PART).bit_length())
-    blobs = _signature_blobs(docs, parts).repartition(min(parts, MOST_TASKS), "part")
-    found = stored(blobs.groupBy("part").applyInPandas(_buckets, "kind int, a long, b long"), "buckets")
+    blobs = _signature_blobs(docs, parts, HEAVY).repartition(min(parts, MOST_TASKS), "part")
+    found = stored(blobs.groupBy("part").applyInPandas(_buckets(PAIR_LIMIT), "kind int, a long, b long"), "buckets")
 
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
