@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Grades are ordered: 0 poor, 1 sound but toxic, 2 sound. Each word of a text gives three hashed features (the word, its
-ending, its shape by character classes), and the text's share of different words gives one, valued by 1 + log of their count; those whose frequency does not tell the grades
+Grades are ordered: 0 poor, 1 sound but toxic, 2 sound. Each word of a text gives five hashed features (the word, its
+first five and seven bytes, its ending, its shape by character classes), and the text's share of different words gives one, valued by 1 + log of their count; those whose frequency does not tell the grades
 apart are left out. One weight per feature is shared by all
 grades, and ordered thresholds cut the score: P(grade >= j) = logistic(score - threshold_j). The expected grade is the
 sum of these tails; documents whose tail at the best grade falls under TAIL are rejected.
@@ -30,11 +30,16 @@ from .common import bounded, chunks, fresh, mix, word_hashes, word_spans
 SAMPLE = 8_000
 DIM = 1 << 18
 GRADES = 3
-TAIL = 0.4
+TAIL = 0.5
 RESULTS = ("score", "expected_grade", "p_tail", "keep")
+#: Bytes of a word's beginnings.
+HEADS = (5, 7)
 STEPS, RATE, RIDGE = 400, 0.05, 1e-4
 #: A feature is kept if it is in so many documents of the sample, and its share of a lower grade's documents is so many standard errors off that of the best grade's.
 LEAST_DOCS, LEAST_Z = 5, 5.0
+#: Bytes, A-Z lower-cased, from 1 on.
+_SMALL = np.arange(1, 257, dtype=np.uint64)
+_SMALL[65:91] += np.uint64(32)
 #: Character classes of shapes: lower case and bytes of other letters, upper case, digits, sentence marks, other marks.
 _CLASS = np.full(256, 5, dtype=np.uint64)
 _CLASS[97:123] = 1
@@ -45,7 +50,7 @@ _CLASS[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]] = 4
 
 
 def features(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each text its hashed feature numbers: three for each word, and one for its share of different words."""
+    """For each text its hashed feature numbers: five for each word, and one for its share of different words."""
     for lo, hi in chunks(texts):
         raw, starts, ends, first = word_spans(texts[lo:hi])
         word = word_hashes(raw, starts, ends)
@@ -60,7 +65,13 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
         shape = np.zeros(len(word), dtype=np.uint64)
         for k in range(4):  # first and last classes, number of class runs, length
             shape = shape * np.uint64(1009) + (cls[starts], cls[ends - 1], (place[ends] - place[starts]).astype(np.uint64), np.minimum(ends - starts, 12).astype(np.uint64))[k]
-        rows = np.stack([mix(word), mix(tail + np.uint64(1) << np.uint64(32)), mix(shape + np.uint64(3) << np.uint64(40))]) % np.uint64(DIM)
+        head, heads = np.zeros(len(word), dtype=np.uint64), []
+        for k in range(max(HEADS)):
+            at = starts + k
+            head = head * np.uint64(257) + np.where(at < ends, _SMALL[raw[np.minimum(at, len(raw) - 1)]], 0).astype(np.uint64)
+            if k + 1 in HEADS:
+                heads.append(mix(head + (np.uint64(k + 1) << np.uint64(44))))
+        rows = np.stack([*heads, mix(word), mix(tail + np.uint64(1) << np.uint64(32)), mix(shape + np.uint64(3) << np.uint64(40))]) % np.uint64(DIM)
         for i in range(hi - lo):
             a, b = first[i], first[i + 1]
             own = np.zeros(0, dtype=np.int32)
