@@ -35,7 +35,7 @@ WIDTH, SEED = 2.0, 11
 #: Chances that two unit vectors share a cell of one hash: at cosine 0.95, and at cosine 0.
 NEAR, FAR = 0.8738, 0.486
 MISS = 5e-4
-PAIR_LIMIT, BLOCK = 32, 1024
+PAIR_LIMIT, BLOCK = 32, 512
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -117,6 +117,7 @@ def _block_links(least: float):
         key, same = pdf["key"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
         # Cells of two lengths never meet: the key holds the length.
         left, right = (pdf[pdf["side"] == s].sort_values("cid") for s in (0, 1))
+        right = left if same else right
         if len(left) and len(right):
             x, y = np.stack(left["vec"]).astype(np.float64), np.stack(right["vec"]).astype(np.float64)
             nx, ny = _cosines(x, y)
@@ -150,7 +151,7 @@ def _large_buckets(members: DataFrame, classes: DataFrame, bigs: DataFrame, leas
     """a, b, n of all pairs of blocks of the large buckets (key, n, cid)."""
     held = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("at", F.expr("pmod(xxhash64(cid, key), blocks)"))
     held = held.join(classes.select("cid", "vec", "size"), "cid").join(bigs, "cid")
-    ways = F.expr("concat(transform(sequence(at, blocks - 1), j -> struct(at as i, j as j, 0 as side)), transform(sequence(0L, at), i -> struct(i as i, at as j, 1 as side)))")
+    ways = F.expr("concat(transform(sequence(at, blocks - 1), j -> struct(at as i, j as j, 0 as side)), transform(filter(sequence(0L, blocks - 1), i -> i < at), i -> struct(i as i, at as j, 1 as side)))")
     dealt = held.select("key", "cid", "vec", "size", "bigs", F.explode(ways).alias("w")).select("key", "w.i", "w.j", "w.side", "cid", "vec", "size", "bigs")
     return dealt.groupBy("key", "i", "j").applyInPandas(_block_links(least), "a long, b long, n long")
 
