@@ -180,7 +180,7 @@ def dominant_hue(hues: DataFrame, least: int = 50, share: float = 0.3) -> DataFr
 def hue_weight(hues: DataFrame, sigma: float = 12.0, least: int = 20) -> DataFrame:
     """image_id, y, x, weight from image_id, y, x, h, ink: nearness to the mean hue of ink over its 70th percentile, 0.15 to 1; 1 where over 20 pixels aren't that strong.
 
-    The mean is an angle of 0 to 360 while hues end at 179; the distance is taken as the published tracer takes it.
+    The mean is an angle of 0 to 360 while hues end at 179; the distance is taken between the two as they are.
     """
     cuts = hues.groupBy("image_id").agg(F.percentile("ink", F.lit(0.7)).alias("cut"))
     turn = F.radians(F.col("h") * 2.0)
