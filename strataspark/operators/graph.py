@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,15 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing will read again."""
+    """Removes stored tables that nothing will read again; where the folder's store isn't one that can be reached from here, they stay."""
     for df in tables:
         path = getattr(df, "_stored_path", None)
         if path:
-            store, top = fs.FileSystem.from_uri(path)
-            store.delete_dir(top)
+            try:
+                store, top = fs.FileSystem.from_uri(path)
+                store.delete_dir(top)
+            except (OSError, ValueError, NotImplementedError) as error:
+                warnings.warn(f"{path} stays: {error}", stacklevel=2)
 
 
 def cut(df: DataFrame) -> DataFrame:
