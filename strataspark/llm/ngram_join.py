@@ -119,7 +119,7 @@ _TOPS, _PARTS, _STRONG = (np.array(x, dtype=np.int64) for x in zip(*LEVELS))
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of sets, and for each the number of its set; all sets of a batch at a time."""
+    """The signatures of sets, and for each the number of its set; all sets of a batch at a time. A signature's last byte is its level."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
     if not n.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -150,7 +150,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tag = (2 * level).astype(np.uint64)[owns]
         for keep, odd in ((strong & (rank <= need[owns]), 0), ((total < need)[owns] & (place < need[owns]), 1)):
             at = np.flatnonzero(keep)
-            out.append(mix(mix(sums[at] + tag[at] + np.uint64(odd)) + place[at].astype(np.uint64)))
+            sig = mix(mix(sums[at] + tag[at] + np.uint64(odd)) + place[at].astype(np.uint64))
+            out.append(sig & ~np.uint64(255) | level[owns[at]].astype(np.uint64))
             owner.append(owns[at])
     return np.concatenate(out), np.concatenate(owner)
 
@@ -332,7 +333,7 @@ def _fold(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, links (a, b) that join different components: pairs whose sizes and sketches allow a link are checked by their whole sets, unless links found here already join them."""
+    """Of two blocks of a bucket, links (a, b) that join different components: pairs of the bucket's level whose sizes and sketches allow a link are checked by their whole sets, unless links found here already join them."""
     own = pdf[pdf["side"] == 2]  # a block with itself: each pair once
     left, right = (own, own) if len(own) else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
     out, parent, sets = [], {}, {}
@@ -351,13 +352,15 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         packed = [np.frombuffer(z, np.uint8) for z in right["sets"]]
         rn, rc, rw = right["n"].to_numpy(), right["c"].to_numpy(), np.array([len(p) for p in packed])
         folded = {}
+        level = int(pdf["bucket"].iloc[0]) & 255
+        least, most = (int(_TOPS[level - 1]) if level else 0), int(_TOPS[level])
         rd, rz = right["cid"].tolist(), list(right["z"])
         for k, (d, n, c, z, sk) in enumerate(zip(left["cid"].tolist(), left["n"], left["c"].tolist(), left["z"], left["sets"])):
             x = np.frombuffer(sk, np.uint8)
             fresh_ = np.arange(len(right)) > k if len(own) else np.ones(len(right), dtype=bool)
             for w in np.unique(rw):
                 width = min(int(w), len(x))
-                here = np.flatnonzero(fresh_ & (rw == w) & (rc != c) & (DEN * np.minimum(rn, n) >= NUM * np.maximum(rn, n)))
+                here = np.flatnonzero(fresh_ & (rw == w) & (rc != c) & (rn + n > least) & (rn + n <= most) & (DEN * np.minimum(rn, n) >= NUM * np.maximum(rn, n)))
                 if not len(here):
                     continue
                 if (w, width) not in folded:
@@ -377,12 +380,23 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _remaining_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join what members (bucket, cid, c) of one bucket have in different components c.
+    """Links (a, b) that join what members (bucket, cid, n, c) of one bucket have in different components c.
 
-    A bucket's sets are dealt to blocks, and a task compares two of them, or one with itself: each set goes to as many
-    tasks as there are blocks. Where a large bucket has one component of most sets, which need not meet each other, the
-    others are dealt to blocks of their own, and those meet the blocks of all.
+    A pair has one level, by the sum of its sizes, and is sought in buckets of that level alone: a set without a partner
+    in another component and of a size that fits is left out of a bucket. The rest is dealt to blocks, and a task
+    compares two of them, or one with itself: each set goes to as many tasks as there are blocks. Where a large bucket
+    has one component of most sets, which need not meet each other, the others are dealt to blocks of their own, and
+    those meet the blocks of all.
     """
+    tops = F.array(*(F.lit(t) for t in (0, *_TOPS.tolist())))
+    low, high = (F.element_at(tops, (F.col("bucket").bitwiseAND(255) + i).cast("int")) for i in (1, 2))
+    # A bucket has no more sizes than its level allows.
+    sizes = members.groupBy("bucket", "n").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("bucket").agg(F.collect_list(F.struct("n", "lo", "hi")).alias("sizes"), F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sizes = stored(sizes.where("lo < hi").select("bucket", "sizes", "k", low.alias("low"), high.alias("high")), "sizes")
+    fits = F.exists("sizes", lambda s: (s["n"] + F.col("n") > F.col("low")) & (s["n"] + F.col("n") <= F.col("high")) & ((s["lo"] != F.col("c")) | (s["hi"] != F.col("c"))))
+    members = joined(members, sizes, ("bucket",), f"k * 1000 > {members.count()}").where(fits).select("bucket", "cid", "c")
+    members = stored(members, "members")
     total = members.count()
     parts = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("size"))
     parts = stored(parts.where("most < size"), "open")
@@ -415,7 +429,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     pairs = found.where("kind = 0").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct().join(by("a"), "ka").join(by("b"), "kb")
     pairs = stored(pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "ra", "rb"), "pairs")
     large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("k1"))
-    members = stored(large.distinct().join(classes.select("k1", "cid", "rep"), "k1").select("bucket", "cid", "rep"), "members")
+    members = stored(large.distinct().join(classes.select("k1", "cid", "rep", F.col("n_shingles").alias("n")), "k1").select("bucket", "cid", "rep", "n"), "members")
     discard(found)
 
     needed = pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).union(members.select("rep")).distinct()
@@ -424,7 +438,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     discard(pairs)
     comp = components(links)
     if not members.isEmpty():
-        open_ = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("c"))
+        open_ = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("c"))
         extra = stored(_remaining_links(stored(open_, "members"), texts), "extra")
         if not extra.isEmpty():
             comp = components(links.union(extra))
