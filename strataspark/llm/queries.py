@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, mixing, ngram_join, pieces, quality, secret_scan, token_count, warc
+from . import ann, chat, embed_dedup, lexical, mixing, ngram_join, periodic, pieces, quality, secret_scan, token_count, toxicity, warc
 from .common import table
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -61,6 +61,18 @@ def op10_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_rotated_codes, op2_token_counts, op3_piece_lattice, op4_ngram_join, op5_source_mix, op6_quality_grades, op7_warc_index, op8_embedding_dedup, op9_chat_format, op10_secret_formats)
+    ops = (op1_rotated_codes, op2_token_counts, op3_piece_lattice, op4_ngram_join, op5_source_mix, op6_quality_grades, op7_warc_index, op8_embedding_dedup, op9_chat_format, op10_secret_formats,
+           op11_dual_tree_search, op12_toxicity, op13_periodic_runs)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -109,4 +122,13 @@ def oracle_sql() -> dict[str, str]:
               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
               CAST(sum(6 + length(role) + 1 + written + 7 + 1) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op11_dual_tree_search": rf"""
+            WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{lexical.PATTERN}')) AS t FROM documents),
+            i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{lexical.PATTERN}')) AS t FROM benchmark),
+            n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), a AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+            m AS (SELECT doc_id, 10 + (90 * n * nn) // ll AS m FROM n, a), tf AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+            w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, a GROUP BY t, nn),
+            s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+            r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+            SELECT * FROM r WHERE rank <= 10""",
     }
