@@ -22,12 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows, computed once, written as Parquet in the shared folder and read back: what is lost later starts from there."""
+def stored(df: DataFrame, name: str = "cut", *by: str) -> DataFrame:
+    """The same rows, computed once, written as Parquet in the shared folder (in folders by some columns) and read back: what is lost later starts from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
     out._stored_path = path
     return out
 

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .graph import components, cut
+from .graph import components, cut, stored  # noqa: F401
 
 BLUR = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625)}
 #: Tangents of 22.5 and 67.5 degrees, between which a gradient counts as diagonal.

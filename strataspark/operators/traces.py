@@ -1,23 +1,19 @@
 """Row picks, traces and path operators: image_id, row_idx, x, conf; probability tables are dense: image_id, y, x, p.
 
-A path is one ordered pass over all rows of its image, so a path job holds one image; images are independent. What
-differs by image (curve type, scale, hot side, steps and weights) comes as a settings table, one row an image.
+A path is one ordered pass over all rows of its image; paths.py runs it in blocks of rows. What differs by image (curve type, scale, hot side, steps and weights) comes as a settings table, one row an image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import PHYSICAL, depth_at, scaled_value
+from . import paths
 from . import pixels as P
 from .curves import interpolated, rolling_median
 
-TRACE = "image_id string, row_idx int, x double, conf double"
 #: A settings row: what a tracer may know of its image.
 SETTINGS = {"curve_type": "GR", "scale_min": 0.0, "scale_max": 150.0, "hot_side": None, "step": 3, "smooth": 0.5, "bend": 0.0}
 # Fixed values of the cost table: least score, rail weight, grid rows' probability, and the scales by kind of image.
@@ -196,120 +192,53 @@ def trace_costs(prob: DataFrame, setting: DataFrame) -> DataFrame:
 # --- path jobs -------------------------------------------------------------------------------------------------------
 
 
-def _grid(pdf: pd.DataFrame, *values: str) -> list[np.ndarray]:
-    shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-    out = []
-    for v in values:
-        g = np.zeros(shape)
-        g[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[v].to_numpy()
-        out.append(g)
-    return out
-
-
-def _job(table: DataFrame, trace: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """One image a task: x and conf of each row; NaN is null."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, conf = trace(pdf)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row_idx": np.arange(len(x), dtype=np.int32), "x": x, "conf": conf})
+def _rated(path: DataFrame, rows: DataFrame, whole: bool) -> DataFrame:
+    """image_id, row_idx, x, conf of a path of whole columns over packed rows.
 
-    got = table.groupBy("image_id").applyInPandas(run, TRACE)
-    return got.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    conf is p at the place; for a path that may end early (not whole) it is less the second highest p within the step,
+    and rows under 0.01 have no place.
+    """
+    held = path.join(rows.select("image_id", F.col("y").alias("row_idx"), "p", *(() if whole else ("step",))), ["image_id", "row_idx"])
+    own = F.get("p", F.col("x"))
+    if whole:
+        return held.select("image_id", "row_idx", F.col("x").cast("double").alias("x"), own.alias("conf"))
+    low = F.greatest(F.lit(0), F.col("x") - F.col("step"))
+    near = F.sort_array(F.slice("p", low + 1, F.col("x") + F.col("step") + 1 - low), asc=False)
+    second = F.greatest(F.lit(0.0), F.coalesce(F.get(near, F.lit(1)), F.lit(0.0)))
+    return held.select("image_id", "row_idx", F.when(own >= 0.01, F.col("x")).cast("double").alias("x"), (own - second).alias("conf"))
 
 
-def seam(prob: DataFrame) -> DataFrame:
+def seam(prob: DataFrame, block: int = paths.BLOCK) -> DataFrame:
     """The path of least 1 - p with steps of at most one column; ties keep the column, then go left."""
-
-    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        (p,) = _grid(pdf, "p")
-        cost = 1 - p
-        back = np.zeros(cost.shape, dtype=np.int8)
-        total = cost[0]
-        for y in range(1, len(cost)):
-            side = np.pad(total, 1, constant_values=np.inf)
-            ways = np.stack([side[1:-1], side[:-2], side[2:]])
-            pick = ways.argmin(0)
-            back[y] = np.array([0, -1, 1], np.int8)[pick]
-            total = cost[y] + ways[pick, np.arange(len(total))]
-        x = np.empty(len(cost), dtype=np.int64)
-        x[-1] = total.argmin()
-        for y in range(len(cost) - 1, 0, -1):
-            x[y - 1] = x[y] + back[y, x[y]]
-        return x.astype(float), p[np.arange(len(x)), x]
-
-    return _job(prob, trace)
-
-
-def _path(cost: np.ndarray, p: np.ndarray, step: int, smooth: float, bend: float) -> tuple[np.ndarray, np.ndarray]:
-    """The path of least cost + smooth dx^2 + bend (second difference)^2, all columns of a row and all moves at a time.
-
-    It ends at the cheapest place of the last fifth of rows; below that the strongest place within the step is followed.
-    Ties come from the left. conf is p less the second highest p within the step; rows under 0.01 have no place.
-    """
-    n, w = cost.shape
-    at, moves = np.arange(w), np.arange(step, -step - 1, -1)[:, None]
-    came = at - moves
-    inside = (came >= 0) & (came < w)
-    came = np.where(inside, came, 0)
-    base = np.where(inside, smooth * moves.astype(float) ** 2, np.inf)
-    back = np.zeros((n, w), dtype=np.int32)
-    total, least = cost[0], [(cost[0].min(), cost[0].argmin())]
-    for y in range(1, n):
-        ways = total[came] + base
-        if bend > 0 and y >= 2:
-            ways = ways + bend * (at - 2 * came + back[y - 1][came]).astype(float) ** 2
-        pick = ways.argmin(0)
-        back[y] = came[pick, at]
-        total = cost[y] + ways[pick, at]
-        least.append((total.min(), total.argmin()))
-    end = min(range(int(n * 0.8), n), key=lambda y: least[y][0])
-    x = np.empty(n, dtype=np.int64)
-    x[end] = least[end][1]
-    for y in range(end, 0, -1):
-        x[y - 1] = back[y, x[y]]
-    for y in range(end + 1, n):
-        low = max(0, x[y - 1] - step)
-        x[y] = low + p[y, low : x[y - 1] + step + 1].argmax()
-    rows = np.arange(n)
-    spots = x[:, None] + np.arange(-step, step + 1)
-    near = np.where((spots >= 0) & (spots < w), p[rows[:, None], np.clip(spots, 0, w - 1)], -1.0)
-    second = np.sort(near, axis=1)[:, -2] if near.shape[1] > 1 else np.full(n, -1.0)
-    own = p[rows, x]
-    return np.where(own < 0.01, np.nan, x.astype(float)), own - np.maximum(second, 0.0)
-
-
-def _both_ways(cost: np.ndarray, p: np.ndarray, step: int, smooth: float, bend: float) -> tuple[np.ndarray, np.ndarray]:
-    """Paths down and up: their mean, or the likelier one where they are over 5 columns apart; the one that has a place."""
-    if min(cost.shape) < 2:
-        return np.full(len(cost), np.nan), np.zeros(len(cost))
-    a, ca = _path(cost, p, step, smooth, bend)
-    b, cb = (v[::-1] for v in _path(cost[::-1], p[::-1], step, smooth, bend))
-    rows = np.arange(len(a))
-    spot = lambda v: p[rows, np.nan_to_num(v).astype(int)]
-    has, had = np.isfinite(a), np.isfinite(b)
-    apart = np.where(spot(a) > spot(b), a, b)
-    x = np.where(has & had, np.where(np.abs(a - b) > 5, apart, (a + b) / 2), np.where(has, a, b))
-    return x, np.where(has & had, (ca + cb) / 2, np.where(has, ca, np.where(had, cb, 0.0)))
-
-
-def viterbi(costs: DataFrame) -> DataFrame:
-    """The path of each image of a cost table with its step, smooth and bend, downwards."""
-
-    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        cost, p = _grid(pdf, "cost", "p")
-        return _path(cost, p, int(pdf["step"].iloc[0]), float(pdf["smooth"].iloc[0]), float(pdf["bend"].iloc[0]))
-
-    return _job(costs, trace)
-
-
-def dp_tracer(prob: DataFrame, setting: DataFrame) -> DataFrame:
-    """Cost table, then both directions and their merge in one task an image."""
-
-    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        cost, p = _grid(pdf, "cost", "p")
-        return _both_ways(cost, p, int(pdf["step"].iloc[0]), float(pdf["smooth"].iloc[0]), float(pdf["bend"].iloc[0]))
-
-    return _job(trace_costs(prob, setting), trace)
+    rows = P.stored(paths.packed(prob.select("image_id", "y", "x", "p"), block, cost=1 - F.col("p"), p=F.col("p")), "rows", "block")
+    return _rated(paths.least_path(rows, True, block), rows, True)
+
+
+def viterbi(costs: DataFrame, block: int = paths.BLOCK) -> DataFrame:
+    """The path of least cost + smooth dx^2 + bend (second difference)^2 of each image of a cost table, downwards."""
+    rows = P.stored(paths.packed(costs, block, cost=F.col("cost"), p=F.col("p")), "rows", "block")
+    return _rated(paths.least_path(rows, False, block), rows, False)
+
+
+def dp_tracer(prob: DataFrame, setting: DataFrame, block: int = paths.BLOCK) -> DataFrame:
+    """The paths of the cost table down and up: their mean, or the likelier one where they are over 5 columns apart; the one that has a place. Images of one row or column have none."""
+    costs = P.cut(trace_costs(prob, setting))
+    sizes = P.cut(P.sizes_of(costs))
+    some = costs.join(sizes.where("width >= 2 and height >= 2"), "image_id")
+    flip = F.col("height") - 1
+    down = viterbi(some, block).select("image_id", "row_idx", F.col("x").alias("a"), F.col("conf").alias("ca"))
+    up = viterbi(some.withColumn("y", flip - F.col("y")), block).join(sizes, "image_id").select("image_id", (flip - F.col("row_idx")).alias("row_idx"), F.col("x").alias("b"), F.col("conf").alias("cb"))
+    both = down.join(up, ["image_id", "row_idx"])
+    spots = both.select("image_id", F.col("row_idx").alias("y"), F.posexplode(F.array(*(F.coalesce(c, F.lit(0.0)).cast("int") for c in "ab"))).alias("side", "x"))
+    found = costs.select("image_id", "y", "x", "p").join(spots, ["image_id", "y", "x"]).groupBy("image_id", F.col("y").alias("row_idx"))
+    found = found.agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pa"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("pb"))
+    a, b = F.col("a"), F.col("b")
+    apart = F.when(F.col("pa") > F.col("pb"), a).otherwise(b)
+    x = F.when(a.isNotNull() & b.isNotNull(), F.when(F.abs(a - b) > 5, apart).otherwise((a + b) / 2)).otherwise(F.coalesce(a, b))
+    conf = F.when(a.isNotNull() & b.isNotNull(), (F.col("ca") + F.col("cb")) / 2).when(a.isNotNull(), F.col("ca")).when(b.isNotNull(), F.col("cb")).otherwise(0.0)
+    done = both.join(found, ["image_id", "row_idx"]).select("image_id", "row_idx", x.alias("x"), conf.alias("conf"))
+    thin = costs.join(sizes.where("width < 2 or height < 2"), "image_id").select("image_id", F.col("y").alias("row_idx")).distinct()
+    return done.union(thin.select("image_id", "row_idx", F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("conf")))
 
 
 def _run_round(row: np.ndarray, i: int, least: float) -> tuple[int, int]:
@@ -347,33 +276,20 @@ def _next_place(ridge: np.ndarray, raw: np.ndarray, before: float, crest: bool,
     return float((np.arange(first + a, first + b) * weight).sum() / weight.sum()), float(peak)
 
 
-def followed(prob: DataFrame, crest: bool = False, reach: int = 80) -> DataFrame:
+def followed(prob: DataFrame, crest: bool = False, reach: int = 80, block: int = paths.BLOCK) -> DataFrame:
     """Follows peaks down and up from the strongest place of the row of most ink; rows without a peak in reach have no place.
 
     Crest mode follows the column `ridge` of the table, reaches further where a row is strong, and looks three times as
     far where nothing was found.
     """
 
-    def trace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        p, *more = _grid(pdf, "p", "ridge") if crest else _grid(pdf, "p")
-        ridge = more[0] if more else p
-        n = len(p)
-        x, conf = np.full(n, np.nan), np.zeros(n)
-        start = int(ridge.sum(1).argmax())
-        x[start] = ridge[start].argmax()
-        conf[start] = ridge[start].max()
-        for rows in (range(start + 1, n), range(start - 1, -1, -1)):
-            before = x[start]
-            for y in rows:
-                far = reach + int(6 * ridge[y].max()) if crest else reach
-                x[y], conf[y] = _next_place(ridge[y], p[y], before, crest, far)
-                if crest and np.isnan(x[y]):
-                    x[y], conf[y] = _next_place(ridge[y], p[y], before, crest, 3 * far)
-                if np.isfinite(x[y]):
-                    before = x[y]
-        return x, conf
-
-    return _job(prob, trace)
+    def next_place(ridge: np.ndarray, p: np.ndarray, before: float) -> tuple[float, float]:
+        far = reach + int(6 * ridge.max()) if crest else reach
+        x, conf = _next_place(ridge, p, before, crest, far)
+        return _next_place(ridge, p, before, crest, 3 * far) if crest and np.isnan(x) else (x, conf)
+
+    rows = paths.packed(prob, block, p=F.col("p"), ridge=F.col("ridge" if crest else "p"))
+    return paths.followed_path(P.stored(rows, "rows", "block"), block, next_place)
 
 
 # --- tracers ---------------------------------------------------------------------------------------------------------
