@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import pixels
-from .registry import query, r6, whole
+from .registry import nudged, query, r6, whole
 from .standins import RASTER, raster
 
 #: Runs of on-pixels (pix: image_id, y, x, "on") along rows, with the place of their start and their length.
@@ -198,12 +198,12 @@ def pix_area_resample(spark, sf):
 @query("pix_bilinear", f"""WITH {RASTER}, n AS (SELECT image_id, max(y) + 1 AS h FROM pix GROUP BY 1), o AS (SELECT image_id, h, CAST(floor(h * 0.75) AS BIGINT) AS oh FROM n),
 c AS (SELECT image_id, oy, ox, least(h - 1, greatest(0, (oy + 0.5::DOUBLE) * h / oh - 0.5)) AS sy, least(63, greatest(0, (ox + 0.5::DOUBLE) * 64 / 24 - 0.5)) AS sx, h FROM o, range(0, 24) t(ox), LATERAL (SELECT unnest(range(oh)) AS oy)),
 d AS (SELECT *, CAST(floor(sy) AS BIGINT) AS y0, least(h - 1, CAST(floor(sy) AS BIGINT) + 1) AS y1, CAST(floor(sx) AS BIGINT) AS x0, least(63, CAST(floor(sx) AS BIGINT) + 1) AS x1 FROM c)
-SELECT d.image_id, oy AS y, ox AS x, round((a.value * (1 - (sx - x0)) + b.value * (sx - x0)) * (1 - (sy - y0)) + (e.value * (1 - (sx - x0)) + f.value * (sx - x0)) * (sy - y0), 6) AS value
+SELECT d.image_id, oy AS y, ox AS x, round((a.value * (1 - (sx - x0)) + b.value * (sx - x0)) * (1 - (sy - y0)) + (e.value * (1 - (sx - x0)) + f.value * (sx - x0)) * (sy - y0) + 1e-9, 6) AS value
 FROM d JOIN pix a ON a.image_id = d.image_id AND a.y = y0 AND a.x = x0 JOIN pix b ON b.image_id = d.image_id AND b.y = y0 AND b.x = x1 JOIN pix e ON e.image_id = d.image_id AND e.y = y1 AND e.x = x0 JOIN pix f ON f.image_id = d.image_id AND f.y = y1 AND f.x = x1""")
 def pix_bilinear(spark, sf):
     p = raster(spark, sf).select("image_id", "y", "x", "value")
     held = p.join(pixels.sizes_of(p), "image_id")
-    return whole(r6(pixels.bilinear_resampled(held, 64, F.col("height"), 24, F.floor(F.col("height") * 0.75)), "value"), "y", "x")
+    return whole(r6(nudged(pixels.bilinear_resampled(held, 64, F.col("height"), 24, F.floor(F.col("height") * 0.75)), "value"), "value"), "y", "x")
 
 
 _CENTRE = f"""{_RUNS}, c0 AS (SELECT *, least(x - run, run + length - 1 - x) + 1 AS dx, x = run + (length - 1) // 2 AS mid, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS h FROM runs),

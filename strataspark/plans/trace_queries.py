@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, pixels, traces
 from .pixel_queries import _COL, _ROW, _blur3
-from .registry import query, r6, whole
+from .registry import nudged, query, r6, whole
 from .standins import RASTER, raster
 
 #: SQL: nulls of m (image_id, row_idx, m) filled linearly where a value stands within 50 rows.
@@ -131,7 +131,7 @@ def trc_to_probability(spark, sf):
     return traces.to_probability(m, 64, 2.5, heights).groupBy("image_id").agg(F.round(F.sum("p"), 4).alias("total"), F.count(F.lit(1)).alias("cells"))
 
 
-@query("trc_fused", f"""WITH {RASTER}, {_SPAN}, {_PEAK}, j AS (SELECT s.*, k.x AS ox, a.p AS pa, b.p AS pb FROM span s LEFT JOIN peak k USING (image_id, row_idx)
+@query("trc_fused", f"""WITH {RASTER.replace("pix AS (", "pix AS MATERIALIZED (")}, {_SPAN.replace("span AS (", "span AS MATERIALIZED (")}, {_PEAK.replace("peak AS (", "peak AS MATERIALIZED (")}, j AS (SELECT s.*, k.x AS ox, a.p AS pa, b.p AS pb FROM span s LEFT JOIN peak k USING (image_id, row_idx)
   LEFT JOIN pix a ON a.image_id = s.image_id AND a.y = s.row_idx AND a.x = round_even(least(63, greatest(0, s.x)), 0) LEFT JOIN pix b ON b.image_id = s.image_id AND b.y = s.row_idx AND b.x = round_even(least(63, greatest(0, k.x)), 0))
 SELECT image_id, row_idx, round(CASE WHEN pb > coalesce(pa, -1) THEN ox ELSE x END, 6) AS x, round(conf, 6) AS conf FROM j""")
 def trc_fused(spark, sf):
@@ -145,7 +145,8 @@ def trc_overlay(spark, sf):
     return o.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p.x"), 4).alias("x"), F.sum("p.y").cast("long").alias("y"))
 
 
-@query("trc_costs", f"""WITH {RASTER.replace('pix AS (', 'pix9 AS (')}, pix AS (SELECT image_id, y, x, least(255, value * 2) / 255.0::DOUBLE AS p, least(255, value * 2) / 255.0::DOUBLE > 0.10 AS "on" FROM pix9), n AS (SELECT image_id, max(y) + 1 AS h FROM pix GROUP BY 1),
+#: SQL of the cost table (image_id, y, x, gr, p, cost) of the raster as a mask.
+_COSTS = f"""{RASTER.replace('pix AS (', 'pix9 AS (')}, pix AS (SELECT image_id, y, x, least(255, value * 2) / 255.0::DOUBLE AS p, least(255, value * 2) / 255.0::DOUBLE > 0.10 AS "on" FROM pix9), n AS (SELECT image_id, max(y) + 1 AS h FROM pix GROUP BY 1),
 g0 AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pix WHERE "on"), runs AS (SELECT *, min(x) OVER (PARTITION BY image_id, y, g) AS run, count(*) OVER (PARTITION BY image_id, y, g) AS length FROM g0),
 c0 AS (SELECT *, least(x - run, run + length - 1 - x) + 1 AS dx, x = run + (length - 1) // 2 AS mid, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS hh FROM runs),
 c1 AS (SELECT *, least(dx, least(y - min(y) OVER v, max(y) OVER v - y) + 1) AS d FROM c0 WINDOW v AS (PARTITION BY image_id, x, hh)), c2 AS (SELECT image_id, y, x, mid, d / max(d) OVER (PARTITION BY image_id) AS d FROM c1),
@@ -154,16 +155,28 @@ r3 AS (SELECT *, ridge / max(ridge) OVER (PARTITION BY image_id) AS rr FROM r2),
 l1 AS (SELECT *, least(1, greatest(1e-6, greatest(power(p, 0.7) * (0.15 + 0.85 * power(d, 0.9)), 0.55 * rr + CASE WHEN "on" THEN 0.05 ELSE 0 END))) AS l0 FROM r3), l2 AS (SELECT *, least(1, greatest(1e-6, l0 * (0.7 + 0.3 * d))) AS live FROM l1),
 col AS (SELECT image_id, x, count(*) FILTER ("on") / max(h) > 0.6 AS rail FROM pix JOIN n USING (image_id) GROUP BY 1, 2), rails AS (SELECT image_id, x, rail AND coalesce(lag(rail) OVER w, false) AND coalesce(lead(rail) OVER w, false) AS rail FROM col WINDOW w AS (PARTITION BY image_id ORDER BY x)),
 grid AS (SELECT image_id, y FROM (SELECT image_id, y, count(*) AS k FROM runs WHERE length >= CASE WHEN run = 0 THEN 8 WHEN run + length = 64 THEN 9 ELSE 16 END GROUP BY 1, 2) WHERE k / 64 > 0.3),
-f AS (SELECT l2.*, rail, g.y IS NOT NULL AS flat, l2.image_id::INT % 2 = 0 AS gr FROM l2 JOIN rails USING (image_id, x) LEFT JOIN grid g ON g.image_id = l2.image_id AND g.y = l2.y)
-SELECT image_id, y, x, round(CASE WHEN flat THEN 0.001 ELSE live END, 6) AS p, round(CASE WHEN flat THEN -ln(0.001::DOUBLE) ELSE -ln(live) + CASE WHEN rail THEN 15 ELSE 0 END + CASE WHEN gr THEN 1 - x / 63 ELSE 0 END
-  + CASE WHEN gr AND x / 63 * 250 > 200 THEN 1 WHEN NOT gr AND (1 + x / 63 * 2 < 1.5 OR 1 + x / 63 * 2 > 3.5) THEN 1 ELSE 0 END END, 6) AS cost FROM f""")
+f AS (SELECT l2.*, rail, g.y IS NOT NULL AS flat, l2.image_id::INT % 2 = 0 AS gr FROM l2 JOIN rails USING (image_id, x) LEFT JOIN grid g ON g.image_id = l2.image_id AND g.y = l2.y),
+costs AS (SELECT image_id, y, x, gr, CASE WHEN flat THEN 0.001::DOUBLE ELSE live END AS p, CASE WHEN flat THEN -ln(0.001::DOUBLE) ELSE -ln(live) + CASE WHEN rail THEN 15 ELSE 0 END + CASE WHEN gr THEN 1 - x / 63 ELSE 0 END
+  + CASE WHEN gr AND x / 63 * 250 > 200 THEN 1 WHEN NOT gr AND (1 + x / 63 * 2 < 1.5 OR 1 + x / 63 * 2 > 3.5) THEN 1 ELSE 0 END END AS cost FROM f)"""
+
+
+@query("trc_costs", f"WITH {_COSTS} SELECT image_id, y, x, round(p + 1e-9, 6) AS p, round(cost + 1e-9, 6) AS cost FROM costs")
 def trc_costs(spark, sf):
     prob = _mask(spark, sf).select("image_id", "y", "x", (F.col("value") / 255.0).alias("p"))
-    c = traces.trace_costs(prob, _settings(spark, sf)).select("image_id", "y", "x", "p", "cost")
-    return whole(r6(c, "p", "cost"), "y", "x")
+    c = traces.trace_costs(prob, _settings(spark, sf))
+    return whole(r6(nudged(c, "p", "cost").select("image_id", "y", "x", "p", "cost"), "p", "cost"), "y", "x")
+
+
+#: SQL of the seam: totals row by row, then the way back; places count from 1 inside.
+_SEAM = """line AS (SELECT image_id, y, list(1 - p ORDER BY x) AS c, list(p ORDER BY x) AS p FROM pix GROUP BY 1, 2),
+down AS (SELECT image_id, y, c AS t FROM line WHERE y = 0 UNION ALL
+  SELECT n.image_id, n.y, list_transform(n.c, lambda v, i: v + least(t[i], coalesce(t[i - 1], 1e300), coalesce(t[i + 1], 1e300))) FROM down JOIN line n ON n.image_id = down.image_id AND n.y = down.y + 1),
+up AS (SELECT image_id, y, list_position(t, list_min(t)) AS x FROM down WHERE y = (SELECT max(y) FROM line l WHERE l.image_id = down.image_id) UNION ALL
+  SELECT d.image_id, d.y, x + CASE WHEN t[x] <= coalesce(t[x - 1], 1e300) AND t[x] <= coalesce(t[x + 1], 1e300) THEN 0 WHEN coalesce(t[x - 1], 1e300) <= coalesce(t[x + 1], 1e300) THEN -1 ELSE 1 END
+  FROM up JOIN down d ON d.image_id = up.image_id AND d.y = up.y - 1)"""
 
 
-@query("trc_seam")
+@query("trc_seam", f"""WITH RECURSIVE {RASTER}, {_SEAM} SELECT image_id, y AS row_idx, (x - 1)::DOUBLE AS x, round(p[x], 6) AS conf FROM up JOIN line USING (image_id, y)""")
 def trc_seam(spark, sf):
     return _trace(traces.seam(_prob(spark, sf)))
 
@@ -173,10 +186,29 @@ def trc_followed(spark, sf):
     return _trace(traces.followed(_prob(spark, sf)))
 
 
-@query("trc_dp")
+#: SQL of the tracer: the cost table's rows downwards (d = 0) and upwards (d = 1), least totals with the place that each came from, the way back, what lies below the end, and the merge.
+_DP = f"""{_COSTS}, args AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM (SELECT image_id, y, any_value(gr) AS gr, list(cost ORDER BY x) AS c, list(p ORDER BY x) AS p FROM costs GROUP BY 1, 2)),
+line AS (SELECT image_id, 0 AS d, y, n, gr, c, p FROM args UNION ALL SELECT image_id, 1, n - 1 - y, n, gr, c, p FROM args),
+sets AS (SELECT * FROM (VALUES (true, 30, 0.001::DOUBLE, 0.001::DOUBLE), (false, 50, 0.02::DOUBLE, 0.005::DOUBLE)) v(gr, step, smooth, bend)),
+rows1 AS (SELECT line.*, step, smooth, bend FROM line JOIN sets USING (gr)),
+down AS (SELECT image_id, d, y, c AS t, list_transform(c, lambda v, i: 0::BIGINT) AS b FROM rows1 WHERE y = 0 UNION ALL
+  SELECT image_id, d, y, list_transform(c, lambda v, i: v + best[i].w), list_transform(best, lambda e: e.k) FROM (SELECT r.image_id, r.d, r.y, r.c, list_transform(range(1, 65), lambda i: list_min(list_transform(range(greatest(1, i - step), least(64, i + step) + 1),
+    lambda k: {{'w': down.t[k] + smooth * ((i - k) * (i - k))::DOUBLE + CASE WHEN bend > 0 AND r.y >= 2 THEN bend * ((i - 2 * k + down.b[k]) * (i - 2 * k + down.b[k]))::DOUBLE ELSE 0 END, 'k': k}}))) AS best
+    FROM down JOIN rows1 r ON r.image_id = down.image_id AND r.d = down.d AND r.y = down.y + 1)),
+ends AS (SELECT image_id, d, arg_min(y, (list_min(t), y)) AS y, arg_min(list_position(t, list_min(t)), (list_min(t), y)) AS x FROM down JOIN (SELECT DISTINCT image_id, n FROM args) USING (image_id) WHERE y >= floor(n * 0.8) GROUP BY 1, 2),
+way AS (SELECT image_id, d, y, x FROM ends UNION ALL SELECT v.image_id, v.d, v.y - 1, v.b[way.x] FROM way JOIN down v ON v.image_id = way.image_id AND v.d = way.d AND v.y = way.y WHERE way.y > 0),
+tail AS (SELECT image_id, d, y, x FROM ends UNION ALL SELECT image_id, d, y, low - 1 + list_position(near, list_max(near)) FROM (SELECT r.image_id, r.d, r.y, greatest(1, tail.x - step) AS low, r.p[greatest(1, tail.x - step):tail.x + step] AS near
+  FROM tail JOIN rows1 r ON r.image_id = tail.image_id AND r.d = tail.d AND r.y = tail.y + 1)),
+path AS (SELECT * FROM way UNION SELECT * FROM tail),
+rated AS (SELECT r.image_id, r.d, CASE r.d WHEN 0 THEN r.y ELSE n - 1 - r.y END AS y, CASE WHEN p[x] >= 0.01 THEN x - 1 END AS x, p[x] - greatest(0, coalesce(list_sort(p[greatest(1, x - step):x + step], 'DESC')[2], 0)) AS conf, p FROM path JOIN rows1 r USING (image_id, d, y)),
+both_ways AS (SELECT image_id, y, a.p, a.x AS a, a.conf AS ca, b.x AS b, b.conf AS cb FROM rated a JOIN rated b USING (image_id, y) WHERE a.d = 0 AND b.d = 1)"""
+
+
+@query("trc_dp", f"""WITH RECURSIVE {_DP} SELECT image_id, y AS row_idx, round(CASE WHEN a IS NULL OR b IS NULL THEN coalesce(a, b)::DOUBLE WHEN abs(a - b) > 5 THEN CASE WHEN p[a + 1] > p[b + 1] THEN a ELSE b END ELSE (a + b) / 2 END, 6) AS x,
+  round(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN b IS NULL THEN ca WHEN a IS NULL THEN cb ELSE (ca + cb) / 2 END + 1e-9, 6) AS conf FROM both_ways""")
 def trc_dp(spark, sf):
     prob = _mask(spark, sf).select("image_id", "y", "x", (F.col("value") / 255.0).alias("p"))
-    return _trace(traces.dp_tracer(prob, _settings(spark, sf)))
+    return _trace(nudged(traces.dp_tracer(prob, _settings(spark, sf)), "conf"))
 
 
 def _hues(spark, sf):
