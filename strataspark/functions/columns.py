@@ -188,6 +188,14 @@ def mode_mask(mode: Column, b: Column, g: Column, r: Column) -> Column:
     return F.when(mode == "red", strong(r, g, b)).when(mode == "green", strong(g, r, b)).when(mode == "blue", strong(b, r, g)).otherwise(F.greatest(b, g, r) <= 80)
 
 
+def mode_test(mode: str, b, g, r):
+    """The same test on arrays of levels."""
+    first, *others = {"red": (r, g, b), "green": (g, r, b), "blue": (b, r, g)}.get(mode, (None,))
+    if first is None:
+        return (b <= 80) & (g <= 80) & (r <= 80)
+    return (first > 120) & (first > others[0] + 20) & (first > others[1] + 20)
+
+
 def hue_mask(colour: str, h: Column, s: Column, v: Column) -> Column:
     """On where hue, saturation and value are of the colour."""
     hue = reduce(lambda a, b: a | b, (h.between(lo, hi) for lo, hi in HUE_BANDS[colour]))

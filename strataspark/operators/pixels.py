@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .graph import components, cut, stored  # noqa: F401
+from . import rasters as R
+from .graph import components, cut, stored
 
 BLUR = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625)}
+#: Rows that the digitize job's chain reaches: a blur (up to 2), a line (15), the gap fill's blur (1).
+HALO = 18
 #: Tangents of 22.5 and 67.5 degrees, between which a gradient counts as diagonal.
 TAN_LOW, TAN_HIGH = math.tan(math.pi / 8), math.tan(3 * math.pi / 8)
 
@@ -43,18 +47,23 @@ def crop(pixels: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def _weighted(value: str, weights: tuple[float, ...], w: WindowSpec, replicate: bool = False) -> Column:
-    """Weighted sum of neighbours; beyond an edge the mirrored neighbour counts, or the edge itself."""
+    """Weighted sum of neighbours; beyond an edge the image mirrored at its edge pixel counts, or the edge itself."""
     half, total = len(weights) // 2, F.lit(0.0)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.row_number().over(w)
+    near = lambda d: F.col(value) if d == 0 else F.lag(value, -d).over(w) if d < 0 else F.lead(value, d).over(w)
     for i, weight in enumerate(weights):
         d = i - half
-        there, mirrored, edge = (F.lag, F.lead, F.first) if d < 0 else (F.lead, F.lag, F.last)
         if d == 0:
             v = F.col(value)
         elif replicate:
-            v = F.coalesce(there(value, abs(d)).over(w), edge(value).over(whole))
+            v = F.coalesce(near(d), (F.first if d < 0 else F.last)(value).over(whole))
         else:
-            v = F.coalesce(there(value, abs(d)).over(w), mirrored(value, abs(d)).over(w), F.col(value))
+            sign, v = (-1, near(d)) if d < 0 else (1, near(d))
+            away = place - 1 if d < 0 else F.count(F.lit(1)).over(whole) - place
+            for k in range(abs(d)):  # the edge is k places away
+                v = F.coalesce(v, F.when(away == k, near(sign * (2 * k - abs(d)))))
+            v = F.coalesce(v, F.col(value))
         total = total + v * weight
     return total
 
@@ -67,12 +76,16 @@ def blur(pixels: DataFrame, value: str = "value", size: int = 3, whole: bool = T
 
 
 def adaptive_mask(pixels: DataFrame, value: str = "value", size: int = 51, offset: float = 10.0) -> DataFrame:
-    """on where a value is the offset or more under the Gaussian-weighted mean round it, itself rounded; edges are repeated outwards."""
+    """image_id, y, x, value, on: whether a value is the offset or more under the Gaussian-weighted mean round it, itself rounded; edges are repeated outwards."""
     half, sigma = size // 2, 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
     weights = tuple(w / sum(weights) for w in weights)
-    held = pixels.withColumn("_m", _weighted(value, weights, along_row(), True)).withColumn("_m", F.round(_weighted("_m", weights, along_col(), True)))
-    return held.withColumn("on", F.col(value) - F.col("_m") <= -math.floor(offset)).drop("_m")
+
+    def run(b: R.Block) -> dict:
+        return {"value": b.of[value], "on": b.of[value] - R.halved(b.weighted(b.of[value], weights, True)) <= -math.floor(offset)}
+
+    rows = R.packed(pixels.join(sizes_of(pixels), "image_id"), half, value, also=("height",))
+    return R.pixels_of(R.blocks(rows, (value,), run, "value array<double>, on array<boolean>"), "value", "on").withColumnRenamed("value", value)
 
 
 # --- runs, lines and rails -----------------------------------------------------------------------------------------
@@ -116,7 +129,11 @@ def without_spines(mask: DataFrame, sizes: DataFrame, share: float = 0.9, least:
 
 def otsu(pixels: DataFrame, value: str = "value") -> DataFrame:
     """image_id, threshold: the level of greatest between-class variance, the lowest on ties; none for an image of one level."""
-    hist = pixels.groupBy("image_id", F.col(value).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return otsu_of(pixels.groupBy("image_id", F.col(value).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def otsu_of(hist: DataFrame) -> DataFrame:
+    """The same from counts (image_id, level, n)."""
     up, all_ = Window.partitionBy("image_id").orderBy("level"), Window.partitionBy("image_id")
     h = hist.withColumn("w0", F.sum("n").over(up)).withColumn("s0", F.sum(F.col("n") * F.col("level")).over(up))
     h = h.withColumn("w", F.sum("n").over(all_)).withColumn("s", F.sum(F.col("n") * F.col("level")).over(all_))
@@ -133,15 +150,33 @@ def gap_filled(mask: DataFrame) -> DataFrame:
     return b.join(cuts, "image_id", "left").withColumn("on", F.col("value") > F.coalesce("threshold", F.lit(0))).drop("threshold")
 
 
-def curve_mask(pixels: DataFrame, on: Column) -> DataFrame:
-    """The cleaned mask of a curve track from a dense table: the colour test `on`, without gridlines, gaps filled, without spines: image_id, y, x, on (dense)."""
-    dense = pixels.select("image_id", "y", "x", on.alias("on"))
-    sizes = cut(sizes_of(dense))
-    left = without_gridlines(dense, sizes).withColumn("kept", F.lit(True)).drop("on")
-    full = dense.join(left, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(False)).alias("on"))
-    filled = gap_filled(full).select("image_id", "y", "x", "on")
-    spared = without_spines(filled, sizes).select("image_id", "y", "x", F.lit(True).alias("kept"))
-    return dense.select("image_id", "y", "x").join(spared, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(False)).alias("on"))
+def curve_rows(pixels: DataFrame, on, size: int = 3, block: int = R.BLOCK) -> DataFrame:
+    """image_id, y, on (an array by x): the cleaned mask of curve tracks from dense pixels (image_id, y, x, b, g, r, mode, width, height): blurred, tested by on(mode, b, g, r), without gridlines, gaps filled, without spines.
+
+    The pixels are shuffled once, into blocks of rows; what is known of a whole image (its levels' counts by column) is
+    summed and joined back.
+    """
+    weights = BLUR[size + (size + 1) % 2] if size > 0 else (1.0,)
+
+    def run(b: R.Block) -> dict:
+        mask = on(b.args["mode"], *(R.halved(b.weighted(b.of[c], weights)) for c in "bgr"))
+        for axis, n in ((0, b.height), (1, mask.shape[1])):
+            if n > 15:
+                mask = mask & ~b.lines(mask, min(15, n // 3), axis)
+        return {"level": R.halved(b.weighted(np.where(mask, 255.0, 0.0), BLUR[3])).astype(np.int32)}
+
+    rows = R.packed(pixels, HALO, "b", "g", "r", also=("mode", "width", "height"), block=block)
+    rows = stored(R.blocks(rows, ("b", "g", "r"), run, "level array<int>", ("width", "height"), block), "levels")
+
+    counts = rows.select("image_id", "height", "width", F.posexplode("level").alias("x", "level")).groupBy("image_id", "height", "width", "x", "level").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts, "counts")
+    cuts = otsu_of(counts.groupBy("image_id", "level").agg(F.sum("n").alias("n")))
+    images = counts.select("image_id").distinct().join(cuts, "image_id", "left").select("image_id", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    full = counts.join(images, "image_id").where("level > threshold and height >= 40 and width >= 4").groupBy("image_id", "height", "x").agg(F.sum("n").alias("n"))
+    full = full.where("n / height > 0.9").groupBy("image_id").agg(F.collect_list("x").alias("spines"))  # columns of one image
+    images = images.join(full, "image_id", "left").select("image_id", "threshold", F.coalesce("spines", F.array().cast("array<int>")).alias("spines"))
+    lit = F.transform("level", lambda v, x: (v > F.col("threshold")) & ~F.array_contains("spines", x))
+    return rows.join(images, "image_id").select("image_id", "y", lit.alias("on"))
 
 
 def without_rails(mask: DataFrame, sizes: DataFrame, value: str = "value", strong: int = 25, dark: int = 40) -> DataFrame:
@@ -157,8 +192,9 @@ def without_rails(mask: DataFrame, sizes: DataFrame, value: str = "value", stron
 
 def fallback_mask(pixels: DataFrame) -> DataFrame:
     """image_id, y, x, on from grey values: 5 x 5 blur, values up to 205, 3 x 3 opening."""
-    b = blur(pixels.select("image_id", "y", "x", F.col("value").cast("double").alias("value")), size=5)
-    return opened(b.select("image_id", "y", "x", (F.col("value") <= 205).alias("on")))
+    rows = R.packed(pixels.join(sizes_of(pixels), "image_id"), 4, "value", also=("height",))
+    run = lambda b: {"on": b.opened(R.halved(b.weighted(b.of["value"], BLUR[5])) <= 205)}
+    return R.pixels_of(R.blocks(rows, ("value",), run, "on array<boolean>"), "on")
 
 
 # --- hues ----------------------------------------------------------------------------------------------------------
@@ -262,11 +298,9 @@ def content_bounds(pixels: DataFrame, value: str = "value") -> DataFrame:
 
 
 def opened(mask: DataFrame) -> DataFrame:
-    """3 x 3 erosion, then dilation of a dense on column; beyond the border nothing erodes or dilates."""
-    near = lambda f, w: f("on").over(w.rowsBetween(-1, 1))
-    for f in (F.min, F.max):
-        mask = mask.withColumn("on", near(f, along_row())).withColumn("on", near(f, along_col()))
-    return mask
+    """image_id, y, x, on: 3 x 3 erosion, then dilation of a dense on column; beyond the border nothing erodes or dilates."""
+    rows = R.packed(mask.join(sizes_of(mask), "image_id"), 2, "on", also=("height",))
+    return R.pixels_of(R.blocks(rows, ("on",), lambda b: {"on": b.opened(b.of["on"] > 0)}, "on array<boolean>"), "on")
 
 
 def closed(pixels: DataFrame, value: str, width: int, height: int) -> DataFrame:

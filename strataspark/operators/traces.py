@@ -35,6 +35,15 @@ def row_picks(mask: DataFrame, rows: DataFrame, min_run: int = 2) -> DataFrame:
     return rows.join(got.drop("n"), ["image_id", "row_idx"], "left")
 
 
+def middles(rows: DataFrame, min_run: int = 2) -> DataFrame:
+    """The same from a mask's raster rows (image_id, y, on array)."""
+    at = F.filter(F.transform("on", lambda o, x: F.when(o, x)), lambda x: x.isNotNull())
+    held = rows.select("image_id", F.col("y").alias("row_idx"), at.alias("at"))
+    n = F.size("at")
+    middle = (F.get("at", F.floor((n - 1) / 2).cast("int")) + F.get("at", F.floor(n / 2).cast("int"))) / 2
+    return held.select("image_id", "row_idx", F.when(n >= min_run, middle).alias("x"))
+
+
 def smoothed(trace: DataFrame, keys: tuple[str, ...] = ("image_id",), window: int = 5, limit: int = 50) -> DataFrame:
     return interpolated(rolling_median(trace, keys, window), keys, limit)
 
@@ -399,7 +408,7 @@ def digitize(pixels: DataFrame, jobs: DataFrame, blur: int = 3, min_run: int = 2
     bottom_depth, depth_unit, metadata (map). Gives values (file, idx, depth, mnemonic, value, null marker in place),
     points of the traces (image_id, name, points) and texts (file, text, name).
     """
-    from ..functions.columns import first_metadata, las_file_name, mode_mask
+    from ..functions.columns import first_metadata, las_file_name, mode_test
     from ..sources.las import las_text
 
     key = F.format_string("%s|%s", F.col("image_id"), F.col("pos").cast("string"))
@@ -407,14 +416,10 @@ def digitize(pixels: DataFrame, jobs: DataFrame, blur: int = 3, min_run: int = 2
     held = jobs.join(size, "image_id").withColumn("key", key)
     held = held.withColumn("top_px", F.greatest(F.lit(0), "top_px")).withColumn("bottom_px", F.least("bottom_px", "height")).withColumn("right_px", F.least("right_px", "width"))
     held = P.cut(held.drop("width", "height"))
-    roi = P.crop(pixels, held.select("image_id", "key", "mode", "left_px", "right_px", "top_px", "bottom_px"))
-    roi = roi.select(F.col("key").alias("image_id"), "mode", "y", "x", *(F.col(c).cast("double").alias(c) for c in "bgr"))
-    if blur > 0:
-        for c in "bgr":
-            roi = P.blur(roi, c, blur)
-    roi = P.cut(roi)
-    mask = P.curve_mask(roi, mode_mask(F.col("mode"), F.col("b"), F.col("g"), F.col("r")))
-    trace = P.cut(smoothed(row_picks(mask, mask.select("image_id", F.col("y").alias("row_idx")).distinct(), min_run), window=window))
+    roi = P.crop(pixels, held.select("image_id", "key", "mode", "left_px", "right_px", "top_px", "bottom_px", (F.col("right_px") - F.greatest(F.lit(0), "left_px")).alias("width"), (F.col("bottom_px") - F.col("top_px")).alias("height")))
+    roi = roi.select(F.col("key").alias("image_id"), "mode", "width", "height", "y", "x", *(F.col(c).cast("double").alias(c) for c in "bgr"))
+    mask = P.curve_rows(roi, mode_test, blur)
+    trace = P.cut(smoothed(middles(mask, min_run), window=window))
 
     named = trace.withColumnRenamed("image_id", "key").join(held, "key")
     n = F.col("bottom_px") - F.col("top_px")

@@ -59,8 +59,9 @@ def _blur3(value: str) -> str:
 
 
 _ROW, _COL = "w AS (PARTITION BY image_id, y ORDER BY x)", "w AS (PARTITION BY image_id, x ORDER BY y)"
-_FIVE = ("0.0625 * coalesce(lag({v}, 2) OVER w, lead({v}, 2) OVER w, {v}) + 0.25 * coalesce(lag({v}) OVER w, lead({v}) OVER w, {v}) + 0.375 * {v} "
-         "+ 0.25 * coalesce(lead({v}) OVER w, lag({v}) OVER w, {v}) + 0.0625 * coalesce(lead({v}, 2) OVER w, lag({v}, 2) OVER w, {v})")
+#: A row or column pass of a 5 x 5 blur: beyond an edge the row is mirrored at its edge pixel, so the place next to the edge stands for the one two before it.
+_FIVE = ("0.0625 * coalesce(lag({v}, 2) OVER w, CASE WHEN lag({v}) OVER w IS NOT NULL THEN {v} END, lead({v}, 2) OVER w, {v}) + 0.25 * coalesce(lag({v}) OVER w, lead({v}) OVER w, {v}) + 0.375 * {v} "
+         "+ 0.25 * coalesce(lead({v}) OVER w, lag({v}) OVER w, {v}) + 0.0625 * coalesce(lead({v}, 2) OVER w, CASE WHEN lead({v}) OVER w IS NOT NULL THEN {v} END, lag({v}, 2) OVER w, {v})")
 
 
 @query("pix_blur", f"""WITH {RASTER}, h AS (SELECT *, {_blur3('value')} AS s, {_FIVE.format(v='value')} AS f FROM pix WINDOW {_ROW})
