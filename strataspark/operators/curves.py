@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ALIASES, curve_labels, curve_type, quality_flags, valid_or_null
 
 
-def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve")) -> DataFrame:
+#: Rows of a curve that one task orders, about.
+SPAN = 10_000
+
+
+def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve"), span: int = SPAN) -> DataFrame:
     """Counts, extremes, mean, population deviation, exact percentiles, share of missing values and of spikes, per curve.
 
     Spikes are steps between neighbouring valid samples of over five deviations; they need over ten valid samples and a
     deviation of over 1e-6, else the share is 0.
     """
-    by = Window.partitionBy(*keys)
-    s = samples.withColumn("v", valid_or_null(F.col("value")))
-    s = s.withColumn("before", F.last("v", ignorenulls=True).over(by.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("step", F.abs(F.col("v") - F.col("before")))
-    s = s.withColumn("sd", F.stddev_pop("step").over(by))
+    s = samples.select(*keys, "idx", valid_or_null(F.col("value")).alias("v"), F.floor(F.col("idx") / span).alias("bucket"))
+    part = Window.partitionBy(*keys, "bucket").orderBy("idx")
+    s = s.withColumn("before", F.last("v", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, -1)))
+    # A bucket's first valid value follows the last one of the buckets before it.
+    has = F.when(F.col("v").isNotNull(), F.col("idx"))
+    ends = s.groupBy(*keys, "bucket").agg(F.max_by("v", has).alias("last"))
+    ends = ends.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
+    on = lambda *ks: F.expr(" and ".join(f"r.{k} <=> e.{k}" for k in ks))
+    s = s.alias("r").join(ends.alias("e"), on(*keys, "bucket")).select("r.*", F.abs(F.col("v") - F.coalesce("before", "carried")).alias("step"))
+    sds = s.groupBy(*keys).agg(F.stddev_pop("step").alias("sd"))
+    s = s.alias("r").join(sds.alias("e"), on(*keys)).select("r.*", "sd")
     p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     out = s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_samples"), F.count("v").alias("num_valid"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
@@ -51,21 +61,45 @@ def aliases(curves: DataFrame, targets: tuple[str, ...] = tuple(ALIASES)) -> Dat
     return hit.groupBy("well", "target").agg(F.min_by("mnemonic", F.struct("place", -F.col("pos"))).alias("mnemonic"))
 
 
-def resampled(samples: DataFrame, grid: DataFrame, keys: tuple[str, ...], least_valid: int = 10) -> DataFrame:
+def around(rows: DataFrame, keys: tuple[str, ...], order: Column, own: Column, names: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """The rows with the last `own` that isn't null at or before each row, and the first at or after it, by `order`.
+
+    Rows have a column `bucket`, which cuts a curve into ranges of the order. A task orders a bucket; what it lacks is
+    carried over its borders: each bucket's first and last value are a row of a small table, whose running last and next
+    values are joined back by curve and bucket, where the rows already lie.
+    """
+    a, b = names
+    held = rows.withColumn("_o", order).withColumn("_v", own)
+    part = Window.partitionBy(*keys, "bucket").orderBy("_o")
+    near = held.withColumn(a, F.last("_v", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn(b, F.first("_v", ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing)))
+    has = F.when(F.col("_v").isNotNull(), F.col("_o"))
+    ends = held.groupBy(*keys, "bucket").agg(F.min_by("_v", has).alias("_first"), F.max_by("_v", has).alias("_last"))
+    up = Window.partitionBy(*keys).orderBy("bucket")
+    ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_after", F.first("_first", ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)))
+    same = F.expr(" and ".join(f"r.{k} <=> e.{k}" for k in (*keys, "bucket")))
+    out = near.alias("r").join(ends.alias("e"), same)
+    new = {a: F.coalesce(F.col(f"r.{a}"), F.col("e._before")), b: F.coalesce(F.col(f"r.{b}"), F.col("e._after"))}
+    return out.select(*(F.col(f"r.{c}") for c in rows.columns), *(v.alias(k) for k, v in new.items()))
+
+
+def resampled(samples: DataFrame, grid: DataFrame, keys: tuple[str, ...], least_valid: int = 10, span: int = SPAN) -> DataFrame:
     """keys, at, value: each curve read linearly at the grid's places (rows of keys and at); ends clamp, curves of fewer valid samples give nulls.
 
-    Samples (keys, at, value) and grid rows are one ordered sequence per curve; a place's neighbours are the last and first samples round it.
+    Samples (keys, at, value) and grid rows are one ordered sequence per curve, cut into ranges of depth of about `span`
+    rows; a place's neighbours are the last and first samples round it, in its range or carried into it.
     """
     s = samples.where(F.col("value").isNotNull() & F.col("at").isNotNull()).select(*keys, "at", "value", F.lit(0).alias("asks"))
     both = s.unionByName(grid.select(*keys, "at", F.lit(None).cast("double").alias("value"), F.lit(1).alias("asks")))
-    own = F.when(F.col("asks") == 0, F.struct("at", "value"))
-    order = Window.partitionBy(*keys).orderBy("at", "asks")
-    low = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    n = F.sum(1 - F.col("asks")).over(Window.partitionBy(*keys))
-    x = both.select(*keys, "at", "asks", low.alias("a"), high.alias("b"), n.alias("n")).where("asks = 1")
+    size = both.groupBy(*keys).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum(1 - F.col("asks")).alias("_n"))
+    both = both.alias("r").join(size.alias("s"), F.expr(" and ".join(f"r.{k} <=> s.{k}" for k in keys))).select("r.*", "_lo", "_hi", "_rows", "_n")
+    cuts = F.ceil(F.col("_rows") / span)
+    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cuts)).otherwise(0)
+    both = both.withColumn("bucket", bucket.cast("long")).drop("_lo", "_hi", "_rows")
+    x = around(both, keys, F.struct("at", "asks"), F.when(F.col("asks") == 0, F.struct("at", "value")), ("a", "b")).where("asks = 1")
     mid = F.col("a.value") + (F.col("at") - F.col("a.at")) / (F.col("b.at") - F.col("a.at")) * (F.col("b.value") - F.col("a.value"))
-    v = F.when(F.col("n") < least_valid, None).when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull() | (F.col("a.at") == F.col("at")), F.col("a.value")).otherwise(mid)
+    v = F.when(F.col("_n") < least_valid, None).when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull() | (F.col("a.at") == F.col("at")), F.col("a.value")).otherwise(mid)
     return x.select(*keys, "at", v.alias("value"))
 
 
@@ -76,14 +110,14 @@ def regular_depth(samples: DataFrame, keys: tuple[str, ...], step: float = 0.5,
     return resampled(s, grid, keys, least_valid).withColumnRenamed("at", "depth")
 
 
-def interpolated(trace: DataFrame, keys: tuple[str, ...], limit: int, order: str = "row_idx", value: str = "x") -> DataFrame:
-    """Fills nulls linearly where a value stands within `limit` rows on either side; ends carry the nearest value; the middle of long gaps stays null."""
-    at = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("i"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys).orderBy(order)
-    low = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    t = trace.withColumn("_a", low).withColumn("_b", high)
+def interpolated(trace: DataFrame, keys: tuple[str, ...], limit: int, order: str = "row_idx", value: str = "x", span: int = SPAN) -> DataFrame:
+    """Fills nulls linearly where a value stands within `limit` rows on either side; ends carry the nearest value; the middle of long gaps stays null.
+
+    A trace is cut into ranges of `span` rows; the values round a range are carried into it.
+    """
     i = F.col(order)
+    at = F.when(F.col(value).isNotNull(), F.struct(i.alias("i"), F.col(value).alias("v")))
+    t = around(trace.withColumn("bucket", F.floor(i / span)), keys, i, at).drop("bucket")
     near = F.least(i - F.col("_a.i"), F.col("_b.i") - i) <= limit
     mid = F.col("_a.v") + (i - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i")) * (F.col("_b.v") - F.col("_a.v"))
     v = F.when(F.col(value).isNotNull(), F.col(value)).when(~near, None).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(mid)

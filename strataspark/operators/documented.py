@@ -29,9 +29,26 @@ def snapped(clicks: DataFrame, labels: DataFrame, tolerance: int) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select("image_id", "click", "label")
 
 
-def depth_lines(jobs: DataFrame, step: float) -> DataFrame:
-    """image_id, depth, y of the lines at multiples of the step between top and bottom (jobs: image_id, top_px, bottom_px, top, bottom)."""
-    d = jobs.withColumn("depth", F.explode(F.expr(f"transform(sequence(cast(ceil(top / {step}) as bigint), cast(floor(bottom / {step}) as bigint)), i -> i * {step}D)")))
+def nice_step(span: Column, lines: Column | int = 8) -> Column:
+    """The least of 1, 2 and 5 times a power of ten that cuts a span into at most so many intervals; null for an empty span."""
+    lines = lines if isinstance(lines, Column) else F.lit(lines)
+    raw = F.abs(span) / F.greatest(F.lit(1), lines)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw) + 1e-9))
+    share = raw / power
+    times = F.when(share <= 1 + 1e-9, 1.0).when(share <= 2 + 1e-9, 2.0).when(share <= 5 + 1e-9, 5.0).otherwise(10.0)
+    return F.when(raw > 0, times * power)
+
+
+def depth_lines(jobs: DataFrame, step: Column | float | None = None, lines: Column | int = 8) -> DataFrame:
+    """image_id, depth, y of the lines at multiples of the step between top and bottom (jobs: image_id, top_px, bottom_px, top, bottom).
+
+    Without a step each job has its own: nice_step() of its span for so many intervals at most. Jobs of an empty span, or
+    whose bottom is above their top, have no lines.
+    """
+    own = nice_step(F.col("bottom") - F.col("top"), lines) if step is None else step if isinstance(step, Column) else F.lit(float(step))
+    d = jobs.where("bottom > top").withColumn("_step", own)
+    d = d.withColumn("_i", F.ceil(F.col("top") / F.col("_step"))).withColumn("_j", F.floor(F.col("bottom") / F.col("_step"))).where("_i <= _j")
+    d = d.withColumn("_i", F.explode(F.sequence("_i", "_j"))).withColumn("depth", F.col("_i") * F.col("_step"))
     return d.select("image_id", "depth", (F.col("top_px") + (F.col("depth") - F.col("top")) / (F.col("bottom") - F.col("top")) * (F.col("bottom_px") - F.col("top_px"))).alias("y"))
 
 

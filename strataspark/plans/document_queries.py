@@ -51,6 +51,17 @@ def doc_depth_lines(spark, sf):
     return r6(documented.depth_lines(j, 50.0), "y")
 
 
+@query("doc_nice_depth_lines", """WITH s AS (SELECT p_partkey AS image_id, p_retailprice AS top, p_size * p_size * 1.5::DOUBLE AS span, 3 + p_partkey % 9 AS lines FROM part),
+steps AS (SELECT m * power(10.0::DOUBLE, e) AS step FROM (VALUES (1), (2), (5)) a(m), range(-3, 6) b(e)),
+own AS (SELECT s.*, (SELECT min(step) FROM steps WHERE step * lines >= span * (1 - 1e-9)) AS step FROM s)
+SELECT image_id, round(i * step, 6) AS depth, round(10 + (i * step - top) / span * 990, 6) AS y FROM own, LATERAL (SELECT unnest(range(CAST(ceil(top / step) AS BIGINT), CAST(floor((top + span) / step) AS BIGINT) + 1)) AS i)""")
+def doc_nice_depth_lines(spark, sf):
+    """Lines at steps that each image's own span and wished number of lines choose."""
+    span = F.col("p_size") * F.col("p_size") * 1.5
+    j = t(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), F.lit(10).alias("top_px"), F.lit(1000).alias("bottom_px"), F.col("p_retailprice").alias("top"), (F.col("p_retailprice") + span).alias("bottom"), (3 + F.col("p_partkey") % 9).alias("lines"))
+    return r6(documented.depth_lines(j, lines=F.col("lines")), "depth", "y")
+
+
 @query("doc_subpixel", f"""WITH {RASTER}, n AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS c FROM pix WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
 SELECT image_id, y, round(x + CASE WHEN abs(a - 2 * p + c) > 1e-12 THEN 0.5 * (a - c) / (a - 2 * p + c) ELSE 0 END, 6) AS x FROM n WHERE p > a AND p > c AND p >= 0.5""")
 def doc_subpixel(spark, sf):
