@@ -27,14 +27,8 @@ def _upper(*names: Column) -> Column:
     return F.upper(F.trim(F.coalesce(*map(_given, names), F.lit(""))))
 
 
-def ordinals(spark_texts: DataFrame) -> DataFrame:
-    """ord, value of the lines of one whole text (value): the place of a record among those of its file."""
-    lines = spark_texts.select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.try_parse_json(x).isNotNull())).alias("ord", "value"))
-    return lines
-
-
 def zipped(configs: DataFrame, results: DataFrame) -> DataFrame:
-    """Configs (ord, job struct) and results (ord, item struct) by position; the shorter ends it; failures are left out.
+    """Configs (ord, job struct) and results (ord, item struct) by position, as sources.lines.json_places() gives it; the shorter ends it; failures are left out.
 
     An item that names a source holds its result inside; another is the result itself.
     """

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evaluation, pixels, training
+from ..operators.graph import shared_dir
+from ..sources.lines import json_places
 from .registry import query, r6, whole
 from .source_queries import _correction_events
 from .standins import RASTER, raster, t
@@ -27,7 +31,16 @@ def _jobs(spark, sf):
     none = F.lit(None).cast("struct<success:boolean,curve_traces:map<string,array<double>>>")
     wrapped = k % 2 == 0
     item = F.struct(F.when(wrapped, "x").alias("source"), F.when(wrapped, result).otherwise(none).alias("result"), F.when(~wrapped, result["success"]).alias("success"), F.when(~wrapped, result["curve_traces"]).alias("curve_traces"))
-    return training.zipped(p.select(k.alias("ord"), job.alias("job")), p.select(k.alias("ord"), item.alias("item")))
+    return training.zipped(_through_file(p, k, job, "job", 17), _through_file(p, k, item, "item", 19))
+
+
+def _through_file(p, k, record, name, bad):
+    """The records written in order as JSON lines, with lines that don't parse after some of them, and read back by place, which is the part's key, as keys count from 0."""
+    rows = p.select(k.alias("k"), F.explode(F.array_compact(F.array(F.to_json(record), F.when(k % bad == 0, "{broken")))).alias("value"))
+    schema = p.select(record.alias(name)).schema[name].dataType.simpleString()
+    path = f"{shared_dir(p.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.orderBy("k", F.col("value") == "{broken").select("value").write.text(path)
+    return json_places(p.sparkSession, path, schema).select("ord", F.col("record").alias(name))
 
 
 _ITEMS = """i0 AS (SELECT p_partkey AS ord, p_size AS s, p_name, p_size % 3 = 0 AS renamed FROM part WHERE p_size % 5 <> 0 AND p_partkey % 13 <> 0 AND p_size % 11 <> 0 AND p_size * 100 > p_size % 4),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NULL_MARKER, first_metadata
+from ..operators.curves import around
+from .lines import numbered, ordinals
 
 #: mnemonic, unit, value and description of a header line; the description follows the last colon.
 _HEADER = r"^\s*([^.\s]+)\s*\.(\S*)(?:\s+(.*?))?\s*(?::\s*([^:]*))?$"
@@ -35,17 +37,18 @@ _NUMBERS = ("STRT", "STOP", "STEP", "NULL")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line, section (first letter of the last ~ line)."""
-    text = spark.read.text(path, wholetext=True)
-    return split_lines(text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    """file, bucket, line_no, line, section (first letter of the last ~ line). Large files are read in byte ranges, over whose borders the section is carried."""
+    return _sections(numbered(spark, path))
 
 
 def split_lines(files: DataFrame) -> DataFrame:
-    """The same from rows of file and text."""
-    t = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    w = Window.partitionBy("file").orderBy("line_no")
+    """The same from rows of file and text, each text one bucket."""
+    return _sections(files.select("file", F.lit(0).cast("long").alias("bucket"), F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")))
+
+
+def _sections(t: DataFrame) -> DataFrame:
     mark = F.when(F.col("line").startswith("~"), F.upper(F.substring("line", 2, 1)))
-    t = t.withColumn("section", F.last(mark, ignorenulls=True).over(w))
+    t = around(t, ("file",), F.col("line_no"), mark, ("section", "_next")).drop("_next")
     return t.where("not startswith(line, '~') and not startswith(line, '#') and trim(line) <> ''")
 
 
@@ -72,8 +75,7 @@ def samples(text: DataFrame) -> DataFrame:
     c = curves(text)
     depth = c.where("upper(mnemonic) in ('DEPT', 'DEPTH')").groupBy("file").agg(F.min("pos").alias("at"))
     null = header(text).where("section = 'W' and upper(mnemonic) = 'NULL'").groupBy("file").agg(F.first(F.expr("try_cast(value as double)")).alias("null"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = text.where("section = 'A'").select("file", (F.row_number().over(w) - 1).alias("idx"), F.split(F.trim("line"), r"\s+").alias("v"))
+    rows = ordinals(text.where("section = 'A'"), ("file",), ("line_no",), "idx").select("file", "idx", F.split(F.trim("line"), r"\s+").alias("v"))
     rows = rows.join(depth, "file").join(null, "file", "left")
     rows = rows.select("file", "idx", "null", "at", F.expr("try_cast(get(v, at) as double)").alias("depth"), F.posexplode("v").alias("pos", "v")).where("pos <> at")
     value = F.expr("try_cast(v as double)")
