@@ -121,3 +121,46 @@ def recent_quality(adjustments: DataFrame) -> DataFrame:
     """curve_type, quality, high_confidence over the last ten; three are needed."""
     g = latest(adjustments, 10).groupBy("curve_type").agg(F.avg("quality_score").alias("quality"), F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= LEAST).select("curve_type", "quality", (F.col("quality") > 0.8).alias("high_confidence"))
+
+
+# --- sums that stay valid while their weights fade -----------------------------------------------------------------------
+
+DAY = 86_400_000_000
+#: What is kept for each type, parameter (null: the type itself) and day.
+SUMS = ("n", "qualities", "quality", "weighed", "weighed_sum", "moves", "mean", "spread")
+
+
+def daily_sums(adjustments: DataFrame, time_of_day: int = 0) -> DataFrame:
+    """curve_type, param, day and SUMS: counts and sums of adjustments and moves, from which learned_of() reads what learned() gives for any `as_of` at this time of day (in microseconds).
+
+    A day ends at that time, so that all its adjustments are as many days old; what fades with age is applied at reading.
+    It is one aggregation by key, so it runs on a stream as well.
+    """
+    named = F.transform(F.map_entries("original_params"), lambda e: F.struct(e["key"].alias("param"), (F.element_at("user_params", e["key"]) - e["value"]).alias("delta")))
+    moved = F.filter(named, lambda e: e["param"].isin(*WEIGHTS) & e["delta"].isNotNull())
+    own = F.array(F.struct(F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("delta")))
+    day = F.ceil((F.unix_micros(F.col("timestamp").cast("timestamp")) - time_of_day) / DAY)
+    e = adjustments.select("curve_type", day.alias("day"), "quality_score", F.explode(F.concat(own, F.coalesce(moved, F.filter(own, lambda _: F.lit(False))))).alias("e"))
+    q, d = F.col("quality_score"), F.col("e.delta")
+    return e.groupBy("curve_type", F.col("e.param").alias("param"), "day").agg(
+        F.count(F.lit(1)).alias("n"), F.count(q).alias("qualities"), F.coalesce(F.sum(q), F.lit(0.0)).alias("quality"), F.count(d * q).alias("weighed"), F.coalesce(F.sum(d * q), F.lit(0.0)).alias("weighed_sum"),
+        F.count(d).alias("moves"), F.avg(d).alias("mean"), (F.var_pop(d) * F.count(d)).alias("spread"))
+
+
+def learned_of(sums: DataFrame, as_of: Column, time_of_day: int = 0) -> DataFrame:
+    """What learned() gives, from daily_sums(); as_of is at their time of day."""
+    days = F.floor((F.unix_micros(as_of) - time_of_day) / DAY) - F.col("day")
+    s = sums.withColumn("days", days).withColumn("fresh", days < RECENT_DAYS)
+    whole = s.where("param is null").groupBy("curve_type").agg(F.sum("n").alias("sample_size"), F.coalesce(F.sum(F.when(F.col("fresh"), F.col("n"))), F.lit(0)).alias("recent"))
+    held = s.join(whole, "curve_type").where((F.col("sample_size") >= LEAST) & (F.col("fresh") | (F.col("recent") < LEAST)))
+    moves = held.where("param is not null and moves > 0")
+    fade = F.greatest(F.lit(0.1), 1 - F.col("days") / float(RECENT_DAYS))
+    g = moves.groupBy("curve_type", "param").agg(F.sum(F.col("weighed_sum") * fade).alias("moved"), F.sum("weighed").alias("weighed"), F.sum("moves").alias("moves"), (F.sum(F.col("mean") * F.col("moves")) / F.sum("moves")).alias("centre"))
+    spread = moves.join(g.select("curve_type", "param", "centre"), ["curve_type", "param"]).groupBy("curve_type", "param").agg(F.sum(F.col("spread") + F.col("moves") * F.pow(F.col("mean") - F.col("centre"), 2)).alias("spread"))
+    g = g.join(spread, ["curve_type", "param"]).join(_parameters(sums), "param")
+    rows = g.select("curve_type", "param", F.greatest(F.lit(0.1), F.col("default") + F.when(F.col("weighed") > 0, F.col("moved") * F.col("weight") / F.col("weighed"))).alias("value"), "default", (1 / (1 + F.sqrt(F.col("spread") / F.col("moves")))).alias("steady"))
+    size = held.where("param is null").groupBy("curve_type").agg(F.sum("n").alias("n"), (F.sum("quality") / F.sum("qualities")).alias("q"))
+    steady = rows.groupBy("curve_type").agg(F.avg("steady").alias("steady"))
+    j = whole.join(size, "curve_type", "left").join(steady, "curve_type", "left")
+    c = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("n") / 10.0 * F.col("q") * F.coalesce("steady", F.lit(0.5)))).otherwise(0.0)
+    return j.select("curve_type", c.alias("confidence"), "sample_size").join(rows.drop("steady"), "curve_type", "left").select("curve_type", "param", "value", "default", "confidence", "sample_size")

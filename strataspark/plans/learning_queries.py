@@ -54,6 +54,12 @@ def lrn_learned(spark, sf):
     return r6(learning.learned(adjustments(spark, sf), _now()), "value", "default", "confidence")
 
 
+@query("lrn_learned_daily", f"""WITH {_LEARNED} SELECT curve_type, param, round(value, 6) AS value, round("default", 6) AS "default", round(confidence::DOUBLE, 6) AS confidence, sample_size FROM l""")
+def lrn_learned_daily(spark, sf):
+    """The same from daily sums, which the learning stream keeps: the adjustments are read once."""
+    return r6(learning.learned_of(learning.daily_sums(adjustments(spark, sf)), _now()), "value", "default", "confidence")
+
+
 @query("lrn_suggestions", f"""WITH {_LEARNED} SELECT curve_type, param, round(value, 6) AS value, CASE WHEN value > "default" THEN 'increase' ELSE 'decrease' END AS direction,
   CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS band FROM l WHERE confidence >= 0.3 AND abs(value - "default") > 0.1 * abs("default")""")
 def lrn_suggestions(spark, sf):

@@ -470,31 +470,6 @@ def test_correction_stream_equals_batch(spark, tmp_path):
     assert {(r.event_id, r.mode) for r in spark.table("corr").collect()} == want == {("e0", "red"), ("e1", "red"), ("e2", "red")}
 
 
-def test_subscription_stream_equals_batch(spark, tmp_path):
-    schema = "user_id long, created timestamp, seq long, event_type string, status string, plan string, trial_end long"
-    rows = [(u, f"2024-01-0{1 + (u * s) % 7} 00:00:00", s, "deleted" if (u + s) % 5 == 0 else "updated", "Trialing" if s == 2 else "active", "pro", s if s % 2 else None) for u in range(4) for s in range(6)]
-    df = spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("created", F.to_timestamp("created"))
-    df.repartition(3).write.parquet(str(tmp_path / "in"))
-    feeds.subscription_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "state").iterdir())
-    got = {tuple(r) for r in feeds.subscription_state(spark, str(tmp_path / "state"), last).collect()}
-    assert got == {tuple(r) for r in accounts.subscription_fold(df).collect()}
-
-
-def test_learning_stream_equals_batch(spark, sf, tmp_path):
-    from strataspark.operators import learning
-    from strataspark.plans.standins import AS_OF, adjustments
-
-    a = adjustments(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    a.repartition(3).write.parquet(str(tmp_path / "in"))
-    now = F.to_timestamp(F.lit(AS_OF))
-    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    feeds.learning_stream(stream, str(tmp_path / "table"), str(tmp_path / "state"), str(tmp_path / "cp"), now).awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "state").iterdir())
-    clean = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
-    assert clean(spark.read.parquet(str(tmp_path / f"state/v{last}"))) == clean(learning.learned(a, now))
-
-
 def test_adjustment_table(spark, tmp_path):
     path = str(tmp_path / "adj")
     rows = spark.createDataFrame([("GR", {"a": 1.0}, {"a": 2.0}, "s"), ("xx", {"a": 1.0}, {"a": 2.0}, "s"), ("GR", None, {"a": 2.0}, "s")], "curve_type string, original_params map<string,double>, user_params map<string,double>, session_id string")
