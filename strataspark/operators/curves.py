@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ALIASES, curve_labels, curve_type, quality_flags, valid_or_null
+from .selection import MOST, percentiles
 
 
 #: Rows of a curve that one task orders, about.
 SPAN = 10_000
 
 
-def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve"), span: int = SPAN) -> DataFrame:
+def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve"), span: int = SPAN, most: int = MOST) -> DataFrame:
     """Counts, extremes, mean, population deviation, exact percentiles, share of missing values and of spikes, per curve.
 
     Spikes are steps between neighbouring valid samples of over five deviations; they need over ten valid samples and a
@@ -29,10 +30,11 @@ def features(samples: DataFrame, keys: tuple[str, ...] = ("well", "curve"), span
     s = s.alias("r").join(ends.alias("e"), on(*keys, "bucket")).select("r.*", F.abs(F.col("v") - F.coalesce("before", "carried")).alias("step"))
     sds = s.groupBy(*keys).agg(F.stddev_pop("step").alias("sd"))
     s = s.alias("r").join(sds.alias("e"), on(*keys)).select("r.*", "sd")
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    p = percentiles(s, keys, "v", (0.05, 0.5, 0.95), most)
     out = s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_samples"), F.count("v").alias("num_valid"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-        p.alias("p"), F.sum(F.when((F.col("sd") > 1e-6) & (F.col("step") > 5 * F.col("sd")), 1).otherwise(0)).alias("spikes"))
+        F.sum(F.when((F.col("sd") > 1e-6) & (F.col("step") > 5 * F.col("sd")), 1).otherwise(0)).alias("spikes"))
+    out = out.alias("r").join(p.alias("e"), on(*keys)).select("r.*", "p")
     return out.select(
         *keys, "num_samples", "num_valid", "min", "max", "mean", "std", F.get("p", F.lit(0)).alias("p05"), F.get("p", F.lit(1)).alias("p50"), F.get("p", F.lit(2)).alias("p95"),
         ((1 - F.col("num_valid") / F.greatest(F.lit(1), F.col("num_samples"))) * 100).alias("pct_missing"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -313,18 +314,51 @@ def closed(pixels: DataFrame, value: str, width: int, height: int) -> DataFrame:
     return pixels
 
 
-def component_labels(mask: DataFrame) -> DataFrame:
-    """On-pixels with label, the first run of their 8-connected component.
-
-    Horizontal runs are nodes; runs of neighbouring rows that touch are joined by an equi-join on row with a range test.
+def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's on-pixels with the first pixel (y * 2^32 + x) of their 8-connected component in the block: runs of a row are joined to those they touch in the row before."""
+    pdf = pdf.sort_values(["y", "x"])
+    y, x = pdf["y"].to_numpy().astype(np.int64), pdf["x"].to_numpy().astype(np.int64)
+    new = np.ones(len(y), dtype=bool)
+    new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    at = np.flatnonzero(new)
+    row, start, stop = y[at], x[at], x[np.append(at[1:], len(y)) - 1]
+    root = list(range(len(at)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    j = 0
+    for i in range(len(at)):
+        while j < i and (row[j] < row[i] - 1 or (row[j] == row[i] - 1 and stop[j] < start[i] - 1)):
+            j += 1
+        k = j
+        while k < i and row[k] == row[i] - 1 and start[k] <= stop[i] + 1:
+            a, b = find(k), find(i)
+            root[max(a, b)] = min(a, b)
+            k += 1
+    first = np.array([find(i) for i in range(len(at))], dtype=np.int64)
+    return pdf.assign(label=((row << 32) + start)[first][np.cumsum(new) - 1])
+
+
+def component_labels(mask: DataFrame, block: int = R.BLOCK) -> DataFrame:
+    """On-pixels with label, the first pixel (y * 2^32 + x) of their 8-connected component.
+
+    Blocks of rows are labelled apart, by union-find inside a task; only labels that meet at a border between blocks are
+    edges of the components that join them.
     """
-    on = cut(runs(mask, "x"))
-    r = on.groupBy("image_id", "y", "run").agg(F.max("x").alias("stop"))
-    r = cut(r.withColumn("node", F.struct("image_id", "y", "run")))
-    touch = r.alias("a").join(r.alias("b"), F.expr("a.image_id = b.image_id and a.y + 1 = b.y and a.run <= b.stop + 1 and b.run <= a.stop + 1"))
-    comp = components(touch.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    state = r.join(comp, "node", "left").select("image_id", "y", "run", F.coalesce("component", "node").alias("label"))
-    return on.join(state, ["image_id", "y", "run"])
+    on = mask.where("on").withColumn("block", F.floor(F.col("y") / block).cast("int"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in on.dtypes), "label long"])
+    named = stored(on.groupBy("image_id", "block").applyInPandas(_tile_labels, schema), "tiles").drop("block")
+    low = named.where((F.col("y") + 1) % block == 0).select("image_id", (F.col("y") + 1).alias("y"), F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("x"), F.col("label").alias("a"))
+    high = named.where((F.col("y") % block == 0) & (F.col("y") > 0)).select("image_id", "y", "x", F.col("label").alias("b"))
+    touch = stored(low.join(high, ["image_id", "y", "x"]).select(F.struct("image_id", F.col("a").alias("label")).alias("a"), F.struct("image_id", F.col("b").alias("label")).alias("b")).distinct(), "borders")
+    if touch.isEmpty():
+        return named
+    joined = components(touch).select("node.image_id", "node.label", F.col("component.label").alias("_first"))
+    return named.join(joined, ["image_id", "label"], "left").withColumn("label", F.coalesce("_first", "label")).drop("_first")
 
 
 def largest_component(mask: DataFrame) -> DataFrame:

@@ -62,3 +62,18 @@ def test_a_long_curve_is_many_tasks(spark):
     got = {r.at: r.value for r in curves.resampled(s, g, ("k",)).collect()}
     at = np.arange(200_000) * 0.1
     assert [got[x] for x in sorted(got)] == pytest.approx(np.interp(sorted(got), at, np.sin(np.arange(200_000))).tolist())
+
+
+@pytest.mark.parametrize("kind", ["even", "few", "wide"])
+def test_percentiles_of_large_groups(spark, kind):
+    from strataspark.operators.selection import percentiles
+
+    rng = np.random.default_rng(5)
+    of = {"even": lambda n: rng.random(n), "few": lambda n: rng.integers(0, 3, n).astype(float), "wide": lambda n: np.exp(rng.normal(0, 40, n))}[kind]
+    groups = {"a": of(3000), None: of(501), "one": of(1)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.05, 0.5, 0.953, 1.0)
+    got = {r.k: r.p for r in percentiles(df, ("k",), "v", shares, most=40).collect()}
+    assert got == {r.k: pytest.approx(r.p, rel=1e-12) if r.p else None for r in percentiles(df, ("k",), "v", shares).collect()}
+    assert got["a"] == pytest.approx(np.quantile(groups["a"], shares).tolist())

@@ -75,3 +75,24 @@ def test_the_digitize_job_shuffles_pixels_once(spark):
     held = table(spark, np.zeros((20, 5)), mode="black", width=5, height=20)
     plan = R.packed(held, 18, "value", also=("mode", "width", "height"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_components_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    a = (rng.random((40, 30)) < 0.42).astype(float)
+    seen, want = np.zeros(a.shape, int), {}
+    for y, x in zip(*np.nonzero(a)):  # flood fill, first pixel first
+        if not seen[y, x]:
+            todo = [(y, x)]
+            seen[y, x] = 1
+            while todo:
+                p, q = todo.pop()
+                want[p, q] = (int(y) << 32) + int(x)
+                for u in range(max(0, p - 1), min(40, p + 2)):
+                    for v in range(max(0, q - 1), min(30, q + 2)):
+                        if a[u, v] and not seen[u, v]:
+                            seen[u, v] = 1
+                            todo.append((u, v))
+    on = table(spark, a).select("image_id", "y", "x", (F.col("value") > 0).alias("on"))
+    for block in (1, 7, 512):
+        assert {(r.y, r.x): r.label for r in P.component_labels(on, block).collect()} == {(int(y), int(x)): v for (y, x), v in want.items()}
