@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NULL_MARKER, first_metadata
 from ..operators.curves import around
+from ..operators.graph import stored
 from .lines import numbered, ordinals
 
 #: mnemonic, unit, value and description of a header line; the description follows the last colon.
@@ -37,8 +38,11 @@ _NUMBERS = ("STRT", "STOP", "STEP", "NULL")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, bucket, line_no, line, section (first letter of the last ~ line). Large files are read in byte ranges, over whose borders the section is carried."""
-    return _sections(numbered(spark, path))
+    """file, bucket, line_no, line, section (first letter of the last ~ line). Large files are read in byte ranges, over whose borders the section is carried.
+
+    The lines are stored, for header, curves and samples all read them.
+    """
+    return stored(_sections(numbered(spark, path)), "las-lines")
 
 
 def split_lines(files: DataFrame) -> DataFrame:
