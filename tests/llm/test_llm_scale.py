@@ -158,11 +158,39 @@ def test_formats_of_held_out_credentials(spark):
 
 def test_formats_have_states_for_their_places():
     values = ["".join(np.random.default_rng(i).choice(list("0123456789abcdef"), 40)) for i in range(11)]
-    (f,) = secret_scan.formats_of(values)
+    (f,) = secret_scan.formats_of([secret_scan.sketch(v) for v in values])
     assert len(f.automaton.moves) == 41
     assert f.accepts(values[0][::-1], "x" * 40) and not f.accepts("a1" * 12, "x" * 24) and not f.accepts("LAAITIONELLEELLE", "U" * 16)
 
 
+@pytest.mark.parametrize("n,chars,labelled", [(12, "ABCDEFGHJKMNPQRSTUVWXYZ0123456789", 60), (9, "abcdefghjkmnpqrstuvwxyzABCDEFGHJKMN0123456789", 60), (603, "abcdefghjkmnpqrstuvwxyzABCDEFGHJKMN0123456789", 60), (28, "abcdefghjkmnpqrstuvwxyz0123456789", 3)])
+def test_formats_of_any_length_and_of_few_values(spark, n, chars, labelled):
+    """Bare keys of 9, 12 or 603 characters, and such as three labelled values show, among ordinary words of all lengths."""
+    rng = np.random.default_rng(n)
+    start = "k9" if labelled > 3 else "zq_"
+    key = lambda: start + "0a" * (chars[0] == "a") + "".join(rng.choice(list(chars), n - len(start) - 2 * (chars[0] == "a")))
+    keys = [key() for _ in range(20)]
+    word = lambda: "".join(rng.choice(list("etaoinshrdlucmfwyp"), int(rng.integers(3, 24))))
+    words = [f() for _ in range(150) for f in (word, word, lambda: word().capitalize(), lambda: f"{word()}-{word()}", lambda: str(rng.integers(10**9)))]
+    texts = [f"token = {key()} end" for _ in range(labelled)] + [f"see {k} there" for k in keys] + [f"a {w} b" for w in words] + ["secret = everything", "password: something"]
+    got = secret_scan.findings(docs(spark, texts)).collect()
+    found = {texts[r.doc_id][int(a) : int(b)] for r in got for x in r.spans.split(",") if x.startswith("format") for a, b in [x.split(":")[1:]]}
+    assert set(keys) <= found and len(found & set(words)) <= 2
+
+
+def test_starts_count_by_chance():
+    share = secret_scan.starts_of
+    upper = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    assert set(share(["AKIA" + "".join(np.random.default_rng(i).choice(upper, 16)) for i in range(600)])) == {"AKIA"}
+    assert share(["AKIA12", "AKIA34", "AKIA56"])["AKIA"] == 0 and set(share(["sk_live_a1", "sk_live_b2", "sk_live_c3", "sk_test_d4", "sk_test_e5", "sk_test_f6"])) == {"sk_live", "sk_test"}
+    assert share(["a1b2", "a9c3"]) == {"": 0.0} and share(["sk-a1b2"]) == {"sk-": 0.0} and share(["x" * 63] * 2) == {"x" * 63: 0.0}
+
+
+def test_words_of_tokens_are_short():
+    assert secret_scan.symbols("x9" * 5000) == "a" * 40 + "9960" and secret_scan.symbols("a9-" * 5000) == "W" * 40 + "14960"
+    assert secret_scan.pool(secret_scan.symbols("Ab9" * 200)) == secret_scan.pool(secret_scan.symbols("Ab9")) == "M"
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
