@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -182,6 +183,23 @@ def test_mix_targets_stop_at_three_times(spark):
     assert got["a"] == 30 and got["b"] == 3000 and got[None] == pytest.approx(6010 - 3030)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    """Every query with an SQL twin, over the whole tables of the smallest scale, doubles to the last bit."""
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for path in sorted(Path(sf).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    cur = con.execute(queries.oracle_sql()[name])
+    columns = sorted(d[0] for d in cur.description)
+    want = [dict(zip([d[0] for d in cur.description], r)) for r in cur.fetchall()]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == columns
+    rows = lambda of: sorted((tuple(r[c] for c in columns) for r in of), key=repr)
+    assert rows(got.collect()) == rows(want) and want
+
+
 def test_secret_spans(spark):
     rng = np.random.default_rng(3)
     texts = TEXTS + [f"x password: '{''.join(rng.choice(list('0123456789abcdef'), 40))}' and thequickbrownfoxjumps{i} overthelazydogandmore" for i in range(60)]
