@@ -110,6 +110,9 @@ def _scan(data: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd.Dat
             floor = np.sort((x[first] * q[a + i]).sum(1))[-k] if len(first) >= k else -np.inf
             rerank = np.flatnonzero((best[i] >= floor) & ~own)
             rerank = np.union1d(rerank, first)
+            near = (x[rerank] * q[a + i]).sum(1)
+            if len(near) > k:  # what rounding can't lift among the k best goes
+                rerank = rerank[~(near < np.partition(near, -k)[-k] - 1e-14 * dim * qnorm[a + i] * norm.max())]
             score = np.cumsum(x[rerank] * q[a + i], axis=1)[:, -1]  # added from left to right, as a plain loop adds
             top = np.lexsort((ids[rerank], -score))[:k]
             found.append(pd.DataFrame({"query_id": qid[a + i], "vec_id": ids[rerank][top], "score": score[top]}))
