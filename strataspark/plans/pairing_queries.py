@@ -94,7 +94,19 @@ def windows_of(spark, sf):
     return panel, traces_, measured
 
 
-@query("pair_examples")
+_EXAMPLES = """l AS (SELECT 'p' || l_suppkey AS pair_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row, l_quantity AS q, l_partkey FROM lineitem),
+size AS (SELECT pair_id, count(*) AS rows FROM l GROUP BY 1), g AS (SELECT pair_id, rows, list_sort(list_distinct(list_append(range(0, greatest(0, rows - 256) + 1, 200), greatest(0, rows - 256)))) AS g FROM size),
+w AS (SELECT pair_id, rows, unnest(CASE WHEN len(g) <= 18 THEN g ELSE list_distinct([g[1 + CAST(floor(i * (len(g) - 1) / 17) AS BIGINT)] for i in range(18)]) END) AS s FROM g),
+k AS (SELECT w.pair_id, s, least(rows, s + 256) AS e, l.row - s AS i, q AS value, CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN 50 - q ELSE q END AS x FROM w JOIN l ON l.pair_id = w.pair_id AND l.row >= s AND l.row < least(rows, s + 256) WHERE least(rows, s + 256) - s >= 128),
+c AS (SELECT pair_id, s, e, count(x) / count(*) AS valid, count(x) AS n, quantile_cont(x, 0.02) AS a, quantile_cont(x, 0.98) AS b, quantile_cont(value, 0.02) FILTER (x IS NOT NULL) AS c, quantile_cont(value, 0.98) FILTER (x IS NOT NULL) AS d, list(coalesce(x, -999.25::DOUBLE) ORDER BY i) AS trace FROM k GROUP BY 1, 2, 3),
+u AS (SELECT c.pair_id, c.s, least(1, greatest(0, (x - a) / greatest(1e-6, b - a))) AS u, least(1, greatest(0, (value - c) / greatest(1e-6, d - c))) AS v FROM k JOIN c ON c.pair_id = k.pair_id AND c.s = k.s WHERE x IS NOT NULL),
+r AS (SELECT pair_id, s, CASE WHEN stddev_pop(u) >= 1e-4 AND stddev_pop(v) >= 1e-4 THEN abs(corr(u, v)) END AS r FROM u GROUP BY 1, 2),
+score AS (SELECT c.*, CASE WHEN n >= 100 AND b - a >= 8 AND d - c >= 1e-6 THEN r * greatest(0.25, valid) * greatest(0.25, least(1, (b - a) / 59 / 0.25)) END AS score FROM c JOIN r ON r.pair_id = c.pair_id AND r.s = c.s)"""
+
+
+@query("pair_examples", f"""WITH {_EXAMPLES} SELECT 'log_pair_bootstrap_v1' AS schema, 'wvgs' AS source, pair_id, pair_id || '_dgc.tif' AS scan_name, 'a.las' AS las_name, 'GR' AS curve_name, 'GR' AS curve_mnemonic, 'black' AS mode, printf('%s_%s_dgc_panel1_r%05d.png', pair_id, pair_id, s) AS roi_image_path, trace,
+  -999.25::DOUBLE AS null_value, 1::INTEGER AS panel_index, 100::INTEGER AS panel_left_px, 160::INTEGER AS panel_right_px, 0.5::DOUBLE AS panel_match_score, round(score, 6) AS window_match_score, round(valid, 6) AS trace_valid_fraction, (100 + s * 0.5)::DOUBLE AS depth_start, (100 + (e - 1) * 0.5)::DOUBLE AS depth_end, TIMESTAMP '2024-02-01 00:00:00' AS saved_at_utc
+  FROM score WHERE valid >= 0.7 AND score >= 0.08""")
 def pair_examples(spark, sf):
     panel, traces_, measured = windows_of(spark, sf)
     e = pairing.window_examples(pairing.window_rows(panel, traces_, 256, 200), measured, "gr", F.to_timestamp(F.lit("2024-02-01 00:00:00")))

@@ -133,24 +133,51 @@ def pix_rails(spark, sf):
     return whole(pixels.without_rails(p, pixels.sizes_of(p)).where("on").select("image_id", "y", "x"), "y", "x")
 
 
-@query("pix_edges")
+def _edges(low: float, high: float) -> str:
+    """SQL of the edge map: gradients of repeated borders, what no neighbour across the edge exceeds, and what can be reached from the sure ones."""
+    return f"""g0 AS (SELECT image_id, y, x, value::DOUBLE AS v FROM pix),
+g1 AS (SELECT *, lead(v, 1, v) OVER r - lag(v, 1, v) OVER r AS dx, lag(v, 1, v) OVER r + 2 * v + lead(v, 1, v) OVER r AS sx FROM g0 WINDOW r AS (PARTITION BY image_id, y ORDER BY x)),
+g2 AS (SELECT image_id, y, x, lag(dx, 1, dx) OVER c + 2 * dx + lead(dx, 1, dx) OVER c AS gx, lead(sx, 1, sx) OVER c - lag(sx, 1, sx) OVER c AS gy FROM g1 WINDOW c AS (PARTITION BY image_id, x ORDER BY y)),
+g3 AS (SELECT *, abs(gx) + abs(gy) AS m FROM g2),
+beside AS (SELECT g3.image_id, g3.y, g3.x, dy, dx, n.m FROM g3, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), g3 n WHERE n.image_id = g3.image_id AND n.y = g3.y + dy AND n.x = g3.x + dx),
+n AS (SELECT image_id, y, x, map_from_entries(list((dy * 3 + dx, m))) AS m FROM beside GROUP BY 1, 2, 3),
+near AS (SELECT g3.*, list_transform(range(-4, 5), lambda i: coalesce(n.m[i], 0)) AS k FROM g3 JOIN n USING (image_id, y, x)),
+weak AS MATERIALIZED (SELECT image_id, y, x, m FROM near WHERE m > {low} AND CASE WHEN abs(gy) < abs(gx) * tan(pi() / 8) THEN m > k[4] AND m >= k[6] WHEN abs(gy) > abs(gx) * tan(3 * pi() / 8) THEN m > k[2] AND m >= k[8]
+  WHEN (gx < 0) <> (gy < 0) THEN m > k[3] AND m > k[7] ELSE m > k[1] AND m > k[9] END),
+edge AS (SELECT image_id, y, x FROM weak WHERE m > {high} UNION
+  SELECT w.image_id, w.y, w.x FROM edge e, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), weak w WHERE w.image_id = e.image_id AND w.y = e.y + dy AND w.x = e.x + dx)"""
+
+
+#: SQL of the largest 8-connected component: of the pixels of `lit`, bars are runs of a row, the least number of a bar goes from bar to touching bar until nothing changes.
+LARGEST = """bar AS MATERIALIZED (SELECT row_number() OVER (ORDER BY image_id, y, min(x)) AS id, image_id, y, min(x) AS a, max(x) AS b FROM (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM lit) GROUP BY image_id, y, k),
+touch AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM bar p, (VALUES (-1), (1)) v(dy), bar q WHERE q.image_id = p.image_id AND q.y = p.y + dy AND q.a <= p.b + 1 AND p.a <= q.b + 1),
+spread(id, label) USING KEY (id) AS (SELECT id, id FROM bar UNION SELECT t.b, min(s.label) FROM spread s JOIN touch t ON t.a = s.id JOIN recurring.spread o ON o.id = t.b WHERE s.label < o.label GROUP BY t.b),
+area AS (SELECT image_id, label, sum(b - a + 1)::BIGINT AS area FROM spread JOIN bar USING (id) GROUP BY 1, 2),
+largest AS (SELECT image_id, arg_min(label, (-area, label)) AS label, max(area) AS area FROM area GROUP BY 1)"""
+
+
+@query("pix_edges", f"WITH RECURSIVE {RASTER}, {_edges(150, 400)} SELECT image_id, y, x FROM edge")
 def pix_edges(spark, sf):
     p = raster(spark, sf).select("image_id", "y", "x", F.col("value").cast("double").alias("value"))
     return whole(pixels.edges(p, 150.0, 400.0), "y", "x")
 
 
-@query("pix_tracks", f"""WITH {RASTER}, s AS (SELECT image_id, x, count(*) FILTER (value > 90) AS e FROM pix GROUP BY 1, 2), k AS (SELECT *, lag(e) OVER w AS a, lead(e) OVER w AS b, max(e) OVER (PARTITION BY image_id) AS top FROM s WINDOW w AS (PARTITION BY image_id ORDER BY x)),
+#: SQL of the tracks from s (image_id, x, e: the column's edge pixels).
+_TRACKS = """k AS (SELECT *, lag(e) OVER w AS a, lead(e) OVER w AS b, max(e) OVER (PARTITION BY image_id) AS top FROM s WINDOW w AS (PARTITION BY image_id ORDER BY x)),
 p AS (SELECT image_id, x, row_number() OVER (PARTITION BY image_id ORDER BY x) AS n FROM k WHERE e > a AND e > b AND e > 0.3 * top),
 kept AS (WITH RECURSIVE f(image_id, n, x, last) AS (SELECT image_id, n, x, x FROM p WHERE n = 1 UNION ALL SELECT p.image_id, p.n, p.x, CASE WHEN p.x - f.last >= 64 * 0.05 THEN p.x ELSE f.last END FROM f JOIN p ON p.image_id = f.image_id AND p.n = f.n + 1) SELECT DISTINCT image_id, last AS x FROM f),
 m AS (SELECT image_id, x AS l, lead(x) OVER (PARTITION BY image_id ORDER BY x) AS r, count(*) OVER (PARTITION BY image_id) AS n FROM kept)
 SELECT image_id, CAST(l AS BIGINT) AS left_px, CAST(r AS BIGINT) AS right_px FROM m WHERE r IS NOT NULL UNION ALL
-SELECT image_id, l, l + 21 FROM (SELECT DISTINCT image_id FROM pix WHERE image_id NOT IN (SELECT image_id FROM m WHERE n >= 2)), (VALUES (0), (21), (42)) v(l)""")
+SELECT image_id, l, l + 21 FROM (SELECT DISTINCT image_id FROM pix WHERE image_id NOT IN (SELECT image_id FROM m WHERE n >= 2)), (VALUES (0), (21), (42)) v(l)"""
+
+
+@query("pix_tracks", f"WITH {RASTER}, s AS (SELECT image_id, x, count(*) FILTER (value > 90) AS e FROM pix GROUP BY 1, 2), {_TRACKS}")
 def pix_tracks(spark, sf):
     p = raster(spark, sf)
     return whole(pixels.tracks(p.where("value > 90").select("image_id", "y", "x"), pixels.sizes_of(p)), "left_px", "right_px")
 
 
-@query("pix_edge_tracks")
+@query("pix_edge_tracks", f"WITH RECURSIVE {RASTER}, {_edges(50, 150)}, s AS (SELECT image_id, x, count(e.y) AS e FROM pix LEFT JOIN edge e USING (image_id, y, x) GROUP BY 1, 2), {_TRACKS}")
 def pix_edge_tracks(spark, sf):
     p = raster(spark, sf).select("image_id", "y", "x", F.col("value").cast("double").alias("value"))
     return whole(pixels.tracks(pixels.edges(p, 50.0, 150.0), pixels.sizes_of(p)), "left_px", "right_px")
@@ -162,7 +189,7 @@ def pix_bounds(spark, sf):
     return whole(pixels.content_bounds(raster(spark, sf).withColumn("value", F.when(F.col("value") > 175, 0).otherwise(255))), "top_px", "bottom_px")
 
 
-@query("pix_component")
+@query("pix_component", f"""WITH RECURSIVE {RASTER}, lit AS (SELECT image_id, y, x FROM pix WHERE "on"), {LARGEST} SELECT image_id, area FROM largest""")
 def pix_component(spark, sf):
     return pixels.largest_component(raster(spark, sf).select("image_id", "y", "x", "on")).groupBy("image_id").agg(F.count(F.lit(1)).alias("area"))
 

@@ -88,15 +88,15 @@ def _correction_events(spark, sf):
         place.alias("track"), F.struct(F.col("value").alias("x"), (F.col("value") * 10).alias("y")).alias("after"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("c"), "event_id", F.lit(".png"))).alias("image_path"))
 
 
-@query("src_corrections", """SELECT 'e' || event_id AS event_id, upper(event_type) AS curve_name, CASE WHEN event_id % 2 = 0 THEN 'red' ELSE 'black' END AS mode, CAST(DATE '2025-12-14' AS VARCHAR) AS day FROM events WHERE user_id % 4 <> 0 AND event_id % 5 <> 0""")
+@query("src_corrections", """SELECT 'e' || event_id AS event_id, upper(event_type) AS curve_name, CASE WHEN event_id % 2 = 0 THEN 'red' ELSE 'black' END AS mode, '2025-12-' || (14 + user_id % 3) AS day FROM events WHERE user_id % 4 <> 0 AND event_id % 5 <> 0""")
 def src_corrections(spark, sf):
-    """Correction logs written as JSON lines, with a bad line beside each good one, and read back."""
+    """Correction logs of three days, with a bad line beside each good one, written below a root and scanned again."""
     root = _folder(spark, "corrections")
-    lines = _correction_events(spark, sf).select(F.explode(F.array(F.to_json(F.struct("*")), F.lit("{not json"))).alias("value"))
-    lines.write.text(f"{root}/2025-12-14/corrections.jsonl")
-    held = spark.read.schema(records.CORRECTION).option("mode", "DROPMALFORMED").json(f"{root}/2025-12-14/corrections.jsonl")
-    day = F.regexp_extract("_metadata.file_path", r"(\d{4}-\d{2}-\d{2})/corrections.jsonl", 1)
-    return training.corrections(held.withColumn("day", day)).select("event_id", "curve_name", "mode", "day")
+    day = t(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("event_id"), F.concat(F.lit("2025-12-"), 14 + F.col("user_id") % 3).alias("day"))
+    e = _correction_events(spark, sf)
+    held = e.join(day, "event_id").select("day", F.explode(F.array(F.to_json(F.struct(*e.columns)), F.lit("{not json"))).alias("value"))
+    records.write_logs(held, root, "corrections.jsonl")
+    return training.corrections(records.corrections(spark, root)).select("event_id", "curve_name", "mode", F.col("day").cast("string").alias("day"))
 
 
 @query("src_json_documents", """SELECT event_id, user_id FROM events""")
@@ -133,6 +133,16 @@ def src_captures(spark, sf):
     return records.captures(spark, path, "event_id bigint, user_id bigint").where("event_id is not null")
 
 
+@query("src_capture_logs", """SELECT event_id, user_id FROM events WHERE user_id % 4 <> 0""")
+def src_capture_logs(spark, sf):
+    """Captures below a root that has captures.jsonl, with bad lines, beside JSON documents, which then don't count."""
+    root = _folder(spark, "captures")
+    e = t(spark, sf, "events").select(F.concat(F.lit("2025-12-"), 14 + F.col("user_id") % 3).alias("day"), "user_id", F.to_json(F.struct("event_id", "user_id")).alias("json"))
+    records.write_logs(e.where("user_id % 4 <> 0").select("day", F.explode(F.array("json", F.lit("[not json"))).alias("value")), root, "captures.jsonl")
+    records.write_logs(e.where("user_id % 4 = 0").select("day", F.col("json").alias("value")), root, "capture.json")
+    return records.captures(spark, root, "event_id bigint, user_id bigint")
+
+
 @query("src_report", """SELECT count(*) AS processed_samples, count(DISTINCT user_id) AS unique_images, 20.0::DOUBLE AS holdout_pct, 'a,b' AS methods FROM events""")
 def src_report(spark, sf):
     """The evaluation report, written as JSON and read back."""

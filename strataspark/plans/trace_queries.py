@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, pixels, traces
-from .pixel_queries import _COL, _ROW, _blur3
+from .pixel_queries import _COL, _ROW, _RUNS, _VERTICAL, LARGEST, _blur3
 from .registry import nudged, query, r6, whole
 from .standins import RASTER, raster
 
@@ -228,7 +228,15 @@ def trc_dot_print_crest(spark, sf):
     return _trace(traces.dot_print_tracer(_mask(spark, sf), crest=True))
 
 
-@query("trc_ridge")
+#: SQL of the ridge tracer: the mask without rails, its largest component, the middles of that one's bars, and the seam along them.
+_RIDGE = f"""{RASTER.replace('pix AS (', 'pix1 AS (')}, mask AS (SELECT image_id, y, x, least(255, value * 2) AS value FROM pix1), pix AS (SELECT image_id, y, x, value < 40 AS "on" FROM mask), {_RUNS}, {_VERTICAL.replace('least(15, h // 3)', 'greatest(12, h // 24)')},
+rail AS (SELECT image_id, y, x FROM runs WHERE length >= CASE WHEN run = 0 THEN 12 - 6 WHEN run + length = 64 THEN 7 ELSE 12 END UNION SELECT image_id, y, x FROM upright WHERE length >= CASE WHEN run = 0 THEN k - k // 2 WHEN run + length = h THEN k // 2 + 1 ELSE k END),
+lit AS (SELECT image_id, y, x FROM mask WHERE value > 25 AND (image_id, y, x) NOT IN (SELECT (image_id, y, x) FROM rail)), {LARGEST},
+mid AS (SELECT bar.image_id, y, a + (b - a) // 2 AS x FROM bar JOIN spread USING (id) JOIN largest USING (label)),
+ridge AS (SELECT image_id, y, x, CASE WHEN m.x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p FROM mask LEFT JOIN mid m USING (image_id, y, x)), {_SEAM.replace('FROM pix ', 'FROM ridge ')}"""
+
+
+@query("trc_ridge", f"""WITH RECURSIVE {_RIDGE} SELECT u.image_id, u.y AS row_idx, CASE WHEN l.label IS NOT NULL THEN (u.x - 1)::DOUBLE END AS x, CASE WHEN l.label IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS conf FROM up u LEFT JOIN largest l ON l.image_id = u.image_id""")
 def trc_ridge(spark, sf):
     return _trace(traces.ridge_tracer(_mask(spark, sf)))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,28 @@ def _documents(t: DataFrame, schema: str) -> DataFrame:
 
 def corrections(spark: SparkSession, root: str) -> DataFrame:
     r = spark.read.schema(CORRECTION).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "corrections.jsonl").json(root)
-    return r.select("*", F.to_date(F.regexp_extract("_metadata.file_path", r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1)).alias("day"))
+    return r.select("*", F.to_date(F.regexp_extract("_metadata.file_path", r"(\d{4}-\d{2}-\d{2})/(?:[^/]+/)?[^/]+$", 1)).alias("day"))
+
+
+def write_logs(lines: DataFrame, root: str, name: str) -> None:
+    """Lines (day, value) as logs of one name, root/day/nnnnn/name: tasks write a day's lines side by side, then every file is renamed, so that readers which look for the name find whole files only.
+
+    What exists stays: a number that is taken is passed over. No line passes the driver, only the names of files.
+    """
+    store, top = fs.FileSystem.from_uri(root)
+    stage = f"_{uuid.uuid4().hex}"
+    lines.select("day", "value").write.partitionBy("day").text(f"{root}/{stage}")
+    held = {f.path for f in store.get_file_info(fs.FileSelector(top, recursive=True))}
+    number = {}
+    for path in sorted(p for p in held if f"/{stage}/" in p and re.search(r"/day=[^/]+/part-[^/]+$", p)):
+        day = re.search(r"/day=([^/]+)/", path)[1]
+        n = number.get(day, 0)
+        while f"{top}/{day}/{n:05d}" in held:
+            n += 1
+        number[day] = n + 1
+        store.create_dir(f"{top}/{day}/{n:05d}", recursive=True)
+        store.move(path, f"{top}/{day}/{n:05d}/{name}")
+    store.delete_dir(f"{top}/{stage}")
 
 
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:

@@ -440,6 +440,17 @@ def test_captures_prefer_their_logs(spark, tmp_path):
     assert [r.k for r in records.captures(spark, str(tmp_path), "k int").collect()] == [5]
 
 
+def test_logs_are_written_beside_what_exists(spark, tmp_path):
+    rows = spark.createDataFrame([("2025-12-14", '{"k": 1}'), ("2025-12-15", '{"k": 2}'), ("2025-12-15", "bad")], "day string, value string").coalesce(1)
+    for _ in range(2):
+        records.write_logs(rows, str(tmp_path), "captures.jsonl")
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.jsonl")) == [f"2025-12-{d}/0000{n}/captures.jsonl" for d in (14, 15) for n in (0, 1)]
+    assert not list(tmp_path.glob("_*"))
+    assert sorted(r.k for r in records.captures(spark, str(tmp_path), "k int").collect()) == [1, 1, 2, 2]
+    records.write_logs(rows.limit(0), str(tmp_path / "none"), "captures.jsonl")
+    assert not list((tmp_path / "none").rglob("*.jsonl"))
+
+
 def test_json_documents(spark, tmp_path):
     for name, text in {"a.json": '[{"k": 1}, {"k": 2}]', "b.json": '{"data": [{"k": 3}]}', "c.json": '{"k": 4}', "d.json": '{"k": 5}\n{"k": 6}'}.items():
         (tmp_path / name).write_text(text)
