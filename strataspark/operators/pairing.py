@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import NULL_MARKER
+from ..functions.columns import NULL_MARKER, gray, mode_mask
+from . import pixels as P
+from . import traces as T
 
 # What a file name hints at, and the schema name of an example.
 HINTS = (("dgc", ("BD", "CAL", "GR")), ("ngc", ("CAL", "DPHI", "GR")), ("ilz", ("RILD",)))
@@ -13,6 +15,8 @@ LONE = (("i", ("RILD",)), ("t", ("TEMP",)))
 EXAMPLE_SCHEMA = "log_pair_bootstrap_v1"
 #: The least rows and columns of an example, and the widest scan that isn't taken as several logs side by side.
 LEAST_ROWS, LEAST_COLUMNS, WIDEST = 128, 32, 2600
+#: Rows and most columns of a panel where it is scored.
+SCORE_ROWS, SCORE_COLUMNS = 1800, 900
 
 
 def hinted_curves(name: Column) -> Column:
@@ -131,6 +135,77 @@ def window_examples(rows: DataFrame, measured: DataFrame, curve: str, saved_at:
         F.col("window_score").alias("window_match_score"), F.col("valid").alias("trace_valid_fraction"), "depth_start", "depth_end", saved_at.alias("saved_at_utc"))
 
 
+def black_traces(pixels: DataFrame, curve: str) -> DataFrame:
+    """image_id, row_idx, x of the path through the dark ink of each image (image_id, y, x, b, g, r)."""
+    prob = pixels.select("image_id", "y", "x", mode_mask(F.lit("black"), F.col("b"), F.col("g"), F.col("r")).cast("double").alias("p"))
+    images = prob.select("image_id").distinct()
+    setting = T.settings(images, curve_type=curve, scale_min=0.0, scale_max=150.0, hot_side="right", step=30, smooth=0.001, bend=0.001)
+    return P.cut(T.dp_tracer(P.cut(prob), setting).select("image_id", "row_idx", "x"))
+
+
+def _at(row: Column, rows: Column) -> Column:
+    """The depth of a row, evenly from depth_first to depth_last."""
+    return F.col("depth_first") + row / F.greatest(F.lit(1), rows - 1) * (F.col("depth_last") - F.col("depth_first"))
+
+
+def panel_scores(pixels: DataFrame, regions: DataFrame, measured: DataFrame, curve: str, score_rows: int = SCORE_ROWS) -> DataFrame:
+    """key, valid, score of panels: regions (key, image_id, pair_id, left_px, right_px, top_px, bottom_px, depth_first, depth_last).
+
+    A panel is brought to score_rows rows and at most 900 columns, by area where it shrinks both ways, else linearly, traced
+    there, and its trace compared with the pair's measured curve (pair_id, at, value) read at the same depths.
+    """
+    from .curves import resampled
+
+    w, h = F.col("right_px") - F.col("left_px"), F.col("bottom_px") - F.col("top_px")
+    sized = P.cut(regions.select("*", w.alias("w"), h.alias("h"), F.least(w, F.lit(SCORE_COLUMNS)).alias("out_w")))
+    roi = P.crop(pixels, sized.select("image_id", "key", "left_px", "right_px", "top_px", "bottom_px", "w", "h", "out_w")).withColumn("image_id", F.col("key"))
+    args = F.col("w"), F.col("h"), F.col("out_w"), F.lit(score_rows)
+    small = P.area_resampled(roi.where(F.col("h") >= score_rows), *args, ("b", "g", "r")).union(P.bilinear_resampled(roi.where(F.col("h") < score_rows), *args, ("b", "g", "r")))
+    trace = black_traces(small.select("image_id", "y", "x", *(F.round(c).alias(c) for c in "bgr")), curve)
+    rows = trace.withColumnRenamed("image_id", "key").join(sized, "key").select("key", "x", F.col("out_w").alias("width"), _at(F.col("row_idx"), F.lit(score_rows)).alias("at"))
+    read = resampled(sized.select("key", "pair_id").join(measured, "pair_id").select("key", "at", "value"), rows.select("key", "at"), ("key",))
+    return match_scores(P.cut(rows.join(read, ["key", "at"])), ("key",))
+
+
+def scan_examples(
+    pixels: DataFrame, scans: DataFrame, measured: DataFrame, curve: str, saved_at: Column, height: int = 1400, stride: int = 1000, most: int = 18, score_rows: int = SCORE_ROWS,
+    valid: float = 0.70, least_panel: float = 0.10, least_window: float = 0.08, full_scans: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """From scans' pixels and their pairs' measured curves to example records and to every scan's reason for having none (null where it has a panel).
+
+    pixels: image_id, y, x, b, g, r, dense; scans: image_id, source, pair_id, scan (file name), las_name, mnemonic; measured:
+    pair_id, at, value. Each scan's content is cut into panels by what its name tells, the panel is taken whose trace
+    matches the measured curve best, and its windows are traced by themselves. Content is taken to run evenly from the
+    least to the greatest measured depth. Images without a scan row are ignored; scans without pixels are unreadable.
+    """
+    name = F.regexp_replace("scan", r"\.[^.]*$", "")
+    bounds = P.content_bounds(pixels.select("image_id", "y", "x", gray(F.col("b"), F.col("g"), F.col("r")).alias("value")))
+    bounds = bounds.join(P.sizes_of(pixels).select("image_id", "width"), "image_id")
+    ends = measured.groupBy("pair_id").agg(F.min("at").alias("depth_first"), F.max("at").alias("depth_last"))
+    s = scans.join(bounds, "image_id", "left").join(ends, "pair_id", "left").withColumn("rows", F.col("bottom_px") - F.col("top_px")).withColumn("panels", panel_count(name))
+    reason = lambda matched: scan_reason(hinted(name, F.lit(curve)), F.col("width"), F.col("rows"), F.col("panels"), matched, height, full_scans)
+    s = P.cut(s.withColumn("reason", reason(F.lit(True))))
+
+    some = s.where("reason is null")
+    cuts = panels(some.select(F.col("image_id").alias("scan"), "width", "panels")).where(F.col("right_px") - F.col("left_px") >= LEAST_COLUMNS)
+    p = some.join(cuts.withColumnRenamed("scan", "image_id"), "image_id").withColumn("key", F.format_string("%s|%d", "image_id", F.col("panel")))
+    p = P.cut(p.select("key", "image_id", "source", "pair_id", "scan", "las_name", "mnemonic", "panel", "left_px", "right_px", "top_px", "bottom_px", "rows", "depth_first", "depth_last"))
+    scores = panel_scores(pixels, p, measured, curve, score_rows).join(p.select("key", F.col("image_id").alias("scan"), "panel"), "key")
+    best = best_panel(scores, valid, least_panel).select("key", F.col("score").alias("panel_score"))
+    p = P.cut(p.join(best, "key"))
+
+    start = F.explode(window_starts(F.col("rows"), height, stride, most))
+    w = p.select("image_id", "pair_id", "scan", "left_px", "right_px", "top_px", "rows", start.alias("start_row"))
+    w = w.withColumn("bottom_px", F.col("top_px") + F.least("rows", F.col("start_row") + height)).withColumn("top_px", F.col("top_px") + F.col("start_row"))
+    w = P.cut(w.where(F.col("bottom_px") - F.col("top_px") >= LEAST_ROWS).withColumn("key", F.format_string("%s|%d", "image_id", F.col("start_row"))))
+    roi = P.crop(pixels, w.select("image_id", "key", "left_px", "right_px", "top_px", "bottom_px")).withColumn("image_id", F.col("key"))
+    found = black_traces(roi, curve).withColumnRenamed("image_id", "key").join(w.select("key", "pair_id", "scan", "start_row"), "key")
+    rows = window_rows(p.drop("key", "image_id", "top_px", "bottom_px"), found.withColumnRenamed("row_idx", "row"), height, stride, most)
+    done = window_examples(rows, measured, curve, saved_at, valid, least_window)
+    why = s.join(p.select("image_id", F.lit(True).alias("hit")), "image_id", "left").select("source", "pair_id", "scan", reason(F.coalesce("hit", F.lit(False))).alias("reason"))
+    return done, why
+
+
 def pair_reason(has_las: Column, has_scan: Column, mnemonic: Column, curve: Column, samples: Column) -> Column:
     """Why a pair is left out before any scan is read, else null."""
     missing = F.when(~has_las | ~has_scan, "missing_las_or_tif").when(mnemonic.isNull(), F.concat(F.lit("curve_not_found:"), curve))

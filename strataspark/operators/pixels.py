@@ -393,22 +393,23 @@ def _linear_cells(at: Column, size: Column, out: Column) -> Column:
     return F.filter(F.transform(F.sequence(first, F.greatest(first, last)), cell).cast(_CELLS), lambda e: e["w"] > 1e-9)
 
 
-def _resampled(pixels: DataFrame, cells, width, height, out_w, out_h, value: str) -> DataFrame:
+def _resampled(pixels: DataFrame, cells, width, height, out_w, out_h, value: str | tuple[str, ...]) -> DataFrame:
+    values = (value,) if isinstance(value, str) else value
     col = lambda c: c if isinstance(c, Column) else F.lit(c)
     width, height, out_w, out_h = map(col, (width, height, out_w, out_h))
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    held = pixels.select("image_id", F.col(value).alias("v"), F.explode(cells(x, width, out_w)).alias("cx"), cells(y, height, out_h).alias("cys"))
-    held = held.select("image_id", "v", "cx", F.explode("cys").alias("cy"))
+    held = pixels.select("image_id", *(F.col(v).alias(f"_{v}") for v in values), F.explode(cells(x, width, out_w)).alias("cx"), cells(y, height, out_h).alias("cys"))
+    held = held.select("image_id", *(f"_{v}" for v in values), "cx", F.explode("cys").alias("cy"))
     w = F.col("cx.w") * F.col("cy.w")
-    return held.groupBy("image_id", F.col("cy.c").alias("y"), F.col("cx.c").alias("x")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
+    return held.groupBy("image_id", F.col("cy.c").alias("y"), F.col("cx.c").alias("x")).agg(*((F.sum(w * F.col(f"_{v}")) / F.sum(w)).alias(v) for v in values))
 
 
-def area_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str = "value") -> DataFrame:
-    """Down-scaling by area: each source pixel gives its overlap to the cells it meets. Sizes are numbers or columns."""
+def area_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str | tuple[str, ...] = "value") -> DataFrame:
+    """Down-scaling by area: each source pixel gives its overlap to the cells it meets. Sizes are numbers or columns, values one column or several."""
     return _resampled(pixels, _area_cells, width, height, out_w, out_h, value)
 
 
-def bilinear_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str = "value") -> DataFrame:
+def bilinear_resampled(pixels: DataFrame, width, height, out_w, out_h, value: str | tuple[str, ...] = "value") -> DataFrame:
     """Each cell's value is read linearly between the four pixels round its middle."""
     return _resampled(pixels, _linear_cells, width, height, out_w, out_h, value)
 

@@ -94,20 +94,50 @@ def windows_of(spark, sf):
     return panel, traces_, measured
 
 
-_EXAMPLES = """l AS (SELECT 'p' || l_suppkey AS pair_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row, l_quantity AS q, l_partkey FROM lineitem),
-size AS (SELECT pair_id, count(*) AS rows FROM l GROUP BY 1), g AS (SELECT pair_id, rows, list_sort(list_distinct(list_append(range(0, greatest(0, rows - 256) + 1, 200), greatest(0, rows - 256)))) AS g FROM size),
+#: SQL of the examples from l (pair_id, row, q: the measured value, x: the trace's place), for panels of some columns and 256 rows a window.
+_EXAMPLES = """size AS (SELECT pair_id, count(*) AS rows FROM l GROUP BY 1), g AS (SELECT pair_id, rows, list_sort(list_distinct(list_append(range(0, greatest(0, rows - 256) + 1, 200), greatest(0, rows - 256)))) AS g FROM size),
 w AS (SELECT pair_id, rows, unnest(CASE WHEN len(g) <= 18 THEN g ELSE list_distinct([g[1 + CAST(floor(i * (len(g) - 1) / 17) AS BIGINT)] for i in range(18)]) END) AS s FROM g),
-k AS (SELECT w.pair_id, s, least(rows, s + 256) AS e, l.row - s AS i, q AS value, CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN 50 - q ELSE q END AS x FROM w JOIN l ON l.pair_id = w.pair_id AND l.row >= s AND l.row < least(rows, s + 256) WHERE least(rows, s + 256) - s >= 128),
+k AS (SELECT w.pair_id, s, least(rows, s + 256) AS e, l.row - s AS i, q AS value, x FROM w JOIN l ON l.pair_id = w.pair_id AND l.row >= s AND l.row < least(rows, s + 256) WHERE least(rows, s + 256) - s >= 128),
 c AS (SELECT pair_id, s, e, count(x) / count(*) AS valid, count(x) AS n, quantile_cont(x, 0.02) AS a, quantile_cont(x, 0.98) AS b, quantile_cont(value, 0.02) FILTER (x IS NOT NULL) AS c, quantile_cont(value, 0.98) FILTER (x IS NOT NULL) AS d, list(coalesce(x, -999.25::DOUBLE) ORDER BY i) AS trace FROM k GROUP BY 1, 2, 3),
 u AS (SELECT c.pair_id, c.s, least(1, greatest(0, (x - a) / greatest(1e-6, b - a))) AS u, least(1, greatest(0, (value - c) / greatest(1e-6, d - c))) AS v FROM k JOIN c ON c.pair_id = k.pair_id AND c.s = k.s WHERE x IS NOT NULL),
 r AS (SELECT pair_id, s, CASE WHEN stddev_pop(u) >= 1e-4 AND stddev_pop(v) >= 1e-4 THEN abs(corr(u, v)) END AS r FROM u GROUP BY 1, 2),
-score AS (SELECT c.*, CASE WHEN n >= 100 AND b - a >= 8 AND d - c >= 1e-6 THEN r * greatest(0.25, valid) * greatest(0.25, least(1, (b - a) / 59 / 0.25)) END AS score FROM c JOIN r ON r.pair_id = c.pair_id AND r.s = c.s)"""
+score AS (SELECT c.*, CASE WHEN n >= 100 AND b - a >= 8 AND d - c >= 1e-6 THEN r * greatest(0.25, valid) * greatest(0.25, least(1, (b - a) / WIDTH / 0.25)) END AS score FROM c JOIN r ON r.pair_id = c.pair_id AND r.s = c.s)"""
 
 
-@query("pair_examples", f"""WITH {_EXAMPLES} SELECT 'log_pair_bootstrap_v1' AS schema, 'wvgs' AS source, pair_id, pair_id || '_dgc.tif' AS scan_name, 'a.las' AS las_name, 'GR' AS curve_name, 'GR' AS curve_mnemonic, 'black' AS mode, printf('%s_%s_dgc_panel1_r%05d.png', pair_id, pair_id, s) AS roi_image_path, trace,
+_LINES = """l AS (SELECT *, CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN 50 - q ELSE q END AS x FROM (
+  SELECT 'p' || l_suppkey AS pair_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row, l_quantity AS q, l_partkey FROM lineitem))"""
+
+
+@query("pair_examples", f"""WITH {_LINES}, {_EXAMPLES.replace('WIDTH', '59')} SELECT 'log_pair_bootstrap_v1' AS schema, 'wvgs' AS source, pair_id, pair_id || '_dgc.tif' AS scan_name, 'a.las' AS las_name, 'GR' AS curve_name, 'GR' AS curve_mnemonic, 'black' AS mode, printf('%s_%s_dgc_panel1_r%05d.png', pair_id, pair_id, s) AS roi_image_path, trace,
   -999.25::DOUBLE AS null_value, 1::INTEGER AS panel_index, 100::INTEGER AS panel_left_px, 160::INTEGER AS panel_right_px, 0.5::DOUBLE AS panel_match_score, round(score, 6) AS window_match_score, round(valid, 6) AS trace_valid_fraction, (100 + s * 0.5)::DOUBLE AS depth_start, (100 + (e - 1) * 0.5)::DOUBLE AS depth_end, TIMESTAMP '2024-02-01 00:00:00' AS saved_at_utc
   FROM score WHERE valid >= 0.7 AND score >= 0.08""")
 def pair_examples(spark, sf):
     panel, traces_, measured = windows_of(spark, sf)
     e = pairing.window_examples(pairing.window_rows(panel, traces_, 256, 200), measured, "gr", F.to_timestamp(F.lit("2024-02-01 00:00:00")))
     return r6(e, "panel_match_score", "window_match_score", "trace_valid_fraction", "depth_start", "depth_end")
+
+
+#: Scans of 500 rows, a row a vector, with a thin stroke that follows the mean label of nine rows, and what was measured there.
+_STROKE = """l AS (SELECT 'p' || i // 500 AS pair_id, i % 500 AS row, x, 2.0::DOUBLE * x + label AS q FROM (SELECT i, label, 8 + floor(s * 5 / n)::DOUBLE AS x FROM (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, label, sum(label) OVER w AS s, count(*) OVER w AS n FROM embeddings WINDOW w AS (ORDER BY vec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))))"""
+
+
+def strokes(spark, sf):
+    """Pixels, scans and measured curves of pairs of one stroke: each has a plain scan, one whose name tells of another curve, and one without pixels."""
+    near = Window.partitionBy(F.lit(0)).orderBy("vec_id")
+    around = near.rowsBetween(-4, 4)
+    e = t(spark, sf, "embeddings").select("label", (F.row_number().over(near) - 1).alias("i"), F.sum("label").over(around).alias("s"), F.count(F.lit(1)).over(around).alias("n"))
+    e = e.select(F.concat(F.lit("p"), F.floor(F.col("i") / 500)).alias("pair_id"), (F.col("i") % 500).alias("y"), "label", (8 + F.floor(F.col("s") * 5 / F.col("n"))).alias("c"))
+    image = lambda *ends: F.explode(F.array(*(F.struct(F.concat("pair_id", F.lit(f"/{n}")).alias("image_id"), F.concat("pair_id", F.lit(f"{n}.tif")).alias("scan")) for n in ends))).alias("of")
+    ink = F.when(F.col("x") == F.col("c"), 30).otherwise(255)
+    pixels_ = e.select(image("", "_t"), "y", "c", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).select("of.image_id", "y", "x", *(ink.alias(c) for c in "bgr"))
+    scans = e.select("pair_id").distinct().select("pair_id", image("", "_t", "_x")).select("of.image_id", F.lit("wvgs").alias("source"), "pair_id", "of.scan", F.lit("a.las").alias("las_name"), F.lit("GR").alias("mnemonic"))
+    return pixels_, scans, e.select("pair_id", (100 + F.col("y") * 0.5).alias("at"), (2.0 * F.col("c") + F.col("label")).alias("value"))
+
+
+@query("pair_scan_examples", f"""WITH {_STROKE}, {_EXAMPLES.replace('WIDTH', '63')} SELECT pair_id, pair_id || '.tif' AS scan_name, printf('%s_%s_panel0_r%05d.png', pair_id, pair_id, s) AS roi_image_path, trace, round(score, 6) AS window_match_score, round(valid, 6) AS trace_valid_fraction, (100 + s * 0.5)::DOUBLE AS depth_start, (100 + (e - 1) * 0.5)::DOUBLE AS depth_end
+  FROM score JOIN size USING (pair_id) WHERE valid >= 0.7 AND score >= 0.08 AND size.rows >= 256""")
+def pair_scan_examples(spark, sf):
+    """Examples from pixels: content, panel, windows, traces and match."""
+    e, _ = pairing.scan_examples(*strokes(spark, sf), "gr", F.to_timestamp(F.lit("2024-02-01 00:00:00")), 256, 200, score_rows=500)
+    return r6(e.select("pair_id", "scan_name", "roi_image_path", "trace", "window_match_score", "trace_valid_fraction", "depth_start", "depth_end"), "window_match_score", "trace_valid_fraction", "depth_start", "depth_end")

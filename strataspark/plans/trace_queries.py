@@ -181,7 +181,25 @@ def trc_seam(spark, sf):
     return _trace(traces.seam(_prob(spark, sf)))
 
 
-@query("trc_followed")
+#: SQL of following: each row's peaks (else its first maximum) with the weighted middle of the run round them; from the row of most ink down (d = 1) and up, the best for what its distance from the place before costs.
+_FOLLOWED = """f0 AS (SELECT *, CASE WHEN lag(p) OVER r IS DISTINCT FROM p THEN 1 ELSE 0 END AS st FROM pix WINDOW r AS (PARTITION BY image_id, y ORDER BY x)),
+f1 AS (SELECT *, sum(st) OVER (PARTITION BY image_id, y ORDER BY x) AS level FROM f0),
+f2 AS (SELECT image_id, y, min(x) AS a, max(x) AS b, any_value(p) AS p FROM f1 GROUP BY image_id, y, level),
+f3 AS (SELECT *, lag(p) OVER r AS before, lead(p) OVER r AS after FROM f2 WINDOW r AS (PARTITION BY image_id, y ORDER BY a)),
+top AS (SELECT image_id, y, sum(value) AS ink, max(p) AS top, arg_min(x, (-p, x)) AS px FROM pix GROUP BY 1, 2),
+peak AS (SELECT image_id, y, (a + b) // 2 AS px, p AS s FROM f3 WHERE p > before AND p > after AND p >= 0.012),
+spot AS (SELECT * FROM peak UNION ALL SELECT image_id, y, px, top FROM top WHERE top >= 0.012 AND (image_id, y) NOT IN (SELECT (image_id, y) FROM peak)),
+edge AS (SELECT c.image_id, c.y, px, s, coalesce(max(q.x) FILTER (q.x < px AND q.p < greatest(0.4 * s, 0.003)), -1) AS lo, coalesce(min(q.x) FILTER (q.x > px AND q.p < greatest(0.4 * s, 0.003)), 64) AS hi FROM spot c JOIN pix q ON q.image_id = c.image_id AND q.y = c.y GROUP BY 1, 2, 3, 4),
+mid AS (SELECT e.image_id, e.y, px, s, sum(q.x * q.p) / sum(q.p) AS c FROM edge e JOIN pix q ON q.image_id = e.image_id AND q.y = e.y AND q.x > lo AND q.x < hi GROUP BY 1, 2, 3, 4),
+rows1 AS MATERIALIZED (SELECT t.image_id, t.y, list({'px': m.px, 's': s, 'c': c} ORDER BY m.px) FILTER (c IS NOT NULL) AS spots FROM top t LEFT JOIN mid m ON m.image_id = t.image_id AND m.y = t.y GROUP BY 1, 2),
+first AS (SELECT image_id, arg_min(y, (-ink, y)) AS y FROM top GROUP BY 1),
+walk AS (SELECT t.image_id, d, t.y, t.px::DOUBLE AS x, t.top AS conf, t.px::DOUBLE AS here FROM top t JOIN first USING (image_id, y), (VALUES (-1), (1)) v(d) UNION ALL
+  SELECT image_id, d, y, best.c, coalesce(best.s, 0), coalesce(best.c, here) FROM (SELECT w.image_id, w.d, r.y, w.here, list_sort(list_transform(r.spots, lambda e: {'k': -(e.s - 0.020::DOUBLE * (abs(e.px - w.here) / 80) * (1 - e.s)), 'px': e.px, 'c': e.c, 's': e.s}))[1] AS best
+    FROM walk w JOIN rows1 r ON r.image_id = w.image_id AND r.y = w.y + w.d)),
+followed AS (SELECT DISTINCT image_id, y AS row_idx, x, conf FROM walk)"""
+
+
+@query("trc_followed", f"WITH RECURSIVE {RASTER}, {_FOLLOWED} SELECT image_id, row_idx, round(x, 6) AS x, round(conf, 6) AS conf FROM followed")
 def trc_followed(spark, sf):
     return _trace(traces.followed(_prob(spark, sf)))
 

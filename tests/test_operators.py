@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.functions import columns as C
-from strataspark.operators import accounts, curves, pixels, traces
+from strataspark.operators import accounts, curves, pairing, pixels, traces
 from strataspark.plans.queries import QUERIES
 from strataspark.sources import las, records
 from strataspark.streaming import feeds
@@ -432,6 +432,21 @@ def test_export_summary_and_examples(spark, tmp_path):
     assert all(json.loads(x)["schema"] == "log_pair_bootstrap_v1" for f in (tmp_path / "examples").glob("part-*.json") for x in f.read_text().splitlines())
 
 
+def test_scan_examples_tell_why_scans_have_none(spark):
+    from strataspark.plans.pairing_queries import strokes
+
+    pixels_, scans, measured = strokes(spark, "/root/testdata/sf0.001")
+    pixels_ = pixels_.where("y < 300")
+    e, why = pairing.scan_examples(pixels_, scans, measured.where("at < 250"), "gr", F.to_timestamp(F.lit("2024-02-01 00:00:00")), 256, 200, score_rows=300)
+    assert {r.scan: r.reason for r in why.collect()} == {"p0.tif": None, "p0_t.tif": "curve_hint_excludes_target", "p0_x.tif": "image_read_failed"}
+    got = e.orderBy("depth_start").collect()
+    assert [(r.panel_index, r.panel_left_px, r.panel_right_px, len(r.trace), r.depth_start) for r in got] == [(0, 0, 64, 256, 100.0), (0, 0, 64, 256, 122.0)]
+    assert got[0].panel_match_score > 0.5
+    places = {r.y: r.x for r in pixels_.where("image_id = 'p0/' and b = 30").collect()}
+    assert got[1].trace == [places[y] for y in range(44, 300)]
+    assert pairing.scan_examples(pixels_.limit(0), scans, measured, "gr", F.current_timestamp(), 256, 200)[0].isEmpty()
+
+
 def test_captures_prefer_their_logs(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.json").write_text('[{"k": 1}, {"k": 2}]')
