@@ -90,6 +90,11 @@ def pair_files(paths: DataFrame, sources: list[str] | None = None, max_pairs: in
     return pairs.join(las, ["source", "pair_id"], "left").join(scan.select("source", "pair_id", F.col("name").alias("scan")), ["source", "pair_id"], "left")
 
 
+def pair_folders(spark: SparkSession, root: str, sources: list[str] | None = None, max_pairs: int | None = None, max_scans: int | None = None) -> DataFrame:
+    """pair_files() of all files below the root; only their names are read."""
+    return pair_files(_files(spark, root, "*"), sources, max_pairs, max_scans)
+
+
 def pixels(spark: SparkSession, path: str) -> DataFrame:
     """image_id, y, x, b, g, r of every image; grey is repeated, alpha left out."""
     import numpy as np

@@ -447,6 +447,17 @@ def test_scan_examples_tell_why_scans_have_none(spark):
     assert pairing.scan_examples(pixels_.limit(0), scans, measured, "gr", F.current_timestamp(), 256, 200)[0].isEmpty()
 
 
+def test_pair_folders(spark, tmp_path):
+    for name in ("Wvgs/pairs/p1/b.las", "Wvgs/pairs/p1/a.LAS", "Wvgs/pairs/p1/y.tif", "Wvgs/pairs/p1/x.TIFF", "Wvgs/pairs/p1/z.png", "Wvgs/pairs/p2/k.tif", "kgs/pairs/p3/c.las", "kgs/other/p4/c.las"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    rows = lambda **how: sorted((tuple(r) for r in records.pair_folders(spark, str(tmp_path), **how).collect()), key=repr)
+    first, second, third = [("wvgs", "p1", "a.LAS", "x.TIFF"), ("wvgs", "p1", "a.LAS", "y.tif")], [("wvgs", "p2", None, "k.tif")], [("kgs", "p3", "c.las", None)]
+    assert rows() == third + first + second
+    assert rows(sources=["WVGS"], max_scans=1) == first[:1] + second
+    assert rows(max_pairs=2) == third + first
+
+
 def test_captures_prefer_their_logs(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.json").write_text('[{"k": 1}, {"k": 2}]')
