@@ -30,7 +30,8 @@ def _upper(*names: Column) -> Column:
 def zipped(configs: DataFrame, results: DataFrame) -> DataFrame:
     """Configs (ord, job struct) and results (ord, item struct) by position, as sources.lines.json_places() gives it; the shorter ends it; failures are left out.
 
-    An item that names a source holds its result inside; another is the result itself.
+    An item that names a source holds its result inside; another is the result itself. Where only the lengths of traces are
+    asked, results may hold those (lengths()) in the traces' stead, so that no trace is moved to its config.
     """
     kinds = dict(results.dtypes)["item"]
     r = results.withColumn("result", F.when(F.col("item.source").isNotNull() & F.col("item.result").isNotNull(), F.col("item.result"))
@@ -38,8 +39,15 @@ def zipped(configs: DataFrame, results: DataFrame) -> DataFrame:
     return configs.join(r.select("ord", "result"), "ord").where(F.coalesce("result.success", F.lit(False)))
 
 
+def lengths(item: Column) -> Column:
+    """A result item (source, result, success, curve_traces) with the lengths of its traces instead of the traces."""
+    of = lambda traces: F.transform_values(traces, lambda _, v: F.when(v.isNotNull(), F.size(v)))
+    result = F.when(item["result"].isNotNull(), F.struct(item["result"]["success"].alias("success"), of(item["result"]["curve_traces"]).alias("curve_traces")))
+    return F.struct(item["source"].alias("source"), result.alias("result"), item["success"].alias("success"), of(item["curve_traces"]).alias("curve_traces"))
+
+
 def curve_items(jobs: DataFrame, curve: str = "", modes: tuple[str, ...] = ()) -> DataFrame:
-    """ord, curve_name, mode, image, image_path, bounds, null_value and trace of each curve that has an image, a depth range, a column range and a trace under its own name (las_mnemonic, else name)."""
+    """ord, curve_name, mode, image, image_path, bounds, null_value and trace (its length, if jobs hold lengths) of each curve that has an image, a depth range, a column range and a trace under its own name (las_mnemonic, else name)."""
     j = jobs.where(F.coalesce(_given(F.col("job.image")), _given(F.col("job.image_path"))).isNotNull())
     depth = F.col("job.config.depth")
     j = j.select("ord", F.col("job.image").alias("image"), F.col("job.image_path").alias("image_path"), F.coalesce(depth["top_px"], F.lit(0)).alias("top_px"), F.coalesce(depth["bottom_px"], F.lit(0)).alias("bottom_px"),

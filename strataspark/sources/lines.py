@@ -6,7 +6,9 @@ ranges before it, a running sum over a small table of a row a range, and its pla
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +34,11 @@ def numbered(spark: SparkSession, path: str, **options) -> DataFrame:
     return ordinals(ranged(spark, path, **options), ("file",), ("at",), "line_no").select("file", "bucket", "line_no", "line")
 
 
-def json_places(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """ord, record: the records of JSON lines and their place among those that parse, files by name; other lines are left out and count for nothing."""
+def json_places(spark: SparkSession, path: str, schema: str, of: Callable[[Column], Column] = lambda r: r) -> DataFrame:
+    """ord, record: the records of JSON lines and their place among those that parse, files by name; other lines are left out and count for nothing.
+
+    of: what of a record is kept. A record is parsed where its line is read, so that only this much of it is moved.
+    """
     good = ranged(spark, path).where(F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull())
-    held = ordinals(good, (), ("at",), "ord", ("file", "bucket"))
-    return held.select("ord", F.from_json("line", schema).alias("record"))
+    held = good.select("file", "bucket", "at", of(F.from_json("line", schema)).alias("record"))
+    return ordinals(held, (), ("at",), "ord", ("file", "bucket")).select("ord", "record")

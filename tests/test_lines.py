@@ -1,10 +1,14 @@
 """Files read in byte ranges against the same files read whole."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from strataspark.operators import evaluation, training
+from strataspark.operators.graph import shared_dir
+from strataspark.plans.queries import QUERIES
 from strataspark.sources import las, lines
 
 
@@ -53,3 +57,29 @@ def test_las_in_ranges(spark, tmp_path, small_ranges):
     whole = spark.read.text(str(tmp_path), wholetext=True).select(F.lit("w").alias("file"), F.col("value").alias("text"))
     assert sorted((r.idx, r.mnemonic, r.value or 0) for r in las.samples(las.split_lines(whole)).collect()) == sorted((i, m, v or 0) for i, _, m, v in got)
     assert {(r.mnemonic, r.value) for r in las.header(text).collect() if r.section == "W"} == {("NULL", "-9"), ("WELL", "one")}
+
+
+def test_lengths_stand_for_traces(spark):
+    """Selection and windows are the same from traces and from their lengths."""
+    item = "struct<source:string,result:struct<success:boolean,curve_traces:map<string,array<double>>>,success:boolean,curve_traces:map<string,array<double>>>"
+    lines = [
+        (0, '{"source": "x", "result": {"success": true, "curve_traces": {"GR": [1, 2, 3, null, 5], "N": []}}}'),
+        (1, '{"success": true, "curve_traces": {"GR": [1, 2], "N": null}}'), (2, '{"success": false, "curve_traces": {"GR": [1]}}'), (3, '{"source": "x", "result": {"success": true, "curve_traces": null}}')]
+    results = spark.createDataFrame(lines, "ord long, line string").select("ord", F.from_json("line", item).alias("item"))
+    curve = "struct<name:string,las_mnemonic:string,type:string,mode:string,hot_side:string,left_px:int,right_px:int,left_value:double,right_value:double>"
+    kind = f"struct<image:string,image_path:string,header_metadata:map<string,string>,config:struct<depth:struct<top_px:int,bottom_px:int>,curves:array<{curve}>,global_options:struct<`null`:double>>>"
+    job = '{"image_path": "a/b", "config": {"depth": {"top_px": 1, "bottom_px": 8}, "curves": [{"name": "GR", "mode": "black", "right_px": 9}, {"name": "N", "mode": "black", "right_px": 9}]}}'
+    configs = spark.range(4).select(F.col("id").alias("ord"), F.from_json(F.lit(job), kind).alias("job"))
+    whole, short = training.zipped(configs, results), training.zipped(configs, results.select("ord", training.lengths(F.col("item")).alias("item")))
+    items = [{(r.ord, r.curve_name, r.n) for r in training.curve_items(j).withColumn("n", n).collect()} for j, n in ((whole, F.size("trace")), (short, F.col("trace")))]
+    assert items[0] == items[1] == {(0, "GR", 5), (0, "N", 0), (1, "GR", 2)}
+    windows = [{(r.ord, r.pos, r.row0, r.row1, r.n) for r in evaluation.holdout_samples(j, 100.0, 3).withColumn("n", n).collect()} for j, n in ((whole, F.size("trace")), (short, F.col("trace")))]
+    assert windows[0] == windows[1] == {(0, 0, 0, 3, 3), (0, 0, 3, 6, 2), (1, 0, 0, 3, 2)}
+
+
+def test_results_leave_little_on_disk(spark, sf):
+    """Results whose traces hold 16 kB a part as text are neither stored nor moved at that length."""
+    before = set(Path(shared_dir(spark).removeprefix("file://")).rglob("*.txt*"))
+    assert QUERIES["trn_items"](spark, sf).count()
+    files = [f for f in Path(shared_dir(spark).removeprefix("file://")).rglob("*.txt*") if f not in before]
+    assert files and sum(f.stat().st_size for f in files) < 2000 * spark.read.parquet(f"{sf}/part.parquet").count()
