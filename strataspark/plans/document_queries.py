@@ -37,7 +37,7 @@ def doc_curve_warnings(spark, sf):
     return f.select("well", "curve", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("doc_snap", """WITH c AS (SELECT o_custkey AS image_id, o_orderkey AS click, CAST(o_totalprice / 100 AS BIGINT) AS y FROM orders), l AS (SELECT o_custkey AS image_id, o_orderkey AS label, CAST(o_totalprice / 100 AS BIGINT) + o_orderkey % 40 AS y FROM orders),
+@query("doc_snap", """WITH c AS (SELECT o_custkey AS image_id, o_orderkey AS click, CAST(round(o_totalprice / 100, 0) AS BIGINT) AS y FROM orders), l AS (SELECT o_custkey AS image_id, o_orderkey AS label, CAST(round(o_totalprice / 100, 0) AS BIGINT) + o_orderkey % 40 AS y FROM orders),
 j AS (SELECT c.image_id, click, label, row_number() OVER (PARTITION BY c.image_id, click ORDER BY abs(c.y - l.y), l.y, label) AS n FROM c JOIN l ON c.image_id = l.image_id AND abs(c.y - l.y) <= 30) SELECT image_id, click, label FROM j WHERE n = 1""")
 def doc_snap(spark, sf):
     o = t(spark, sf, "orders")
