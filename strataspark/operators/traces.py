@@ -117,9 +117,9 @@ def to_probability(trace: DataFrame, width: int, sigma: float = 2.0, heights: Da
 
 
 def gated_fusion(direct: DataFrame, followed: DataFrame, gain: float = 1.1, near: float = 50.0) -> DataFrame:
-    """The followed trace, but the direct one where it is stronger by the gain and near."""
+    """The followed trace, but the direct one where it is stronger by the gain and near; distances count to the ninth digit, so that the order of sums doesn't decide."""
     j = followed.alias("f").join(direct.alias("d"), ["image_id", "row_idx"], "full")
-    better = (F.col("d.conf") > gain * F.col("f.conf")) & (F.abs(F.col("d.x") - F.col("f.x")) < near)
+    better = (F.col("d.conf") > gain * F.col("f.conf")) & (F.round(F.abs(F.col("d.x") - F.col("f.x")), 9) < near)
     take = F.col("d.x").isNotNull() & (F.col("f.x").isNull() | better)
     return j.select("image_id", "row_idx", *(F.when(take, F.col(f"d.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("x", "conf")))
 

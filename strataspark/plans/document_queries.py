@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves, documented, pixels, traces
 from .curve_queries import _V
-from .registry import query, r6, whole
+from .registry import nudged, query, r6, whole
 from .standins import RASTER, SAMPLES, raster, samples, t
 from .trace_queries import _PEAK, _SPAN
 
@@ -80,8 +80,8 @@ def doc_damped(spark, sf):
 
 
 @query("doc_fused", f"""WITH {RASTER}, {_SPAN}, {_PEAK}, j AS (SELECT image_id, row_idx, s.x AS fx, s.conf * CASE WHEN row_idx % 2 = 0 THEN 0.5 ELSE 1 END AS fc, k.x AS dx, k.conf AS dc FROM span s FULL JOIN peak k USING (image_id, row_idx)),
-c AS (SELECT *, dx IS NOT NULL AND (fx IS NULL OR (dc > 1.1 * fc AND abs(dx - fx) < 20)) AS take FROM j) SELECT image_id, row_idx, round(CASE WHEN take THEN dx ELSE fx END, 6) AS x, round(CASE WHEN take THEN dc ELSE fc END, 6) AS conf FROM c""")
+c AS (SELECT *, dx IS NOT NULL AND (fx IS NULL OR (dc > 1.1 * fc AND round(abs(dx - fx), 9) < 20)) AS take FROM j) SELECT image_id, row_idx, round(CASE WHEN take THEN dx ELSE fx END + 1e-9, 6) AS x, round(CASE WHEN take THEN dc ELSE fc END, 6) AS conf FROM c""")
 def doc_fused(spark, sf):
     p = raster(spark, sf)
     weak = traces.span_centroid(p).withColumn("conf", F.col("conf") * F.when(F.col("row_idx") % 2 == 0, 0.5).otherwise(1.0))
-    return whole(r6(traces.gated_fusion(traces.max_centroid(p), weak, near=20.0), "x", "conf"), "row_idx")
+    return whole(r6(nudged(traces.gated_fusion(traces.max_centroid(p), weak, near=20.0), "x"), "x", "conf"), "row_idx")

@@ -21,3 +21,17 @@ def test_snapping_of_prices_on_ties(spark, tmp_path):
     got, want = both(spark, tmp_path, "doc_snap", "orders")
     assert got and got == want
 
+
+def test_fused_places_on_ties(spark, tmp_path):
+    rows = []
+    for i in range(3000):
+        # A run whose sum is 128, 640 or 1280 has its middle on a tie of the seventh digit, whatever the order of its sum.
+        total, wide = ((128, 2), (640, 5), (1280, 11))[i % 3]
+        row = [0] * 64
+        for k in range(wide - 1):
+            row[3 + i % 50 + k] = total // wide + (i * 7 + k * 5) % 9 - 4
+        row[3 + i % 50 + wide - 1] = total - sum(row)
+        rows.append([(v + 0.5) / 600 for v in row])
+    pq.write_table(pa.table({"vec_id": list(range(3000)), "label": pa.array([i % 10 for i in range(3000)], pa.int32()), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got, want = both(spark, tmp_path, "doc_fused", "embeddings")
+    assert len(got) == 3000 and got == want
