@@ -16,14 +16,22 @@ CORRECTION = """event_id STRING, ts_utc TIMESTAMP, type STRING, curve_id STRING,
   before STRUCT<x: DOUBLE, y: DOUBLE>, after STRUCT<x: DOUBLE, y: DOUBLE>, refine STRING, fallback STRUCT<reason: STRING>, notes STRING, image_path STRING"""
 
 
+#: What stands round the documents of a JSON text sequence (RFC 7464), and in no JSON document.
+SEPARATOR = "\x1e"
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines; lines that don't parse are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of whole JSON documents: an array, or the first of items, data and results that is one, else the document itself; else its lines."""
-    return _documents(spark.read.text(path, wholetext=True), schema)
+def json_documents(spark: SparkSession, path: str, schema: str, separator: str | None = None) -> DataFrame:
+    """Records of whole JSON documents: an array, or the first of items, data and results that is one, else the document itself; else its lines.
+
+    A file is a document, or with a separator as many as that separates (SEPARATOR in JSON text sequences): files of many
+    small documents are read in byte ranges, and their number doesn't grow with that of the documents.
+    """
+    return _documents(spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator), schema)
 
 
 def _documents(t: DataFrame, schema: str) -> DataFrame:

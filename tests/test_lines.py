@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataspark.operators import evaluation, training
 from strataspark.operators.graph import shared_dir
 from strataspark.plans.queries import QUERIES
-from strataspark.sources import las, lines
+from strataspark.sources import las, lines, records
 
 
 @pytest.fixture
@@ -83,3 +83,23 @@ def test_results_leave_little_on_disk(spark, sf):
     assert QUERIES["trn_items"](spark, sf).count()
     files = [f for f in Path(shared_dir(spark).removeprefix("file://")).rglob("*.txt*") if f not in before]
     assert files and sum(f.stat().st_size for f in files) < 2000 * spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_documents_of_a_sequence(spark, tmp_path, small_ranges):
+    """Documents of every form in one file, read in byte ranges; no record is lost and no number of files grows with them."""
+    held, n = [], 0
+    for i in range(60):
+        r = [json.dumps({"k": n + j, "s": "z" * (i % 9)}) for j in range(i % 5)]
+        n += len(r)
+        many = "[" + ", ".join(r) + "]"
+        held.append((many, f'{{"items": {many}}}', f'{{"data": {many}}}', f'{{"results": {many}}}', "\n".join(r))[i % 5])
+    (tmp_path / "f.json-seq").write_text("".join(records.SEPARATOR + d + "\n" for d in held))
+    got = records.json_documents(spark, str(tmp_path), "k int, s string", records.SEPARATOR)
+    assert sorted(r.k for r in got.collect() if r.k is not None) == list(range(n))
+
+
+def test_documents_make_few_files(spark, sf):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.rglob("part-*"))
+    rows = QUERIES["src_json_documents"](spark, sf).count()
+    assert rows == spark.read.parquet(f"{sf}/events.parquet").count() and len(set(folder.rglob("part-*")) - before) < rows / 70
