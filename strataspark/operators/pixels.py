@@ -30,6 +30,14 @@ def along_col() -> WindowSpec:
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
+def apart(table: DataFrame) -> DataFrame:
+    """A table of pixels or rows as a side of a join on these: both sides are dealt out by the keys.
+
+    Stored masks are files of so few bytes that Spark would take them for small tables and send them whole through the driver.
+    """
+    return table.hint("merge")
+
+
 def sizes_of(pixels: DataFrame) -> DataFrame:
     """image_id, width, height of a dense table."""
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))

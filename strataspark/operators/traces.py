@@ -134,9 +134,9 @@ def fused(trace: DataFrame, other: DataFrame, prob: DataFrame) -> DataFrame:
     spot = lambda c: F.bround(F.least(F.col("width") - 1.0, F.greatest(F.lit(0.0), F.col(c)))).cast("int")
     both = both.join(size, "image_id").withColumn("at", F.array(spot("x"), spot("ox"))).drop("width")
     asked = both.select("image_id", F.col("row_idx").alias("y"), F.posexplode("at").alias("side", "x")).where("x is not null")
-    found = prob.select("image_id", "y", "x", "p").join(asked, ["image_id", "y", "x"])
+    found = prob.select("image_id", "y", "x", "p").join(P.apart(asked), ["image_id", "y", "x"])
     found = found.groupBy("image_id", F.col("y").alias("row_idx")).agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pa"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("pb"))
-    held = both.join(found, ["image_id", "row_idx"], "left")
+    held = both.join(P.apart(found), ["image_id", "row_idx"], "left")
     return held.select("image_id", "row_idx", F.when(F.col("pb") > F.coalesce("pa", F.lit(-1.0)), F.col("ox")).otherwise(F.col("x")).alias("x"), "conf")
 
 
@@ -147,7 +147,7 @@ def live_scores(prob: DataFrame) -> DataFrame:
     """image_id, y, x, on (p over 0.10), p: the score that probability, centre of the stroke and ridge give, 1e-6 to 1."""
     d = prob.select("image_id", "y", "x", "p", (F.col("p") > 0.10).alias("on"))
     centre = P.centre_score(d).select("image_id", "y", "x", "d", F.col("p").alias("centre"), "mid")
-    held = d.join(centre, ["image_id", "y", "x"], "left").fillna(0.0, ["d", "centre"]).fillna(False, ["mid"])
+    held = d.join(P.apart(centre), ["image_id", "y", "x"], "left").fillna(0.0, ["d", "centre"]).fillna(False, ["mid"])
     held = P.ridge_score(held)
     some = d.groupBy("image_id").agg(F.bool_or("on").alias("some"))
     clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(LEAST_SCORE), c))
@@ -186,7 +186,8 @@ def trace_costs(prob: DataFrame, setting: DataFrame) -> DataFrame:
     """image_id, y, x, p (the live score), cost, step, smooth, bend: -log of the score, with rails, the side off the hot one, implausible values and grid rows made dear."""
     live = live_scores(prob)
     sizes = P.sizes_of(prob)
-    held = live.join(setting.join(sizes, "image_id"), "image_id")
+    # Stored, for a row an image: as a join Spark would take it for the larger side, and send all scores through the driver.
+    held = live.join(P.cut(setting.join(sizes, "image_id")), "image_id")
     held = held.join(rail_columns(live, sizes).withColumn("rail", F.lit(RAIL_COST)), ["image_id", "x"], "left")
     held = held.join(grid_rows(live, sizes).withColumn("grid", F.lit(True)), ["image_id", "y"], "left")
     ramp = F.col("x") / F.greatest(F.lit(1), F.col("width") - 1)
@@ -207,7 +208,7 @@ def _rated(path: DataFrame, rows: DataFrame, whole: bool) -> DataFrame:
     conf is p at the place; for a path that may end early (not whole) it is less the second highest p within the step,
     and rows under 0.01 have no place.
     """
-    held = path.join(rows.select("image_id", F.col("y").alias("row_idx"), "p", *(() if whole else ("step",))), ["image_id", "row_idx"])
+    held = path.join(P.apart(rows.select("image_id", F.col("y").alias("row_idx"), "p", *(() if whole else ("step",)))), ["image_id", "row_idx"])
     own = F.get("p", F.col("x"))
     if whole:
         return held.select("image_id", "row_idx", F.col("x").cast("double").alias("x"), own.alias("conf"))
@@ -237,15 +238,15 @@ def dp_tracer(prob: DataFrame, setting: DataFrame, block: int = paths.BLOCK) ->
     flip = F.col("height") - 1
     down = viterbi(some, block).select("image_id", "row_idx", F.col("x").alias("a"), F.col("conf").alias("ca"))
     up = viterbi(some.withColumn("y", flip - F.col("y")), block).join(sizes, "image_id").select("image_id", (flip - F.col("row_idx")).alias("row_idx"), F.col("x").alias("b"), F.col("conf").alias("cb"))
-    both = down.join(up, ["image_id", "row_idx"])
+    both = down.join(P.apart(up), ["image_id", "row_idx"])
     spots = both.select("image_id", F.col("row_idx").alias("y"), F.posexplode(F.array(*(F.coalesce(c, F.lit(0.0)).cast("int") for c in "ab"))).alias("side", "x"))
-    found = costs.select("image_id", "y", "x", "p").join(spots, ["image_id", "y", "x"]).groupBy("image_id", F.col("y").alias("row_idx"))
+    found = costs.select("image_id", "y", "x", "p").join(P.apart(spots), ["image_id", "y", "x"]).groupBy("image_id", F.col("y").alias("row_idx"))
     found = found.agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pa"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("pb"))
     a, b = F.col("a"), F.col("b")
     apart = F.when(F.col("pa") > F.col("pb"), a).otherwise(b)
     x = F.when(a.isNotNull() & b.isNotNull(), F.when(F.abs(a - b) > 5, apart).otherwise((a + b) / 2)).otherwise(F.coalesce(a, b))
     conf = F.when(a.isNotNull() & b.isNotNull(), (F.col("ca") + F.col("cb")) / 2).when(a.isNotNull(), F.col("ca")).when(b.isNotNull(), F.col("cb")).otherwise(0.0)
-    done = both.join(found, ["image_id", "row_idx"]).select("image_id", "row_idx", x.alias("x"), conf.alias("conf"))
+    done = both.join(P.apart(found), ["image_id", "row_idx"]).select("image_id", "row_idx", x.alias("x"), conf.alias("conf"))
     thin = costs.join(sizes.where("width < 2 or height < 2"), "image_id").select("image_id", F.col("y").alias("row_idx")).distinct()
     return done.union(thin.select("image_id", "row_idx", F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("conf")))
 
@@ -341,7 +342,7 @@ def ridge_tracer(mask: DataFrame) -> DataFrame:
     stroke = P.largest_component(left).withColumn("on", F.lit(True))
     kept = P.cut(P.centre_score(stroke).where("mid").select("image_id", "y", "x").withColumn("p", F.lit(1.0)))
     some = kept.select("image_id").distinct().withColumn("some", F.lit(True))
-    prob = mask.select("image_id", "y", "x").join(kept, ["image_id", "y", "x"], "left").fillna(0.0, ["p"])
+    prob = mask.select("image_id", "y", "x").join(P.apart(kept), ["image_id", "y", "x"], "left").fillna(0.0, ["p"])
     got = seam(prob).join(some, "image_id", "left")
     return got.select("image_id", "row_idx", F.when(F.col("some"), F.col("x")).alias("x"), F.coalesce(F.col("some").cast("double"), F.lit(0.0)).alias("conf"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.columns import mode_test
 from strataspark.operators import pixels as P
 from strataspark.operators import rasters as R
+from strataspark.operators import traces
 
 
 def table(spark, a, **more):
@@ -96,3 +97,12 @@ def test_components_across_blocks(spark):
     on = table(spark, a).select("image_id", "y", "x", (F.col("value") > 0).alias("on"))
     for block in (1, 7, 512):
         assert {(r.y, r.x): r.label for r in P.component_labels(on, block).collect()} == {(int(y), int(x)): v for (y, x), v in want.items()}
+
+
+def test_scores_stay_off_the_driver(spark):
+    """Stored masks of a thin stroke are files of few bytes; their pixels are no broadcast side of a join."""
+    pixels = spark.range(8 * 500 * 64).select((F.col("id") % 8).cast("string").alias("image_id"), (F.floor(F.col("id") / 8) % 500).cast("int").alias("y"), F.floor(F.col("id") / 4000).cast("int").alias("x"))
+    prob = P.cut(pixels.withColumn("p", F.when(F.col("x") == 9, 1.0).otherwise(0.0)))
+    costs = traces.trace_costs(prob, traces.settings(prob.select("image_id").distinct(), curve_type="GR"))
+    assert costs.count() == 8 * 500 * 64
+    assert "BuildLeft" not in costs._jdf.queryExecution().executedPlan().toString()
