@@ -74,12 +74,14 @@ def around(rows: DataFrame, keys: tuple[str, ...], order: Column, own: Column, n
     held = rows.withColumn("_o", order).withColumn("_v", own)
     part = Window.partitionBy(*keys, "bucket").orderBy("_o")
     near = held.withColumn(a, F.last("_v", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn(b, F.first("_v", ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing)))
+    # From the end, for a frame up to the end is read anew for every row.
+    back = Window.partitionBy(*keys, "bucket").orderBy(F.desc("_o"))
+    near = near.withColumn(b, F.last("_v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     has = F.when(F.col("_v").isNotNull(), F.col("_o"))
     ends = held.groupBy(*keys, "bucket").agg(F.min_by("_v", has).alias("_first"), F.max_by("_v", has).alias("_last"))
     up = Window.partitionBy(*keys).orderBy("bucket")
     ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("_after", F.first("_first", ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)))
+    ends = ends.withColumn("_after", F.last("_first", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)))
     same = F.expr(" and ".join(f"r.{k} <=> e.{k}" for k in (*keys, "bucket")))
     out = near.alias("r").join(ends.alias("e"), same)
     new = {a: F.coalesce(F.col(f"r.{a}"), F.col("e._before")), b: F.coalesce(F.col(f"r.{b}"), F.col("e._after"))}

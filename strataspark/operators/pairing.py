@@ -118,11 +118,9 @@ def window_examples(rows: DataFrame, measured: DataFrame, curve: str, saved_at:
     keys = ("pair_id", "scan", "panel", "start_row")
     n = F.col("end_row") - F.col("start_row")
     r = rows.withColumn("at", F.col("depth_start") + F.col("row") / F.greatest(F.lit(1), n - 1) * (F.col("depth_end") - F.col("depth_start")))
-    asked = r.select(*keys, "at")
-    # Every window of a pair reads the pair's curve; the samples go once to each pair's windows.
-    windows = r.select(*keys).distinct()
-    curves = resampled(windows.join(measured, "pair_id").select(*keys, "at", "value"), asked, keys)
-    j = r.join(curves, [*keys, "at"], "left").withColumn("width", F.col("right_px") - F.col("left_px"))
+    # A pair's curve is read once at the depths of all its windows' rows; what is read is stored, for scores and traces both need it.
+    curves = resampled(measured.select("pair_id", "at", "value"), r.select("pair_id", "at").distinct(), ("pair_id",))
+    j = P.cut(r.join(P.apart(curves), ["pair_id", "at"], "left").withColumn("width", F.col("right_px") - F.col("left_px")))
     s = match_scores(j, keys).where((F.col("valid") >= valid) & (F.col("score") >= least)).withColumnRenamed("score", "window_score")
     trace = F.transform(F.array_sort(F.collect_list(F.struct("row", "x"))), lambda p: F.coalesce(p["x"], F.lit(NULL_MARKER)))
     one = ("source", "las_name", "mnemonic", "left_px", "right_px", "panel_score", "depth_start", "depth_end")

@@ -77,3 +77,15 @@ def test_percentiles_of_large_groups(spark, kind):
     got = {r.k: r.p for r in percentiles(df, ("k",), "v", shares, most=40).collect()}
     assert got == {r.k: pytest.approx(r.p, rel=1e-12) if r.p else None for r in percentiles(df, ("k",), "v", shares).collect()}
     assert got["a"] == pytest.approx(np.quantile(groups["a"], shares).tolist())
+
+
+def test_following_values_are_read_from_the_end(spark):
+    """The next value of a row comes from a frame that grows by a row, not from one that is read anew for every row."""
+    from strataspark.operators.curves import around
+
+    rows = [("a", i // 40, i, float(i) if i % 7 == 3 else None) for i in range(100)] + [("b", 0, 0, None)]
+    got = around(spark.createDataFrame(rows, "well string, bucket int, idx int, v double"), ("well",), F.col("idx"), F.col("v"))
+    at = [i for i in range(100) if i % 7 == 3]
+    want = {("a", i, max((float(a) for a in at if a <= i), default=None), min((float(a) for a in at if a >= i), default=None)) for i in range(100)} | {("b", 0, None, None)}
+    assert {(r.well, r.idx, r._a, r._b) for r in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
