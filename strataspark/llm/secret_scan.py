@@ -1,7 +1,7 @@
 """Secret scans by grammar inference.
 
-Base spans come from three fixed patterns. The values that they match in all documents are the labelled credentials; a
-sample of them, bounded by the number of values, is pooled by format: which characters its runs hold, and its marks. A
+Base spans come from three fixed patterns. The values that they match in all documents are the labelled credentials; all
+of them are pooled by format: which characters its runs hold, and its marks. A
 value is written as one symbol a character, which is the character set of its run (a token of hexadecimal digits alone
 is one run), so that values of a format share a long chain of states instead of falling apart after a few characters.
 What a run has beyond RUN characters is written as the digits of its length, and a token of more than RUNS runs as one
@@ -11,7 +11,7 @@ isn't one, however few the values. That leaves a probabilistic automaton of the
 lengths. Starts that more values of a pool share than chance allows, of any length up to HEAD, are kept with their
 shares. Probabilities are smoothed by how few values a state has seen (Witten-Bell).
 
-Two more automata are inferred from bounded samples of the other tokens, those of SHORT characters or more and shorter
+Two more automata are inferred from all other tokens, those of SHORT characters or more and shorter
 ones. Those may be unlabelled credentials: a token that a format accepts and that the automaton of all other tokens
 explains worse is left out of the background; short plain words and numbers never are, for any language has them.
 Every token of every text that is at least as long as the shortest word that a format accepts (never under the 8
@@ -20,9 +20,12 @@ some format accepts it, start, characters, order and length, and the best format
 in bits a symbol, exceeds a threshold, a high quantile of the scores of held-out background tokens and a margin. Spans of
 the method never touch base ones, which all stay.
 
-The fit reads all documents once and keeps distinct values of smallest hash, about VALUES to twice that a kind and
-BACKGROUND to twice that of the other tokens of either length, whatever the table's size, each as its first HEAD characters
-and its word. The scan covers all rows and whole texts.
+The fit reads all documents once and counts every distinct value and token once: no sample is drawn. Spark keeps them a
+row each, by a 64-bit hash, as their first HEAD characters and their words, and counts them by word, by start and by how
+well a format explains them; the automata are inferred from these counts. What reaches the driver is a row a word, not a
+row a token. Words of the background that under one in FORMS tokens has are counted together, by length, as tokens of one
+run are written; where there are such, a token's background is the likelier of its own word and that one. The words of
+labelled values are all kept apart, for each may be of a format. The scan covers all rows and whole texts.
 
 Defined results: null text counts as empty, with no spans. Repeated rows are scanned alike. Without labelled values
 there are no formats and no spans of the method. An empty table gives no rows. A text of any length is one row's work.
@@ -34,20 +37,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mapped
+from .common import bounded, discard, joined, mapped, stored
 
-#: The fit's bounds: values a kind, and other tokens of either length.
-VALUES, BACKGROUND = 2_000, 4_000
-PARTS = 64
+#: A word of the background that fewer than one in so many tokens has is counted with others of its length.
+FORMS = 20_000
 #: Tokens from this length on and shorter ones have backgrounds of their own.
 SHORT = 16
 #: A run's symbols before its length is written, a token's runs, and the characters that a start may have.
@@ -138,6 +141,31 @@ def _plain(word: str) -> bool:
     return not re.search("[xXaAmMW]", word)
 
 
+def _own_start(head: str, shared: Iterable[int], n: int) -> str:
+    """The longest start of a value that counts, of the numbers of values that share its starts of one character on, and of all."""
+    own, bits, of_own = "", 0.0, n
+    for i, (c, k) in enumerate(zip(head, shared), 1):
+        if k == 1:
+            break
+        bits += math.log2(10 if c.isdigit() else 26) if c.isalnum() else 0.0
+        ways = (math.lgamma(of_own + 1) - math.lgamma(k + 1) - math.lgamma(of_own - k + 1)) / math.log(2)
+        if ways - bits * (k - 1) < RARE:
+            own, bits, of_own = head[:i], 0.0, k
+    return own
+
+
+def _named(head: str) -> str:
+    m = _START.match(head)
+    return m[0] if m else ""
+
+
+def _shares(of: dict[str, int], first_name: str, last_name: str) -> dict[str, float]:
+    """The log2 of shares from counts of starts; where no start counts, the name that all values have."""
+    n = sum(of.values())
+    of = {first_name: n} if list(of) == [""] and first_name == last_name else of
+    return {own: math.log2(k / n) for own, k in of.items()}
+
+
 def starts_of(heads: list[str]) -> dict[str, float]:
     """Starts of values and the log2 of their shares; "" stands for the values without one.
 
@@ -145,33 +173,17 @@ def starts_of(heads: list[str]) -> dict[str, float]:
     letters being as likely, with a probability under RARE (log2); each value has the longest that counts. Where none does,
     all values that begin with the same few letters and a mark have that start.
     """
-    n, shared = len(heads), {}
-    for head in heads:
-        for i in range(1, len(head) + 1):
-            shared[head[:i]] = shared.get(head[:i], 0) + 1
-    of: dict[str, int] = {}
-    for head in heads:
-        own, bits, of_own = "", 0.0, n
-        for i, c in enumerate(head, 1):
-            k = shared[head[:i]]
-            if k == 1:
-                break
-            bits += math.log2(10 if c.isdigit() else 26) if c.isalnum() else 0.0
-            ways = (math.lgamma(of_own + 1) - math.lgamma(k + 1) - math.lgamma(of_own - k + 1)) / math.log(2)
-            if ways - bits * (k - 1) < RARE:
-                own, bits, of_own = head[:i], 0.0, k
-        of[own] = of.get(own, 0) + 1
-    if list(of) == [""]:
-        named = [m[0] if m else "" for m in map(_START.match, heads)]
-        of = {named[0]: n} if len(set(named)) == 1 else of
-    return {own: math.log2(k / n) for own, k in of.items()}
+    shared = Counter(head[:i] for head in heads for i in range(1, len(head) + 1))
+    own = Counter(_own_start(head, (shared[head[:i]] for i in range(1, len(head) + 1)), len(heads)) for head in heads)
+    named = [_named(head) for head in heads]
+    return _shares(own, min(named), max(named))
 
 
 class Format:
-    """A pool's starts and automaton, from the values' first characters and words."""
+    """A pool's starts with the log2 of their shares, and its automaton, from the values' words."""
 
-    def __init__(self, heads: list[str], words: list[str]) -> None:
-        self.starts, self.automaton = starts_of(heads), infer(words)
+    def __init__(self, starts: dict[str, float], words: Iterable[str] | dict[str, int]) -> None:
+        self.starts, self.automaton = starts, infer(words)
         self.longest_first = sorted(self.starts, key=len, reverse=True)
 
     def start(self, token: str) -> str | None:
@@ -194,13 +206,13 @@ class Format:
         return n
 
 
-def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
-    """Merges a prefix tree's statistically compatible states, red-blue order."""
+def infer(words: Iterable[str] | dict[str, int], alpha: float = ALPHA) -> Automaton:
+    """Merges a prefix tree's statistically compatible states, red-blue order; words, or how often each occurs."""
     kids: list[dict[str, int]] = [{}]
     seen, ended = [0], [0]
-    for w in sorted(words):
+    for w, times in sorted(Counter(words).items()):
         at = 0
-        seen[0] += 1
+        seen[0] += times
         for s in w:
             if s not in kids[at]:
                 kids[at][s] = len(kids)
@@ -208,8 +220,8 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
                 seen.append(0)
                 ended.append(0)
             at = kids[at][s]
-            seen[at] += 1
-        ended[at] += 1
+            seen[at] += times
+        ended[at] += times
     passed: list[dict[str, int]] = [{s: seen[k] for s, k in node.items()} for node in kids]
     bound, every = math.sqrt(0.5 * math.log(2 / alpha)), seen[0]
 
@@ -309,44 +321,42 @@ def _finder(least: int = FLOOR):
     return find, assign
 
 
-def _labelled(docs: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    """Bounded: of all documents' distinct labelled values by kind, and of their background tokens (kind "", short ones "short"), those of smallest hash, as first characters and word."""
-    most = {"": BACKGROUND, "short": BACKGROUND, **dict.fromkeys(KINDS[:3], VALUES)}
+class Values:
+    """A kind's distinct values, a row each (kind, h, head, word), in the stored table of all."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, assign = _finder()
-        held: dict[str, dict[int, str]] = {kind: {} for kind in most}
-        worst = dict.fromkeys(most, 1 << 63)
+    def __init__(self, table: DataFrame, kind: str) -> None:
+        self.table, self.rows = table, table.where(F.col("kind") == kind)
 
-        def add(kind: str, value: str) -> None:
-            h = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
-            if h < worst[kind] and h not in held[kind]:
-                held[kind][h] = f"{value[:HEAD]} {symbols(value)}"
-                if len(held[kind]) > 4 * most[kind]:
-                    held[kind] = dict(sorted(held[kind].items())[: most[kind]])
-                    worst[kind] = max(held[kind])
+    def __len__(self) -> int:
+        return self.rows.count()
 
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """kind, h, head, word of all documents' distinct labelled values, by kind, and background tokens (kind "", short ones "short")."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, assign = _finder()
+        short = lru_cache(1 << 16)(symbols)
         for pdf in batches:
+            held: dict[str, set[str]] = {kind: set() for kind in (*KINDS[:3], "", "short")}
             for text in pdf["text"]:
                 base, free = find(text or "")
                 for a, k, b in base:
-                    add(KINDS[k], assign.match(text, a, b)[2] if k == 0 else text[a:b])
+                    held[KINDS[k]].add(assign.match(text, a, b)[2] if k == 0 else text[a:b])
                 for a, b in free:
                     token = text[a:b].strip(_EDGES)
                     if len(token) >= FLOOR:
-                        add("" if len(token) >= SHORT else "short", token)
-        yield pd.DataFrame([(kind, h, v) for kind in most for h, v in sorted(held[kind].items())[: most[kind]]], columns=["kind", "h", "value"])
-
-    rows = bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInPandas(run, "kind string, h long, value string").distinct()
-    # Hashes fall evenly in PARTS parts; of each, twice its share is kept, so what comes out is at most twice the bounds.
-    limit = F.when(F.col("kind").isin(*KINDS[:3]), 2 * VALUES // PARTS).otherwise(2 * BACKGROUND // PARTS)
-    part = Window.partitionBy("kind", F.expr(f"pmod(h, {PARTS})")).orderBy("h", "value")
-    rows = rows.withColumn("n", F.row_number().over(part)).where(F.col("n") <= limit).drop("n")
-    out = {kind: [] for kind in most}
-    for r in sorted(rows.collect(), key=lambda r: (r.h, r.value)):
-        head, _, word = r.value.partition(" ")
-        out[r.kind].append((head, word))
-    return out
+                        held["" if len(token) >= SHORT else "short"].add(token)
+            code = lambda v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True)
+            yield pd.DataFrame([(kind, code(v), v[:HEAD], short(v) if len(v) < SHORT else symbols(v)) for kind, some in held.items() for v in some], columns=["kind", "h", "head", "word"])
+
+    return bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInPandas(run, "kind string, h long, head string, word string").distinct()
+
+
+def _labelled(docs: DataFrame) -> dict[str, Values]:
+    """All documents' distinct labelled values by kind, and their background tokens."""
+    table = stored(_tokens(docs), "tokens")
+    return {kind: Values(table, kind) for kind in (*KINDS[:3], "", "short")}
 
 
 def sketch(value: str) -> tuple[str, str]:
@@ -359,45 +369,129 @@ def formats_of(values: list[tuple[str, str]]) -> list[Format]:
     pools: dict[str, list[tuple[str, str]]] = {}
     for head, word in sorted(values):
         pools.setdefault(pool(word), []).append((head, word))
-    return [Format(*map(list, zip(*own))) for own in pools.values()]
+    return [Format(starts_of([h for h, _ in own]), [w for _, w in own]) for own in pools.values()]
+
+
+def _formats(values: DataFrame) -> list[Format]:
+    """The same from a table of values: heads' starts are counted, and each value's start is found, where the rows are."""
+    alike = F.regexp_replace(F.regexp_replace("word", "[0-9]", ""), r"(.)\1+", "$1")
+    values = stored(values.select("head", "word").distinct().withColumn("pool", alike), "values")
+    words: dict[str, dict[str, int]] = {}
+    for r in values.groupBy("pool", "word").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a word
+        words.setdefault(r.pool, {})[r.word] = r.n
+    if not words:
+        return []
+    total = {p: sum(w.values()) for p, w in words.items()}
+    each = values.select("*", F.explode(F.sequence(F.lit(1), F.length("head"))).alias("i")).withColumn("start", F.substring("head", F.lit(1), F.col("i")))
+    shared = stored(each.groupBy("pool", "start").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "starts")
+    ks = joined(each, shared, ("pool", "start"), f"k * 1000 > {sum(total.values())}").groupBy("pool", "head", "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda s: s["k"]).alias("ks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [_own_start(h, () if ks is None else ks, total[p]) for p, h, ks in zip(pdf["pool"], pdf["head"], pdf["ks"])]
+            yield pd.DataFrame({"pool": pdf["pool"], "own": own, "named": [_named(h) for h in pdf["head"]]})
 
+    found = values.join(ks, ["pool", "head", "word"], "left").select("pool", "head", "ks").mapInPandas(run, "pool string, own string, named string")
+    starts: dict[str, list] = {}
+    for r in found.groupBy("pool", "own").agg(F.count(F.lit(1)).alias("n"), F.min("named").alias("a"), F.max("named").alias("b")).collect():  # a row a start
+        starts.setdefault(r.pool, []).append(r)
+    discard(values, shared)
+    of = {p: _shares({r.own: r.n for r in sorted(rows, key=lambda r: r.own)}, min(r.a for r in rows), max(r.b for r in rows)) for p, rows in starts.items()}
+    return [Format(of[p], words[p]) for p in sorted(words)]
 
-def _cleaned(tokens: list[tuple[str, str]], formats: list[Format], ordinary: list[str], words_stay: bool) -> list[tuple[str, str]]:
-    """The tokens without those that a format accepts and that the other tokens don't explain."""
-    alike = [not (words_stay and _plain(w)) and any(f.accepts(t, w) for f in formats) for t, w in tokens]
-    others = infer([w for (_, w), a in zip(tokens, alike) if not a] + ordinary)
-    return [t for t, a in zip(tokens, alike) if not a or score(formats, others, *t) <= LEAST_BITS]
+
+def _judged(tokens: DataFrame, formats: list[Format]) -> list:
+    """kind, word, best, half, n: all tokens of the background by word, by the bits of the likeliest accepting format (null without one) and by half; rare words by length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best = [max((f.bits(t, w) for f in formats if f.accepts(t, w)), default=None) for t, w in zip(pdf["head"], pdf["word"])]
+            yield pd.DataFrame({"kind": pdf["kind"], "word": pdf["word"], "best": pd.array(best, dtype="Float64"), "half": pdf["h"] & 1})
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(word=[_length_word(w) for w in pdf["word"]])
+
+    schema = "kind string, word string, best double, half long"
+    counts = stored(tokens.mapInPandas(run, schema).groupBy("kind", "word", "best", "half").agg(F.count(F.lit(1)).alias("n")), "forms")
+    common = counts.groupBy("kind", "word").agg(F.sum("n").alias("all"))
+    total = common.groupBy("kind").agg(F.sum("all").alias("total"))
+    common = common.join(F.broadcast(total), "kind").select("kind", "word", (F.col("all") * FORMS < F.col("total")).alias("rare"))
+    held = counts.join(common, ["kind", "word"])
+    rare = held.where("rare").drop("rare").mapInPandas(lengths, schema + ", n long").groupBy("kind", "word", "best", "half").agg(F.sum("n").alias("n"))
+    out = held.where("not rare").drop("rare").select("*", F.lit(False).alias("rare")).unionByName(rare.select("*", F.lit(True).alias("rare"))).collect()
+    discard(counts)
+    return out
+
+
+def _length_word(word: str) -> str:
+    """The word of a token of that length that counts as one run."""
+    n = sum(len(m[0]) - len(m[2]) + int(m[2] or 0) for m in re.finditer(r"(\D)\1*(\d*)", word))
+    return "W" * n if n <= RUN else f"{'W' * RUN}{n - RUN}"
+
+
+class Background:
+    """An automaton of ordinary tokens; where rare ones are counted by length alone, the likelier of a token's word and its length tells."""
+
+    def __init__(self, words: dict[str, int], rare: bool) -> None:
+        self.automaton, self.rare = infer(words), rare
+
+    def bits(self, word: str) -> float:
+        own = self.automaton.bits(word)
+        return max(own, self.automaton.bits(_length_word(word))) if self.rare else own
+
+    def over(self, best: float | None, word: str) -> float:
+        """Bits a symbol that a format's explanation exceeds its own by; minus infinity without one."""
+        return -math.inf if best is None else (best - self.bits(word)) / len(word)
+
+
+def _background(rows: list, ordinary: list[str], words_stay: bool) -> tuple[Background, float]:
+    """The background of one half of the tokens and the threshold of the other half's scores; tokens that a format accepts and that the other tokens don't explain are left out, but plain words where they stay."""
+    usual, rare = Counter(map(symbols, ordinary)), any(r.rare for r in rows)
+    alike = [r.best is not None and not (words_stay and _plain(r.word)) for r in rows]
+
+    def of(some: Iterable) -> dict[str, int]:
+        words = Counter(usual)
+        for r in some:
+            words[r.word] += r.n
+        return words
+
+    others = Background(of(r for r, a in zip(rows, alike) if not a), rare)
+    kept = [r for r, a in zip(rows, alike) if not a or others.over(r.best, r.word) <= LEAST_BITS]
+    back = Background(of(r for r in kept if r.half == 0), rare)
+    held = sorted((back.over(r.best, r.word), r.n) for r in kept if r.half == 1)
+    place, least = int(QUANTILE * (sum(n for _, n in held) - 1)), LEAST_BITS
+    for x, n in held:
+        if place < n:
+            least = max(least, x + MARGIN)
+            break
+        place -= n
+    return back, least
 
 
 class Model(NamedTuple):
     """The formats, the backgrounds of long and short tokens with their thresholds in bits a symbol, and the least length of a token."""
 
     formats: list[Format]
-    long: tuple[Automaton | None, float]
-    short: tuple[Automaton | None, float]
+    long: tuple[Background | None, float]
+    short: tuple[Background | None, float]
     least: int
 
 
 def fit(docs: DataFrame) -> Model:
     values = _labelled(docs)
-    formats = formats_of(list({v for k in KINDS[:3] for v in values[k]}))
+    formats = _formats(values["assign"].rows.union(values["access"].rows).union(values["hex"].rows))
+    rows = _judged(values[""].rows.union(values["short"].rows), formats) if formats else []
+    discard(values[""].table)
     if not formats:
         return Model(formats, (None, math.inf), (None, math.inf), LEAST["access"])
-
-    def background(kind: str, ordinary: list[str]) -> tuple[Automaton, float]:
-        usual = [symbols(t) for t in ordinary]
-        tokens = _cleaned(values[kind], formats, usual, kind == "short")
-        back = infer([w for _, w in tokens[::2]] + usual)
-        held = sorted(score(formats, back, *t) for t in tokens[1::2])
-        return back, max([LEAST_BITS, *(x + MARGIN for x in held[int(QUANTILE * (len(held) - 1)) :][:1])])
-
-    return Model(formats, background("", ORDINARY), background("short", ORDINARY_SHORT), max(FLOOR, min(f.shortest() for f in formats)))
+    of = lambda kind: [r for r in rows if r.kind == kind]
+    return Model(formats, _background(of(""), ORDINARY, False), _background(of("short"), ORDINARY_SHORT, True), max(FLOOR, min(f.shortest() for f in formats)))
 
 
-def score(formats: list[Format], back: Automaton, token: str, word: str) -> float:
+def score(formats: list[Format], back: Background, token: str, word: str) -> float:
     """Bits a symbol that the likeliest accepting format explains the token better than the background does; minus infinity if none accepts it."""
-    best = max((f.bits(token, word) for f in formats if f.accepts(token, word)), default=-math.inf)
-    return (best - back.bits(word)) / len(word) if best > -math.inf else best
+    return back.over(max((f.bits(token, word) for f in formats if f.accepts(token, word)), default=None), word)
 
 
 def _spotter(model: Model):

@@ -178,6 +178,26 @@ def test_formats_of_any_length_and_of_few_values(spark, n, chars, labelled):
     assert set(keys) <= found and len(found & set(words)) <= 2
 
 
+def test_every_value_and_token_counts_in_the_fit(spark, monkeypatch):
+    """No sample: 9,000 values of one format leave three of another, and 17,000 tokens are all of the background; what Spark counts is what plain Python does."""
+    rng = np.random.default_rng(12)
+    of = lambda chars, n: "".join(rng.choice(list(chars), n))
+    values = [of("0123456789ABCDEF", 40) for _ in range(9000)] + ["zq_" + of("abcdefghjk0123456789", 25) for _ in range(3)]
+    tokens = [of("etaoinshrdlu", int(rng.integers(16, 24))) for _ in range(17_000)]
+    d = docs(spark, [" ".join(f"token = {v} ." for v in values[i::50]) + " " + " ".join(tokens[i::50]) for i in range(50)])
+    held = secret_scan._labelled(d)
+    assert len(held["assign"]) == 9003 and len(held[""]) == len(set(tokens))
+    got, want = secret_scan.fit(d), secret_scan.formats_of([secret_scan.sketch(v) for v in values])
+    assert {tuple(sorted(f.starts.items())) for f in got.formats} == {tuple(sorted(f.starts.items())) for f in want}
+    words = {secret_scan.symbols(v) for v in [*values[-3:], values[0], "x" * 40]}
+    assert [[f.automaton.bits(w) for w in words] for f in got.formats] == [[f.automaton.bits(w) for w in words] for f in sorted(want, key=lambda f: min(secret_scan.pool(w) for w in map(secret_scan.symbols, values) if f.automaton.accepts(w)))]
+    plain = sum(r.n for r in secret_scan._judged(secret_scan._tokens(d).where("kind = ''"), got.formats))
+    assert plain == len(set(tokens))
+    monkeypatch.setattr(secret_scan, "FORMS", 4)
+    rows = secret_scan._judged(secret_scan._tokens(d).where("kind = ''"), got.formats)
+    assert sum(r.n for r in rows) == plain and any(r.rare and r.word.startswith("W") for r in rows) and secret_scan._length_word("l" * 40 + "12-d") == "W" * 40 + "14"
+
+
 def test_starts_count_by_chance():
     share = secret_scan.starts_of
     upper = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
