@@ -444,6 +444,8 @@ def centre_score(mask: DataFrame) -> DataFrame:
     r = runs(mask, "x").withColumn("dx", F.least(F.col("x") - F.col("run"), F.col("run") + F.col("length") - 1 - F.col("x")) + 1)
     r = r.withColumn("mid", F.col("x") == F.col("run") + F.floor((F.col("length") - 1) / 2)).select("image_id", "y", "x", "dx", "mid", "on")
     c = runs(r, "y").withColumn("d", F.least("dx", F.least(F.col("y") - F.col("run"), F.col("run") + F.col("length") - 1 - F.col("y")) + 1))
+    # Stored, for the runs are read for an image's greatest distance and again for each pixel's.
+    c = cut(c.select("image_id", "y", "x", "d", "mid"))
     top = c.groupBy("image_id").agg(F.max("d").alias("top"))
     c = c.join(top, "image_id").withColumn("d", F.col("d") / F.col("top"))
     return c.select("image_id", "y", "x", "d", F.pow("d", F.lit(0.9)).alias("p"), "mid")
@@ -451,6 +453,6 @@ def centre_score(mask: DataFrame) -> DataFrame:
 
 def ridge_score(dense: DataFrame) -> DataFrame:
     """ridge, 0 to 1: the middles of row runs (mid), feathered 3 x 3, over the image's highest."""
-    f = blur(dense.withColumn("ridge", F.when(F.col("mid"), 1.0).otherwise(0.0)), "ridge", whole=False)
+    f = cut(blur(dense.withColumn("ridge", F.when(F.col("mid"), 1.0).otherwise(0.0)), "ridge", whole=False))
     top = f.groupBy("image_id").agg(F.max("ridge").alias("top"))
     return f.join(top, "image_id").withColumn("ridge", F.when(F.col("top") > 0, F.col("ridge") / F.col("top")).otherwise(0.0)).drop("top")

@@ -132,7 +132,8 @@ def fused(trace: DataFrame, other: DataFrame, prob: DataFrame) -> DataFrame:
     size = P.sizes_of(prob).select("image_id", "width")
     both = trace.select("image_id", "row_idx", "x", "conf").join(other.select("image_id", "row_idx", F.col("x").alias("ox")), ["image_id", "row_idx"], "left")
     spot = lambda c: F.bround(F.least(F.col("width") - 1.0, F.greatest(F.lit(0.0), F.col(c)))).cast("int")
-    both = both.join(size, "image_id").withColumn("at", F.array(spot("x"), spot("ox"))).drop("width")
+    # Stored, for its places and its rows are read apart: a row of the trace, not a pixel.
+    both = P.cut(both.join(size, "image_id").withColumn("at", F.array(spot("x"), spot("ox"))).drop("width"))
     asked = both.select("image_id", F.col("row_idx").alias("y"), F.posexplode("at").alias("side", "x")).where("x is not null")
     found = prob.select("image_id", "y", "x", "p").join(P.apart(asked), ["image_id", "y", "x"])
     found = found.groupBy("image_id", F.col("y").alias("row_idx")).agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pa"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("pb"))
@@ -145,7 +146,7 @@ def fused(trace: DataFrame, other: DataFrame, prob: DataFrame) -> DataFrame:
 
 def live_scores(prob: DataFrame) -> DataFrame:
     """image_id, y, x, on (p over 0.10), p: the score that probability, centre of the stroke and ridge give, 1e-6 to 1."""
-    d = prob.select("image_id", "y", "x", "p", (F.col("p") > 0.10).alias("on"))
+    d = P.cut(prob.select("image_id", "y", "x", "p", (F.col("p") > 0.10).alias("on")))
     centre = P.centre_score(d).select("image_id", "y", "x", "d", F.col("p").alias("centre"), "mid")
     held = d.join(P.apart(centre), ["image_id", "y", "x"], "left").fillna(0.0, ["d", "centre"]).fillna(False, ["mid"])
     held = P.ridge_score(held)
@@ -184,8 +185,9 @@ def implausible(kind: Column, value: Column, low: Column, high: Column) -> Colum
 
 def trace_costs(prob: DataFrame, setting: DataFrame) -> DataFrame:
     """image_id, y, x, p (the live score), cost, step, smooth, bend: -log of the score, with rails, the side off the hot one, implausible values and grid rows made dear."""
-    live = live_scores(prob)
-    sizes = P.sizes_of(prob)
+    # Stored, as what follows reads the scores four times.
+    live = P.cut(live_scores(prob))
+    sizes = P.sizes_of(live)
     # Stored, for a row an image: as a join Spark would take it for the larger side, and send all scores through the driver.
     held = live.join(P.cut(setting.join(sizes, "image_id")), "image_id")
     held = held.join(rail_columns(live, sizes).withColumn("rail", F.lit(RAIL_COST)), ["image_id", "x"], "left")
@@ -327,7 +329,8 @@ def dot_print_prob(mask: DataFrame, hues: DataFrame | None = None, crest: bool =
 
 def dot_print_tracer(mask: DataFrame, hues: DataFrame | None = None, crest: bool = False, limit: int = 25) -> DataFrame:
     """Peak following with gaps of up to 25 rows filled, the row's own maximum where stronger, then (not in crest mode) the seam where stronger."""
-    p = dot_print_prob(mask, hues, crest)
+    # Stored, as the followed trace, the rows' own maxima, the seam and both fusions read it.
+    p = P.cut(dot_print_prob(mask, hues, crest))
     trace = interpolated(followed(p, crest), ("image_id",), limit)
     trace = fused(trace, max_centroid(p), p.withColumn("p", F.col("ridge")) if crest else p)
     return trace if crest else fused(trace, seam(p), p)
@@ -338,6 +341,7 @@ def ridge_tracer(mask: DataFrame) -> DataFrame:
 
     The component is the stroke's, for the middles of its rows may lie apart where it is steep.
     """
+    mask = P.cut(mask.select("image_id", "y", "x", "value"))
     left = P.without_rails(mask, P.sizes_of(mask))
     stroke = P.largest_component(left).withColumn("on", F.lit(True))
     kept = P.cut(P.centre_score(stroke).where("mid").select("image_id", "y", "x").withColumn("p", F.lit(1.0)))
@@ -365,6 +369,7 @@ def multiscale_tracer(mask: DataFrame, setting: DataFrame) -> DataFrame:
 
     A scale over 0.5 is read linearly, a smaller one by area. Each scale has its own step and weights.
     """
+    mask = P.cut(mask.select("image_id", "y", "x", "value"))
     sets = P.cut(scale_sets(mask, setting)).select("*", F.explode("scales").alias("scale")).drop("scales")
     key = F.format_string("%s|%s", F.col("scale").cast("string"), F.col("image_id"))
     side = lambda c: F.greatest(F.lit(4), F.floor(F.col(c) * F.col("scale"))).cast("int")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.lines import ordinals
+
+#: Vectors that one task numbers, about.
+RANGE = 1000
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -23,9 +27,13 @@ SAMPLES = """samples AS (SELECT user_id AS well, event_type AS curve, row_number
 
 
 def raster(spark: SparkSession, sf: str) -> DataFrame:
-    """image_id, y, x, value, b, g, r, on, p."""
-    e = t(spark, sf, "embeddings").withColumn("y", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    e = e.select(F.col("label").cast("string").alias("image_id"), "y", F.posexplode("embedding").alias("x", "e"))
+    """image_id, y, x, value, b, g, r, on, p.
+
+    A label's vectors are numbered in ranges of ids, so that its rows, and the pixels that come of them, lie with many tasks.
+    """
+    e = t(spark, sf, "embeddings").withColumn("bucket", F.floor(F.col("vec_id") / RANGE))
+    e = ordinals(e, ("label",), ("vec_id",), "y")
+    e = e.select(F.col("label").cast("string").alias("image_id"), F.col("y").cast("int").alias("y"), F.posexplode("embedding").alias("x", "e"))
     v = F.least(F.lit(255), F.floor(F.abs(F.col("e").cast("double")) * 600)).cast("int")
     e = e.select("image_id", "y", "x", v.alias("value"))
     return e.withColumn("b", F.col("value")).withColumn("g", (F.col("value") * 7 + F.col("x") * 3) % 256).withColumn("r", (F.col("value") * 13 + F.col("y") * 5) % 256).withColumn("on", F.col("value") > 60).withColumn("p", F.col("value") / 255)

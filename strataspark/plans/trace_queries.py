@@ -267,7 +267,8 @@ def trc_multiscale(spark, sf):
 @query("evl_methods")
 def evl_methods(spark, sf):
     """One row a method: the row pick, the path tracers and the ridge, against the mean place of dark pixels."""
-    p, mask = raster(spark, sf), _mask(spark, sf)
+    p = pixels.cut(raster(spark, sf).select("image_id", "y", "x", "value", "on"))
+    mask = p.select("image_id", "y", "x", F.least(F.lit(255), F.col("value") * 2).alias("value"))
     target = p.where("on").groupBy("image_id", F.col("y").alias("row_idx")).agg(F.avg("x").alias("t"))
     prob = mask.select("image_id", "y", "x", (F.col("value") / 255.0).alias("p"))
     picks = traces.row_picks(p.select("image_id", "y", "x", "on"), p.select("image_id", F.col("y").alias("row_idx")).distinct()).withColumn("conf", F.col("x").isNotNull().cast("double"))
