@@ -33,16 +33,27 @@ _PARAMETERS = (
 _DEPTH_LINE = ".{unit}                 00 000 000 000:  DEPTH"
 _FIELDS = ("COMP", "WELL", "FLD", "LOC", "CNTY", "STAT", "PROV", "SRVC", "DATE", "API", "UWI")
 _DEFAULT_WELL = "DIGITIZED_LOG"
+#: What stands before a text's name where a file holds many texts: the control character that separates files.
+SEPARATOR = "\x1c"
+#: Texts a file.
+RECORDS = 4096
 #: Well fields whose value stands before the colon in LAS 1.2, whatever follows it.
 _NUMBERS = ("STRT", "STOP", "STEP", "NULL")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """file, bucket, line_no, line, section (first letter of the last ~ line). Large files are read in byte ranges, over whose borders the section is carried.
 
-    The lines are stored, for header, curves and samples all read them.
+    A file is a well's text, or with a separator (SEPARATOR, as write_las_files() has it) as many as it separates: then file
+    is the name behind the separator, and carried over borders like a section. The lines are stored, for header, curves
+    and samples all read them.
     """
-    return stored(_sections(numbered(spark, path)), "las-lines")
+    t = numbered(spark, path)
+    if separator is not None:
+        own = F.startswith("line", F.lit(separator))
+        t = around(t, ("file",), F.col("line_no"), F.when(own, F.substr("line", F.lit(len(separator) + 1))), ("_name", "_next"))
+        t = t.where(~own).select(F.col("_name").alias("file"), "bucket", "line_no", "line")
+    return stored(_sections(t), "las-lines")
 
 
 def split_lines(files: DataFrame) -> DataFrame:
@@ -139,3 +150,9 @@ def write_las(samples_: DataFrame, wells: DataFrame, path: str) -> None:
     """One folder a well with its text; the last line end is the writer's own."""
     held = las_text(samples_, wells).select("file", F.expr("rtrim('\r\n', text)").alias("text"))
     held.write.partitionBy("file").option("lineSep", "\r\n").text(path)
+
+
+def write_las_files(samples_: DataFrame, wells: DataFrame, path: str) -> None:
+    """The texts of many wells a file, each behind a line of SEPARATOR and the well's name, so that the number of files doesn't grow with each well."""
+    text = F.concat(F.lit(SEPARATOR), "file", F.lit("\r\n"), F.expr("rtrim('\r\n', text)"))
+    las_text(samples_, wells).select(text.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS).text(path)

@@ -103,3 +103,23 @@ def test_documents_make_few_files(spark, sf):
     before = set(folder.rglob("part-*"))
     rows = QUERIES["src_json_documents"](spark, sf).count()
     assert rows == spark.read.parquet(f"{sf}/events.parquet").count() and len(set(folder.rglob("part-*")) - before) < rows / 70
+
+
+def test_las_texts_of_many_wells_share_files(spark, tmp_path):
+    """A file holds many wells' texts, and they are read as if each were a file of its own, also where a byte range begins inside one."""
+    s = spark.range(600).select((F.col("id") % 40).cast("string").alias("file"), F.floor(F.col("id") / 40).alias("idx"), (F.col("id") / 40).alias("depth"), F.lit("gr").alias("mnemonic"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.0).alias("value"))
+    wells = s.select("file").distinct().select("file", F.lit("m").alias("unit"), F.create_map(F.lit("well"), F.concat(F.lit("W"), "file")).alias("metadata"), F.array(F.struct(F.lit("gr").alias("name"), F.lit("API").alias("unit"))).alias("curves"))
+    las.write_las(s, wells, f"{tmp_path}/apart")
+    las.write_las_files(s, wells, f"{tmp_path}/together")
+    assert len(list((tmp_path / "together").glob("part-*"))) <= 4 and len(list((tmp_path / "apart").glob("file=*"))) == 40
+    want = las.samples(las.lines(spark, f"{tmp_path}/apart/*")).withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
+    want = sorted(map(str, want.select("file", "idx", "depth", "mnemonic", "value").collect()))
+    assert len(want) == 600
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "1000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = las.samples(las.lines(spark, f"{tmp_path}/together", las.SEPARATOR))
+            assert sorted(map(str, got.select("file", "idx", "depth", "mnemonic", "value").collect())) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
