@@ -45,6 +45,8 @@ BLOCK = 1024
 PER_PART, MOST_TASKS = 1_500_000, 20_000
 #: A signature of so many sets of a batch is large at once.
 HEAVY = 64
+#: Bytes that tell a signature: its level and 40 bits. Fewer bits may only bring more candidates, which are verified.
+KEPT = 6
 #: Standard deviations by which a level's sets have more strong partitions than they need.
 SAFE = 3.0
 _COEF = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -118,6 +120,12 @@ LEVELS = _levels()
 _TOPS, _PARTS, _STRONG = (np.array(x, dtype=np.int64) for x in zip(*LEVELS))
 
 
+def _spread(sig: np.ndarray) -> np.ndarray:
+    """Signatures of which the first bytes, by which they are dealt to parts, follow from the last KEPT."""
+    low = sig & np.uint64((1 << 8 * KEPT) - 1)
+    return low | mix(low) & ~np.uint64((1 << 8 * KEPT) - 1)
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of sets, and for each the number of its set; all sets of a batch at a time. A signature's last byte is its level."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -151,7 +159,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for keep, odd in ((strong & (rank <= need[owns]), 0), ((total < need)[owns] & (place < need[owns]), 1)):
             at = np.flatnonzero(keep)
             sig = mix(mix(sums[at] + tag[at] + np.uint64(odd)) + place[at].astype(np.uint64))
-            out.append(sig & ~np.uint64(255) | level[owns[at]].astype(np.uint64))
+            out.append(_spread(sig & ~np.uint64(255) | level[owns[at]].astype(np.uint64)))
             owner.append(owns[at])
     return np.concatenate(out), np.concatenate(owner)
 
@@ -183,7 +191,9 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _signature_blobs(docs: DataFrame, parts: int, most: int) -> DataFrame:
-    """Signatures with set keys, packed by bucket part: a row for each part and batch. keys holds each set once, times how many signatures follow for it; heavy the signatures that are large already.
+    """Signatures with set keys, packed by bucket part: a row for each part and batch. keys holds each set once for up to 255 signatures, times how many follow for it; heavy the signatures that are large already.
+
+    Of a signature KEPT bytes are written, from which the others follow.
 
     A signature of over `most` sets of a batch leaves one of them in its part; all of them go, as pairs with that one and
     as members, to a part of the batch's own (a negative number), so a signature that a third of all sets holds isn't
@@ -193,7 +203,11 @@ def _signature_blobs(docs: DataFrame, parts: int, most: int) -> DataFrame:
 
     def packed(part: int, sig: np.ndarray, key: np.ndarray, heavy: np.ndarray) -> tuple:
         at = _runs(key)
-        return part, sig.tobytes(), key[at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), heavy.tobytes()
+        n = np.diff(at)
+        more = -(-n // 255)
+        times = np.full(int(more.sum()), 255, dtype=np.uint8)
+        times[np.cumsum(more) - 1] = n - 255 * (more - 1)
+        return part, sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes(), np.repeat(key[at[:-1]], more).tobytes(), times.tobytes(), heavy.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -234,12 +248,19 @@ def _joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind)
 
 
+def _unpacked_signatures(column: pd.Series) -> np.ndarray:
+    held = _joined(column, np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(held), 8), dtype=np.uint8)
+    out[:, :KEPT] = held
+    return _spread(out.view("<u8").ravel()).view(np.int64)
+
+
 def _buckets(limit: int):
     """The job of a part: candidate pairs (kind 0: a, b) of buckets of up to the limit and with the first set of larger ones; members of larger ones (kind 1: signature, key)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, heavy = _joined(pdf["sigs"], np.int64), _joined(pdf["heavy"], np.int64)
-        key = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["times"], np.int32))
+        sig, heavy = _unpacked_signatures(pdf["sigs"]), _joined(pdf["heavy"], np.int64)
+        key = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["times"], np.uint8))
         own = pdf["part"].iloc[0] < 0  # signatures that batches found to be large
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]

@@ -137,6 +137,23 @@ def test_dense_groups_count_links_in_blocks(spark, monkeypatch):
     assert got == {i: (int(links[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(len(x))}
 
 
+def test_signatures_are_written_in_six_bytes(spark):
+    """Six bytes a signature and one a count give back the signatures and keys."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (4, 9, 40, 300, 9000)]
+    got = set()
+    rows = [r for r in ngram_join._signature_blobs(docs(spark, texts), 32, 64).collect()]
+    for r in rows:
+        assert len(r.sigs) == 6 * sum(r.times)
+        sig = ngram_join._unpacked_signatures([bytes(r.sigs)])
+        assert ((sig.view(np.uint64) >> np.uint64(59)) == r.part).all()
+        got |= set(zip(sig.tolist(), np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r.times, np.uint8)).tolist()))
+    sets = [s for t in texts for s in ngram_join.shingle_sets([t.encode()])]
+    sig, of = ngram_join.signatures(sets)
+    keys = [ngram_join.set_key(s)[0] for s in sets]
+    assert got == {(int(s), keys[o]) for s, o in zip(sig.view(np.int64), of)}
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 
