@@ -106,3 +106,18 @@ def test_scores_stay_off_the_driver(spark):
     costs = traces.trace_costs(prob, traces.settings(prob.select("image_id").distinct(), curve_type="GR"))
     assert costs.count() == 8 * 500 * 64
     assert "BuildLeft" not in costs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rasters_rows_are_numbered_in_ranges(spark, sf, monkeypatch):
+    """Rows count on over the borders of ranges of ids, and no task orders a whole label."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from strataspark.plans import standins
+
+    monkeypatch.setattr(standins, "RANGE", 7)
+    got = standins.raster(spark, sf)
+    assert "_within" in got._jdf.queryExecution().optimizedPlan().toString()
+    e = standins.t(spark, sf, "embeddings").withColumn("y", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    want = {(str(r.label), r.y, min(255, int(abs(r.embedding[0]) * 600))) for r in e.collect()}
+    assert {(r.image_id, r.y, r.value) for r in got.where("x = 0").collect()} == want
