@@ -256,6 +256,21 @@ def test_cumulative_link_fit_is_a_maximum():
             assert loss(w[used], cuts + step * (np.arange(2) == j)) > at - 1e-5
 
 
+def test_fit_takes_every_labelled_document(spark):
+    """Telling words that only a few of 9,000 labelled documents hold are learned, and the model is the one that the rows at hand give, however they are dealt."""
+    rows = [(i, f"plain words of row r{i % 7} and " + ("junk!! offer" if i % 3 == 0 else "river mill")) for i in range(9000)]
+    rows += [(9000 + i, f"rare zzyzx{i} qvortex") for i in range(60)]
+    labels = [(i, int(i % 3 > 0 and i < 9000), 0) for i in range(9060)]
+    d, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    few = [(i, t, q) for (i, t), (_, q, _) in zip(rows, labels)]
+    idx, val = zip(*(quality._scaled(r) for r in quality.features([t.encode() for _, t, _ in few])))
+    grade = np.array([2 * q for *_, q in few])
+    w, cuts = quality._fit(list(idx), list(val), grade)
+    one, two = quality.train(d.repartition(3), marks), quality.train(d.repartition(5), marks.repartition(2))
+    assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1])
+    assert np.abs(one[0] - w).max() < 1e-3 and np.abs(one[1] - cuts).max() < 1e-2
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
