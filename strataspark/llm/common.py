@@ -15,8 +15,8 @@ __all__ = ["components", "discard", "shared_dir", "stored"]
 #: Words are maximal runs of anything but these bytes (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
-#: Texts are hashed in chunks of about this many bytes, so that a worker's arrays stay small; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+#: Texts are hashed in chunks of about this many bytes, so that a worker's arrays (some 80 bytes a byte of text) stay small; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 18
 #: A batch that Spark hands to a Python stage holds about so many bytes: texts differ too much in length to count rows.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -90,7 +90,7 @@ def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, CHUNK_BYTES + 4096) - 1, base, dtype=np.uint64)]), dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 16 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 

@@ -21,7 +21,7 @@ Without labels of two grades nothing is rejected: tails are 1. Other columns are
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, discard, fresh, mix, stored, word_hashes, word_spans
+from .common import CHUNK_BYTES, bounded, chunks, discard, fresh, mix, stored, word_hashes, word_spans
 
 DIM = 1 << 18
 GRADES = 3
@@ -45,6 +45,8 @@ UNIT = float(1 << 28)
 LEAST_DOCS, LEAST_Z, LEAST_OFF = 5, 5.0, 0.05
 #: Counts of so many features are added up at a place.
 SHARE = 1 << 14
+#: Documents whose summands of the fit a task holds at once.
+SUMMED = 1024
 #: Bytes, A-Z lower-cased, from 1 on.
 _SMALL = np.arange(1, 257, dtype=np.uint64)
 _SMALL[65:91] += np.uint64(32)
@@ -89,6 +91,19 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield np.concatenate([rows[:, a:b].ravel().astype(np.int32), own])
 
 
+def packed_features(packed: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """features() of compressed texts, opened about CHUNK_BYTES at a time: repeated lines open to hundreds of times their bytes."""
+    held, size = [], 0
+    for p in packed:
+        text = zlib.decompress(p)
+        if held and size + len(text) > CHUNK_BYTES:
+            yield from features(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    yield from features(held)
+
+
 def _scaled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their values, 1 + log of the count, in sixteenths."""
     idx, n = np.unique(rows, return_counts=True)
@@ -207,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total = np.zeros((DIM, GRADES), dtype=np.int32), np.zeros((1, GRADES), dtype=np.int32)
         for pdf in batches:
-            for g, r in zip(pdf["grade"], features([zlib.decompress(t) for t in pdf["packed"]])):
+            for g, r in zip(pdf["grade"], packed_features(pdf["packed"])):
                 held[np.unique(r), g] += 1
                 total[0, g] += 1
         parts = [*np.split(held, DIM // SHARE), total]
@@ -219,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
         return pd.DataFrame({"feature": int(pdf["part"].iloc[0]) * SHARE + at, **{f"n{g}": total[at, g] for g in range(GRADES)}})
 
     squeezed = bounded(rows.select("doc_id", F.md5("text").alias("md5"), "text")).mapInPandas(squeeze, "doc_id long, md5 string, packed binary")
-    one = squeezed.join(marks, "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct("md5", "packed")).alias("least"))
+    # By doc_id alone, as the join has ordered the texts: they are not sorted again.
+    one = squeezed.join(marks, "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min(F.struct("md5", "packed")).alias("least"))
     one = stored(one.select("grade", "least.packed"), "labelled")
     counts = bounded(one).mapInPandas(tally, "part int, held binary").groupBy("part")
     counts = counts.applyInPandas(add, ", ".join(["feature long", *(f"n{g} long" for g in range(GRADES))])).toPandas()
@@ -237,13 +253,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [_scaled(own[own >= 0]) for own in (place[r] for r in features([zlib.decompress(t) for t in pdf["packed"]]))]
+            pairs = [_scaled(own[own >= 0]) for own in (place[r] for r in packed_features(pdf["packed"]))]
             yield pd.DataFrame({"grade": pdf["grade"], "idx": [i.astype(number).tobytes() for i, _ in pairs], "val": [(16 * v).astype(np.uint8).tobytes() for _, v in pairs]})
 
     def sums(theta: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(theta) + 1, dtype=np.int64)
-            for batch in batches:
+            for batch in (b.slice(lo, SUMMED) for b in batches for lo in range(0, b.num_rows, SUMMED)):
                 idx, val = (batch.column(c).to_pylist() for c in ("idx", "val"))
                 row = np.repeat(np.arange(len(val)), [len(v) for v in val])
                 total += _sums(theta, row, np.frombuffer(b"".join(idx), number), np.frombuffer(b"".join(val), np.uint8) / 16, batch.column("grade").to_numpy())

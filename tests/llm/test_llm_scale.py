@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import json
 import re
+import tracemalloc
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -271,6 +273,22 @@ def test_fit_takes_every_labelled_document(spark):
     assert np.abs(one[0] - w).max() < 1e-3 and np.abs(one[1] - cuts).max() < 1e-2
 
 
+def test_features_take_little_memory():
+    """A worker's arrays stay under 30 MB over 4 MB of texts in one batch, and compressed repeats of 64 MB are not opened at once; the features are the same either way."""
+    rng = np.random.default_rng(4)
+    texts = [b" ".join(b"w%d" % k for k in rng.integers(0, 5000, 700)) for _ in range(1200)]
+    quality.word_hashes(*quality.word_spans(texts[:1])[:3])  # the tables of powers
+    packed = [zlib.compress(b"all work and no play " * 6000)] * 500
+    for rows in (lambda: quality.features(texts), lambda: quality.packed_features(packed)):
+        tracemalloc.start()
+        assert sum(map(len, rows())) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6
+    both = zip(quality.features(texts), quality.packed_features(map(zlib.compress, texts)), strict=True)
+    assert all(np.array_equal(a, b) for a, b in both)
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
